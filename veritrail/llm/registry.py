@@ -6,15 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality_crf, toxicity_fm
+from . import bpe, quality_crf, toxicity_fm, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_crf": quality_crf.query,
+        "op3_warc_archive": warc.query,
+        "op4_bpe_codec": bpe.query,
         "op8_toxicity_fm": toxicity_fm.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_warc_archive": warc.ORACLE}
