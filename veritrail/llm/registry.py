@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, quality_crf, toxicity_fm, warc
+from . import ann_aq, bpe, quality_crf, toxicity_fm, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,8 +15,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_warc_archive": warc.query,
         "op4_bpe_codec": bpe.query,
         "op8_toxicity_fm": toxicity_fm.query,
+        "op10_ann_aq": ann_aq.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_warc_archive": warc.ORACLE}
+    return {"op3_warc_archive": warc.ORACLE, "op10_ann_aq": ann_aq.ORACLE}
