@@ -6,18 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann_aq, bpe, quality_crf, toxicity_fm, warc
+from . import ann_aq, bpe, decontaminate, quality_crf, sharding, toxicity_fm, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_crf": quality_crf.query,
+        "op2_extendible_sharding": sharding.query,
         "op3_warc_archive": warc.query,
         "op4_bpe_codec": bpe.query,
+        "op7_decontaminate": decontaminate.query,
         "op8_toxicity_fm": toxicity_fm.query,
         "op10_ann_aq": ann_aq.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_warc_archive": warc.ORACLE, "op10_ann_aq": ann_aq.ORACLE}
+    return {"op2_extendible_sharding": sharding.ORACLE, "op7_decontaminate": decontaminate.ORACLE, "op3_warc_archive": warc.ORACLE, "op10_ann_aq": ann_aq.ORACLE}
