@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann_aq, bpe, decontaminate, quality_crf, sharding, toxicity_fm, warc
+from . import ann_aq, bpe, decontaminate, line_dedup, quality_crf, sharding, toxicity_fm, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_extendible_sharding": sharding.query,
         "op3_warc_archive": warc.query,
         "op4_bpe_codec": bpe.query,
+        "op5_line_dedup": line_dedup.query,
         "op7_decontaminate": decontaminate.query,
         "op8_toxicity_fm": toxicity_fm.query,
         "op10_ann_aq": ann_aq.query,
@@ -22,4 +23,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_extendible_sharding": sharding.ORACLE, "op7_decontaminate": decontaminate.ORACLE, "op3_warc_archive": warc.ORACLE, "op10_ann_aq": ann_aq.ORACLE}
+    return {"op2_extendible_sharding": sharding.ORACLE, "op5_line_dedup": line_dedup.ORACLE, "op7_decontaminate": decontaminate.ORACLE, "op3_warc_archive": warc.ORACLE, "op10_ann_aq": ann_aq.ORACLE}
