@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann_aq, bpe, decontaminate, line_dedup, quality_crf, sharding, toxicity_fm, warc
+from . import ann_aq, bpe, decontaminate, line_dedup, quality_crf, sharding, suffix_dedup, toxicity_fm, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_warc_archive": warc.query,
         "op4_bpe_codec": bpe.query,
         "op5_line_dedup": line_dedup.query,
+        "op6_suffix_dedup": suffix_dedup.query,
         "op7_decontaminate": decontaminate.query,
         "op8_toxicity_fm": toxicity_fm.query,
         "op10_ann_aq": ann_aq.query,
