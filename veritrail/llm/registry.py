@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann_aq, bpe, decontaminate, line_dedup, quality_crf, sharding, suffix_dedup, toxicity_fm, warc
+from . import ann_aq, bpe, decontaminate, jaccard_join, line_dedup, quality_crf, sharding, suffix_dedup, toxicity_fm, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -19,6 +19,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_suffix_dedup": suffix_dedup.query,
         "op7_decontaminate": decontaminate.query,
         "op8_toxicity_fm": toxicity_fm.query,
+        "op9_ngram_jaccard": jaccard_join.query,
         "op10_ann_aq": ann_aq.query,
     }
 
