@@ -304,8 +304,7 @@ def query(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFram
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str, path: str | None = None) -> DataFrame:
-    """Last stage: the documents' ids as binary column ``ids``, their number, and the decoded text's digest."""
+    """Last stage: every document's ids in place of its text, with their number, digest and the decoded text's digest."""
     path = path or default_path()
-    return decode(encode(docs, path), path).withColumns(
-        {"n_tokens": (F.octet_length("ids") / 4).cast("long"), "ids_sha256": F.sha2("ids", 256), "decoded_sha256": F.sha2("decoded", 256)}
-    ).drop("decoded", "ids")
+    out = decode(encode(docs, path).drop("text"), path)
+    return out.withColumns({"n_tokens": (F.octet_length("ids") / 4).cast("long"), "ids_sha256": F.sha2("ids", 256), "decoded_sha256": F.sha2("decoded", 256)}).drop("decoded")
