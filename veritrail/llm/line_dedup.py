@@ -33,6 +33,8 @@ from pyspark.sql import functions as F
 from .shared import SPACES, Words, chunks, column_bytes, mix, powers, row_key, stored
 
 MIN_WORDS = 8
+#: Tables of at most so many rows (of 8 bytes; of a document's line numbers) are broadcast, larger ones shuffled.
+BROADCAST_HALVES, BROADCAST_DOCS = 1_000_000, 200_000
 _LAST = 2**63 - 1
 
 
@@ -80,13 +82,13 @@ class Lines:
     def halves(self) -> tuple[np.ndarray, np.ndarray]:
         """(line, key) of the halves by which lines at most one edit apart meet.
 
-        For lengths s <= t of a pair: the first s // 2 words or the last s - s // 2 are the same.
+        With s the shorter length of a pair: the first s // 2 words or the last s - s // 2 are the same.
         """
         line = np.flatnonzero(self.n >= MIN_WORDS)
         out_line, out_key = [], []
-        for shorter, longer in ((0, 0), (0, 1), (-1, 0)):  # lengths of the pair, from this line's
-            s, t = self.n[line] + shorter, self.n[line] + longer
-            tag = mix((s * 4 + (t - s)).astype(np.uint64))
+        for shorter in (0, 1):  # the pair's shorter length, from this line's
+            s = self.n[line] - shorter
+            tag = mix(s.astype(np.uint64))
             for side, key in ((1, self.prefix(line, s // 2)), (2, self.suffix(line, s - s // 2))):
                 out_line.append(line)
                 out_key.append(mix(key + tag + np.uint64(side)))
@@ -110,7 +112,7 @@ def _per_chunk(names: list[str], kinds: list[pa.DataType], rows):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = column_bytes(batch.column("text"))
-            for a, b in chunks(np.diff(offsets), 2 << 20):
+            for a, b in chunks(np.diff(offsets), 1 << 20):
                 part = batch.slice(a, b - a)
                 lines = Lines(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 got = rows(part, lines)
@@ -143,13 +145,15 @@ def line_table(docs: DataFrame) -> DataFrame:
 
 def _survivors(lines: DataFrame, docs: DataFrame) -> DataFrame:
     """h, did, line, text of the earliest of each line that shares a half with another line, stored."""
-    first = F.min(F.struct("did", "line", "__key")).alias("f")
-    distinct = lines.where(F.col("n") >= MIN_WORDS).groupBy("h").agg(first, F.first("halves").alias("halves"))
-    keys = distinct.select("h", "f", F.explode("halves").alias("half"))
-    shared = keys.groupBy("half").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a <> b").select("half")
-    wanted = keys.join(shared, "half", "left_semi").select("h", "f").distinct()
+    halves = lines.where(F.col("n") >= MIN_WORDS).select("h", F.explode("halves").alias("half"))
+    shared = stored(halves.groupBy("half").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a <> b").select("half"), "shared-halves")
+    few = F.broadcast(shared) if shared.count() <= BROADCAST_HALVES else shared
+    with_place = lines.where(F.col("n") >= MIN_WORDS).select("h", "did", "line", "__key", F.explode("halves").alias("half"))
+    wanted = with_place.join(few, "half", "left_semi").groupBy("h").agg(F.min(F.struct("did", "line", "__key")).alias("f"))
     by_doc = wanted.groupBy(F.col("f.__key").alias("__key"), F.col("f.did").alias("did")).agg(F.collect_list(F.struct(F.col("f.line").alias("line"), "h")).alias("wanted"))
-    texts = docs.select(row_key("doc_id", "text").alias("__key"), "text").join(by_doc, "__key").dropDuplicates(["__key", "did"])
+    by_doc = stored(by_doc, "wanted-lines")
+    few = F.broadcast(by_doc) if by_doc.count() <= BROADCAST_DOCS else by_doc
+    texts = docs.select(row_key("doc_id", "text").alias("__key"), "text").join(few, "__key")
 
     @F.arrow_udf("array<string>")
     def pick(text: pa.Array, line: pa.Array) -> pa.Array:
@@ -161,7 +165,8 @@ def _survivors(lines: DataFrame, docs: DataFrame) -> DataFrame:
 
     got = texts.select("did", "wanted", pick("text", F.col("wanted.line")).alias("picked"))
     each = got.select("did", F.explode(F.arrays_zip("wanted", "picked")).alias("x"))
-    return stored(each.select(F.col("x.wanted.h").alias("h"), "did", F.col("x.wanted.line").alias("line"), F.col("x.picked").alias("text")), "line-candidates")
+    found = each.select(F.col("x.wanted.h").alias("h"), "did", F.col("x.wanted.line").alias("line"), F.col("x.picked").alias("text"))
+    return stored(found.dropDuplicates(["h"]), "line-candidates")
 
 
 def _within_one(a: list[str], b: list[str]) -> bool:
