@@ -23,53 +23,83 @@ BROADCAST_WINDOWS = 2_000_000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+def _let(value: Column, f) -> Column:
+    """f(value) with ``value`` computed once: Catalyst would else repeat it wherever f uses it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def words(text: Column) -> Column:
     """A-Z lower-cased ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+``; other letters stay as they are."""
-    parts = F.split(F.coalesce(text, F.lit("")), r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
-    ascii_only = lambda w: F.octet_length(w) == F.char_length(w)
-    return F.transform(F.filter(parts, lambda w: w != ""), lambda w: F.when(ascii_only(w), F.lower(w)).otherwise(F.translate(w, _UPPER, _LOWER)))
+    t = F.coalesce(text, F.lit(""))
+    low = F.when(F.octet_length(t) == F.char_length(t), F.lower(t)).otherwise(F.translate(t, _UPPER, _LOWER))
+    blank = lambda w: F.when(w == "", 1).otherwise(0)
+    ends = lambda p: F.slice(p, 1 + blank(F.element_at(p, 1)), F.greatest(F.lit(0), F.size(p) - blank(F.element_at(p, 1)) - blank(F.element_at(p, -1))))
+    return _let(F.split(low, r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"), ends)
 
 
-def _tail(array: Column, start: int, n: Column) -> Column:
-    return F.slice(array, F.lit(start + 1), F.greatest(n, F.lit(0)))
+def _tail(array: Column, start: int, shorter: int) -> Column:
+    return F.slice(array, F.lit(start + 1), F.greatest(F.size(array) - shorter, F.lit(0)))
 
 
-def _with_hashes(df: DataFrame, lengths: list[int]) -> DataFrame:
-    """Adds __h<m> for each m of ``lengths``: hashes of the windows of m words of ``__words``."""
-    df = df.withColumn("__n", F.size("__words")).withColumn("__h1", F.transform("__words", lambda w: F.xxhash64(w)))
-    step = 1
-    while step * 2 <= max(lengths, default=0):
-        n = F.col("__n") - (2 * step - 1)
-        df = df.withColumn(f"__h{step * 2}", F.zip_with(_tail(F.col(f"__h{step}"), 0, n), _tail(F.col(f"__h{step}"), step, n), lambda a, b: F.xxhash64(a, b)))
-        step *= 2
-    for m in lengths:
-        if m & (m - 1):
-            at, name = 0, None
-            n = F.col("__n") - (m - 1)
-            for power in (8, 4, 2, 1):
-                if m & power:
-                    piece = _tail(F.col(f"__h{power}"), at, n)
-                    if name is None:
-                        column = piece
-                    else:
-                        column = F.zip_with(column, piece, lambda a, b: F.xxhash64(a, b))
-                    name, at = power, at + power
-            df = df.withColumn(f"__h{m}", column)
-    return df
+def _joined(a: Column, b: Column) -> Column:
+    """Hashes of windows that follow each other, over the shorter of both."""
+    return F.zip_with(a, b, lambda x, y: F.xxhash64(x, y))
+
+
+def window_hashes(words_col: Column, m: int) -> Column:
+    """Hash of each window of ``m`` words (16 at most), built by doubling."""
+    powers = [p for p in (8, 4, 2, 1) if m & p]
+
+    def combine(by_power: dict[int, Column]) -> Column:
+        out, at = by_power[powers[0]], powers[0]
+        for p in powers[1:]:
+            out, at = _joined(_tail(out, 0, p), _tail(by_power[p], at, at)), at + p
+        return out
+
+    def double(by_power: dict[int, Column], p: int) -> Column:
+        if p == powers[0]:
+            return combine(by_power)
+        h = by_power[p]
+        return _let(_joined(_tail(h, 0, p), _tail(h, p, p)), lambda x: double(by_power | {2 * p: x}, 2 * p))
+
+    return _let(F.transform(words_col, lambda w: F.xxhash64(w)), lambda h: double({1: h}, 1))
 
 
 def windows(items: DataFrame, width: int = WINDOW) -> DataFrame:
     """length, hash, gram, items: the distinct windows of ``items`` (item_id, text)."""
     rows = items.select(F.col("item_id").cast("string").alias("item"), words(F.col("text")).alias("__words"))
-    rows = _with_hashes(rows.where(F.size("__words") > 0), list(range(1, width + 1))).withColumn("length", F.least(F.col("__n"), F.lit(width)))
+    rows = rows.where(F.size("__words") > 0).withColumn("length", F.least(F.size("__words"), F.lit(width)))
     hashes = F.lit(None).cast("array<long>")
     for m in range(1, width + 1):
-        hashes = F.when(F.col("length") == m, F.col(f"__h{m}")).otherwise(hashes)
+        hashes = F.when(F.col("length") == m, window_hashes(F.col("__words"), m)).otherwise(hashes)
     each = rows.select("item", "length", "__words", F.posexplode(hashes).alias("at", "hash"))
     gram = F.concat_ws(" ", F.expr("slice(__words, at + 1, length)"))
     return each.groupBy("length", "hash", gram.alias("gram")).agg(F.collect_set("item").alias("items"))
 
 
+def _gram(m: int) -> Column:
+    return F.concat_ws(" ", F.expr(f"slice(__words, at + 1, {m})"))
+
+
+def _in_one_pass(text: DataFrame, table: DataFrame, m: int) -> DataFrame:
+    """__key, at, items of the occurrences of a broadcast table's windows.
+
+    The lookup and the comparison of words follow the explode in one stage, so a document's words are
+    only looked at again where a hash hits, and nothing is shuffled.
+    """
+    each = text.select("__key", words(F.col("text")).alias("__words")).select("__key", "__words", F.posexplode(window_hashes(F.col("__words"), m)).alias("at", "hash"))
+    same = F.coalesce(_gram(m) == F.col("gram"), F.lit(False))  # not a join key, which would be built for every window
+    return each.join(F.broadcast(table.select("hash", "gram", "items")), "hash").where(same).select("__key", "at", "items")
+
+
+def _in_two_passes(text: DataFrame, table: DataFrame, m: int) -> DataFrame:
+    """The same for a table too large to broadcast: hashes are joined by shuffle, then the words of the hits compared."""
+    each = text.select("__key", F.posexplode(window_hashes(words(F.col("text")), m)).alias("at", "hash"))
+    places = each.join(table.select("hash").distinct(), "hash").groupBy("__key").agg(F.collect_set("at").alias("places"))
+    found = text.join(places, "__key").select("__key", "places", words(F.col("text")).alias("__words")).select("__key", "__words", F.explode("places").alias("at"))
+    return found.select("__key", "at", _gram(m).alias("gram")).join(table.select("gram", "items"), "gram").select("__key", "at", "items")
+
+
 def hits(docs: DataFrame, items: DataFrame, width: int = WINDOW) -> DataFrame:
     """__key, n_hit, items: the documents (id ``doc_id``, ``text``) that hold a window of ``items``.
 
@@ -78,24 +108,11 @@ def hits(docs: DataFrame, items: DataFrame, width: int = WINDOW) -> DataFrame:
     table = stored(windows(items, width), "test-windows")
     stats = table.agg(F.count("*").alias("n"), F.collect_set("length").alias("lengths")).first()
     lengths = sorted(stats["lengths"])
-    small = stats["n"] <= BROADCAST_WINDOWS
-    sized = (lambda df: F.broadcast(df)) if small else (lambda df: df)
     text = docs.select(row_key("doc_id", "text").alias("__key"), "text")
-    hashed = _with_hashes(text.select("__key", words(F.col("text")).alias("__words")), lengths)
-    found = None
+    exact = text.select("__key", F.lit(0).alias("length"), F.lit(0).alias("at"), F.array().cast("array<string>").alias("items")).where(F.lit(False))
     for m in lengths:
-        wanted = table.where(F.col("length") == m).select("hash").distinct()
-        part = hashed.select("__key", F.posexplode(f"__h{m}").alias("at", "hash")).join(sized(wanted), "hash").select("__key", F.struct(F.lit(m).alias("length"), "at").alias("place"))
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        found = text.select("__key", F.expr("named_struct('length', 0, 'at', 0)").alias("place")).where(F.lit(False))
-    places = stored(found.groupBy("__key").agg(F.collect_set("place").alias("places")), "test-hits")
-    exact = (
-        text.join(places, "__key").dropDuplicates(["__key"]).select("__key", "places", words(F.col("text")).alias("__words"))
-        .select("__key", "__words", F.explode("places").alias("p"))
-        .select("__key", F.col("p.length").alias("length"), F.col("p.at").alias("at"), F.concat_ws(" ", F.expr("slice(__words, p.at + 1, p.length)")).alias("gram"))
-        .join(sized(table.select("length", "gram", "items")), ["length", "gram"])
-    )
+        part = (_in_one_pass if stats["n"] <= BROADCAST_WINDOWS else _in_two_passes)(text, table.where(F.col("length") == m), m)
+        exact = exact.unionByName(part.select("__key", F.lit(m).alias("length"), "at", "items"))
     covered = F.array_distinct(F.flatten(F.collect_list(F.expr("sequence(at, at + length - 1)"))))
     return exact.groupBy("__key").agg(F.size(covered).cast("long").alias("n_hit"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
 
