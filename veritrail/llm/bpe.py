@@ -29,10 +29,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .shared import chunks
+
 #: The split pattern of byte-level BPE, with white space as Unicode defines it.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 #: Words whose tokens a worker remembers, after which it starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 150_000
+#: Bytes of texts or ids worked on at once.
+PIECE_BYTES = 1 << 20
 _NEVER = np.iinfo(np.int64).max
 
 
@@ -251,14 +255,15 @@ def _with(batch: pa.RecordBatch, name: str, values: pa.Array, schema: pa.Schema)
     return pa.RecordBatch.from_arrays([columns[n] for n in schema], names=list(schema))
 
 
-def _mapped(df: DataFrame, name: str, kind: T.DataType, of_batch) -> DataFrame:
+def _mapped(df: DataFrame, name: str, kind: T.DataType, source: str, of_batch) -> DataFrame:
     schema = T.StructType([f for f in df.schema.fields if f.name != name] + [T.StructField(name, kind)])
     names = schema.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
+            sizes = pc.fill_null(pc.binary_length(batch.column(source)), 0).to_numpy(zero_copy_only=False)
+            for a, b in chunks(sizes, PIECE_BYTES):
+                part = batch.slice(a, b - a)
                 yield _with(part, name, of_batch(part), names)
 
     return df.mapInArrow(run, schema)
@@ -270,7 +275,7 @@ def encode(df: DataFrame, path: str, text_col: str = "text", out: str = "ids") -
     def of_batch(batch: pa.RecordBatch) -> pa.Array:
         return pa.array(vocabulary(path).encode(batch.column(text_col).to_pylist()), pa.binary())
 
-    return _mapped(df, out, T.BinaryType(), of_batch)
+    return _mapped(df, out, T.BinaryType(), text_col, of_batch)
 
 
 def decode(df: DataFrame, path: str, ids_col: str = "ids", out: str = "decoded") -> DataFrame:
@@ -284,7 +289,24 @@ def decode(df: DataFrame, path: str, ids_col: str = "ids", out: str = "decoded")
         except pa.ArrowInvalid:
             return pa.array([x.decode("utf-8", "replace") for x in raw], pa.string())
 
-    return _mapped(df, out, T.StringType(), of_batch)
+    return _mapped(df, out, T.StringType(), ids_col, of_batch)
+
+
+def round_trip(df: DataFrame, path: str, text_col: str = "text") -> DataFrame:
+    """``df`` with ``ids`` and with ``decoded``, the text decoded from them, in one pass: one worker for each task."""
+    schema = T.StructType([f for f in df.schema.fields if f.name not in ("ids", "decoded")] + [T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v = vocabulary(path)
+        for batch in batches:
+            sizes = pc.fill_null(pc.binary_length(batch.column(text_col)), 0).to_numpy(zero_copy_only=False)
+            for a, b in chunks(sizes, PIECE_BYTES):
+                part = batch.slice(a, b - a)
+                ids = v.encode(part.column(text_col).to_pylist())
+                part = _with(part, "ids", pa.array(ids, pa.binary()), [n for n in schema.names if n != "decoded"])
+                yield _with(part, "decoded", pa.array([v.decode(x).decode("utf-8", "replace") for x in ids], pa.string()), schema.names)
+
+    return df.mapInArrow(run, schema)
 
 
 def default_path() -> str:
@@ -297,8 +319,7 @@ def query(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFram
     """op4: digests of every document's ids and of the text decoded from them."""
     path = path or default_path()
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    ids = encode(docs, path).select("doc_id", "ids")
-    return decode(ids, path).select(
+    return round_trip(docs, path).select(
         "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
     )
 
@@ -306,5 +327,5 @@ def query(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFram
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str, path: str | None = None) -> DataFrame:
     """Last stage: every document's ids in place of its text, with their number, digest and the decoded text's digest."""
     path = path or default_path()
-    out = decode(encode(docs, path).drop("text"), path)
+    out = round_trip(docs, path).drop("text")
     return out.withColumns({"n_tokens": (F.octet_length("ids") / 4).cast("long"), "ids_sha256": F.sha2("ids", 256), "decoded_sha256": F.sha2("decoded", 256)}).drop("decoded")

@@ -236,10 +236,10 @@ def dedup(docs: DataFrame) -> DataFrame:
             out.append(t)
         return pa.array(out, pa.string())
 
-    out = docs.drop("n_lines", "n_removed").withColumn("__key", row_key("doc_id", "text")).join(removals(docs), "__key", "left")
+    out = docs.drop("n_lines", "n_removed").withColumn("__key", row_key("doc_id", "text")).join(removals(docs).withColumnRenamed("gone", "__gone"), "__key", "left")
     lines = F.size(F.split(F.coalesce("text", F.lit("")), "\n"))
-    out = out.withColumns({"n_lines": lines.cast("long"), "n_removed": F.coalesce(F.size("gone"), F.lit(0)).cast("long")})
-    return out.withColumn("text", cut("text", "gone")).drop("__key", "gone")
+    out = out.withColumns({"n_lines": lines.cast("long"), "n_removed": F.coalesce(F.size("__gone"), F.lit(0)).cast("long")})
+    return out.withColumn("text", cut("text", "__gone")).drop("__key", "__gone")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text bytes that one numpy pass works on, which bounds a Python worker's memory.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 19
 
 
 def scratch(spark: SparkSession, name: str) -> str:
