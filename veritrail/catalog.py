@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import q_metrics, q_retrieval, q_text  # noqa: F401
+from .plans import q_metrics, q_retrieval, q_sources, q_text  # noqa: F401
 from .plans.registry import QUERIES, SQL
 
 

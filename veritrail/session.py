@@ -40,3 +40,11 @@ def ship(spark: SparkSession) -> None:
                     z.write(full, os.path.relpath(full, os.path.dirname(top)))
     spark.sparkContext.addPyFile(path)
     _shipped.add(app)
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that spark.checkpoint.dir names (a temporary one where it is unset)."""
+    import uuid
+
+    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.gettempdir()
+    return f"{base.rstrip('/')}/veritrail/{name}-{uuid.uuid4().hex}"
