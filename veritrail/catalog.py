@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import q_metrics, q_retrieval, q_sources, q_text  # noqa: F401
+from .plans import q_metrics, q_ml, q_retrieval, q_sources, q_text  # noqa: F401
 from .plans.registry import QUERIES, SQL
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return QUERIES["A12_classification_metrics"](spark, sf_dir)
+    return QUERIES["flagship_answer_scores"](spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -212,3 +212,8 @@ def fallback_confidence(name: Column, mean_score: Column) -> Column:
     strong = name.isin("supported", "contradicted")
     value = F.when(strong, 0.55).otherwise(0.30) + F.when(strong, 0.4).otherwise(0.2) * F.coalesce(mean_score, F.lit(0.5))
     return F.round(F.least(value, F.lit(0.95)), 2)
+
+
+def lexical_verdict(best: Column, word_match: Column) -> Column:
+    """Verdict without rules: best sentence score of 0.30 or word match of 0.50 supports, any match in part, none contradicts."""
+    return F.when((best >= 0.30) | (word_match >= 0.50), verdict("supported", 0.88)).when((best > 0) | (word_match > 0), verdict("partial", 0.65)).otherwise(verdict("contradicted", 0.85))
