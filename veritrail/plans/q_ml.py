@@ -91,7 +91,8 @@ def flagship(spark, d):
     said = claims.select("claim_id", T.overlap_words(F.col("claim")).alias("cw"))
     # words of a document's sentences once, not once for each claim
     used = docs.join(found.select("fact_id").distinct(), "fact_id").select("fact_id", F.explode(T.sentences(F.col("text"), "mark", 15)).alias("s")).select("fact_id", T.overlap_words(F.col("s")).alias("sw"))
-    best = found.join(said, "claim_id").join(used, "fact_id").groupBy("claim_id").agg(F.max(T.jaccard(F.col("cw"), F.col("sw"))).alias("best"))
+    both = found.join(said, "claim_id").join(used, "fact_id").select("claim_id", F.size(F.array_intersect("cw", "sw")).alias("i"), (F.size("cw") + F.size("sw")).alias("n"))
+    best = both.groupBy("claim_id").agg(F.max(F.when(F.col("i") > 0, F.col("i") / (F.col("n") - F.col("i"))).otherwise(0.0)).alias("best"))
     v = R.lexical_verdict(F.coalesce("best", F.lit(0.0)), F.lit(0.0))
     judged = claims.join(best, "claim_id", "left").select("claim_id", "response_id", v.alias("v"), F.lit(False).alias("fabricated")).select("response_id", "v.*", "fabricated")
     return S.hallucination_score(judged, claims.select("response_id").distinct())
