@@ -6,17 +6,18 @@ similarity is at least ``THRESHOLD`` percent. The operator returns the component
 1. Equal sets are one member from here on.
 2. Shingles are ordered by how often they occur, the frequent ones last (counted over all texts; the
    order only decides speed). Sets that link share one of their first n - ceil(0.8 n) + 1 shingles.
-3. Groups: members with a common min-hash are compared with the least of them; those that link are a
-   group, so a large family of near copies is put together by as many comparisons as it has members.
-   Groups are kept in parts of about ``GROUP`` members.
+3. Groups: members with a common min-hash are compared with ``PIVOTS`` of them; those that link are a
+   group, so a large family of near copies is put together by a few comparisons for each member.
+   Sets that link with none of those lie in loose groups of a common min-hash. Groups are kept in parts
+   of about ``GROUP`` members.
 4. Token-group matrix: for each of the first shingles, the groups that hold it. Shingles that only one
    group holds are dropped. A set is a candidate for the other groups that hold one of its first
    shingles and have members of a fitting size.
 5. A candidate meets a group's union of shingles first: unless the overlap reaches the threshold's share
    of its own set, no member can link, and the group is not opened. Else it is compared with each member.
 
-All links between different groups are tested and groups hang together by links, so the components are
-those of all links. Nothing is paired within a group.
+All links between different groups and within loose groups are tested, and other groups hang together by
+links, so the components are those of all links. No list of all pairs of a group is made.
 
 Defined results: texts without words (null, empty, blank) have an empty set and link with nothing; with
 fewer than 5 words the whole sequence is one shingle; a null doc_id counts as the largest and gets a
@@ -42,8 +43,9 @@ GROUP = 64
 QUERIES = 256
 #: Shingles whose frequency is known to the workers, at most; and their least count among some texts.
 FREQUENT, LEAST_COUNT, COUNTED_AT_ONCE = 500_000, 3, 3_000_000
-BROADCAST_ROWS = 500_000
 HASHES = 3
+#: Members of each min-hash with which its others are compared.
+PIVOTS = 4
 _LAST = 2**63 - 1
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
@@ -204,9 +206,8 @@ def links(candidates: DataFrame, groups: DataFrame, where: DataFrame, docs: Data
     asked = candidates.join(parts, "g").select("sig", F.struct("g", F.pmod(F.xxhash64("sig"), F.col("parts")).cast("int").alias("part"), F.lit(True).alias("query")).alias("job"))
     held = groups.join(parts, "g").select("sig", "g", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).select("sig", F.struct("g", "part", F.lit(False).alias("query")).alias("job"))
     jobs = stored(asked.unionByName(held).groupBy("sig").agg(F.collect_list("job").alias("jobs")).join(where, "sig"), "join-jobs")
-    few = jobs.count() <= BROADCAST_ROWS // 10
     texts = docs.select(row_key("doc_id", "text").alias("__key"), "text")
-    rows = texts.join(F.broadcast(jobs) if few else jobs, "__key").dropDuplicates(["__key"]).select("sig", "text", F.explode("jobs").alias("job")).select("job.*", "sig", "text")
+    rows = texts.join(jobs, "__key").select("sig", "text", F.explode("jobs").alias("job")).select("job.*", "sig", "text")
     dealt = rows.repartition("g", "part").sortWithinPartitions("g", "part", "query", "sig")
     return stored(dealt.mapInArrow(_open, "a long, b long"), "set-links")
 
@@ -215,34 +216,38 @@ def linked_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The members, and node (signature), label for every set that links with another."""
     every = members(docs)
     some = every.where("n > 0")
-    where = some.groupBy("sig").agg(F.min("__key").alias("__key"))
-    # groups: compare with the least of those that share a min-hash
-    by_min = some.select("sig", F.explode("mins").alias("m"))
-    least = by_min.groupBy("m").agg(F.min("sig").alias("least"), F.max("sig").alias("most")).where("least <> most").select("m", F.col("least").alias("g"))
-    star = by_min.join(least, "m").where("sig <> g").select("sig", "g").distinct()
+    where = stored(some.groupBy("sig").agg(F.min("__key").alias("__key"), F.first(F.get("mins", F.lit(0))).alias("m0")), "distinct-sets")
+    # groups: compare with a few of those that share a min-hash, the same few for all of them
+    by_min = some.select("sig", F.explode("mins").alias("m")).distinct()
+    few_of = F.array_distinct(F.array(*[F.min_by("sig", F.xxhash64("sig", F.lit(k))) for k in range(PIVOTS)]))
+    pivots = stored(by_min.groupBy("m").agg(few_of.alias("g"), F.count("*").alias("c")).where("c > 1").select("m", F.explode("g").alias("g")), "pivots")
+    star = by_min.join(pivots, "m").where("sig <> g").select(F.greatest("sig", "g").alias("sig"), F.least("sig", "g").alias("g")).distinct()
     star = stored(star, "star-candidates")
-    near = links(star, star.select("g").distinct().select("g", F.col("g").alias("sig")), where, docs)
-    grouped = components(near).withColumnRenamed("node", "sig").withColumnRenamed("label", "cluster")
-    # token-group matrix of the first shingles, without those that one group alone holds
-    size = grouped.groupBy("cluster").agg(F.count("*").alias("size"))
-    labels = grouped.join(size, "cluster")
-    rows = some.select("sig", "n", "prefix").join(labels, "sig", "left").select(
-        "sig", "n", F.coalesce("cluster", "sig").alias("cluster"), F.coalesce("size", F.lit(1)).alias("size"), F.explode("prefix").alias("t")
+    near = links(star, star.select("g").distinct().select("g", F.col("g").alias("sig")), where.select("sig", "__key"), docs)
+    labels = components(near).select(F.col("node").alias("sig"), F.col("label").alias("cluster"))
+    # a group is what hangs together so far; sets that hang with nothing yet lie in loose groups of a common min-hash
+    homes = where.join(labels, "sig", "left").select(
+        "sig", "__key", F.coalesce("cluster", "sig").alias("cluster"), F.coalesce("cluster", "m0").alias("home"), F.col("cluster").isNull().alias("loose")
     )
-    shared = rows.groupBy("t").agg(F.min("cluster").alias("a"), F.max("cluster").alias("b")).where("a <> b").select("t")
-    shared = stored(shared, "shared-shingles")
-    few = shared.count() <= BROADCAST_ROWS
+    size = homes.groupBy("home", "loose").agg(F.count("*").alias("size"))
     part = F.pmod(F.xxhash64("sig"), F.ceil(F.col("size") / GROUP)).alias("part")
-    held = stored(rows.join(F.broadcast(shared) if few else shared, "t").select("t", "sig", "n", "cluster", "size", part).distinct(), "matrix-rows")
-    matrix = held.groupBy("t", F.col("cluster").alias("gc"), F.col("size").alias("gs"), F.col("part").alias("gp")).agg(F.min("n").alias("least"), F.max("n").alias("most"))
+    homes = stored(homes.join(size, ["home", "loose"]).select("*", part), "set-groups")
+    # token-group matrix of the first shingles, without those that one group alone holds
+    clusters = homes.select("sig", "cluster")
+    rows = some.select("sig", "prefix").join(clusters, "sig").select("cluster", F.explode("prefix").alias("t"))
+    shared = stored(rows.groupBy("t").agg(F.min("cluster").alias("a"), F.max("cluster").alias("b")).where("a <> b").select("t"), "shared-shingles")
+    of_set = some.select("sig", F.explode("prefix").alias("t")).join(shared, "t").distinct()  # few columns, as most rows are dropped here
+    sizes = some.groupBy("sig").agg(F.first("n").alias("n"))
+    held = stored(of_set.join(homes.drop("cluster", "__key").join(sizes, "sig"), "sig"), "matrix-rows")
+    matrix = held.groupBy("t", *[F.col(c).alias(f"g_{c}") for c in ("home", "loose", "size", "part")]).agg(F.min("n").alias("least"), F.max("n").alias("most"))
     fits = (100 * F.col("most") >= THRESHOLD * F.col("n")) & (THRESHOLD * F.col("least") <= 100 * F.col("n"))
-    other = F.struct("size", "cluster") < F.struct("gs", "gc")  # each pair of groups once, the smaller one asking
-    g = F.xxhash64("gc", "gp")
-    asked = stored(held.join(matrix, "t").where(other & fits).select("sig", g.alias("g"), "gc", "gp").distinct(), "matrix-candidates")
-    opened = asked.select("g", "gc", "gp").distinct()
-    homes = labels.select("sig", "cluster", part).unionByName(where.select("sig", F.col("sig").alias("cluster"), F.lit(0).cast("long").alias("part")).join(labels.select("sig"), "sig", "left_anti"))
-    inside = opened.join(homes, (F.col("gc") == F.col("cluster")) & (F.col("gp") == F.col("part"))).select("g", "sig")
-    across = links(asked.select("sig", "g"), inside, where, docs)
+    # each pair of groups once, the smaller one asking; a loose group asks itself too
+    order = F.struct("size", "home", "loose") < F.struct("g_size", "g_home", "g_loose")
+    own = F.col("loose") & F.col("g_loose") & (F.col("home") == F.col("g_home"))
+    g = lambda c: F.xxhash64(F.col(c + "home"), F.col(c + "loose"), F.col(c + "part"))
+    asked = stored(held.join(matrix, "t").where((order | own) & fits).select("sig", g("g_").alias("g")).distinct(), "matrix-candidates")
+    inside = homes.select("sig", g("").alias("g")).join(asked.select("g").distinct(), "g").select("g", "sig")
+    across = links(asked, inside, where.select("sig", "__key"), docs)
     return every, components(near.unionByName(across))
 
 
@@ -256,6 +261,7 @@ def join(docs: DataFrame) -> DataFrame:
     sets = every.join(labels.withColumnRenamed("node", "sig"), "sig", "left").withColumn("c", F.when(F.col("n") > 0, F.coalesce("label", "sig")))
     # the least id of each component; sets of one document alone are settled without a join
     least = sets.where("n > 0").groupBy("c").agg(F.min("doc_id").alias("component"), F.count("*").alias("k")).where("k > 1").select("c", "component")
+    least = stored(least, "component-ids")
     out = sets.join(least, "c", "left")
     return out.select("__key", "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"), "c")
 
