@@ -38,7 +38,7 @@ from .shared import chunks, column_bytes, mix, powers, row_key, stored
 LENGTH = 200
 GRAM = 40
 #: Window starts worked on at once in a long text; positions take 24 bits of the sort key.
-BLOCK = 2 << 20
+BLOCK = 1 << 20
 GROUP_CONTEXTS = 4096
 _LAST = 2**63 - 1
 
@@ -240,13 +240,14 @@ def spans(docs: DataFrame, keep: str = "none") -> DataFrame:
     texts = docs.select(row_key("doc_id", "text").alias("__key"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("did"), "text").where(F.octet_length("text") >= LENGTH)
     every = stored(texts.mapInArrow(_context_rows, "anchor long, ctx long, did long, __key long, lo long, n int"), "contexts")
     twice = every.groupBy("anchor").agg(F.count("*").alias("c"), F.min("ctx").alias("a"), F.max("ctx").alias("b")).where("c > 1").select("anchor", (F.col("a") != F.col("b")).alias("mixed"))
+    twice = stored(twice, "repeated-anchors")  # so that both sides of the next join are shuffled for it and a hot anchor is split
     shared = stored(every.join(twice, "anchor"), "shared-contexts")
     counted = stored(
         shared.groupBy("anchor", "ctx", "mixed").agg(F.count("*").alias("copies"), F.min(F.struct("did", "__key", "lo", "n")).alias("first")), "counted-contexts"
     )
     mixed = counted.where("mixed")
     total = mixed.count()
-    per_anchor = mixed.groupBy("anchor").agg(F.ceil(F.count("*") / GROUP_CONTEXTS).cast("int").alias("parts"))
+    per_anchor = stored(mixed.groupBy("anchor").agg(F.ceil(F.count("*") / GROUP_CONTEXTS).cast("int").alias("parts")), "anchor-parts")
     groups = max(1, total // (GROUP_CONTEXTS // 2))
     g = F.when(F.col("parts") == 1, F.pmod("anchor", F.lit(groups))).otherwise(F.pmod(F.xxhash64("anchor"), F.lit(2**40)) + 2**41)
     wanted = mixed.join(per_anchor, "anchor").select(g.alias("g"), "parts", "copies", "first.*").groupBy("__key").agg(F.collect_list(F.struct("g", "parts", "did", "lo", "n", "copies")).alias("wanted"))
@@ -286,9 +287,9 @@ def cut(docs: DataFrame, found: DataFrame) -> DataFrame:
                 kept.append(raw.tobytes())
         return pa.StructArray.from_arrays([pa.array(removed, pa.int64()), pa.array(count, pa.int64()), pa.array(kept, pa.binary())], names=["n_removed", "n_spans", "kept"])
 
-    out = docs.drop("n_bytes", "n_removed", "n_spans", "kept").withColumn("__key", row_key("doc_id", "text")).join(found, "__key", "left")
-    out = out.withColumn("n_bytes", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")).withColumn("__cut", apply("text", "spans"))
-    return out.select("*", "__cut.*").drop("__cut", "__key", "spans")
+    out = docs.drop("n_bytes", "n_removed", "n_spans", "kept").withColumn("__key", row_key("doc_id", "text")).join(found.withColumnRenamed("spans", "__spans"), "__key", "left")
+    out = out.withColumn("n_bytes", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")).withColumn("__cut", apply("text", "__spans"))
+    return out.select("*", "__cut.*").drop("__cut", "__key", "__spans")
 
 
 def dedup(docs: DataFrame, keep: str = "first") -> DataFrame:
