@@ -42,3 +42,29 @@ def a40(spark, d):
 @query("A36_feature_diagnostics", "WITH x AS (SELECT label, i, embedding[i]::DOUBLE AS x FROM embeddings, unnest(range(1, 65)) AS r(i)), p AS (SELECT label, i, avg(x) AS m, stddev_pop(x) AS s, count(*) AS n FROM x GROUP BY ALL) SELECT label, max(n) AS n, sqrt(sum(m * m)) AS mean_length, avg(s) AS mean_spread, sum(m * m) AS within_cosine FROM p GROUP BY label")
 def a36(spark, d):
     return P.feature_diagnostics(table(spark, d, "embeddings").select("label", F.col("embedding").cast("array<double>").alias("v")))
+
+
+_OPEN = r"regexp_replace(regexp_replace(s, '^\s+|\s+$', '', 'g'), '(?i)^(well|so|actually|in fact|yes|no|sure|of course|certainly),?\s+', '')"
+
+
+@query("T13_strip_discourse_prefix", rf"""WITH {TEMPLATED}, x AS (SELECT claim_id, ['Actually, ', 'According to the records, ', 'In 1999, ', ''][pos + 1] || text AS s FROM claims),
+  y AS (SELECT claim_id, regexp_replace(regexp_replace({_OPEN}, '(?i)^according to [^,]+,\s*', ''), '(?i)^(in|on|since|during|as of|by) [^,]{{1,40}},\s*', '') AS t FROM x) SELECT claim_id, regexp_replace(t, '^\s+|\s+$', '', 'g') AS claim FROM y""")
+def t13(spark, d):
+    lead = F.element_at(F.array(*map(F.lit, ["Actually, ", "According to the records, ", "In 1999, ", ""])), F.col("pos") + 1)
+    return templated(spark, d)[0].select("claim_id", T.strip_discourse(F.concat(lead, "text")).alias("claim"))
+
+
+@query("M17_hash_embedding")
+def m17(spark, d):
+    """32 buckets of distinct words, of unit length."""
+    w = table(spark, d, "documents").select("doc_id", F.explode(T.words(F.col("text"))).alias("w"))
+    counted = w.groupBy("doc_id", F.pmod(F.xxhash64("w"), F.lit(32)).cast("int").alias("bucket")).agg(F.count("*").cast("double").alias("n"))
+    norm = counted.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("norm"))
+    return counted.join(norm, "doc_id").select("doc_id", "bucket", (F.col("n") / F.col("norm")).alias("value"))
+
+
+@query("S17_split_manifest")
+def s17(spark, d):
+    from ..sources.readers import file_digests
+
+    return file_digests(spark, f"{d}/documents.parquet")
