@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import struct
 
 import helpers as H
@@ -151,6 +152,53 @@ def test_line_dedup(spark):
     assert line_dedup.dedup(docs.where("doc_id > 99")).count() == 0
 
 
+def _near_plainly(rows):
+    """Lines left of (id, text) rows: near by plain edit distances, all pairs."""
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    def near(a, b):
+        s = min(len(a), len(b))
+        if s >= 8:
+            return distance(a, b) <= max(1, s // 10)
+        differ = [(x, y) for x, y in zip(a, b) if x != y]
+        return len(a) == len(b) and len(differ) == 1 and distance(*differ[0]) <= min(len("".join(a)), len("".join(b))) // 10
+
+    lines = [(d, i, t, t.split()) for d, text in rows for i, t in enumerate(text.split("\n"))]
+    return {d: "\n".join(t for e, i, t, w in lines if e == d and not (w and any((f, j) < (d, i) and (v == w or near(v, w)) for f, j, _, v in lines if v))) for d, _ in rows}
+
+
+def test_line_dedup_bound_grows_with_the_line(spark):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choices("abcdefgh", k=rng.randint(2, 7)))
+    rows = []
+    for n in (7, 8, 9, 10, 12, 19, 20, 21, 22, 29, 30, 31, 40, 59, 100, 101, 165):
+        base = [word() for _ in range(n)]
+        rows.append(" ".join(base))
+        for edits in (1, 1, 2, n // 10, n // 10, n // 10, n // 10 + 1, n // 10 + 2):
+            w = list(base)
+            for at in sorted(rng.sample(range(len(w)), min(edits, len(w))), reverse=True):
+                w[at : at + 1] = rng.choice(([], [word()], [w[at], word()]))
+            rows.append(" ".join(w))
+        spread = list(base)  # the most that is allowed, evenly spread, so that all runs are short
+        k = max(1, n // 10)
+        for e in range(k):
+            spread[(e + 1) * (n + 1) // (k + 1) - 1] = word()
+        rows.append(" ".join(spread))
+    rows += ["Posted on Monday by editor one", "Posted on Mondai by editor two", "Posted on Mondai by editor one", "Posted on Friday by editor one", "uncategorised", "uncategorized", "Überraschungsgäste", "Überraschungsgaste", "news", "newt"]
+    rows = list(enumerate(rows))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.text for r in line_dedup.dedup(docs).collect()}
+    assert got == _near_plainly(rows)
+    assert sum(t == "" for t in got.values()) > 80
+
+
 @pytest.mark.parametrize("contexts", [4096, 3])
 def test_suffix_dedup(spark, docs, contexts, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "GROUP_CONTEXTS", contexts)

@@ -1,11 +1,17 @@
 """Line dedup by a deletion-neighbourhood join.
 
 Lines are split at newlines and compared as sequences of words (runs of other than ASCII space), so
-white space does not count. A line goes if an earlier line, by (doc_id, line number), is the same or,
-for lines of ``MIN_WORDS`` words and more, is at most one word edit away (a word put in, left out or
-replaced); whether the earlier line itself stays does not matter. Blank lines always stay.
+white space does not count. A line goes if an earlier line, by (doc_id, line number), is the same or
+near; whether the earlier line itself stays does not matter. Blank lines always stay. Near means, with
+the shorter line's length as the measure:
 
-Two lines at most one edit apart share a variant, a line with at most one word left out. Each line
+* lines of ``MIN_WORDS`` words and more: at most a tenth of its words, at least one, put in, left out or
+  replaced;
+* lines of fewer words: the same number of words, all but one of them equal, and in that one at most
+  as many characters put in, left out or replaced as a tenth of the line's characters (spaces not
+  counted, rounded down: none in a line of under ten).
+
+One edit (lines of up to ``WIDE`` words): two lines at most one edit apart share a variant, a line with at most one word left out. Each line
 emits its variants as hashed keys with the place of the missing word: equal (variant, place) means one
 word replaced, a variant equal to a whole line means one word put in. Per key only the earliest line
 is kept, so nothing is paired within a key. The line a removal rests on is then fetched, and the edit
@@ -13,6 +19,14 @@ distance verified on the words. Long lines have many variants; but an edit leave
 second half of the words as it was, so only lines that share such a half (and a fitting length) with
 another line emit any.
 
+More edits (lines of ``WIDE`` words and more; variants would be too many): k edits leave a run of
+(s - k) / (k + 1) words intact, which ``least_run`` bounds. Of every so long run the ``RUN``-word window
+of least hash is a key, wherever it stands, so near lines share one at places at most k apart. Pairs
+must also agree in length and in a 128-bit parity of their words' hashes (an edit turns two bits at
+most); the edit distance is then verified on the words. Short lines share a variant at the same place
+and single words a window of bytes. In both, a line is compared with the earliest of each key first, and
+only lines not yet found near with all of them, so large groups of near copies are not paired.
+
 Hashes of prefixes and variants come from running sums of word hashes times powers of an odd base, so
 a variant costs a few operations, not a pass over the line.
 
@@ -33,6 +47,12 @@ from pyspark.sql import functions as F
 from .shared import SPACES, Words, chunks, column_bytes, mix, powers, row_key, stored
 
 MIN_WORDS = 8
+#: Lines of so many words and more may have two edits; a tenth of the words (of a short line's characters).
+WIDE, SHARE = 20, 10
+#: Words (of single words: bytes) of a key.
+RUN, RUN_BYTES = 5, 4
+#: Of a packed key, the bits that tell lines apart (two lines of a key have the same once in 2**28); the others are the key's first.
+TAG_BITS, BLOOM_BITS = 28, 1 << 29
 #: Tables of at most so many rows (of 8 bytes; of a document's line numbers) are broadcast, larger ones shuffled.
 BROADCAST_HALVES, BROADCAST_DOCS = 1_000_000, 200_000
 _LAST = 2**63 - 1
@@ -45,6 +65,46 @@ def _inverse_powers(n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
+def least_run(longest: int, run: int) -> np.ndarray:
+    """By length: how long a run of consecutive ``run``-windows any near line of that length has intact.
+
+    The pair's shorter length may be this line's or less by the edits that it allows.
+    """
+    s = np.arange(longest + 1)
+    k = np.maximum(1, s // SHARE)
+    own = np.maximum(-(-(s - k) // (k + 1)) - run + 1, 1)
+    out = own.copy()
+    for less in range(1, int(k[-1]) + 1):
+        fits = k[:-less] >= less
+        out[less:][fits] = np.minimum(out[less:], own[:-less])[fits]
+    return np.minimum(out, 8)
+
+
+def sampled(values: np.ndarray, begin: np.ndarray, count: np.ndarray, length: np.ndarray, run: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(which, place, key): of ``count`` values from ``begin``, the windows of ``run`` that are least in ``least_run`` of them."""
+    windows = np.maximum(count - run + 1, 0)
+    which = np.repeat(np.arange(len(begin)), windows)
+    place = np.arange(len(which)) - np.repeat(np.cumsum(windows) - windows, windows)
+    at = begin[which] + place
+    key = np.zeros(len(which), np.uint64)
+    for j, factor in enumerate(powers(run + 1)[1:]):
+        key += values[at + j] * factor
+    key = mix(key + np.uint64(run))
+    need = least_run(int(length.max(initial=1)), run)[length][which]
+    reach = np.ones(len(which), np.int64)
+    for step in (-1, 1):
+        going = np.ones(len(which), bool)
+        for d in range(1, int(need.max(initial=1))):
+            ok = np.zeros(len(which), bool)
+            if d < len(which):
+                a, b = (slice(d, None), slice(None, -d)) if step < 0 else (slice(None, -d), slice(d, None))
+                ok[a] = (which[a] == which[b]) & (key[b] >= key[a])
+            going &= ok
+            reach += going
+    kept = np.flatnonzero(reach >= need)
+    return which[kept], place[kept], key[kept]
+
+
 class Lines:
     """Lines of some texts with running sums of their word hashes."""
 
@@ -59,6 +119,7 @@ class Lines:
         self.end[:-1] = self.begin[1:] - 1
         self.end[last] = offsets[1:]
         words = Words(data, np.concatenate((self.begin, offsets[-1:])), SPACES, lower=False)
+        self.data = data
         self.words, self.n, self.first = words, words.count, words.first[:-1]
         place = np.arange(len(words.hash)) - self.first[words.text]
         longest = int(self.n.max(initial=0)) + 2
@@ -79,12 +140,51 @@ class Lines:
         every = np.arange(len(self.n))
         return mix(self.prefix(every, self.n) + mix(self.n.astype(np.uint64)))
 
+    def parity(self) -> tuple[np.ndarray, np.ndarray]:
+        """128 bits of each line, as two columns: which hash values occur an odd number of times."""
+        bit = (self.words.hash >> np.uint64(57)) & np.uint64(127)
+        one = np.uint64(1) << (bit & np.uint64(63))
+        some, out = self.n > 0, []
+        for side in (0, 1):
+            column = np.zeros(len(self.n), np.uint64)
+            if some.any():
+                column[some] = np.bitwise_xor.reduceat(np.where(bit >> np.uint64(6) == side, one, np.uint64(0)), self.first[some])
+            out.append(column)
+        return out[0], out[1]
+
+    def runs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(line, place, key) of the windows by which lines of ``WIDE`` words and more meet."""
+        line = np.flatnonzero(self.n >= WIDE)
+        of, place, key = sampled(self.words.hash, self.first[line], self.n[line], self.n[line], RUN)
+        return line[of], place, key
+
+    def short(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(line, key, word, characters) of lines of 1 to ``MIN_WORDS`` - 1 words and ten characters or more.
+
+        ``word`` is the number of the word that may differ.
+        """
+        lead = np.concatenate(([0], np.cumsum((self.data & 0xC0) != 0x80)))
+        size = lead[self.words.end] - lead[self.words.begin]
+        upto = np.concatenate(([0], np.cumsum(size)))
+        chars = upto[self.first + self.n] - upto[self.first]
+        line = np.flatnonzero((self.n > 1) & (self.n < MIN_WORDS) & (chars >= SHARE))
+        which, key, place = self.variants(line)
+        inside = place >= 0
+        line, place = line[which[inside]], place[inside]
+        key = mix(key[inside] + mix((place + 1).astype(np.uint64)))
+        alone = np.flatnonzero((self.n == 1) & (chars >= SHARE))
+        word = self.first[alone]
+        value = mix(self.data.astype(np.uint64) + np.uint64(1))
+        begin = self.words.begin[word]
+        of, _, part = sampled(value, begin, self.words.end[word] - begin, chars[alone], RUN_BYTES)
+        return np.concatenate((line, alone[of])), np.concatenate((key, part)), np.concatenate((self.first[line] + place, word[of])), np.concatenate((chars[line], chars[alone][of]))
+
     def halves(self) -> tuple[np.ndarray, np.ndarray]:
         """(line, key) of the halves by which lines at most one edit apart meet.
 
         With s the shorter length of a pair: the first s // 2 words or the last s - s // 2 are the same.
         """
-        line = np.flatnonzero(self.n >= MIN_WORDS)
+        line = np.flatnonzero((self.n >= MIN_WORDS) & (self.n <= WIDE))
         out_line, out_key = [], []
         for shorter in (0, 1):  # the pair's shorter length, from this line's
             s = self.n[line] - shorter
@@ -125,8 +225,12 @@ def _signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
+def _source(docs: DataFrame) -> DataFrame:
+    return docs.select(row_key("doc_id", "text").alias("__key"), F.coalesce(F.col("doc_id"), F.lit(_LAST)).alias("did"), "text")
+
+
 def line_table(docs: DataFrame) -> DataFrame:
-    """__key, did, line, h, n, halves: every line that is not blank, stored."""
+    """__key, did, line, h, n, halves, said (a short line's text): every line that is not blank, stored."""
 
     def rows(part, lines):
         kept = np.flatnonzero(lines.n > 0)
@@ -135,21 +239,27 @@ def line_table(docs: DataFrame) -> DataFrame:
         count = np.bincount(of, minlength=len(lines.n))[kept]
         lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(count))), pa.int32()), pa.array(_signed(key[order])))
         take = lambda c: part.column(c).to_numpy()[lines.text[kept]]
-        return take("__key"), take("did"), lines.number[kept], _signed(lines.whole()[kept]), lines.n[kept], lists
+        raw = lines.data.tobytes()
+        said = [raw[a:b].decode() if n < MIN_WORDS else None for a, b, n in zip(lines.begin[kept].tolist(), lines.end[kept].tolist(), lines.n[kept].tolist())]
+        return take("__key"), take("did"), lines.number[kept], _signed(lines.whole()[kept]), lines.n[kept], lists, said
 
-    src = docs.select(row_key("doc_id", "text").alias("__key"), F.coalesce(F.col("doc_id"), F.lit(_LAST)).alias("did"), "text")
-    names = ["__key", "did", "line", "h", "n", "halves"]
-    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.list_(pa.int64())]
-    return stored(src.mapInArrow(_per_chunk(names, kinds, rows), "__key long, did long, line int, h long, n int, halves array<long>"), "lines")
+    names = ["__key", "did", "line", "h", "n", "halves", "said"]
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.string()]
+    return stored(_source(docs).mapInArrow(_per_chunk(names, kinds, rows), "__key long, did long, line int, h long, n int, halves array<long>, said string"), "lines")
 
 
 def _survivors(lines: DataFrame, docs: DataFrame) -> DataFrame:
     """h, did, line, text of the earliest of each line that shares a half with another line, stored."""
-    halves = lines.where(F.col("n") >= MIN_WORDS).select("h", F.explode("halves").alias("half"))
+    halves = lines.where(F.size("halves") > 0).select("h", F.explode("halves").alias("half"))
     shared = stored(halves.groupBy("half").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a <> b").select("half"), "shared-halves")
     few = F.broadcast(shared) if shared.count() <= BROADCAST_HALVES else shared
-    with_place = lines.where(F.col("n") >= MIN_WORDS).select("h", "did", "line", "__key", F.explode("halves").alias("half"))
-    wanted = with_place.join(few, "half", "left_semi").groupBy("h").agg(F.min(F.struct("did", "line", "__key")).alias("f"))
+    with_place = lines.where(F.size("halves") > 0).select("h", "did", "line", "__key", F.explode("halves").alias("half"))
+    return _texts(with_place.join(few, "half", "left_semi"), docs, "line-candidates")
+
+
+def _texts(places: DataFrame, docs: DataFrame, name: str) -> DataFrame:
+    """h, did, line, text of the earliest of each line, stored. ``places``: h, did, line, __key."""
+    wanted = places.groupBy("h").agg(F.min(F.struct("did", "line", "__key")).alias("f"))
     by_doc = wanted.groupBy(F.col("f.__key").alias("__key"), F.col("f.did").alias("did")).agg(F.collect_list(F.struct(F.col("f.line").alias("line"), "h")).alias("wanted"))
     by_doc = stored(by_doc, "wanted-lines")
     few = F.broadcast(by_doc) if by_doc.count() <= BROADCAST_DOCS else by_doc
@@ -166,19 +276,29 @@ def _survivors(lines: DataFrame, docs: DataFrame) -> DataFrame:
     got = texts.select("did", "wanted", pick("text", F.col("wanted.line")).alias("picked"))
     each = got.select("did", F.explode(F.arrays_zip("wanted", "picked")).alias("x"))
     found = each.select(F.col("x.wanted.h").alias("h"), "did", F.col("x.wanted.line").alias("line"), F.col("x.picked").alias("text"))
-    return stored(found.dropDuplicates(["h"]), "line-candidates")
+    return stored(found.dropDuplicates(["h"]), name)
 
 
-def _within_one(a: list[str], b: list[str]) -> bool:
-    """Whether at most one word differs: replaced, put in or left out."""
-    if len(a) > len(b):
-        a, b = b, a
-    if len(b) - len(a) > 1:
+def _within(a: list[str], b: list[str], k: int) -> bool:
+    """Whether at most k words differ: replaced, put in or left out. Furthest places by diagonal."""
+    n, m = len(a), len(b)
+    if abs(n - m) > k:
         return False
-    p = 0
-    while p < len(a) and a[p] == b[p]:
-        p += 1
-    return a[p + (len(a) == len(b)) :] == b[p + 1 :]
+    before: dict[int, int] = {}
+    for edits in range(k + 1):
+        now = {}
+        for d in range(-edits, edits + 1):
+            i = max(before.get(d, -k - 2) + 1, before.get(d - 1, -k - 2), before.get(d + 1, -k - 2) + 1) if edits else 0
+            i = min(i, n, m - d)
+            if i < 0 or i + d < 0:
+                continue
+            while i < n and i + d < m and a[i] == b[i + d]:
+                i += 1
+            if d == m - n and i == n:
+                return True
+            now[d] = i
+        before = now
+    return False
 
 
 def near_lines(candidates: DataFrame) -> DataFrame:
@@ -202,21 +322,139 @@ def near_lines(candidates: DataFrame) -> DataFrame:
     this = candidates.select("h", F.col("text").alias("this"))
     that = candidates.select(F.struct("did", "line").alias("other"), F.col("text").alias("that"))
 
+    return pairs.join(this, "h").join(that, "other").where(_near()("this", "that")).select("h").distinct()
+
+
+_TO_SPACE = {c: " " for c in range(0x09, 0x0E)}
+
+
+def _near():
     @F.arrow_udf("boolean")
     def near(a: pa.Array, b: pa.Array) -> pa.Array:
-        words = lambda t: [w for w in t.translate(_TO_SPACE).split(" ") if w]
-        return pa.array([_within_one(words(x), words(y)) for x, y in zip(a.to_pylist(), b.to_pylist())], pa.bool_())
+        out = []
+        for x, y in zip(a.to_pylist(), b.to_pylist()):
+            x, y = ([w for w in t.translate(_TO_SPACE).split(" ") if w] for t in (x, y))
+            out.append(_within(x, y, max(1, min(len(x), len(y)) // SHARE)))
+        return pa.array(out, pa.bool_())
 
-    return pairs.join(this, "h").join(that, "other").where(near("this", "that")).select("h").distinct()
+    return near
 
 
-_TO_SPACE = {c: " " for c in range(0x09, 0x0E)}
+def _semi(df: DataFrame, keys: DataFrame, on: str) -> DataFrame:
+    """Rows of ``df`` with a key in ``keys``, which is stored and has each once."""
+    return df.join(F.broadcast(keys) if keys.count() <= BROADCAST_HALVES else keys, on, "left_semi")
+
+
+def _positions(key: np.ndarray, n_bits: int) -> list[np.ndarray]:
+    return [mix(key + np.uint64(i)) & np.uint64(n_bits - 1) for i in (1, 2)]
+
+
+def _bits_of(keys: DataFrame) -> np.ndarray:
+    """Bloom filter of stored keys: 16 bits a key with two set, ``BLOOM_BITS`` (64 MiB) at most. Beyond that it lets more keys through, and loses none."""
+    n_bits = min(BLOOM_BITS, 1 << max(10, (16 * keys.count()).bit_length()))
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = np.concatenate(_positions(batch.column("key").to_numpy().view(np.uint64), n_bits))
+            yield pa.RecordBatch.from_arrays([pa.array((at >> np.uint64(6)).astype(np.int32)), pa.array(_signed(np.uint64(1) << (at & np.uint64(63))))], names=["word", "bit"])
+
+    words = keys.mapInArrow(places, "word int, bit long").groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    out = np.zeros(n_bits >> 6, np.int64)
+    out[words.column("word").to_numpy()] = words.column("bits").to_numpy()
+    return out.view(np.uint64)
+
+
+def _may_hold(bits: np.ndarray, key: np.ndarray) -> np.ndarray:
+    held = np.ones(len(key), bool)
+    for at in _positions(key, len(bits) << 6):
+        held &= (bits[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) == 1
+    return held
+
+
+def _shared(keys: DataFrame, name: str) -> DataFrame:
+    """Keys that more than one line has, stored. ``keys``: key, h."""
+    return stored(keys.groupBy("key").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a <> b").select("key"), name)
+
+
+def _later(rows: DataFrame, fits, verified, name: str) -> DataFrame:
+    """h of the rows (key, at, h and others) with an earlier row of the same key that fits and is verified, stored.
+
+    Each row meets the earliest of its key first; lines not found near then meet all earlier ones.
+    """
+    rest = [c for c in rows.columns if c not in ("key", "at", "h")]
+    other = F.struct("at", "h", *rest).alias("o")
+    earlier = (F.col("o.at") < F.col("at")) & (F.col("o.h") != F.col("h")) & fits
+    carried = ["h", F.col("o.h").alias("other")]
+    first = rows.groupBy("key").agg(F.min(other).alias("o"))
+    found = stored(verified(rows.join(first, "key").where(earlier).select(*carried).distinct()).select("h").distinct(), f"{name}-first")
+    left = rows.join(F.broadcast(found) if found.count() <= BROADCAST_HALVES else found, "h", "left_anti")
+    more = verified(left.join(rows.select("key", other), "key").where(earlier).select(*carried).distinct()).select("h").distinct()
+    return stored(found.unionByName(more), name)
+
+
+def wide_lines(lines: DataFrame, docs: DataFrame) -> DataFrame:
+    """h of the lines of ``WIDE`` words and more that are near an earlier one of ``WIDE`` words and more."""
+
+    def keys(part, lines):
+        of, _, key = lines.runs()
+        tag = mix(lines.whole()[of]) >> np.uint64(64 - TAG_BITS)
+        return (_signed(np.unique(key >> np.uint64(TAG_BITS) << np.uint64(TAG_BITS) | tag)),)
+
+    def full(part, lines):
+        of, place, key = lines.runs()
+        kept = _may_hold(bits.value, key >> np.uint64(TAG_BITS))
+        of, place, key = of[kept], place[kept], key[kept]
+        a, b = lines.parity()
+        did = part.column("did").to_numpy()[lines.text[of]]
+        return _signed(key), _signed(lines.whole()[of]), did, lines.number[of], lines.n[of], place, _signed(a[of]), _signed(b[of])
+
+    src, long, int_ = _source(docs), pa.int64(), pa.int32()
+    packed, short_key = src.mapInArrow(_per_chunk(["pack"], [long], keys), "pack long"), F.shiftrightunsigned("pack", TAG_BITS)
+    seen = packed.repartition(short_key).groupBy(short_key.alias("key")).agg(F.min("pack").alias("a"), F.max("pack").alias("b"))
+    bits = docs.sparkSession.sparkContext.broadcast(_bits_of(stored(seen.where("a <> b").select("key"), "shared-runs")))
+    names, kinds = ["key", "h", "did", "line", "n", "place", "a", "b"], [long, long, long, int_, int_, int_, long, long]
+    rows = src.mapInArrow(_per_chunk(names, kinds, full), "key long, h long, did long, line int, n int, place int, a long, b long")
+    rows = rows.groupBy("key", "h", "place").agg(F.min(F.struct("did", "line")).alias("at"), *[F.first(c).alias(c) for c in ("n", "a", "b")])
+    rows = stored(rows, "line-runs")
+    k = F.floor(F.least("n", "o.n") / SHARE)
+    differ = F.bit_count(F.col("a").bitwiseXOR(F.col("o.a"))) + F.bit_count(F.col("b").bitwiseXOR(F.col("o.b")))
+    fits = (F.abs(F.col("n") - F.col("o.n")) <= k) & (F.abs(F.col("place") - F.col("o.place")) <= k) & (differ <= 2 * k)
+
+    def verified(pairs):
+        pairs = stored(pairs, "line-pairs")
+        wanted = stored(pairs.select("h").unionByName(pairs.select(F.col("other").alias("h"))).distinct(), "paired-lines")
+        text = _texts(_semi(lines, wanted, "h"), docs, "paired-texts").select("h", "text")
+        both = pairs.join(text.withColumnRenamed("text", "this"), "h").join(text.select(F.col("h").alias("other"), F.col("text").alias("that")), "other")
+        return both.where(_near()("this", "that"))
+
+    return _later(rows, fits, verified, "wide-lines")
+
+
+def short_lines(lines: DataFrame) -> DataFrame:
+    """h of the lines of fewer than ``MIN_WORDS`` words that are near an earlier one."""
+
+    def full(part, lines):
+        of, key, word, chars = lines.short()
+        raw = lines.data.tobytes()
+        words = [raw[a:b].decode() for a, b in zip(lines.words.begin[word].tolist(), lines.words.end[word].tolist())]
+        did, line = (part.column(c).to_numpy()[of] for c in ("did", "line"))  # one line a row
+        return _signed(key), _signed(lines.whole()[of]), did, line, lines.n[of], chars, words
+
+    names, kinds = ["key", "h", "did", "line", "n", "chars", "word"], [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string()]
+    said = lines.where("said IS NOT NULL").groupBy("h").agg(F.min(F.struct("did", "line", "said")).alias("f")).select("f.did", "f.line", F.col("f.said").alias("text"))
+    rows = said.mapInArrow(_per_chunk(names, kinds, full), "key long, h long, did long, line int, n int, chars int, word string")
+    rows = stored(rows.distinct().select("key", "h", F.struct("did", "line").alias("at"), "n", "chars", "word"), "short-rows")
+    rows = _semi(rows, _shared(rows.select("key", "h"), "shared-words"), "key")
+    k = F.floor(F.least("chars", "o.chars") / SHARE)
+    fits = (F.col("n") == F.col("o.n")) & (F.abs(F.col("chars") - F.col("o.chars")) <= k) & (F.levenshtein("word", "o.word") <= k)
+    return _later(rows, fits, lambda pairs: pairs, "short-lines")
 
 
 def removals(docs: DataFrame) -> DataFrame:
     """__key (``row_key`` of the document) and gone: the numbers, from 0, of its lines that go."""
     lines = line_table(docs)
-    near = near_lines(_survivors(lines, docs)).withColumn("near", F.lit(True))
+    near = near_lines(_survivors(lines, docs)).unionByName(wide_lines(lines, docs)).unionByName(short_lines(lines))
+    near = near.distinct().withColumn("near", F.lit(True))
     seen = lines.groupBy("h").agg(F.min(F.struct("did", "line")).alias("first"), F.count("*").alias("c")).join(near, "h", "left").where("c > 1 OR near")
     later = F.struct("did", "line") > F.col("first")
     gone = lines.join(seen, "h").where(later | F.col("near"))
