@@ -34,15 +34,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import SPACES, Words, chunks, column_bytes, mix, row_key, stored
+from .shared import SPACES, Words, chunks, column_bytes, frequent, mix, row_key, stored
 
 SHINGLE = 5
 THRESHOLD = 80
 GROUP = 64
 #: Queries that meet a group in one go; more are dealt out.
 QUERIES = 256
-#: Shingles whose frequency is known to the workers, at most; and their least count among some texts.
-FREQUENT, LEAST_COUNT, COUNTED_AT_ONCE = 500_000, 3, 3_000_000
 HASHES = 3
 #: Members of each min-hash with which its others are compared.
 PIVOTS = 4
@@ -83,54 +81,13 @@ def _texts(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.nda
         yield a, b, text, h
 
 
-def frequent(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Frequent shingles (sorted) and their counts: ``FREQUENT`` at most, by which others are outranked.
-
-    Each task counts the shingles of some thousand texts at a time and passes on those that occur
-    ``LEAST_COUNT`` times there; Spark adds them up. A cut-off count is chosen from the histogram.
-    """
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-
-        def flush() -> pa.RecordBatch:
-            t, c = np.unique(np.concatenate(held), return_counts=True)
-            t, c = t[c >= LEAST_COUNT], c[c >= LEAST_COUNT]
-            held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(t.view(np.int64)), pa.array(c)], names=["t", "c"])
-
-        for batch in batches:
-            for _, _, _, h in _texts(batch):
-                held.append(h)
-                if sum(map(len, held)) > COUNTED_AT_ONCE:
-                    yield flush()
-        if held:
-            yield flush()
-
-    counted = stored(texts.select("text").mapInArrow(count, "t long, c long").groupBy("t").agg(F.sum("c").alias("c")), "frequent-shingles")
-    level = F.floor(F.log2("c") * 8).cast("int").alias("level")
-    cut, total = None, 0
-    for r in sorted(counted.groupBy(level).count().collect(), key=lambda r: -r.level):
-        total += r["count"]
-        if total > FREQUENT:
-            break
-        cut = r.level
-    if cut is None:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    got = counted.where(F.floor(F.log2("c") * 8) >= cut).toArrow()
-    t, c = got.column("t").to_numpy().view(np.uint64), got.column("c").to_numpy()
-    order = np.argsort(t)
-    return t[order], c[order]
-
-
 _MEMBER = "__key long, doc_id long, n long, sig long, mins array<long>, prefix array<long>"
 
 
 def members(docs: DataFrame) -> DataFrame:
     """__key, doc_id, size of the set, its signature, min-hashes and first shingles: one row for each document, stored."""
     texts = docs.select(row_key("doc_id", "text").alias("__key"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    tokens, counts = frequent(texts)
-    known = docs.sparkSession.sparkContext.broadcast((tokens, counts))
+    known = docs.sparkSession.sparkContext.broadcast(frequent(texts, lambda data, offsets: shingle_sets(data, offsets)[1], "frequent-shingles"))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, counts = known.value

@@ -19,13 +19,15 @@ distance verified on the words. Long lines have many variants; but an edit leave
 second half of the words as it was, so only lines that share such a half (and a fitting length) with
 another line emit any.
 
-More edits (lines of ``WIDE`` words and more; variants would be too many): k edits leave a run of
-(s - k) / (k + 1) words intact, which ``least_run`` bounds. Of every so long run the ``RUN``-word window
-of least hash is a key, wherever it stands, so near lines share one at places at most k apart. Pairs
-must also agree in length and in a 128-bit parity of their words' hashes (an edit turns two bits at
-most); the edit distance is then verified on the words. Short lines share a variant at the same place
-and single words a window of bytes. In both, a line is compared with the earliest of each key first, and
-only lines not yet found near with all of them, so large groups of near copies are not paired.
+More edits (lines of ``WIDE`` words and more; all variants within the bound would be too many, two
+million for 50 words): of each line only the variants are kept that leave one pair of consecutive words,
+and of those only the rarest. k edits touch 2 k pairs at most, so of the pairs in a common order two near
+lines share one of their first 2 k + 1 (a pair that occurs again counts as another). The order is by how
+often the words occur, as far as the workers know it, and only decides speed. Lines that share a pair must
+also agree in length and in a 128-bit parity of their words' hashes (an edit turns two bits at most); the
+edit distance is then verified on the words. Short lines share a variant at the same place and single
+words a window of bytes. In both, a line is compared with the earliest of each key first, and only lines
+not yet found near with all of them, so large groups of near copies are not paired.
 
 Hashes of prefixes and variants come from running sums of word hashes times powers of an odd base, so
 a variant costs a few operations, not a pass over the line.
@@ -44,17 +46,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import SPACES, Words, chunks, column_bytes, mix, powers, row_key, stored
+from .shared import SPACES, Words, chunks, column_bytes, frequent, mix, powers, row_key, stored
 
 MIN_WORDS = 8
 #: Lines of so many words and more may have two edits; a tenth of the words (of a short line's characters).
 WIDE, SHARE = 20, 10
-#: Words (of single words: bytes) of a key.
-RUN, RUN_BYTES = 5, 4
+#: Bytes of a key of single words.
+RUN_BYTES = 4
 #: Of a packed key, the bits that tell lines apart (two lines of a key have the same once in 2**28); the others are the key's first.
 TAG_BITS, BLOOM_BITS = 28, 1 << 29
-#: Tables of at most so many rows (of 8 bytes; of a document's line numbers) are broadcast, larger ones shuffled.
-BROADCAST_HALVES, BROADCAST_DOCS = 1_000_000, 200_000
+#: Tables of at most so many rows (of 8 bytes), or so many line numbers, are broadcast; larger ones are shuffled.
+BROADCAST_HALVES, BROADCAST_LINES = 1_000_000, 3_000_000
 _LAST = 2**63 - 1
 
 
@@ -152,11 +154,27 @@ class Lines:
             out.append(column)
         return out[0], out[1]
 
-    def runs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(line, place, key) of the windows by which lines of ``WIDE`` words and more meet."""
-        line = np.flatnonzero(self.n >= WIDE)
-        of, place, key = sampled(self.words.hash, self.first[line], self.n[line], self.n[line], RUN)
-        return line[of], place, key
+    def rare_pairs(self, known: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """(line, key), by line: the pairs of words by which lines of ``WIDE`` words and more meet."""
+        words, counts = known
+        level = np.zeros(len(self.words.hash), np.int16)
+        if len(words):
+            at = np.minimum(np.searchsorted(words, self.words.hash), len(words) - 1)
+            found = np.flatnonzero(words[at] == self.words.hash)
+            level[found] = 1 + (4 * np.log2(counts[at[found]])).astype(np.int16)
+        of = self.words.text
+        begin = np.flatnonzero((of[1:] == of[:-1]) & (self.n[of[1:]] >= WIDE))
+        line, h = of[begin], self.words.hash
+        key = mix(h[begin] * self.pow[1] + h[begin + 1] * self.pow[2] + np.uint64(1))
+        order = np.lexsort((key, level[begin] + level[begin + 1], line))
+        line, key = line[order], key[order]
+        same = np.zeros(len(key), bool)
+        same[1:] = (key[1:] == key[:-1]) & (line[1:] == line[:-1])
+        at = np.arange(len(key))
+        again = at - np.maximum.accumulate(np.where(same, 0, at))
+        place = at - np.searchsorted(line, line)
+        kept = place <= 2 * (self.n[line] // SHARE)
+        return line[kept], mix(key[kept] + again[kept].astype(np.uint64))
 
     def short(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(line, key, word, characters) of lines of 1 to ``MIN_WORDS`` - 1 words and ten characters or more.
@@ -229,23 +247,44 @@ def _source(docs: DataFrame) -> DataFrame:
     return docs.select(row_key("doc_id", "text").alias("__key"), F.coalesce(F.col("doc_id"), F.lit(_LAST)).alias("did"), "text")
 
 
+def _lists(of: np.ndarray, values: np.ndarray, wanted: np.ndarray, n: int) -> pa.ListArray:
+    """The values of each line in ``wanted``; ``of``: their lines, in order."""
+    count = np.bincount(of, minlength=n)[wanted]
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(count))), pa.int32()), pa.array(_signed(values)))
+
+
 def line_table(docs: DataFrame) -> DataFrame:
-    """__key, did, line, h, n, halves, said (a short line's text): every line that is not blank, stored."""
+    """Every line that is not blank, stored: __key, did, line, h, n, halves, said (a short line's text), pairs, a, b.
+
+    Of equal lines that are read together only the earliest has pairs, so a very frequent line has few rows of them.
+    """
+    source = _source(docs)
+    known = docs.sparkSession.sparkContext.broadcast(frequent(source, lambda data, offsets: Words(data, offsets, SPACES, lower=False).hash, "frequent-words"))
 
     def rows(part, lines):
         kept = np.flatnonzero(lines.n > 0)
         of, key = lines.halves()
         order = np.argsort(of, kind="stable")
-        count = np.bincount(of, minlength=len(lines.n))[kept]
-        lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(count))), pa.int32()), pa.array(_signed(key[order])))
-        take = lambda c: part.column(c).to_numpy()[lines.text[kept]]
+        h, text, n = lines.whole(), lines.text, len(lines.n)
+        did = part.column("did").to_numpy()
+        by = np.lexsort((lines.number, did[text], h))
+        first = np.zeros(n, bool)
+        first[by] = np.concatenate(([True], h[by][1:] != h[by][:-1])) if n else []
+        line, pair = lines.rare_pairs(known.value)
+        mine = first[line]
+        a, b = lines.parity()
         raw = lines.data.tobytes()
-        said = [raw[a:b].decode() if n < MIN_WORDS else None for a, b, n in zip(lines.begin[kept].tolist(), lines.end[kept].tolist(), lines.n[kept].tolist())]
-        return take("__key"), take("did"), lines.number[kept], _signed(lines.whole()[kept]), lines.n[kept], lists, said
+        said = [raw[x:y].decode() if c < MIN_WORDS else None for x, y, c in zip(lines.begin[kept].tolist(), lines.end[kept].tolist(), lines.n[kept].tolist())]
+        return (
+            part.column("__key").to_numpy()[text[kept]], did[text[kept]], lines.number[kept], _signed(h[kept]), lines.n[kept], _lists(of, key[order], kept, n), said,
+            _lists(line[mine], pair[mine], kept, n), _signed(a[kept]), _signed(b[kept]),
+        )
 
-    names = ["__key", "did", "line", "h", "n", "halves", "said"]
-    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.string()]
-    return stored(_source(docs).mapInArrow(_per_chunk(names, kinds, rows), "__key long, did long, line int, h long, n int, halves array<long>, said string"), "lines")
+    long, int_ = pa.int64(), pa.int32()
+    names = ["__key", "did", "line", "h", "n", "halves", "said", "pairs", "a", "b"]
+    kinds = [long, long, int_, long, int_, pa.list_(long), pa.string(), pa.list_(long), long, long]
+    ddl = "__key long, did long, line int, h long, n int, halves array<long>, said string, pairs array<long>, a long, b long"
+    return stored(source.mapInArrow(_per_chunk(names, kinds, rows), ddl), "lines")
 
 
 def _survivors(lines: DataFrame, docs: DataFrame) -> DataFrame:
@@ -257,12 +296,17 @@ def _survivors(lines: DataFrame, docs: DataFrame) -> DataFrame:
     return _texts(with_place.join(few, "half", "left_semi"), docs, "line-candidates")
 
 
+def _by_size(df: DataFrame, lists: str) -> DataFrame:
+    """``df``, which is stored, marked for broadcast if it and its lists are small."""
+    size = df.agg(F.count("*") + F.coalesce(F.sum(F.size(lists)), F.lit(0))).first()[0]
+    return F.broadcast(df) if size <= BROADCAST_LINES else df.hint("merge")
+
+
 def _texts(places: DataFrame, docs: DataFrame, name: str) -> DataFrame:
     """h, did, line, text of the earliest of each line, stored. ``places``: h, did, line, __key."""
     wanted = places.groupBy("h").agg(F.min(F.struct("did", "line", "__key")).alias("f"))
     by_doc = wanted.groupBy(F.col("f.__key").alias("__key"), F.col("f.did").alias("did")).agg(F.collect_list(F.struct(F.col("f.line").alias("line"), "h")).alias("wanted"))
-    by_doc = stored(by_doc, "wanted-lines")
-    few = F.broadcast(by_doc) if by_doc.count() <= BROADCAST_DOCS else by_doc
+    few = _by_size(stored(by_doc, "wanted-lines"), "wanted")
     texts = docs.select(row_key("doc_id", "text").alias("__key"), "text").join(few, "__key")
 
     @F.arrow_udf("array<string>")
@@ -385,45 +429,57 @@ def _later(rows: DataFrame, fits, verified, name: str) -> DataFrame:
     other = F.struct("at", "h", *rest).alias("o")
     earlier = (F.col("o.at") < F.col("at")) & (F.col("o.h") != F.col("h")) & fits
     carried = ["h", F.col("o.h").alias("other")]
-    first = rows.groupBy("key").agg(F.min(other).alias("o"))
+    first = stored(rows.groupBy("key").agg(F.min(other).alias("o"), F.count("*").alias("c")).where("c > 1").select("key", "o"), f"{name}-of-keys")
     found = stored(verified(rows.join(first, "key").where(earlier).select(*carried).distinct()).select("h").distinct(), f"{name}-first")
     left = rows.join(F.broadcast(found) if found.count() <= BROADCAST_HALVES else found, "h", "left_anti")
     more = verified(left.join(rows.select("key", other), "key").where(earlier).select(*carried).distinct()).select("h").distinct()
     return stored(found.unionByName(more), name)
 
 
-def wide_lines(lines: DataFrame, docs: DataFrame) -> DataFrame:
-    """h of the lines of ``WIDE`` words and more that are near an earlier one of ``WIDE`` words and more."""
-
-    def keys(part, lines):
-        of, _, key = lines.runs()
-        tag = mix(lines.whole()[of]) >> np.uint64(64 - TAG_BITS)
-        return (_signed(np.unique(key >> np.uint64(TAG_BITS) << np.uint64(TAG_BITS) | tag)),)
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Key and tag of each pair in one number; of a key that occurs again and again, the least and the greatest."""
+    low = np.uint64(TAG_BITS)
+    for batch in batches:
+        lists = batch.column("pairs")
+        count = lists.value_lengths().to_numpy()
+        tag = np.repeat(batch.column("h").to_numpy().view(np.uint64) >> np.uint64(64 - TAG_BITS), count)
+        pack = np.unique(lists.flatten().to_numpy().view(np.uint64) >> low << low | tag)
+        edge = np.ones(len(pack), bool)
+        if len(pack) > 2:
+            key = pack >> low
+            edge[1:-1] = (key[1:-1] != key[:-2]) | (key[1:-1] != key[2:])
+        yield pa.RecordBatch.from_arrays([pa.array(_signed(pack[edge]))], names=["pack"])
 
-    def full(part, lines):
-        of, place, key = lines.runs()
-        kept = _may_hold(bits.value, key >> np.uint64(TAG_BITS))
-        of, place, key = of[kept], place[kept], key[kept]
-        a, b = lines.parity()
-        did = part.column("did").to_numpy()[lines.text[of]]
-        return _signed(key), _signed(lines.whole()[of]), did, lines.number[of], lines.n[of], place, _signed(a[of]), _signed(b[of])
 
-    src, long, int_ = _source(docs), pa.int64(), pa.int32()
-    packed, short_key = src.mapInArrow(_per_chunk(["pack"], [long], keys), "pack long"), F.shiftrightunsigned("pack", TAG_BITS)
+def wide_lines(lines: DataFrame, docs: DataFrame) -> DataFrame:
+    """h of the lines of ``WIDE`` words and more that are near an earlier one of ``WIDE`` words and more."""
+    wide = lines.where(F.size("pairs") > 0)
+    short_key = F.shiftrightunsigned("pack", TAG_BITS)
+    packed = wide.select("h", "pairs").mapInArrow(_packed, "pack long")
     seen = packed.repartition(short_key).groupBy(short_key.alias("key")).agg(F.min("pack").alias("a"), F.max("pack").alias("b"))
-    bits = docs.sparkSession.sparkContext.broadcast(_bits_of(stored(seen.where("a <> b").select("key"), "shared-runs")))
-    names, kinds = ["key", "h", "did", "line", "n", "place", "a", "b"], [long, long, long, int_, int_, int_, long, long]
-    rows = src.mapInArrow(_per_chunk(names, kinds, full), "key long, h long, did long, line int, n int, place int, a long, b long")
-    rows = rows.groupBy("key", "h", "place").agg(F.min(F.struct("did", "line")).alias("at"), *[F.first(c).alias(c) for c in ("n", "a", "b")])
-    rows = stored(rows, "line-runs")
+    bits = docs.sparkSession.sparkContext.broadcast(_bits_of(stored(seen.where("a <> b").select("key"), "shared-pairs")))
+
+    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("pairs")
+            of = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy())
+            key = lists.flatten().to_numpy()
+            kept = _may_hold(bits.value, key.view(np.uint64) >> np.uint64(TAG_BITS))
+            rest = batch.drop_columns(["pairs"]).take(pa.array(of[kept]))
+            yield pa.RecordBatch.from_arrays([pa.array(key[kept]), *rest.columns], names=["key", *rest.schema.names])
+
+    rows = wide.select("__key", "did", "line", "h", "n", "a", "b", "pairs").mapInArrow(shared, "key long, __key long, did long, line int, h long, n int, a long, b long")
+    rows = rows.groupBy("key", "h").agg(F.min(F.struct("did", "line", "__key")).alias("f"), *[F.first(c).alias(c) for c in ("n", "a", "b")])
+    rows = stored(rows.select("key", "h", F.struct("f.did", "f.line").alias("at"), "n", "a", "b", F.col("f.__key").alias("src")), "line-pairs-of-words")
     k = F.floor(F.least("n", "o.n") / SHARE)
     differ = F.bit_count(F.col("a").bitwiseXOR(F.col("o.a"))) + F.bit_count(F.col("b").bitwiseXOR(F.col("o.b")))
-    fits = (F.abs(F.col("n") - F.col("o.n")) <= k) & (F.abs(F.col("place") - F.col("o.place")) <= k) & (differ <= 2 * k)
+    fits = (F.abs(F.col("n") - F.col("o.n")) <= k) & (differ <= 2 * k)
 
     def verified(pairs):
         pairs = stored(pairs, "line-pairs")
         wanted = stored(pairs.select("h").unionByName(pairs.select(F.col("other").alias("h"))).distinct(), "paired-lines")
-        text = _texts(_semi(lines, wanted, "h"), docs, "paired-texts").select("h", "text")
+        places = _semi(rows, wanted, "h").select("h", "at.did", "at.line", F.col("src").alias("__key"))
+        text = _texts(places, docs, "paired-texts").select("h", "text")
         both = pairs.join(text.withColumnRenamed("text", "this"), "h").join(text.select(F.col("h").alias("other"), F.col("text").alias("that")), "other")
         return both.where(_near()("this", "that"))
 
@@ -454,10 +510,10 @@ def removals(docs: DataFrame) -> DataFrame:
     """__key (``row_key`` of the document) and gone: the numbers, from 0, of its lines that go."""
     lines = line_table(docs)
     near = near_lines(_survivors(lines, docs)).unionByName(wide_lines(lines, docs)).unionByName(short_lines(lines))
-    near = near.distinct().withColumn("near", F.lit(True))
-    seen = lines.groupBy("h").agg(F.min(F.struct("did", "line")).alias("first"), F.count("*").alias("c")).join(near, "h", "left").where("c > 1 OR near")
-    later = F.struct("did", "line") > F.col("first")
-    gone = lines.join(seen, "h").where(later | F.col("near"))
+    at = F.struct("did", "line")
+    each = lines.select("h", at.alias("at"), F.lit(False).alias("near")).unionByName(near.distinct().select("h", F.lit(None).alias("at"), F.lit(True).alias("near")))
+    seen = each.groupBy("h").agg(F.min("at").alias("first"), F.count("at").alias("c"), F.max("near").alias("near")).where("c > 1 OR near").drop("c")
+    gone = lines.join(stored(seen, "repeated-lines"), "h").where((at > F.col("first")) | F.col("near"))
     return stored(gone.groupBy("__key").agg(F.sort_array(F.collect_set("line")).alias("gone")), "line-removals")
 
 
@@ -474,7 +530,8 @@ def dedup(docs: DataFrame) -> DataFrame:
             out.append(t)
         return pa.array(out, pa.string())
 
-    out = docs.drop("n_lines", "n_removed").withColumn("__key", row_key("doc_id", "text")).join(removals(docs).withColumnRenamed("gone", "__gone"), "__key", "left")
+    gone = _by_size(removals(docs).withColumnRenamed("gone", "__gone"), "__gone")
+    out = docs.drop("n_lines", "n_removed").withColumn("__key", row_key("doc_id", "text")).join(gone, "__key", "left")
     lines = F.size(F.split(F.coalesce("text", F.lit("")), "\n"))
     out = out.withColumns({"n_lines": lines.cast("long"), "n_removed": F.coalesce(F.size("__gone"), F.lit(0)).cast("long")})
     return out.withColumn("text", cut("text", "__gone")).drop("__key", "__gone")

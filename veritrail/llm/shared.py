@@ -5,7 +5,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -78,6 +78,52 @@ def chunks(lengths: np.ndarray, limit: int = CHUNK_BYTES) -> Iterator[tuple[int,
         yield start, len(lengths)
 
 
+#: Hashes whose frequency is known to the workers, at most; and their least count among so many.
+FREQUENT, LEAST_COUNT, COUNTED_AT_ONCE = 500_000, 3, 3_000_000
+
+
+def frequent(texts: DataFrame, hashes: Callable[[np.ndarray, np.ndarray], np.ndarray], name: str) -> tuple[np.ndarray, np.ndarray]:
+    """Frequent hashes of ``texts`` (sorted) and their counts: ``FREQUENT`` at most, by which others are outranked.
+
+    ``hashes`` gives those of some texts' bytes and offsets. Each task counts some millions at a time and
+    passes on those that occur ``LEAST_COUNT`` times there; Spark adds them up. A cut-off count is chosen
+    from the histogram.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+
+        def flush() -> pa.RecordBatch:
+            t, c = np.unique(np.concatenate(held), return_counts=True)
+            t, c = t[c >= LEAST_COUNT], c[c >= LEAST_COUNT]
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(t.view(np.int64)), pa.array(c)], names=["t", "c"])
+
+        for batch in batches:
+            data, offsets = column_bytes(batch.column("text"))
+            for a, b in chunks(np.diff(offsets)):
+                held.append(hashes(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]))
+                if sum(map(len, held)) > COUNTED_AT_ONCE:
+                    yield flush()
+        if held:
+            yield flush()
+
+    counted = stored(texts.select("text").mapInArrow(count, "t long, c long").groupBy("t").agg(F.sum("c").alias("c")), name)
+    level = F.floor(F.log2("c") * 8).cast("int").alias("level")
+    cut, total = None, 0
+    for r in sorted(counted.groupBy(level).count().collect(), key=lambda r: -r.level):
+        total += r["count"]
+        if total > FREQUENT:
+            break
+        cut = r.level
+    if cut is None:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    got = counted.where(F.floor(F.log2("c") * 8) >= cut).toArrow()
+    t, c = got.column("t").to_numpy().view(np.uint64), got.column("c").to_numpy()
+    order = np.argsort(t)
+    return t[order], c[order]
+
+
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _BASE = 0x9E3779B97F4A7C15 | 1
 
