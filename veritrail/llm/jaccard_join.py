@@ -8,13 +8,15 @@ similarity is at least ``THRESHOLD`` percent. The operator returns the component
    order only decides speed). Sets that link share one of their first n - ceil(0.8 n) + 1 shingles.
 3. Groups: members with a common min-hash are compared with ``PIVOTS`` of them; those that link are a
    group, so a large family of near copies is put together by a few comparisons for each member.
-   Sets that link with none of those lie in loose groups of a common min-hash. Groups are kept in parts
-   of about ``GROUP`` members.
+   Sets that link with none of those lie in loose groups of a common min-hash and like sizes. Groups are
+   kept in parts of about ``GROUP`` members.
 4. Token-group matrix: for each of the first shingles, the groups that hold it. Shingles that only one
-   group holds are dropped. A set is a candidate for the other groups that hold one of its first
-   shingles and have members of a fitting size.
-5. A candidate meets a group's union of shingles first: unless the overlap reaches the threshold's share
-   of its own set, no member can link, and the group is not opened. Else it is compared with each member.
+   group holds are left out by a Bloom filter. A set is a candidate for the other groups that hold one of
+   its first shingles and have members of a fitting size.
+5. Each group's union of shingles is stored as a bitmap: bit (hash modulo width) of four bits a shingle
+   or more. A candidate meets the union first: the bits in common, and the shingles that share a bit, bound
+   the overlap with any member from above. If that is less than the threshold asks for, no member can
+   link, and the group is not opened. Only for qualifying groups are texts fetched and sets compared.
 
 All links between different groups and within loose groups are tested, and other groups hang together by
 links, so the components are those of all links. No list of all pairs of a group is made.
@@ -34,7 +36,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import SPACES, Words, chunks, column_bytes, frequent, mix, row_key, stored
+from .shared import SPACES, Words, chunks, column_bytes, explode_held, frequent, mix, row_key, stored, values_of_many
 
 SHINGLE = 5
 THRESHOLD = 80
@@ -44,6 +46,8 @@ QUERIES = 256
 HASHES = 3
 #: Members of each min-hash with which its others are compared.
 PIVOTS = 4
+#: Documents to be fetched are broadcast by key up to so many (a fourth as many jobs), else joined by shuffle.
+BROADCAST_KEYS = 1_000_000
 _LAST = 2**63 - 1
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
@@ -81,11 +85,21 @@ def _texts(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.nda
         yield a, b, text, h
 
 
-_MEMBER = "__key long, doc_id long, n long, sig long, mins array<long>, prefix array<long>"
+_MEMBER = "__key long, doc_id long, n long, sig long, mins array<long>, prefix array<long>, bits array<long>"
+
+
+def bitmaps(text: np.ndarray, h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each text's bitmap ends, and all of them: 64-bit words, a power of two, four bits a shingle at least."""
+    size = np.where(n > 0, 1 << np.ceil(np.log2(np.maximum(4 * n, 64) / 64)).astype(np.int64), 0)
+    ends = np.cumsum(size)
+    out = np.zeros(int(ends[-1]) if len(ends) else 0, np.uint64)
+    bit = h & (size[text] * 64 - 1).astype(np.uint64)
+    np.bitwise_or.at(out, (ends - size)[text] + (bit >> np.uint64(6)).astype(np.int64), np.uint64(1) << (bit & np.uint64(63)))
+    return ends, out
 
 
 def members(docs: DataFrame) -> DataFrame:
-    """__key, doc_id, size of the set, its signature, min-hashes and first shingles: one row for each document, stored."""
+    """__key, doc_id, size of the set, its signature, min-hashes, first shingles and bitmap: one row for each document, stored."""
     texts = docs.select(row_key("doc_id", "text").alias("__key"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     known = docs.sparkSession.sparkContext.broadcast(frequent(texts, lambda data, offsets: shingle_sets(data, offsets)[1], "frequent-shingles"))
 
@@ -112,8 +126,8 @@ def members(docs: DataFrame) -> DataFrame:
                 lists = lambda ends, v: pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)), pa.int32()), pa.array(v.view(np.int64)))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("__key").slice(a, b - a), batch.column("doc_id").slice(a, b - a), pa.array(n), pa.array(sig.view(np.int64)),
-                     lists(np.arange(1, b - a + 1) * HASHES, mins.T.ravel()), lists(np.cumsum(length), kept)],
-                    names=["__key", "doc_id", "n", "sig", "mins", "prefix"],
+                     lists(np.arange(1, b - a + 1) * HASHES, mins.T.ravel()), lists(np.cumsum(length), kept), lists(*bitmaps(text, h, n))],
+                    names=["__key", "doc_id", "n", "sig", "mins", "prefix", "bits"],
                 )
 
     return stored(texts.mapInArrow(task, _MEMBER), "shingle-members")
@@ -153,59 +167,104 @@ def _open(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.int64()), pa.array([y for _, y in links], pa.int64())], names=["a", "b"])
 
 
-def links(candidates: DataFrame, groups: DataFrame, where: DataFrame, docs: DataFrame) -> DataFrame:
+def _folded(bits: Column, words: Column) -> Column:
+    """A bitmap of ``words`` or twice as many, as one of ``words``."""
+    half = F.zip_with(F.slice(bits, F.lit(1), words), F.slice(bits, words + 1, words), lambda x, y: x.bitwiseOR(y))
+    return F.when(F.size(bits) > words, half).otherwise(bits)
+
+
+def unions(groups: DataFrame, sets: DataFrame) -> DataFrame:
+    """g, union, least, spare: each group's union of shingles as a bitmap, its smallest set, and the most
+    shingles of a set that share a bit. ``groups``: g, sig (about ``GROUP`` of them, of one bitmap width)."""
+    own = F.aggregate("bits", F.lit(0), lambda n, x: n + F.bit_count(x))
+    rows = groups.join(sets.select("sig", "n", "bits", (F.col("n") - own).alias("spare")), "sig")
+    merged = F.aggregate(F.slice("all", 2, F.size("all")), F.get("all", F.lit(0)), lambda u, x: F.zip_with(u, x, lambda a, b: a.bitwiseOR(b)))
+    every = rows.groupBy("g").agg(F.collect_list("bits").alias("all"), F.min("n").alias("least"), F.max("spare").alias("spare"))
+    return stored(every.select("g", merged.alias("union"), "least", "spare"), "group-unions")
+
+
+def qualifying(candidates: DataFrame, sets: DataFrame, unions: DataFrame) -> DataFrame:
+    """sig, g of the candidates whose overlap with the group's union may reach the threshold, stored."""
+    rows = candidates.join(sets.select("sig", "n", "bits"), "sig").join(unions, "g")
+    words = F.least(F.size("bits"), F.size("union"))
+    rows = rows.select("sig", "g", "n", "least", "spare", (F.size("union") > words).alias("halved"), _folded(F.col("bits"), words).alias("q"), _folded(F.col("union"), words).alias("u"))
+    both = F.aggregate(F.zip_with("q", "u", lambda a, b: F.bit_count(a.bitwiseAND(b))), F.lit(0), lambda n, x: n + x)
+    spare = F.col("n") - F.aggregate("q", F.lit(0), lambda n, x: n + F.bit_count(x))
+    # the group's own spare is of its full width and bounds nothing where the union is folded
+    rows = rows.select("sig", "g", "n", "least", (both + F.when(F.col("halved"), spare).otherwise(F.least(spare, "spare"))).alias("most"))
+    return rows.where((100 + THRESHOLD) * F.col("most") >= THRESHOLD * (F.col("n") + F.col("least"))).select("sig", "g")
+
+
+def links(candidates: DataFrame, groups: DataFrame, sets: DataFrame, docs: DataFrame, once: bool) -> DataFrame:
     """a, b: signatures of sets that link, stored.
 
-    ``candidates``: sig, g; ``groups``: g, sig (its members); ``where``: sig, __key of one document with
-    the set. Texts are fetched by document, and each group's queries dealt to parts of about ``QUERIES``.
+    ``candidates``: sig, g; ``groups``: g, sig (its members); ``sets``: sig, __key of one document with
+    the set. Candidates meet the groups' unions first. Texts are then fetched by document, each of them
+    ``once``, and each group's queries dealt to parts of about ``QUERIES``.
     """
-    parts = candidates.groupBy("g").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("parts"))
-    asked = candidates.join(parts, "g").select("sig", F.struct("g", F.pmod(F.xxhash64("sig"), F.col("parts")).cast("int").alias("part"), F.lit(True).alias("query")).alias("job"))
-    held = groups.join(parts, "g").select("sig", "g", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).select("sig", F.struct("g", "part", F.lit(False).alias("query")).alias("job"))
-    jobs = stored(asked.unionByName(held).groupBy("sig").agg(F.collect_list("job").alias("jobs")).join(where, "sig"), "join-jobs")
+    few = groups.join(candidates.select("g").distinct(), "g")
+    asked = stored(qualifying(candidates, sets, unions(few, sets)), "group-candidates")
+    parts = asked.groupBy("g").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("parts"))
+    job = lambda g, part, query: [g, part.alias("part"), F.lit(query).alias("query")]
+    queries = asked.join(parts, "g").select("sig", *job("g", F.pmod(F.xxhash64("sig"), F.col("parts")).cast("int"), True))
+    held = groups.join(parts, "g").select("sig", *job("g", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)), False))
+    jobs = stored(queries.unionByName(held).join(sets.select("sig", "__key"), "sig"), "join-jobs")
+    wanted = stored(jobs.select("__key").distinct(), "join-documents")
     texts = docs.select(row_key("doc_id", "text").alias("__key"), "text")
-    rows = texts.join(jobs, "__key").select("sig", "text", F.explode("jobs").alias("job")).select("job.*", "sig", "text")
+    texts = texts.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_KEYS else wanted.hint("merge"), "__key", "left_semi")
+    if not once:
+        texts = texts.dropDuplicates(["__key"])
+    rows = texts.join(F.broadcast(jobs) if jobs.count() <= BROADCAST_KEYS // 4 else jobs.hint("merge"), "__key").select("g", "part", "query", "sig", "text")
     dealt = rows.repartition("g", "part").sortWithinPartitions("g", "part", "query", "sig")
     return stored(dealt.mapInArrow(_open, "a long, b long"), "set-links")
 
 
-def linked_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The members, and node (signature), label for every set that links with another."""
+def linked_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The members; node (signature), label of its group for sets that link with a pivot; and node (such a
+    label, or a signature without one), label for those that link with others across groups."""
     every = members(docs)
-    some = every.where("n > 0")
-    where = stored(some.groupBy("sig").agg(F.min("__key").alias("__key"), F.first(F.get("mins", F.lit(0))).alias("m0")), "distinct-sets")
+    once = every.groupBy("__key").count().where("count > 1").isEmpty()
+    of_set = [F.min("__key").alias("__key"), *[F.first(c).alias(c) for c in ("n", "mins", "prefix", "bits")]]
+    sets = stored(every.where("n > 0").groupBy("sig").agg(*of_set), "distinct-sets")
     # groups: compare with a few of those that share a min-hash, the same few for all of them
-    by_min = some.select("sig", F.explode("mins").alias("m")).distinct()
-    few_of = F.array_distinct(F.array(*[F.min_by("sig", F.xxhash64("sig", F.lit(k))) for k in range(PIVOTS)]))
-    pivots = stored(by_min.groupBy("m").agg(few_of.alias("g"), F.count("*").alias("c")).where("c > 1").select("m", F.explode("g").alias("g")), "pivots")
-    star = by_min.join(pivots, "m").where("sig <> g").select(F.greatest("sig", "g").alias("sig"), F.least("sig", "g").alias("g")).distinct()
+    by_min = sets.select("sig", "n", F.explode("mins").alias("m"))
+    few_of = F.array_distinct(F.array(*[F.min_by(F.struct(F.col("sig").alias("g"), F.col("n").alias("g_n")), F.xxhash64("sig", F.lit(k))) for k in range(PIVOTS)]))
+    pivots = stored(by_min.groupBy("m").agg(few_of.alias("g"), F.count("*").alias("c")).where("c > 1").select("m", F.inline("g")), "pivots")
+    like = 100 * F.least("n", "g_n") >= THRESHOLD * F.greatest("n", "g_n")
+    star = by_min.join(pivots, "m").where((F.col("sig") != F.col("g")) & like).select(F.greatest("sig", "g").alias("sig"), F.least("sig", "g").alias("g")).distinct()
     star = stored(star, "star-candidates")
-    near = links(star, star.select("g").distinct().select("g", F.col("g").alias("sig")), where.select("sig", "__key"), docs)
-    labels = components(near).select(F.col("node").alias("sig"), F.col("label").alias("cluster"))
+    near = links(star, star.select("g").distinct().select("g", F.col("g").alias("sig")), sets, docs, once)
+    # one edge a member, to the least pivot that it links with, and edges among those pivots
+    least = near.groupBy("a").agg(F.min("b").alias("m"), F.collect_set("b").alias("all"))  # HASHES * PIVOTS at most
+    chains = least.select("m", F.explode("all").alias("b")).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+    labels = components(least.select("a", F.col("m").alias("b")).unionByName(chains))
     # a group is what hangs together so far; sets that hang with nothing yet lie in loose groups of a common min-hash
-    homes = where.join(labels, "sig", "left").select(
-        "sig", "__key", F.coalesce("cluster", "sig").alias("cluster"), F.coalesce("cluster", "m0").alias("home"), F.col("cluster").isNull().alias("loose")
+    small = sets.select("sig", F.size("bits").alias("width"), F.get("mins", F.lit(0)).alias("m0"))
+    small = small.join(labels.select(F.col("node").alias("sig"), F.col("label").alias("cluster")), "sig", "left").select(
+        "sig", "width", F.coalesce("cluster", "sig").alias("cluster"), F.coalesce("cluster", "m0").alias("home"), F.col("cluster").isNull().alias("loose")
     )
-    size = homes.groupBy("home", "loose").agg(F.count("*").alias("size"))
-    part = F.pmod(F.xxhash64("sig"), F.ceil(F.col("size") / GROUP)).alias("part")
-    homes = stored(homes.join(size, ["home", "loose"]).select("*", part), "set-groups")
+    small = stored(small, "set-homes")
+    size = small.groupBy("home", "loose").agg(F.count("*").alias("size"))
+    part = F.pmod(F.xxhash64("sig"), F.ceil(F.col("size") / GROUP))
+    group = F.xxhash64("home", "loose", "width", part).alias("g")
+    homes = stored(small.join(size, ["home", "loose"]).select("sig", "cluster", "home", "loose", "size", group), "set-groups")
     # token-group matrix of the first shingles, without those that one group alone holds
-    clusters = homes.select("sig", "cluster")
-    rows = some.select("sig", "prefix").join(clusters, "sig").select("cluster", F.explode("prefix").alias("t"))
-    shared = stored(rows.groupBy("t").agg(F.min("cluster").alias("a"), F.max("cluster").alias("b")).where("a <> b").select("t"), "shared-shingles")
-    of_set = some.select("sig", F.explode("prefix").alias("t")).join(shared, "t").distinct()  # few columns, as most rows are dropped here
-    sizes = some.groupBy("sig").agg(F.first("n").alias("n"))
-    held = stored(of_set.join(homes.drop("cluster", "__key").join(sizes, "sig"), "sig"), "matrix-rows")
-    matrix = held.groupBy("t", *[F.col(c).alias(f"g_{c}") for c in ("home", "loose", "size", "part")]).agg(F.min("n").alias("least"), F.max("n").alias("most"))
+    rows = stored(sets.select("sig", "n", "prefix").join(homes, "sig"), "set-prefixes")
+    bits = values_of_many(rows.select("prefix", "cluster"), "prefix", "cluster", "shared-shingles")
+    held = stored(explode_held(rows.select("sig", "n", "home", "loose", "size", "g", "prefix"), "prefix", bits, "t"), "matrix-rows")
+    matrix = held.groupBy("t", *[F.col(c).alias(f"g_{c}") for c in ("home", "loose", "size", "g")]).agg(F.min("n").alias("least"), F.max("n").alias("most"))
+    matrix = stored(matrix, "token-groups")
     fits = (100 * F.col("most") >= THRESHOLD * F.col("n")) & (THRESHOLD * F.col("least") <= 100 * F.col("n"))
-    # each pair of groups once, the smaller one asking; a loose group asks itself too
+    # each pair of groups once, the smaller one asking; a loose home asks itself too
     order = F.struct("size", "home", "loose") < F.struct("g_size", "g_home", "g_loose")
     own = F.col("loose") & F.col("g_loose") & (F.col("home") == F.col("g_home"))
-    g = lambda c: F.xxhash64(F.col(c + "home"), F.col(c + "loose"), F.col(c + "part"))
-    asked = stored(held.join(matrix, "t").where((order | own) & fits).select("sig", g("g_").alias("g")).distinct(), "matrix-candidates")
-    inside = homes.select("sig", g("").alias("g")).join(asked.select("g").distinct(), "g").select("g", "sig")
-    across = links(asked, inside, where.select("sig", "__key"), docs)
-    return every, components(near.unionByName(across))
+    asked = stored(held.join(matrix, "t").where((order | own) & fits).select("sig", F.col("g_g").alias("g")).distinct(), "matrix-candidates")
+    across = links(asked, homes.select("g", "sig"), sets, docs, once)
+    # links between what hangs together already
+    name = lambda side: F.coalesce(F.col(f"{side}_label"), F.col(side)).alias(side)
+    for side in ("a", "b"):
+        across = across.join(labels.select(F.col("node").alias(side), F.col("label").alias(f"{side}_label")), side, "left")
+    return every, labels, components(across.select(name("a"), name("b")))
 
 
 def _first(doc_id: Column) -> Column:
@@ -214,8 +273,10 @@ def _first(doc_id: Column) -> Column:
 
 def join(docs: DataFrame) -> DataFrame:
     """__key, doc_id, n_shingles, component_id: one row for each document."""
-    every, labels = linked_sets(docs)
-    sets = every.join(labels.withColumnRenamed("node", "sig"), "sig", "left").withColumn("c", F.when(F.col("n") > 0, F.coalesce("label", "sig")))
+    every, labels, more = linked_sets(docs)
+    sets = every.select("__key", "doc_id", "n", "sig").join(labels.select(F.col("node").alias("sig"), F.col("label").alias("group")), "sig", "left")
+    sets = sets.withColumn("group", F.coalesce("group", "sig")).join(more.withColumnRenamed("node", "group"), "group", "left")
+    sets = sets.withColumn("c", F.when(F.col("n") > 0, F.coalesce("label", "group")))
     # the least id of each component; sets of one document alone are settled without a join
     least = sets.where("n > 0").groupBy("c").agg(F.min("doc_id").alias("component"), F.count("*").alias("k")).where("k > 1").select("c", "component")
     least = stored(least, "component-ids")

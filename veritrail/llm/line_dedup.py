@@ -46,15 +46,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import SPACES, Words, chunks, column_bytes, frequent, mix, powers, row_key, stored
+from .shared import SPACES, Words, chunks, column_bytes, explode_held, frequent, mix, powers, row_key, stored, values_of_many
 
 MIN_WORDS = 8
 #: Lines of so many words and more may have two edits; a tenth of the words (of a short line's characters).
 WIDE, SHARE = 20, 10
 #: Bytes of a key of single words.
 RUN_BYTES = 4
-#: Of a packed key, the bits that tell lines apart (two lines of a key have the same once in 2**28); the others are the key's first.
-TAG_BITS, BLOOM_BITS = 28, 1 << 29
 #: Tables of at most so many rows (of 8 bytes), or so many line numbers, are broadcast; larger ones are shuffled.
 BROADCAST_HALVES, BROADCAST_LINES = 1_000_000, 3_000_000
 _LAST = 2**63 - 1
@@ -389,32 +387,6 @@ def _semi(df: DataFrame, keys: DataFrame, on: str) -> DataFrame:
     return df.join(F.broadcast(keys) if keys.count() <= BROADCAST_HALVES else keys, on, "left_semi")
 
 
-def _positions(key: np.ndarray, n_bits: int) -> list[np.ndarray]:
-    return [mix(key + np.uint64(i)) & np.uint64(n_bits - 1) for i in (1, 2)]
-
-
-def _bits_of(keys: DataFrame) -> np.ndarray:
-    """Bloom filter of stored keys: 16 bits a key with two set, ``BLOOM_BITS`` (64 MiB) at most. Beyond that it lets more keys through, and loses none."""
-    n_bits = min(BLOOM_BITS, 1 << max(10, (16 * keys.count()).bit_length()))
-
-    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = np.concatenate(_positions(batch.column("key").to_numpy().view(np.uint64), n_bits))
-            yield pa.RecordBatch.from_arrays([pa.array((at >> np.uint64(6)).astype(np.int32)), pa.array(_signed(np.uint64(1) << (at & np.uint64(63))))], names=["word", "bit"])
-
-    words = keys.mapInArrow(places, "word int, bit long").groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
-    out = np.zeros(n_bits >> 6, np.int64)
-    out[words.column("word").to_numpy()] = words.column("bits").to_numpy()
-    return out.view(np.uint64)
-
-
-def _may_hold(bits: np.ndarray, key: np.ndarray) -> np.ndarray:
-    held = np.ones(len(key), bool)
-    for at in _positions(key, len(bits) << 6):
-        held &= (bits[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) == 1
-    return held
-
-
 def _shared(keys: DataFrame, name: str) -> DataFrame:
     """Keys that more than one line has, stored. ``keys``: key, h."""
     return stored(keys.groupBy("key").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a <> b").select("key"), name)
@@ -436,39 +408,11 @@ def _later(rows: DataFrame, fits, verified, name: str) -> DataFrame:
     return stored(found.unionByName(more), name)
 
 
-def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Key and tag of each pair in one number; of a key that occurs again and again, the least and the greatest."""
-    low = np.uint64(TAG_BITS)
-    for batch in batches:
-        lists = batch.column("pairs")
-        count = lists.value_lengths().to_numpy()
-        tag = np.repeat(batch.column("h").to_numpy().view(np.uint64) >> np.uint64(64 - TAG_BITS), count)
-        pack = np.unique(lists.flatten().to_numpy().view(np.uint64) >> low << low | tag)
-        edge = np.ones(len(pack), bool)
-        if len(pack) > 2:
-            key = pack >> low
-            edge[1:-1] = (key[1:-1] != key[:-2]) | (key[1:-1] != key[2:])
-        yield pa.RecordBatch.from_arrays([pa.array(_signed(pack[edge]))], names=["pack"])
-
-
 def wide_lines(lines: DataFrame, docs: DataFrame) -> DataFrame:
     """h of the lines of ``WIDE`` words and more that are near an earlier one of ``WIDE`` words and more."""
     wide = lines.where(F.size("pairs") > 0)
-    short_key = F.shiftrightunsigned("pack", TAG_BITS)
-    packed = wide.select("h", "pairs").mapInArrow(_packed, "pack long")
-    seen = packed.repartition(short_key).groupBy(short_key.alias("key")).agg(F.min("pack").alias("a"), F.max("pack").alias("b"))
-    bits = docs.sparkSession.sparkContext.broadcast(_bits_of(stored(seen.where("a <> b").select("key"), "shared-pairs")))
-
-    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = batch.column("pairs")
-            of = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy())
-            key = lists.flatten().to_numpy()
-            kept = _may_hold(bits.value, key.view(np.uint64) >> np.uint64(TAG_BITS))
-            rest = batch.drop_columns(["pairs"]).take(pa.array(of[kept]))
-            yield pa.RecordBatch.from_arrays([pa.array(key[kept]), *rest.columns], names=["key", *rest.schema.names])
-
-    rows = wide.select("__key", "did", "line", "h", "n", "a", "b", "pairs").mapInArrow(shared, "key long, __key long, did long, line int, h long, n int, a long, b long")
+    bits = values_of_many(wide.select("h", "pairs"), "pairs", "h", "shared-pairs")
+    rows = explode_held(wide.select("__key", "did", "line", "h", "n", "a", "b", "pairs"), "pairs", bits, "key")
     rows = rows.groupBy("key", "h").agg(F.min(F.struct("did", "line", "__key")).alias("f"), *[F.first(c).alias(c) for c in ("n", "a", "b")])
     rows = stored(rows.select("key", "h", F.struct("f.did", "f.line").alias("at"), "n", "a", "b", F.col("f.__key").alias("src")), "line-pairs-of-words")
     k = F.floor(F.least("n", "o.n") / SHARE)

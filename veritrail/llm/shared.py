@@ -10,8 +10,10 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Text bytes that one numpy pass works on, which bounds a Python worker's memory.
 CHUNK_BYTES = 1 << 19
@@ -202,3 +204,68 @@ def breaks(pattern_bytes) -> np.ndarray:
 SPACES = breaks([0x20, *range(0x09, 0x0E)])
 #: ASCII but digits and letters, as in ``[^\x00-\x2F\x3A-\x60\x7B-\x7F]+`` on lower-cased text.
 MARKS = breaks([*range(0x00, 0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)])
+
+
+#: Of a packed value, the bits that tell tags apart (two have the same once in 2**28); the others are the value's first.
+TAG_BITS, BLOOM_BITS = 28, 1 << 29
+
+
+def _positions(key: np.ndarray, n_bits: int) -> list[np.ndarray]:
+    return [mix(key + np.uint64(i)) & np.uint64(n_bits - 1) for i in (1, 2)]
+
+
+def values_of_many(rows: DataFrame, lists: str, tag: str, name: str) -> Broadcast:
+    """Bloom filter of the values in ``lists`` (array<long>) that rows of more than one ``tag`` (long) hold.
+
+    Value and tag are packed in one number, 36 bits and ``TAG_BITS``, of which a task passes on the least
+    and the greatest for each value of some rows, so a value that very many rows hold is no hot spot. The
+    filter has 16 bits a value with two set, ``BLOOM_BITS`` (64 MiB) at most: it may let other values
+    through, and loses none but those whose tags agree in all ``TAG_BITS``.
+    """
+    low = np.uint64(TAG_BITS)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values = batch.column(lists)
+            own = np.repeat(batch.column(tag).to_numpy().view(np.uint64) >> np.uint64(64 - TAG_BITS), values.value_lengths().to_numpy())
+            packed = np.unique(values.flatten().to_numpy().view(np.uint64) >> low << low | own)
+            edge = np.ones(len(packed), bool)
+            if len(packed) > 2:
+                key = packed >> low
+                edge[1:-1] = (key[1:-1] != key[:-2]) | (key[1:-1] != key[2:])
+            yield pa.RecordBatch.from_arrays([pa.array(packed[edge].view(np.int64))], names=["pack"])
+
+    key = F.shiftrightunsigned("pack", TAG_BITS)
+    packed = rows.select(lists, tag).mapInArrow(pack, "pack long").repartition(key)
+    keys = stored(packed.groupBy(key.alias("key")).agg(F.min("pack").alias("a"), F.max("pack").alias("b")).where("a <> b").select("key"), name)
+    n_bits = min(BLOOM_BITS, 1 << max(10, (16 * keys.count()).bit_length()))
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = np.concatenate(_positions(batch.column("key").to_numpy().view(np.uint64), n_bits))
+            bit = np.uint64(1) << (at & np.uint64(63))
+            yield pa.RecordBatch.from_arrays([pa.array((at >> np.uint64(6)).astype(np.int32)), pa.array(bit.view(np.int64))], names=["word", "bit"])
+
+    words = keys.mapInArrow(places, "word int, bit long").groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    out = np.zeros(n_bits >> 6, np.int64)
+    out[words.column("word").to_numpy()] = words.column("bits").to_numpy()
+    return rows.sparkSession.sparkContext.broadcast(out.view(np.uint64))
+
+
+def explode_held(rows: DataFrame, lists: str, bits: Broadcast, name: str) -> DataFrame:
+    """One row for each value of ``lists`` that the filter lets through: the value as ``name``, and the other columns."""
+
+    def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values = batch.column(lists)
+            of = np.repeat(np.arange(batch.num_rows), values.value_lengths().to_numpy())
+            value = values.flatten().to_numpy()
+            key = value.view(np.uint64) >> np.uint64(TAG_BITS)
+            kept = np.ones(len(key), bool)
+            for at in _positions(key, len(bits.value) << 6):
+                kept &= (bits.value[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) == 1
+            rest = batch.drop_columns([lists]).take(pa.array(of[kept]))
+            yield pa.RecordBatch.from_arrays([pa.array(value[kept]), *rest.columns], names=[name, *rest.schema.names])
+
+    other = rows.drop(lists)
+    return rows.mapInArrow(held, T.StructType([T.StructField(name, T.LongType()), *other.schema.fields]))
