@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import SPACES, Words, chunks, column_bytes, explode_held, frequent, mix, row_key, stored, values_of_many
+from .shared import SPACES, Words, chunks, column_bytes, only_held, frequent, mix, row_key, stored, values_of_many
 
 SHINGLE = 5
 THRESHOLD = 80
@@ -251,7 +251,8 @@ def linked_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     # token-group matrix of the first shingles, without those that one group alone holds
     rows = stored(sets.select("sig", "n", "prefix").join(homes, "sig"), "set-prefixes")
     bits = values_of_many(rows.select("prefix", "cluster"), "prefix", "cluster", "shared-shingles")
-    held = stored(explode_held(rows.select("sig", "n", "home", "loose", "size", "g", "prefix"), "prefix", bits, "t"), "matrix-rows")
+    held = only_held(rows.select("sig", "n", "home", "loose", "size", "g", "prefix"), "prefix", bits)
+    held = stored(held.select("sig", "n", "home", "loose", "size", "g", F.explode("prefix").alias("t")), "matrix-rows")
     matrix = held.groupBy("t", *[F.col(c).alias(f"g_{c}") for c in ("home", "loose", "size", "g")]).agg(F.min("n").alias("least"), F.max("n").alias("most"))
     matrix = stored(matrix, "token-groups")
     fits = (100 * F.col("most") >= THRESHOLD * F.col("n")) & (THRESHOLD * F.col("least") <= 100 * F.col("n"))

@@ -39,6 +39,7 @@ other; columns other than text and n_chars pass through.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -46,7 +47,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import SPACES, Words, chunks, column_bytes, explode_held, frequent, mix, powers, row_key, stored, values_of_many
+from .shared import SPACES, Words, chunks, column_bytes, frequent, mix, only_held, powers, row_key, stored, values_of_many
 
 MIN_WORDS = 8
 #: Lines of so many words and more may have two edits; a tenth of the words (of a short line's characters).
@@ -164,7 +165,12 @@ class Lines:
         begin = np.flatnonzero((of[1:] == of[:-1]) & (self.n[of[1:]] >= WIDE))
         line, h = of[begin], self.words.hash
         key = mix(h[begin] * self.pow[1] + h[begin + 1] * self.pow[2] + np.uint64(1))
-        order = np.lexsort((key, level[begin] + level[begin + 1], line))
+        rank = (level[begin] + level[begin + 1]).astype(np.uint64)  # 9 bits: counts are below 2**40
+        number = np.cumsum(np.concatenate(([0], line[1:] != line[:-1]))).astype(np.uint64) if len(line) else rank
+        packed = number << np.uint64(44) | rank << np.uint64(35) | key >> np.uint64(29)
+        order = np.argsort(packed)
+        if len(line) and (number[-1] >> np.uint64(20) or ((np.diff(packed[order]) == 0) & (np.diff(key[order]) != 0)).any()):
+            order = np.lexsort((key, rank, line))
         line, key = line[order], key[order]
         same = np.zeros(len(key), bool)
         same[1:] = (key[1:] == key[:-1]) & (line[1:] == line[:-1])
@@ -285,6 +291,12 @@ def line_table(docs: DataFrame) -> DataFrame:
     return stored(source.mapInArrow(_per_chunk(names, kinds, rows), ddl), "lines")
 
 
+def distinct_lines(lines: DataFrame) -> DataFrame:
+    """h, did, line, __key of the earliest of equal lines, and how many there are: c. Stored."""
+    seen = lines.groupBy("h").agg(F.min(F.struct("did", "line", "__key")).alias("f"), F.count("*").alias("c"))
+    return stored(seen.select("h", "f.*", "c"), "distinct-lines")
+
+
 def _survivors(lines: DataFrame, docs: DataFrame) -> DataFrame:
     """h, did, line, text of the earliest of each line that shares a half with another line, stored."""
     halves = lines.where(F.size("halves") > 0).select("h", F.explode("halves").alias("half"))
@@ -368,18 +380,29 @@ def near_lines(candidates: DataFrame) -> DataFrame:
 
 
 _TO_SPACE = {c: " " for c in range(0x09, 0x0E)}
+#: Pairs of lines that one task compares.
+PAIRS = 4000
 
 
 def _near():
+    """Whether two lines are near: first by the words they have in common in any order, then by edit distance."""
+
+    def read(texts: list[str]) -> dict[str, tuple[list[str], Counter]]:
+        split = ((t, [w for w in t.translate(_TO_SPACE).split(" ") if w]) for t in set(texts))
+        return {t: (w, Counter(w)) for t, w in split}
+
     @F.arrow_udf("boolean")
     def near(a: pa.Array, b: pa.Array) -> pa.Array:
+        x, y = a.to_pylist(), b.to_pylist()
+        words = read(x + y)
         out = []
-        for x, y in zip(a.to_pylist(), b.to_pylist()):
-            x, y = ([w for w in t.translate(_TO_SPACE).split(" ") if w] for t in (x, y))
-            out.append(_within(x, y, max(1, min(len(x), len(y)) // SHARE)))
+        for t, u in zip(x, y):
+            (v, of_v), (w, of_w) = words[t], words[u]
+            k = max(1, min(len(v), len(w)) // SHARE)
+            out.append((of_v & of_w).total() >= max(len(v), len(w)) - k and _within(v, w, k))
         return pa.array(out, pa.bool_())
 
-    return near
+    return near.asNondeterministic()  # else the filter moves below the repartition, into a few tasks
 
 
 def _semi(df: DataFrame, keys: DataFrame, on: str) -> DataFrame:
@@ -395,37 +418,52 @@ def _shared(keys: DataFrame, name: str) -> DataFrame:
 def _later(rows: DataFrame, fits, verified, name: str) -> DataFrame:
     """h of the rows (key, at, h and others) with an earlier row of the same key that fits and is verified, stored.
 
-    Each row meets the earliest of its key first; lines not found near then meet all earlier ones.
+    Lines meet the earliest line with the same least key first, as near lines have most keys in common;
+    those not found near then meet the earliest of each key, and what is still left all earlier ones. So
+    the many lines of a large group do a few comparisons each.
     """
     rest = [c for c in rows.columns if c not in ("key", "at", "h")]
     other = F.struct("at", "h", *rest).alias("o")
     earlier = (F.col("o.at") < F.col("at")) & (F.col("o.h") != F.col("h")) & fits
-    carried = ["h", F.col("o.h").alias("other")]
-    first = stored(rows.groupBy("key").agg(F.min(other).alias("o"), F.count("*").alias("c")).where("c > 1").select("key", "o"), f"{name}-of-keys")
-    found = stored(verified(rows.join(first, "key").where(earlier).select(*carried).distinct()).select("h").distinct(), f"{name}-first")
-    left = rows.join(F.broadcast(found) if found.count() <= BROADCAST_HALVES else found, "h", "left_anti")
-    more = verified(left.join(rows.select("key", other), "key").where(earlier).select(*carried).distinct()).select("h").distinct()
-    return stored(found.unionByName(more), name)
+
+    def met(left: DataFrame, others: DataFrame) -> DataFrame:
+        return verified(left.join(others, "key").where(earlier).select("h", F.col("o.h").alias("other")).distinct()).select("h").distinct()
+
+    def earliest(of: DataFrame, step: str) -> DataFrame:
+        return stored(of.groupBy("key").agg(F.min(other).alias("o"), F.count("*").alias("c")).where("c > 1").select("key", "o"), f"{name}-{step}")
+
+    def without(of: DataFrame, found: DataFrame) -> DataFrame:
+        return of.join(F.broadcast(found) if found.count() <= BROADCAST_HALVES else found, "h", "left_anti")
+
+    least = rows.groupBy("h").agg(F.min(F.struct("key", "at", *rest)).alias("x")).select("h", "x.*")
+    least = stored(least, f"{name}-least")
+    found = stored(met(least, earliest(least, "of-least")), f"{name}-found")
+    left = stored(without(rows, found), f"{name}-left")
+    more = stored(met(left, earliest(rows, "of-keys")), f"{name}-more")
+    last = met(without(left, more), rows.select("key", other))
+    return stored(found.unionByName(more).unionByName(last), name)
 
 
-def wide_lines(lines: DataFrame, docs: DataFrame) -> DataFrame:
+def wide_lines(lines: DataFrame, distinct: DataFrame, docs: DataFrame) -> DataFrame:
     """h of the lines of ``WIDE`` words and more that are near an earlier one of ``WIDE`` words and more."""
     wide = lines.where(F.size("pairs") > 0)
     bits = values_of_many(wide.select("h", "pairs"), "pairs", "h", "shared-pairs")
-    rows = explode_held(wide.select("__key", "did", "line", "h", "n", "a", "b", "pairs"), "pairs", bits, "key")
-    rows = rows.groupBy("key", "h").agg(F.min(F.struct("did", "line", "__key")).alias("f"), *[F.first(c).alias(c) for c in ("n", "a", "b")])
-    rows = stored(rows.select("key", "h", F.struct("f.did", "f.line").alias("at"), "n", "a", "b", F.col("f.__key").alias("src")), "line-pairs-of-words")
+    some = only_held(wide.select("__key", "did", "line", "h", "n", "a", "b", "pairs"), "pairs", bits).where(F.size("pairs") > 0)
+    first = some.join(distinct.select("__key", "did", "line", "h"), ["h", "did", "line", "__key"])  # of equal lines the earliest
+    at = F.struct("did", "line").alias("at")
+    rows = stored(first.select(F.explode("pairs").alias("key"), "h", at, "n", "a", "b", F.col("__key").alias("src")), "line-pairs-of-words")
     k = F.floor(F.least("n", "o.n") / SHARE)
     differ = F.bit_count(F.col("a").bitwiseXOR(F.col("o.a"))) + F.bit_count(F.col("b").bitwiseXOR(F.col("o.b")))
     fits = (F.abs(F.col("n") - F.col("o.n")) <= k) & (differ <= 2 * k)
 
     def verified(pairs):
         pairs = stored(pairs, "line-pairs")
+        tasks = pairs.count() // PAIRS + 1
         wanted = stored(pairs.select("h").unionByName(pairs.select(F.col("other").alias("h"))).distinct(), "paired-lines")
         places = _semi(rows, wanted, "h").select("h", "at.did", "at.line", F.col("src").alias("__key"))
         text = _texts(places, docs, "paired-texts").select("h", "text")
         both = pairs.join(text.withColumnRenamed("text", "this"), "h").join(text.select(F.col("h").alias("other"), F.col("text").alias("that")), "other")
-        return both.where(_near()("this", "that"))
+        return both.repartition(tasks, "h", "other").where(_near()("this", "that"))
 
     return _later(rows, fits, verified, "wide-lines")
 
@@ -453,11 +491,12 @@ def short_lines(lines: DataFrame) -> DataFrame:
 def removals(docs: DataFrame) -> DataFrame:
     """__key (``row_key`` of the document) and gone: the numbers, from 0, of its lines that go."""
     lines = line_table(docs)
-    near = near_lines(_survivors(lines, docs)).unionByName(wide_lines(lines, docs)).unionByName(short_lines(lines))
-    at = F.struct("did", "line")
-    each = lines.select("h", at.alias("at"), F.lit(False).alias("near")).unionByName(near.distinct().select("h", F.lit(None).alias("at"), F.lit(True).alias("near")))
-    seen = each.groupBy("h").agg(F.min("at").alias("first"), F.count("at").alias("c"), F.max("near").alias("near")).where("c > 1 OR near").drop("c")
-    gone = lines.join(stored(seen, "repeated-lines"), "h").where((at > F.col("first")) | F.col("near"))
+    distinct = distinct_lines(lines)
+    near = near_lines(_survivors(lines, docs)).unionByName(wide_lines(lines, distinct, docs)).unionByName(short_lines(lines))
+    again = distinct.where("c > 1").select("h", F.struct("did", "line").alias("first"))
+    seen = stored(again.join(near.select("h", F.lit(True).alias("near")).distinct(), "h", "full_outer"), "repeated-lines")
+    seen = F.broadcast(seen) if seen.count() <= BROADCAST_HALVES else seen
+    gone = lines.join(seen, "h").where(F.coalesce("near", F.struct("did", "line") > F.col("first")))
     return stored(gone.groupBy("__key").agg(F.sort_array(F.collect_set("line")).alias("gone")), "line-removals")
 
 

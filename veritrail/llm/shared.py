@@ -13,7 +13,6 @@ import pyarrow.compute as pc
 from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 #: Text bytes that one numpy pass works on, which bounds a Python worker's memory.
 CHUNK_BYTES = 1 << 19
@@ -252,20 +251,20 @@ def values_of_many(rows: DataFrame, lists: str, tag: str, name: str) -> Broadcas
     return rows.sparkSession.sparkContext.broadcast(out.view(np.uint64))
 
 
-def explode_held(rows: DataFrame, lists: str, bits: Broadcast, name: str) -> DataFrame:
-    """One row for each value of ``lists`` that the filter lets through: the value as ``name``, and the other columns."""
+def only_held(rows: DataFrame, lists: str, bits: Broadcast) -> DataFrame:
+    """``rows`` with the values of ``lists`` (array<long>) that the filter lets through."""
 
     def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = batch.column(lists)
-            of = np.repeat(np.arange(batch.num_rows), values.value_lengths().to_numpy())
+            values, at = batch.column(lists), batch.schema.get_field_index(lists)
             value = values.flatten().to_numpy()
             key = value.view(np.uint64) >> np.uint64(TAG_BITS)
             kept = np.ones(len(key), bool)
-            for at in _positions(key, len(bits.value) << 6):
-                kept &= (bits.value[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) == 1
-            rest = batch.drop_columns([lists]).take(pa.array(of[kept]))
-            yield pa.RecordBatch.from_arrays([pa.array(value[kept]), *rest.columns], names=[name, *rest.schema.names])
-
-    other = rows.drop(lists)
-    return rows.mapInArrow(held, T.StructType([T.StructField(name, T.LongType()), *other.schema.fields]))
+            for place in _positions(key, len(bits.value) << 6):
+                kept &= (bits.value[place >> np.uint64(6)] >> (place & np.uint64(63))) & np.uint64(1) == 1
+            ends = np.concatenate(([0], np.cumsum(values.value_lengths().fill_null(0).to_numpy())))
+            few = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(kept)))[ends].astype(np.int32)), pa.array(value[kept]))
+            columns = [few if i == at else c for i, c in enumerate(batch.columns)]
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
+
+    return rows.mapInArrow(held, rows.schema)
