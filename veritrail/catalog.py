@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import q_metrics, q_ml, q_reports, q_retrieval, q_sources, q_text  # noqa: F401
+from .plans import q_answers, q_entities, q_features, q_metrics, q_ml, q_plugins, q_reports, q_retrieval, q_selection, q_sources, q_text  # noqa: F401
 from .plans.registry import QUERIES, SQL
 
 

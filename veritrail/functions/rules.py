@@ -126,11 +126,6 @@ Rule = Callable[[Column, Column], Column]
 CHECKERS: dict[str, Rule] = {"temporal": temporal, "numeric": numeric, "entity": entity, "location": location, "fact_attribute": attribute, "negation": negation}
 
 
-def register_checker(name: str, rule: Rule) -> None:
-    """Add a rule after those there are."""
-    CHECKERS[name] = rule
-
-
 def run_checkers(claim: Column, evidence: Column, checkers: dict[str, Rule] | None = None) -> Column:
     """struct(verdict, confidence, checker): the first contradiction, else the first verdict."""
     given = [F.when(r.isNotNull(), F.struct(r["verdict"].alias("verdict"), r["confidence"].alias("confidence"), F.lit(n).alias("checker"))) for n, f in (checkers or CHECKERS).items() for r in [f(claim, evidence)]]
@@ -214,6 +209,19 @@ def fallback_confidence(name: Column, mean_score: Column) -> Column:
     return F.round(F.least(value, F.lit(0.95)), 2)
 
 
-def lexical_verdict(best: Column, word_match: Column) -> Column:
-    """Verdict without rules: best sentence score of 0.30 or word match of 0.50 supports, any match in part, none contradicts."""
-    return F.when((best >= 0.30) | (word_match >= 0.50), verdict("supported", 0.88)).when((best > 0) | (word_match > 0), verdict("partial", 0.65)).otherwise(verdict("contradicted", 0.85))
+def long_words(claim: Column) -> Column:
+    """Words of more than three characters, lower case, without marks at their ends; repeats count."""
+    long = F.filter(F.split(F.trim(claim), r"\s+"), lambda w: F.length(w) > 3)
+    return F.transform(long, lambda w: F.lower(F.regexp_replace(w, r"""^[.,!?"']+|[.,!?"']+$""", "")))
+
+
+def word_match(claim: Column, evidence: Column) -> Column:
+    """Share of the claim's long words that are in the evidence, anywhere; 0 without such words."""
+    own = long_words(claim)
+    return F.when(F.size(own) > 0, F.size(F.filter(own, lambda w: F.contains(F.lower(F.coalesce(evidence, F.lit(""))), w))) / F.size(own)).otherwise(0.0)
+
+
+def lexical_verdict(best: Column, match: Column) -> Column:
+    """Verdict without rules: best sentence score of 0.30 or word match of 0.50 supports, any word in part, none contradicts."""
+    supported = F.struct(F.lit("supported").alias("verdict"), F.round(F.least(F.lit(0.95), 0.70 + best), 2).alias("confidence"))
+    return F.when((best >= 0.30) | (match >= 0.50), supported).when(match > 0, verdict("partial", 0.65)).otherwise(verdict("contradicted", 0.85))

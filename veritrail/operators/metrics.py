@@ -127,12 +127,17 @@ def best_threshold(metrics: DataFrame, value: Column, by: list[str] = ()) -> Dat
     return metrics.groupBy(*by).agg(F.max_by("threshold", F.struct(value, -F.col("threshold"))).alias("best_threshold"), F.max(value).alias("best_value"))
 
 
+def gold_join(ranked: DataFrame, gold: DataFrame, k: int) -> DataFrame:
+    """query_id, doc_id, rank: every gold pair with its rank among the first ``k``, null if it is not there."""
+    return gold.distinct().join(ranked.where(F.col("rank") <= k).select("query_id", "doc_id", "rank"), ["query_id", "doc_id"], "left")
+
+
 def retrieval_metrics(ranked: DataFrame, gold: DataFrame, k: int) -> DataFrame:
     """recall, mrr and ndcg at k, averaged over the queries of ``gold`` (query_id, doc_id) that have any.
 
     ``ranked``: query_id, doc_id, rank from 1.
     """
-    hits = gold.distinct().join(ranked.where(F.col("rank") <= k).select("query_id", "doc_id", "rank"), ["query_id", "doc_id"], "left")
+    hits = gold_join(ranked, gold, k)
     per = hits.groupBy("query_id").agg(
         F.count("*").alias("n_gold"), F.count("rank").alias("n_hit"), F.min("rank").alias("first"), F.coalesce(F.sum(1 / F.log2(F.col("rank") + 1)), F.lit(0.0)).alias("dcg")
     )

@@ -39,7 +39,7 @@ def a12(spark, d):
     return M.classification_metrics(predictions(spark, d).withColumn("h", (F.col("p") >= 0.6).cast("int")), "y", "h")
 
 
-_AUC = "SELECT {by} (sum(CASE WHEN y = 1 THEN rk ELSE 0 END) - sum(y)::DOUBLE * (sum(y) + 1) / 2) / (sum(y)::DOUBLE * (count(*) - sum(y))) AS auroc FROM (SELECT *, rank() OVER (PARTITION BY {part} ORDER BY {p}) + (count(*) OVER (PARTITION BY {part}, {p}) - 1) / 2.0 AS rk FROM {rel}) {group}"
+_AUC = "SELECT {by} CASE WHEN sum(y) = 0 OR sum(y) = count(*) THEN 0.5 ELSE (sum(CASE WHEN y = 1 THEN rk ELSE 0 END) - sum(y)::DOUBLE * (sum(y) + 1) / 2) / (sum(y)::DOUBLE * (count(*) - sum(y))) END AS auroc FROM (SELECT *, rank() OVER (PARTITION BY {part} ORDER BY {p}) + (count(*) OVER (PARTITION BY {part}, {p}) - 1) / 2.0 AS rk FROM {rel}) {group}"
 
 
 @query("A13_roc_auc", f"WITH {PRED} " + _AUC.format(by="lang,", part="lang", p="p", rel="pred", group="GROUP BY lang"))

@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
+from ..functions import lexicons as L
 from ..functions import rules as R
+from ..functions import selection as E
 from ..functions import text as T
 from ..operators import metrics as M
 from ..operators import ml
 from ..operators import retrieval
 from ..operators import scoring as S
-from .q_text import _EV, claims_of, sql_jaccard, sql_overlap_words, with_evidence
+from .q_text import _EV, SPLIT, claims_of, sql_jaccard, sql_overlap_words, strings, strip, with_evidence
 from .registry import query, table
 from .views import PRED, TEMPLATED, predictions
 
@@ -73,13 +75,16 @@ def m16(spark, d):
     return rows.groupBy("group").agg(F.sum("importance").alias("share"), F.max_by("feature", "importance").alias("top"))
 
 
-_BEST = f"list_max(list_concat([0.0::DOUBLE], list_transform(texts, lambda e: {sql_jaccard(sql_overlap_words('text'), sql_overlap_words('e'))})))"
+_LONG = rf"list_transform(list_filter(string_split_regex(text, '\s+'), lambda w: length(w) > 3), lambda w: lower(regexp_replace(w, '^[.,!?\"'']+|[.,!?\"'']+$', '', 'g')))"
+_PRED = f"list_filter({strings(L.PREDICATES)}, lambda p: contains(lower(text), p))"
+_SCORES = f"list_transform(list_filter(list_transform({SPLIT['mark']('top')}, lambda s: {strip('s')}), lambda s: length(s) > 15), lambda s: round(least(1.0::DOUBLE, {sql_jaccard(sql_overlap_words('text'), sql_overlap_words('s'))} + CASE WHEN len(list_filter({_PRED}, lambda p: contains(lower(s), p))) > 0 THEN 0.35 ELSE 0 END), 4))"
 
 
-@query("V14_lexical_fallback_verdict", f"WITH {TEMPLATED}, {_EV}, b AS (SELECT claim_id, {_BEST} AS best FROM ce) SELECT claim_id, CASE WHEN best >= 0.30 THEN 'supported' WHEN best > 0 THEN 'partial' ELSE 'contradicted' END AS verdict, CASE WHEN best >= 0.30 THEN 0.88 WHEN best > 0 THEN 0.65 ELSE 0.85 END::DOUBLE AS confidence FROM b")
+@query("V14_lexical_fallback_verdict", f"WITH {TEMPLATED}, {_EV}, a AS (SELECT claim_id, text, coalesce(texts[1], '') AS top FROM ce), b AS (SELECT *, CASE WHEN top = '' THEN 0 ELSE coalesce(list_max({_SCORES}), 0.5) END::DOUBLE AS best, {_LONG} AS lw FROM a), c AS (SELECT *, CASE WHEN len(lw) > 0 THEN len(list_filter(lw, lambda w: contains(lower(top), w)))::DOUBLE / len(lw) ELSE 0 END AS hit FROM b) SELECT claim_id, CASE WHEN best >= 0.30 OR hit >= 0.50 THEN 'supported' WHEN hit > 0 THEN 'partial' ELSE 'contradicted' END AS verdict, CASE WHEN best >= 0.30 OR hit >= 0.50 THEN round(least(0.95, 0.70 + best), 2) WHEN hit > 0 THEN 0.65 ELSE 0.85 END::DOUBLE AS confidence FROM c")
 def v14(spark, d):
-    best = F.array_max(F.concat(F.array(F.lit(0.0)), F.transform("texts", lambda e: T.word_overlap(F.col("text"), e))))
-    return with_evidence(spark, d).select("claim_id", R.lexical_verdict(best, F.lit(0.0)).alias("v")).select("claim_id", "v.*")
+    c = with_evidence(spark, d).withColumn("top", F.coalesce(F.get("texts", F.lit(0)), F.lit("")))
+    v = R.lexical_verdict(E.best_sentence_score(F.col("text"), F.col("top")), R.word_match(F.col("text"), F.col("top")))
+    return c.select("claim_id", v.alias("v")).select("claim_id", "v.*")
 
 
 @query("flagship_answer_scores")
@@ -93,6 +98,7 @@ def flagship(spark, d):
     used = docs.join(found.select("fact_id").distinct(), "fact_id").select("fact_id", F.explode(T.sentences(F.col("text"), "mark", 15)).alias("s")).select("fact_id", T.overlap_words(F.col("s")).alias("sw"))
     both = found.join(said, "claim_id").join(used, "fact_id").select("claim_id", F.size(F.array_intersect("cw", "sw")).alias("i"), (F.size("cw") + F.size("sw")).alias("n"))
     best = both.groupBy("claim_id").agg(F.max(F.when(F.col("i") > 0, F.col("i") / (F.col("n") - F.col("i"))).otherwise(0.0)).alias("best"))
-    v = R.lexical_verdict(F.coalesce("best", F.lit(0.0)), F.lit(0.0))
-    judged = claims.join(best, "claim_id", "left").select("claim_id", "response_id", v.alias("v"), F.lit(False).alias("fabricated")).select("response_id", "v.*", "fabricated")
+    match = found.join(claims.select("claim_id", "claim"), "claim_id").join(docs, "fact_id").groupBy("claim_id").agg(F.max(R.word_match(F.col("claim"), F.col("text"))).alias("match"))
+    v = R.lexical_verdict(F.coalesce("best", F.lit(0.0)), F.coalesce("match", F.lit(0.0)))
+    judged = claims.join(best, "claim_id", "left").join(match, "claim_id", "left").select("claim_id", "response_id", v.alias("v"), F.lit(False).alias("fabricated")).select("response_id", "v.*", "fabricated")
     return S.hallucination_score(judged, claims.select("response_id").distinct())

@@ -81,7 +81,7 @@ def read_facts(spark: SparkSession, path: str) -> DataFrame:
 
 def read_knowledge(spark: SparkSession, folder: str) -> DataFrame:
     """Text, source (the file's name as a title where missing), metadata, of all files but halueval.jsonl."""
-    d = _json(spark, f"{folder}/*.jsonl", "text string, source string, metadata map<string,string>").withColumn("stem", F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.jsonl$", 1))
+    d = _json(spark, f"{folder}/*.jsonl", "text string, source string, metadata map<string,string>").withColumn("stem", F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(?:\.\d+)?\.jsonl$", 1))
     title = F.initcap(F.regexp_replace("stem", "[_-]", " "))
     return d.where("stem <> 'halueval' AND trim(text) <> ''").select("text", F.coalesce(first_of("source"), title).alias("source"), "metadata")
 
@@ -106,12 +106,29 @@ def derive_qa_labels(rows: DataFrame, distractors: list[str]) -> DataFrame:
     return rows.where("question <> '' AND gold <> ''").select("id", F.col("question").alias("query"), F.explode(pair).alias("x")).select("id", "query", "x.response", "x.label")
 
 
+def still_valid(cached_at: Column, now: Column, ttl_hours: float = 24.0) -> Column:
+    """Whether an entry of the cache is ``ttl_hours`` old at most."""
+    return F.unix_timestamp(now) - F.unix_timestamp(cached_at.cast("timestamp")) <= ttl_hours * 3600
+
+
+def write_named_jsonl(df: DataFrame, path: str) -> None:
+    """JSON lines in a folder of the given name, whose parts carry its stem: what ``read_knowledge`` tells sources by."""
+    spark, stem = df.sparkSession, path.rsplit("/", 1)[-1].removesuffix(".jsonl")
+    parent, parts = path.rsplit("/", 1)[0], f"{path}.parts"
+    df.write.json(parts)
+    fs = spark._jvm.org.apache.hadoop.fs.Path(parent).getFileSystem(spark._jsc.hadoopConfiguration())
+    to = lambda p: spark._jvm.org.apache.hadoop.fs.Path(p)
+    for n, status in enumerate(s for s in fs.listStatus(to(parts)) if s.getPath().getName().startswith("part-")):
+        fs.rename(status.getPath(), to(f"{parent}/{stem}.jsonl" if n == 0 else f"{parent}/{stem}.{n}.jsonl"))
+    fs.delete(to(parts), True)
+
+
 def cached_evidence(queries: DataFrame, cache: DataFrame, now: Column, ttl_hours: float = 24.0) -> DataFrame:
     """``queries`` (id, query) with the newest evidence of their key that is still valid; hit tells misses from empty entries.
 
     ``cache``: key, evidence, cached_at.
     """
-    valid = cache.where(F.unix_timestamp(now) - F.unix_timestamp(F.col("cached_at").cast("timestamp")) <= ttl_hours * 3600)
+    valid = cache.where(still_valid(F.col("cached_at"), now, ttl_hours))
     newest = valid.groupBy("key").agg(F.max_by("evidence", "cached_at").alias("evidence"), F.lit(True).alias("hit"))
     return queries.withColumn("key", F.lower(F.trim("query"))).join(newest, "key", "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
 

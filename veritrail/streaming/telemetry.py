@@ -52,7 +52,7 @@ def job_state(events: DataFrame, running: Column, terminal: Column) -> DataFrame
 
 
 def stream_latest(events: DataFrame, name: str) -> StreamingQuery:
-    """latest_progress of a stream into a memory table, in update mode: late subscribers read the table."""
+    """latest_progress of a stream into a memory table, rewritten with each batch: one row a job, so for few jobs."""
     return latest_progress(events).writeStream.outputMode("complete").format("memory").queryName(name).start()
 
 
@@ -71,5 +71,12 @@ def stream_durations(starts: DataFrame, ends: DataFrame, most: str = "1 hour") -
 
 
 def stream_scoring(queries: DataFrame, score: Callable[[DataFrame], DataFrame], path: str, checkpoint: str) -> StreamingQuery:
-    """Score each micro-batch of arriving queries and append the results as Parquet."""
-    return queries.writeStream.foreachBatch(lambda df, n: score(df).withColumn("batch", F.lit(n)).write.mode("append").parquet(path)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    """Score each micro-batch of arriving queries; its results are a folder ``batch=n`` of Parquet under ``path``.
+
+    A batch that is run again after a failure replaces its folder, so no result is there twice.
+    """
+
+    def write(df: DataFrame, n: int) -> None:
+        score(df).write.mode("overwrite").parquet(f"{path}/batch={n}")
+
+    return queries.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
