@@ -39,33 +39,30 @@ other; columns other than text and n_chars pass through.
 
 from __future__ import annotations
 
+import functools
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import SPACES, Words, chunks, column_bytes, frequent, mix, only_held, powers, row_key, stored, values_of_many
+from .shared import SPACES, Words, chunks, column_bytes, frequent, inverse_powers, mix, only_held, powers, row_key, stored, values_of_many
 
 MIN_WORDS = 8
 #: Lines of so many words and more may have two edits; a tenth of the words (of a short line's characters).
 WIDE, SHARE = 20, 10
-#: Bytes of a key of single words.
-RUN_BYTES = 4
+#: Bytes of a key of single words; bits of the table of frequencies (4 MiB).
+RUN_BYTES, LEVEL_BITS = 4, 22
+#: Lines of so many words and more have a parity of 512 bits, others of 128.
+LONG = 100
 #: Tables of at most so many rows (of 8 bytes), or so many line numbers, are broadcast; larger ones are shuffled.
 BROADCAST_HALVES, BROADCAST_LINES = 1_000_000, 3_000_000
+PARITY = [f"p{i}" for i in range(8)]
 _LAST = 2**63 - 1
 
 
-def _inverse_powers(n: int) -> np.ndarray:
-    base = int(powers(2)[1])
-    out = np.full(max(n, 1), pow(base, -1, 2**64), np.uint64)
-    out[0] = 1
-    return np.multiply.accumulate(out)
-
-
 def least_run(longest: int, run: int) -> np.ndarray:
     """By length: how long a run of consecutive ``run``-windows any near line of that length has intact.
 
@@ -124,7 +121,7 @@ class Lines:
         self.words, self.n, self.first = words, words.count, words.first[:-1]
         place = np.arange(len(words.hash)) - self.first[words.text]
         longest = int(self.n.max(initial=0)) + 2
-        self.pow, self.inv = powers(longest), _inverse_powers(longest)
+        self.pow, self.inv = powers(longest), inverse_powers(longest)
         run = np.concatenate((np.zeros(1, np.uint64), np.cumsum(words.hash * self.pow[place], dtype=np.uint64)))
         self.run = run
 
@@ -141,31 +138,28 @@ class Lines:
         every = np.arange(len(self.n))
         return mix(self.prefix(every, self.n) + mix(self.n.astype(np.uint64)))
 
-    def parity(self) -> tuple[np.ndarray, np.ndarray]:
-        """128 bits of each line, as two columns: which hash values occur an odd number of times."""
-        bit = (self.words.hash >> np.uint64(57)) & np.uint64(127)
-        one = np.uint64(1) << (bit & np.uint64(63))
-        some, out = self.n > 0, []
-        for side in (0, 1):
-            column = np.zeros(len(self.n), np.uint64)
-            if some.any():
-                column[some] = np.bitwise_xor.reduceat(np.where(bit >> np.uint64(6) == side, one, np.uint64(0)), self.first[some])
-            out.append(column)
-        return out[0], out[1]
-
-    def rare_pairs(self, known: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    def parity(self) -> list[np.ndarray]:
+        """Which hash values occur an odd number of times, as eight columns: two of 128 bits, and for lines of
+        ``LONG`` words and more the last six of 512 bits (the first two follow from the others), else 0."""
+        value = self.words.hash >> np.uint64(55)
+        one = np.uint64(1) << (value & np.uint64(63))
+        word = (value >> np.uint64(6)).astype(np.int64)
+        some, long = self.n > 0, self.n >= LONG
+        wide = np.zeros((8, len(self.n)), np.uint64)
+        if some.any():
+            for i in range(8):
+                wide[i, some] = np.bitwise_xor.reduceat(np.where(word == i, one, np.uint64(0)), self.first[some])
+        narrow = [np.bitwise_xor.reduce(wide[i::2], axis=0) for i in (0, 1)]
+        return [*narrow, *[np.where(long, w, np.uint64(0)) for w in wide[2:]]]
+
+    def rare_pairs(self, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(line, key), by line: the pairs of words by which lines of ``WIDE`` words and more meet."""
-        words, counts = known
-        level = np.zeros(len(self.words.hash), np.int16)
-        if len(words):
-            at = np.minimum(np.searchsorted(words, self.words.hash), len(words) - 1)
-            found = np.flatnonzero(words[at] == self.words.hash)
-            level[found] = 1 + (4 * np.log2(counts[at[found]])).astype(np.int16)
+        level = known[self.words.hash >> np.uint64(64 - LEVEL_BITS)]
         of = self.words.text
         begin = np.flatnonzero((of[1:] == of[:-1]) & (self.n[of[1:]] >= WIDE))
         line, h = of[begin], self.words.hash
         key = mix(h[begin] * self.pow[1] + h[begin + 1] * self.pow[2] + np.uint64(1))
-        rank = (level[begin] + level[begin + 1]).astype(np.uint64)  # 9 bits: counts are below 2**40
+        rank = level[begin].astype(np.uint64) + level[begin + 1]  # 9 bits
         number = np.cumsum(np.concatenate(([0], line[1:] != line[:-1]))).astype(np.uint64) if len(line) else rank
         packed = number << np.uint64(44) | rank << np.uint64(35) | key >> np.uint64(29)
         order = np.argsort(packed)
@@ -228,6 +222,14 @@ class Lines:
         return np.concatenate((which, np.arange(len(line)))), np.concatenate((part, self.whole()[line])), np.concatenate((place, np.full(len(line), -1)))
 
 
+def levels(known: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Table of frequency by a word hash's first ``LEVEL_BITS``: of the most frequent word there, a fourth of an octave each; 0 if none is known."""
+    words, counts = known
+    out = np.zeros(1 << LEVEL_BITS, np.uint8)
+    np.maximum.at(out, (words >> np.uint64(64 - LEVEL_BITS)).astype(np.int64), np.minimum(1 + 4 * np.log2(np.maximum(counts, 1)), 255).astype(np.uint8))
+    return out
+
+
 def _per_chunk(names: list[str], kinds: list[pa.DataType], rows):
     """mapInArrow function: ``rows(batch part, Lines)`` gives the columns of the result."""
 
@@ -258,12 +260,12 @@ def _lists(of: np.ndarray, values: np.ndarray, wanted: np.ndarray, n: int) -> pa
 
 
 def line_table(docs: DataFrame) -> DataFrame:
-    """Every line that is not blank, stored: __key, did, line, h, n, halves, said (a short line's text), pairs, a, b.
+    """Every line that is not blank, stored: __key, did, line, h, n, halves, said (a short line's text), pairs, parity.
 
     Of equal lines that are read together only the earliest has pairs, so a very frequent line has few rows of them.
     """
     source = _source(docs)
-    known = docs.sparkSession.sparkContext.broadcast(frequent(source, lambda data, offsets: Words(data, offsets, SPACES, lower=False).hash, "frequent-words"))
+    known = docs.sparkSession.sparkContext.broadcast(levels(frequent(source, lambda data, offsets: Words(data, offsets, SPACES, lower=False).hash, "frequent-words")))
 
     def rows(part, lines):
         kept = np.flatnonzero(lines.n > 0)
@@ -276,25 +278,25 @@ def line_table(docs: DataFrame) -> DataFrame:
         first[by] = np.concatenate(([True], h[by][1:] != h[by][:-1])) if n else []
         line, pair = lines.rare_pairs(known.value)
         mine = first[line]
-        a, b = lines.parity()
+        parity = lines.parity()
         raw = lines.data.tobytes()
         said = [raw[x:y].decode() if c < MIN_WORDS else None for x, y, c in zip(lines.begin[kept].tolist(), lines.end[kept].tolist(), lines.n[kept].tolist())]
         return (
             part.column("__key").to_numpy()[text[kept]], did[text[kept]], lines.number[kept], _signed(h[kept]), lines.n[kept], _lists(of, key[order], kept, n), said,
-            _lists(line[mine], pair[mine], kept, n), _signed(a[kept]), _signed(b[kept]),
+            _lists(line[mine], pair[mine], kept, n), *[_signed(c[kept]) for c in parity],
         )
 
     long, int_ = pa.int64(), pa.int32()
-    names = ["__key", "did", "line", "h", "n", "halves", "said", "pairs", "a", "b"]
-    kinds = [long, long, int_, long, int_, pa.list_(long), pa.string(), pa.list_(long), long, long]
-    ddl = "__key long, did long, line int, h long, n int, halves array<long>, said string, pairs array<long>, a long, b long"
+    names = ["__key", "did", "line", "h", "n", "halves", "said", "pairs", *PARITY]
+    kinds = [long, long, int_, long, int_, pa.list_(long), pa.string(), pa.list_(long), *[long] * 8]
+    ddl = "__key long, did long, line int, h long, n int, halves array<long>, said string, pairs array<long>, " + ", ".join(f"{c} long" for c in PARITY)
     return stored(source.mapInArrow(_per_chunk(names, kinds, rows), ddl), "lines")
 
 
-def distinct_lines(lines: DataFrame) -> DataFrame:
-    """h, did, line, __key of the earliest of equal lines, and how many there are: c. Stored."""
-    seen = lines.groupBy("h").agg(F.min(F.struct("did", "line", "__key")).alias("f"), F.count("*").alias("c"))
-    return stored(seen.select("h", "f.*", "c"), "distinct-lines")
+def repeated_lines(lines: DataFrame) -> DataFrame:
+    """h, did, line, __key of the earliest of lines that occur more than once, stored."""
+    seen = lines.groupBy("h").agg(F.min(F.struct("did", "line", "__key")).alias("f"), F.count("*").alias("c")).where("c > 1")
+    return stored(seen.select("h", "f.*"), "repeated-lines")
 
 
 def _survivors(lines: DataFrame, docs: DataFrame) -> DataFrame:
@@ -419,8 +421,8 @@ def _later(rows: DataFrame, fits, verified, name: str) -> DataFrame:
     """h of the rows (key, at, h and others) with an earlier row of the same key that fits and is verified, stored.
 
     Lines meet the earliest line with the same least key first, as near lines have most keys in common;
-    those not found near then meet the earliest of each key, and what is still left all earlier ones. So
-    the many lines of a large group do a few comparisons each.
+    those not found near then meet all earlier ones of their keys. So most lines of a large group do one
+    comparison each.
     """
     rest = [c for c in rows.columns if c not in ("key", "at", "h")]
     other = F.struct("at", "h", *rest).alias("o")
@@ -429,32 +431,28 @@ def _later(rows: DataFrame, fits, verified, name: str) -> DataFrame:
     def met(left: DataFrame, others: DataFrame) -> DataFrame:
         return verified(left.join(others, "key").where(earlier).select("h", F.col("o.h").alias("other")).distinct()).select("h").distinct()
 
-    def earliest(of: DataFrame, step: str) -> DataFrame:
-        return stored(of.groupBy("key").agg(F.min(other).alias("o"), F.count("*").alias("c")).where("c > 1").select("key", "o"), f"{name}-{step}")
-
-    def without(of: DataFrame, found: DataFrame) -> DataFrame:
-        return of.join(F.broadcast(found) if found.count() <= BROADCAST_HALVES else found, "h", "left_anti")
-
     least = rows.groupBy("h").agg(F.min(F.struct("key", "at", *rest)).alias("x")).select("h", "x.*")
     least = stored(least, f"{name}-least")
-    found = stored(met(least, earliest(least, "of-least")), f"{name}-found")
-    left = stored(without(rows, found), f"{name}-left")
-    more = stored(met(left, earliest(rows, "of-keys")), f"{name}-more")
-    last = met(without(left, more), rows.select("key", other))
-    return stored(found.unionByName(more).unionByName(last), name)
+    first = least.groupBy("key").agg(F.min(other).alias("o"), F.count("*").alias("c")).where("c > 1").select("key", "o")
+    found = stored(met(least, stored(first, f"{name}-first")), f"{name}-found")
+    left = rows.join(F.broadcast(found) if found.count() <= BROADCAST_HALVES else found, "h", "left_anti")
+    return stored(found.unionByName(met(left, rows.select("key", other))), name)
 
 
-def wide_lines(lines: DataFrame, distinct: DataFrame, docs: DataFrame) -> DataFrame:
+def wide_lines(lines: DataFrame, repeated: DataFrame, docs: DataFrame) -> DataFrame:
     """h of the lines of ``WIDE`` words and more that are near an earlier one of ``WIDE`` words and more."""
     wide = lines.where(F.size("pairs") > 0)
     bits = values_of_many(wide.select("h", "pairs"), "pairs", "h", "shared-pairs")
-    some = only_held(wide.select("__key", "did", "line", "h", "n", "a", "b", "pairs"), "pairs", bits).where(F.size("pairs") > 0)
-    first = some.join(distinct.select("__key", "did", "line", "h"), ["h", "did", "line", "__key"])  # of equal lines the earliest
+    some = only_held(wide.select("__key", "did", "line", "h", "n", *PARITY, "pairs"), "pairs", bits).where(F.size("pairs") > 0)
+    first = repeated.select("h", F.struct("did", "line", "__key").alias("f"))
+    some = some.join(F.broadcast(first) if first.count() <= BROADCAST_HALVES else first, "h", "left")
+    some = some.where(F.col("f").isNull() | (F.col("f") == F.struct("did", "line", "__key")))  # of equal lines the earliest
     at = F.struct("did", "line").alias("at")
-    rows = stored(first.select(F.explode("pairs").alias("key"), "h", at, "n", "a", "b", F.col("__key").alias("src")), "line-pairs-of-words")
+    rows = stored(some.select(F.explode("pairs").alias("key"), "h", at, "n", *PARITY, F.col("__key").alias("src")), "line-pairs-of-words")
     k = F.floor(F.least("n", "o.n") / SHARE)
-    differ = F.bit_count(F.col("a").bitwiseXOR(F.col("o.a"))) + F.bit_count(F.col("b").bitwiseXOR(F.col("o.b")))
-    fits = (F.abs(F.col("n") - F.col("o.n")) <= k) & (differ <= 2 * k)
+    differ = lambda cs: functools.reduce(Column.__add__, [F.bit_count(functools.reduce(lambda x, y: x.bitwiseXOR(y), [F.col(f"{o}{c}") for c in part for o in ("", "o.")])) for part in cs])
+    short, long = [["p0"], ["p1"]], [*[[c] for c in PARITY[2:]], ["p0", "p2", "p4", "p6"], ["p1", "p3", "p5", "p7"]]
+    fits = (F.abs(F.col("n") - F.col("o.n")) <= k) & (differ(short) <= 2 * k) & ((F.least("n", "o.n") < LONG) | (differ(long) <= 2 * k))
 
     def verified(pairs):
         pairs = stored(pairs, "line-pairs")
@@ -491,10 +489,10 @@ def short_lines(lines: DataFrame) -> DataFrame:
 def removals(docs: DataFrame) -> DataFrame:
     """__key (``row_key`` of the document) and gone: the numbers, from 0, of its lines that go."""
     lines = line_table(docs)
-    distinct = distinct_lines(lines)
-    near = near_lines(_survivors(lines, docs)).unionByName(wide_lines(lines, distinct, docs)).unionByName(short_lines(lines))
-    again = distinct.where("c > 1").select("h", F.struct("did", "line").alias("first"))
-    seen = stored(again.join(near.select("h", F.lit(True).alias("near")).distinct(), "h", "full_outer"), "repeated-lines")
+    repeated = repeated_lines(lines)
+    near = near_lines(_survivors(lines, docs)).unionByName(wide_lines(lines, repeated, docs)).unionByName(short_lines(lines))
+    again = repeated.select("h", F.struct("did", "line").alias("first"))
+    seen = stored(again.join(near.select("h", F.lit(True).alias("near")).distinct(), "h", "full_outer"), "lines-that-go")
     seen = F.broadcast(seen) if seen.count() <= BROADCAST_HALVES else seen
     gone = lines.join(seen, "h").where(F.coalesce("near", F.struct("did", "line") > F.col("first")))
     return stored(gone.groupBy("__key").agg(F.sort_array(F.collect_set("line")).alias("gone")), "line-removals")

@@ -145,6 +145,13 @@ def powers(n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
+def inverse_powers(n: int) -> np.ndarray:
+    """base**0 .. base**-(n-1) modulo 2**64."""
+    out = np.full(max(n, 1), pow(_BASE, -1, 2**64), np.uint64)
+    out[0] = 1
+    return np.multiply.accumulate(out)
+
+
 class Words:
     """Words of some texts: 64-bit hash of each, and where each text's words begin."""
 
@@ -166,27 +173,38 @@ class Words:
             lasts = offsets[1:][offsets[:-1] < offsets[1:]] - 1
             ends[lasts] = inside[lasts]
             self.end = np.flatnonzero(ends) + 1
-            size = self.end - self.begin
-            kept = np.flatnonzero(inside)
-            at = np.concatenate(([0], np.cumsum(size)))
-            place = np.arange(len(kept)) - np.repeat(at[:-1], size)
-            value = (data[kept].astype(np.uint64) + np.uint64(1)) * powers(int(size.max()))[place]
-            self._parts = value, place, at[:-1]
-            self.hash = mix(np.add.reduceat(value, at[:-1]) + size.astype(np.uint64))
+            up, self._down = _running(len(data))
+            self._sum = np.zeros(len(data) + 1, np.uint64)
+            np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=self._sum[1:])
+            self.hash = mix(self._of(self.end) + (self.end - self.begin).astype(np.uint64))
         else:
             self.end = self.begin
-            self._parts = None
             self.hash = np.zeros(0, np.uint64)
         self.first = np.searchsorted(self.begin, offsets)  # of each text, and the total
         self.count = np.diff(self.first)
         self.text = np.repeat(np.arange(n_texts), self.count)
 
+    def _of(self, end: np.ndarray) -> np.ndarray:
+        """Sum of each word's bytes up to ``end``, as if the word came first."""
+        return (self._sum[end] - self._sum[self.begin]) * self._down[self.begin]
+
     def prefixes(self, n: int) -> np.ndarray:
         """Hash of each word's first ``n`` bytes, other than any word's own."""
-        if self._parts is None:
+        if not len(self.begin):
             return self.hash
-        value, place, at = self._parts
-        return mix(np.add.reduceat(np.where(place < n, value, np.uint64(0)), at) ^ np.uint64(0x5555555555555555))
+        return mix(self._of(np.minimum(self.end, self.begin + n)) ^ np.uint64(0x5555555555555555))
+
+
+_POWERS: dict[str, np.ndarray] = {}
+
+
+def _running(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse for ``n`` places; those of a chunk are kept for the next one."""
+    if n > CHUNK_BYTES * 2:
+        return powers(n), inverse_powers(n)
+    if not _POWERS:
+        _POWERS.update(up=powers(CHUNK_BYTES * 2), down=inverse_powers(CHUNK_BYTES * 2))
+    return _POWERS["up"], _POWERS["down"]
 
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -234,9 +252,21 @@ def values_of_many(rows: DataFrame, lists: str, tag: str, name: str) -> Broadcas
                 edge[1:-1] = (key[1:-1] != key[:-2]) | (key[1:-1] != key[2:])
             yield pa.RecordBatch.from_arrays([pa.array(packed[edge].view(np.int64))], names=["pack"])
 
+    def many(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of sorted packs the keys of several tags."""
+        last = np.zeros(0, np.uint64)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            packed = np.concatenate((last, batch.column("pack").to_numpy().view(np.uint64)))
+            key = packed >> low
+            found = key[1:][(key[1:] == key[:-1]) & (packed[1:] != packed[:-1])]
+            last = packed[-1:]
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(found).view(np.int64))], names=["key"])
+
     key = F.shiftrightunsigned("pack", TAG_BITS)
-    packed = rows.select(lists, tag).mapInArrow(pack, "pack long").repartition(key)
-    keys = stored(packed.groupBy(key.alias("key")).agg(F.min("pack").alias("a"), F.max("pack").alias("b")).where("a <> b").select("key"), name)
+    packed = rows.select(lists, tag).mapInArrow(pack, "pack long").repartition(key).sortWithinPartitions("pack")
+    keys = stored(packed.mapInArrow(many, "key long"), name)  # a key may be there twice
     n_bits = min(BLOOM_BITS, 1 << max(10, (16 * keys.count()).bit_length()))
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
