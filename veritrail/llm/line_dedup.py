@@ -529,17 +529,24 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return dedup(docs).withColumn("n_chars", F.char_length("text").cast("long")).select(docs.columns)
 
 
+#: Words (or characters) put in, left out or replaced between two lists of n and m, by the usual table, row by row.
+_EDITS = lambda a, b, n, m: f"list_reduce(list_transform(range(1, {n} + 1), lambda i: [i]), lambda r, x: list_reduce(list_transform(range(1, {m} + 1), lambda j: [least(r[j + 1] + 1, r[j] + ({a}[x[1]] <> {b}[j])::BIGINT)]), lambda s, y: list_append(s, least(s[-1] + 1, y[1])), [r[1] + 1]), range(0, {m} + 1))[-1]"
 ORACLE = f"""
 WITH li AS (SELECT doc_id, i - 1 AS line, string_split(coalesce(text, ''), chr(10))[i] AS t
             FROM documents, unnest(range(1, len(string_split(coalesce(text, ''), chr(10))) + 1)) AS r(i)),
 w AS (SELECT doc_id, line, t, list_filter(string_split_regex(t, '[ \\t\\x0B\\f\\r]+'), lambda x: x <> '') AS w FROM li),
-d AS (SELECT array_to_string(w, ' ') AS s, any_value(w) AS w, min((doc_id, line)) AS f FROM w WHERE len(w) > 0 GROUP BY 1),
-v AS (SELECT s, f, p, array_to_string(list_concat(w[1:p - 1], w[p + 1:]), ' ') AS v FROM d, unnest(range(1, len(w) + 1)) AS r(p) WHERE len(w) >= {MIN_WORDS}),
-x AS (SELECT v, p, min(f) AS f FROM v GROUP BY 1, 2),
-y AS (SELECT v, min(f) AS f FROM v GROUP BY 1),
-n AS (SELECT v.s FROM v JOIN x USING (v, p) WHERE x.f < v.f
-      UNION SELECT d.s FROM d JOIN y ON y.v = d.s WHERE y.f < d.f AND len(d.w) >= {MIN_WORDS}
-      UNION SELECT v.s FROM v JOIN d ON d.s = v.v WHERE d.f < v.f AND len(d.w) >= {MIN_WORDS}),
+d AS (SELECT *, len(w) AS n, length(array_to_string(w, '')) AS chars, greatest(1, len(w) // 10) AS k, row_number() OVER () AS id
+      FROM (SELECT array_to_string(w, ' ') AS s, any_value(w) AS w, min((doc_id, line)) AS f FROM w WHERE len(w) > 0 GROUP BY 1)),
+tk AS (SELECT id, n, k, f, x || chr(1) || row_number() OVER (PARTITION BY id, x ORDER BY i) AS tok, x FROM (SELECT id, n, k, f, i, w[i] AS x FROM d, unnest(range(1, n + 1)) AS r(i) WHERE n >= 8)),
+rare AS (SELECT x, count(*) AS c FROM tk GROUP BY x),
+px AS (SELECT * FROM (SELECT id, n, k, f, tok, row_number() OVER (PARTITION BY id ORDER BY c, tok) AS rk FROM tk JOIN rare USING (x)) WHERE rk <= k + 1),
+pr AS (SELECT DISTINCT a.id AS a, b.id AS b, least(a.k, b.k) AS k FROM px a JOIN px b ON a.tok = b.tok AND b.f < a.f AND abs(a.n - b.n) <= least(a.k, b.k)),
+ov AS (SELECT a, b, any_value(pr.k) AS k, count(*) AS same FROM pr JOIN tk u ON u.id = a JOIN tk v ON v.id = b AND v.tok = u.tok GROUP BY a, b),
+nl AS (SELECT DISTINCT x.s FROM ov JOIN d x ON x.id = a JOIN d y ON y.id = b WHERE same >= greatest(x.n, y.n) - ov.k AND {_EDITS('x.w', 'y.w', 'x.n', 'y.n')} <= ov.k),
+sv AS (SELECT id, n, chars, f, s, p, w[p] AS word, array_to_string(list_concat(w[1:p - 1], [chr(1)], w[p + 1:]), ' ') AS v FROM d, unnest(range(1, n + 1)) AS r(p) WHERE n < 8),
+sp AS (SELECT x.s, least(x.chars, y.chars) // 10 AS k, string_split(x.word, '') AS a, string_split(y.word, '') AS b FROM sv x JOIN sv y ON x.v = y.v AND x.n = y.n AND y.f < x.f AND abs(length(x.word) - length(y.word)) <= least(x.chars, y.chars) // 10),
+ns AS (SELECT DISTINCT s FROM sp WHERE k > 0 AND {_EDITS('a', 'b', 'len(a)', 'len(b)')} <= k),
+n AS (SELECT s FROM nl UNION SELECT s FROM ns),
 g AS (SELECT w.doc_id, w.line, w.t, coalesce(d.f < (w.doc_id, w.line) OR d.s IN (SELECT s FROM n), false) AS gone
       FROM w LEFT JOIN d ON d.s = array_to_string(w.w, ' '))
 SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (gone)::BIGINT AS n_removed,
