@@ -47,6 +47,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .shared import SPACES, Words, chunks, column_bytes, frequent, inverse_powers, mix, only_held, powers, row_key, stored, values_of_many
 
@@ -57,6 +58,8 @@ WIDE, SHARE = 20, 10
 RUN_BYTES, LEVEL_BITS = 4, 22
 #: Lines of so many words and more have a parity of 512 bits, others of 128.
 LONG = 100
+#: Orders by which a line's least keys are taken.
+LEAST = 3
 #: Tables of at most so many rows (of 8 bytes), or so many line numbers, are broadcast; larger ones are shuffled.
 BROADCAST_HALVES, BROADCAST_LINES = 1_000_000, 3_000_000
 PARITY = [f"p{i}" for i in range(8)]
@@ -417,26 +420,41 @@ def _shared(keys: DataFrame, name: str) -> DataFrame:
     return stored(keys.groupBy("key").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a <> b").select("key"), name)
 
 
-def _later(rows: DataFrame, fits, verified, name: str) -> DataFrame:
-    """h of the rows (key, at, h and others) with an earlier row of the same key that fits and is verified, stored.
+def _later(lines: DataFrame, fits, verified, name: str) -> DataFrame:
+    """h of the lines (keys, least, at, h and others) with an earlier line of the same key that fits and is verified, stored.
 
-    Lines meet the earliest line with the same least key first, as near lines have most keys in common;
-    those not found near then meet all earlier ones of their keys. So most lines of a large group do one
-    comparison each.
+    Lines meet the earliest line of each of their ``least`` keys first, as near lines have most keys in
+    common; those not found near then meet all earlier ones of all their ``keys``. So most lines of a
+    large group do a few comparisons each.
     """
-    rest = [c for c in rows.columns if c not in ("key", "at", "h")]
+    rest = [c for c in lines.columns if c not in ("keys", "least", "at", "h")]
     other = F.struct("at", "h", *rest).alias("o")
     earlier = (F.col("o.at") < F.col("at")) & (F.col("o.h") != F.col("h")) & fits
+    by = lambda df, keys: df.select(F.explode(keys).alias("key"), "at", "h", *rest)
 
     def met(left: DataFrame, others: DataFrame) -> DataFrame:
         return verified(left.join(others, "key").where(earlier).select("h", F.col("o.h").alias("other")).distinct()).select("h").distinct()
 
-    least = rows.groupBy("h").agg(F.min(F.struct("key", "at", *rest)).alias("x")).select("h", "x.*")
-    least = stored(least, f"{name}-least")
+    least = by(lines, "least")
     first = least.groupBy("key").agg(F.min(other).alias("o"), F.count("*").alias("c")).where("c > 1").select("key", "o")
     found = stored(met(least, stored(first, f"{name}-first")), f"{name}-found")
-    left = rows.join(F.broadcast(found) if found.count() <= BROADCAST_HALVES else found, "h", "left_anti")
-    return stored(found.unionByName(met(left, rows.select("key", other))), name)
+    left = lines.join(F.broadcast(found) if found.count() <= BROADCAST_HALVES else found, "h", "left_anti")
+    return stored(found.unionByName(met(by(left, "keys"), by(lines, "keys").select("key", other))), name)
+
+
+def _with_least(lines: DataFrame) -> DataFrame:
+    """``lines`` with ``least``: of each line's keys the least by each of ``LEAST`` orders."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = batch.column("keys")
+            value, size = keys.flatten().to_numpy().view(np.uint64), keys.value_lengths().to_numpy()
+            begin = np.cumsum(size) - size
+            least = [np.minimum.reduceat(mix(value ^ np.uint64(i)), begin) + np.uint64(i) for i in range(LEAST)] if len(value) else [np.zeros(0, np.uint64)] * LEAST
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(size) + 1) * LEAST, pa.int32()), pa.array(_signed(np.stack(least, 1).ravel())))
+            yield pa.RecordBatch.from_arrays([*batch.columns, lists], names=[*batch.schema.names, "least"])
+
+    return lines.mapInArrow(task, T.StructType([*lines.schema.fields, T.StructField("least", T.ArrayType(T.LongType()))]))
 
 
 def wide_lines(lines: DataFrame, repeated: DataFrame, docs: DataFrame) -> DataFrame:
@@ -448,7 +466,7 @@ def wide_lines(lines: DataFrame, repeated: DataFrame, docs: DataFrame) -> DataFr
     some = some.join(F.broadcast(first) if first.count() <= BROADCAST_HALVES else first, "h", "left")
     some = some.where(F.col("f").isNull() | (F.col("f") == F.struct("did", "line", "__key")))  # of equal lines the earliest
     at = F.struct("did", "line").alias("at")
-    rows = stored(some.select(F.explode("pairs").alias("key"), "h", at, "n", *PARITY, F.col("__key").alias("src")), "line-pairs-of-words")
+    rows = stored(_with_least(some.select(F.col("pairs").alias("keys"), "h", at, "n", *PARITY, F.col("__key").alias("src"))), "lines-of-shared-pairs")
     k = F.floor(F.least("n", "o.n") / SHARE)
     differ = lambda cs: functools.reduce(Column.__add__, [F.bit_count(functools.reduce(lambda x, y: x.bitwiseXOR(y), [F.col(f"{o}{c}") for c in part for o in ("", "o.")])) for part in cs])
     short, long = [["p0"], ["p1"]], [*[[c] for c in PARITY[2:]], ["p0", "p2", "p4", "p6"], ["p1", "p3", "p5", "p7"]]
@@ -480,7 +498,7 @@ def short_lines(lines: DataFrame) -> DataFrame:
     said = lines.where("said IS NOT NULL").groupBy("h").agg(F.min(F.struct("did", "line", "said")).alias("f")).select("f.did", "f.line", F.col("f.said").alias("text"))
     rows = said.mapInArrow(_per_chunk(names, kinds, full), "key long, h long, did long, line int, n int, chars int, word string")
     rows = stored(rows.distinct().select("key", "h", F.struct("did", "line").alias("at"), "n", "chars", "word"), "short-rows")
-    rows = _semi(rows, _shared(rows.select("key", "h"), "shared-words"), "key")
+    rows = _semi(rows, _shared(rows.select("key", "h"), "shared-words"), "key").withColumns({"keys": F.array("key"), "least": F.array("key")}).drop("key")
     k = F.floor(F.least("chars", "o.chars") / SHARE)
     fits = (F.col("n") == F.col("o.n")) & (F.abs(F.col("chars") - F.col("o.chars")) <= k) & (F.levenshtein("word", "o.word") <= k)
     return _later(rows, fits, lambda pairs: pairs, "short-lines")
