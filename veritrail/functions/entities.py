@@ -161,7 +161,8 @@ def triple(text: Column) -> Column:
         part = lambda gs, p=pattern: F.concat_ws(" ", *[strip(F.regexp_extract(t, p, g)) for g in gs])
         obj = F.regexp_replace(bare(part(o)), r"(?i)^(is|was) ", "")
         row = F.struct(bare(part(s)).alias("subject"), part(r).alias("relation"), obj.alias("object"))
-        full = let(row, lambda x, c=confidence: F.struct(x["subject"].alias("subject"), x["relation"].alias("relation"), x["object"].alias("object"), side_type(x["subject"]).alias("subject_type"), side_type(x["object"]).alias("object_type"), F.lit(c).alias("confidence")))
+        typed = lambda x: F.struct(x["subject"].alias("subject"), x["relation"].alias("relation"), x["object"].alias("object"), side_type(x["subject"]).alias("subject_type"), side_type(x["object"]).alias("object_type"))
+        full = let(row, typed).withField("confidence", F.lit(confidence))
         out = F.when(t.rlike(pattern), full).otherwise(out)
     return out
 
@@ -198,10 +199,10 @@ def page_type(title: Column, text: Column) -> Column:
     return out
 
 
-def entity_similarity(target: Column, title: Column, text: Column, query: Column | None = None) -> Column:
+def entity_similarity(target: Column, title: Column, text: Column, query: Column | None = None, wanted: Column | None = None) -> Column:
     """How likely a page is about ``target``: 0.98 for its title, less for words in common, 0.15 for another type."""
     t, p, e = F.lower(strip(target)), F.lower(strip(title)), F.substring(F.lower(F.coalesce(text, F.lit(""))), 1, 300)
-    wanted, got = expected_type(query if query is not None else target), page_type(title, text)
+    wanted, got = wanted if wanted is not None else expected_type(query if query is not None else target), page_type(title, text)
     own = F.filter(F.split(t, r"\s+"), lambda w: F.length(w) > 2)
     in_title, words = F.split(p, r"\s+"), F.size(own)
     share = F.size(F.filter(own, lambda w: F.array_contains(in_title, w) | F.contains(e, w))) / words

@@ -40,30 +40,32 @@ def tiered_lookup(queries: DataFrame, pages: DataFrame, top_k: int = 3) -> DataF
 
     ``queries``: id, query, term; ``pages``: title, text. First the page of that title; for a company also
     "X Inc." and "X (company)"; then pages that share a word of their titles. A page is taken if it is
-    similar enough (0.50); a query without any gets one placeholder. Each tier joins by key only what
-    the tiers before have left.
+    similar enough (0.50); a query without any gets one placeholder. Titles are joined by key, and words
+    only for queries that titles do not answer.
     """
     p = pages.select("title", "text", F.lower("title").alias("key"))
-    ask = queries.withColumn("wants", N.expected_type(F.col("query")))
-
-    def tier(left: DataFrame, key: Column, order: int, attempt: int) -> DataFrame:
-        got = left.withColumn("key", F.lower(key)).join(p, "key").withColumn("similarity", N.entity_similarity(F.col("term"), F.col("title"), F.col("text"), F.col("query")))
-        return got.where("similarity >= 0.5").select("id", "title", "text", F.round("similarity", 2).alias("similarity"), F.lit(attempt).alias("attempt"), F.lit(order).alias("order"))
-
-    firm = ask.where((F.col("wants") == "ORGANIZATION") & ~F.contains(F.lower("term"), F.lit("inc")))
-    exact = tier(ask, F.col("term"), 0, 1).unionByName(tier(firm, F.concat("term", F.lit(" Inc.")), 1, 2)).unionByName(tier(firm, F.concat("term", F.lit(" (company)")), 2, 2))
-    best = exact.withColumn("first", F.min("order").over(Window.partitionBy("id"))).where(F.col("order") == F.col("first")).drop("first")
-    left = ask.join(best.select("id").distinct(), "id", "left_anti")
+    ask = queries.select("id", "query", "term", N.expected_type(F.col("query")).alias("wants"))
+    firm = (F.col("wants") == "ORGANIZATION") & ~F.contains(F.lower("term"), F.lit("inc"))
+    tier = lambda n, key: F.struct(F.lit(n).alias("tier"), F.lower(key).alias("key"))
+    keys = F.concat(F.array(tier(0, F.col("term"))), F.when(firm, F.array(tier(1, F.concat("term", F.lit(" Inc."))), tier(2, F.concat("term", F.lit(" (company)"))))).otherwise(F.array().cast("array<struct<tier:int,key:string>>")))
+
+    def accepted(found: DataFrame) -> DataFrame:
+        value = N.entity_similarity(F.col("term"), F.col("title"), F.col("text"), wanted=F.col("wants"))
+        return found.select("id", "tier", "title", "text", F.round(value, 2).alias("similarity")).where("similarity >= 0.5")
+
+    exact = accepted(ask.select("*", F.inline(keys)).join(p, "key"))
+    exact = exact.withColumn("first", F.min("tier").over(Window.partitionBy("id"))).where("tier = first").drop("first")
+    left = ask.join(exact.select("id").distinct(), "id", "left_anti")
     word = lambda c: F.explode(F.array_distinct(F.filter(F.split(F.lower(c), r"\s+"), lambda w: F.length(w) > 2)))
-    shared = left.select("id", "query", "term", word(F.col("term")).alias("w")).join(p.select("title", "text", word(F.col("title")).alias("w")), "w")
-    ranked = shared.groupBy("id", "query", "term", "title", "text").agg(F.count("*").alias("n"))
-    ranked = ranked.withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("n"), "title"))).where(F.col("r") <= top_k)
-    found = ranked.withColumn("similarity", N.entity_similarity(F.col("term"), F.col("title"), F.col("text"), F.col("query"))).where("similarity >= 0.5")
-    found = best.unionByName(found.select("id", "title", "text", F.round("similarity", 2).alias("similarity"), F.lit(2).alias("attempt"), F.lit(3).alias("order")))
-    none = ask.join(found.select("id").distinct(), "id", "left_anti")
-    text = F.concat(F.lit("No direct extract found for query '"), "query", F.lit("'."))
-    none = none.select("id", F.col("term").alias("title"), text.alias("text"), F.lit(0.20).alias("similarity"), F.lit(1).alias("attempt"), F.lit("Failed").alias("status"))
-    return found.drop("order").withColumn("status", F.lit("Passed")).unionByName(none)
+    shared = left.select("id", word(F.col("term")).alias("w")).join(p.select("title", word(F.col("title")).alias("w")), "w").groupBy("id", "title").agg(F.count("*").alias("n"))
+    ranked = shared.withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("n"), "title"))).where(F.col("r") <= top_k)
+    found = exact.unionByName(accepted(ranked.join(ask, "id").join(p, "title").withColumn("tier", F.lit(3))))
+    j = ask.join(found, "id", "left")
+    none = F.concat(F.lit("No direct extract found for query '"), "query", F.lit("'."))
+    return j.select(
+        "id", F.coalesce("title", "term").alias("title"), F.coalesce("text", none).alias("text"), F.coalesce("similarity", F.lit(0.20)).alias("similarity"),
+        F.when(F.coalesce("tier", F.lit(0)) == 0, 1).otherwise(2).alias("attempt"), F.when(F.col("tier").isNull(), "Failed").otherwise("Passed").alias("status"),
+    )
 
 
 def hybrid_rank(candidates: DataFrame, k: int = 5) -> DataFrame:

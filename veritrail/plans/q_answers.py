@@ -59,7 +59,6 @@ def j19(spark, d):
 
 @query("J04_tiered_page_lookup", f"""WITH {PROFILES}, q AS (SELECT response_id AS id, k, CASE WHEN k % 3 = 0 THEN person WHEN k % 3 = 1 THEN split_part(company, ' ', 1) ELSE 'Zzyzx ' || k END AS term, CASE WHEN k % 3 = 1 THEN 'Which company is ' || split_part(company, ' ', 1) || '?' ELSE query END AS query FROM pan JOIN (SELECT k, company FROM ppl) USING (k)),
   pp AS (SELECT title, min(text) AS text FROM ppg WHERE n < 2 GROUP BY title), a AS (SELECT q.id, title, 0.98::DOUBLE AS similarity, 1 AS attempt, 'Passed' AS status FROM q JOIN pp ON lower(title) = lower(term)),
-  b AS (SELECT q.id, title, 0.98::DOUBLE AS similarity, 2 AS attempt, 'Passed' AS status FROM q JOIN pp ON lower(title) = lower(term) || ' inc' WHERE false),
   l AS (SELECT * FROM q WHERE id NOT IN (SELECT id FROM a)), w AS (SELECT id, term, title, text, count(*) AS n FROM (SELECT id, term, unnest(list_distinct(list_filter(string_split(lower(term), ' '), lambda x: length(x) > 2))) AS w FROM l) JOIN (SELECT title, text, unnest(list_distinct(list_filter(string_split(lower(title), ' '), lambda x: length(x) > 2))) AS w FROM pp) USING (w) GROUP BY ALL),
   t AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY n DESC, title) AS r FROM w), s AS (SELECT id, title, 2 AS attempt, 'Passed' AS status, CASE WHEN starts_with(lower(title), lower(term)) THEN 0.98 ELSE 0.85 END::DOUBLE AS similarity FROM t WHERE r <= 3),
   f AS (SELECT * FROM a UNION ALL SELECT id, title, similarity, attempt, status FROM s) SELECT * FROM f UNION ALL SELECT id, term, 0.2::DOUBLE, 1, 'Failed' FROM q WHERE id NOT IN (SELECT id FROM f)""")
@@ -193,10 +192,11 @@ def profiles_of(spark, d):
 def v09(spark, d):
     j = claims(people(spark, d)).join(profiles_of(spark, d).withColumnRenamed("id", "k"), "k")
     v = A.team_verdict(F.col("text"), *map(F.col, ["current", "former", "current_roles", "former_roles"]))
-    return j.select("claim_id", F.array_join("current", ";").alias("current"), F.array_join("former", ";").alias("former"), v.alias("v")).select("claim_id", "current", "former", "v.*")
+    listed = lambda c: F.array_join(c, ";").alias(c)
+    return j.withColumn("v", v).select("claim_id", listed("current"), listed("former"), "v.*")
 
 
-@query("V11_explicit_contradiction", f"WITH {PROFILES} SELECT c.claim_id, c.pos = 3 AND c.k % 5 <> 0 AND c.k % 7 = 0 OR (c.pos = 2 AND c.k % 4 <> 0 AND c.k % 5 = 0 AND false) AS contradicted FROM pcl c JOIN ppl p USING (k)")
+@query("V11_explicit_contradiction", f"WITH {PROFILES} SELECT c.claim_id, c.pos = 3 AND (c.k % 5 = 0 OR c.k % 7 = 0) AS contradicted FROM pcl c")
 def v11(spark, d):
     text = F.concat("person", F.lit(" is a footballer. He lives abroad."))
     return claims(people(spark, d)).select("claim_id", R.explicit_contradiction(F.col("text"), F.array(text)).alias("contradicted"))

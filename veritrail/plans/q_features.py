@@ -68,7 +68,7 @@ _MAPS = "m AS (SELECT id AS position, 1 AS seed, p AS v FROM pred UNION ALL SELE
 
 @query("A34_attribution_consistency", f"WITH {PRED}, {_MAPS}, r AS (SELECT *, rank() OVER (PARTITION BY seed ORDER BY v) + (count(*) OVER (PARTITION BY seed, v) - 1) / 2.0 AS rk FROM m) SELECT a.seed AS seed_a, b.seed AS seed_b, sum(a.v * b.v) / (sqrt(sum(a.v * a.v)) * sqrt(sum(b.v * b.v)) + 1e-8) AS cosine, corr(a.rk, b.rk) AS spearman FROM r a JOIN r b ON a.position = b.position AND a.seed < b.seed GROUP BY ALL")
 def a34(spark, d):
-    values = F.array(F.struct(F.lit(1).alias("seed"), F.col("p").alias("value")), F.struct(F.lit(2), F.col("p2")), F.struct(F.lit(3), (F.col("id") % 7) / 7.0))
+    values = F.array(F.struct(F.lit(1).alias("seed"), F.col("p").alias("value")), F.struct(F.lit(2).alias("seed"), F.col("p2").alias("value")), F.struct(F.lit(3).alias("seed"), ((F.col("id") % 7) / 7.0).alias("value")))
     return X.attribution_consistency(predictions(spark, d).select(F.col("id").alias("position"), F.inline(values)))
 
 

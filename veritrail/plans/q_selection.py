@@ -55,7 +55,7 @@ _SELECTED = """ra AS (SELECT *, row_number() OVER w AS rk, max(score) OVER (PART
 rb AS (SELECT *, count(*) FILTER (score >= top * 0.8 AND score >= 0.35) OVER (PARTITION BY claim_id, page_id) AS n_good FROM ra),
 rc AS (SELECT * FROM rb WHERE (n_good > 0 AND score >= top * 0.8 AND score >= 0.35 AND rk <= 3) OR (n_good = 0 AND rk = 1)),
 sel AS (SELECT claim_id, page_id, string_agg(sentence, ' | ' ORDER BY rk) AS sentences, arg_min(sentence, rk) AS excerpt,
-  round(greatest(0.45::DOUBLE, least(0.95::DOUBLE, 0.45::DOUBLE * arg_min(sim, rk) + 0.3::DOUBLE * arg_min(ent, rk) + 0.15::DOUBLE * arg_min(score, rk) + CASE WHEN arg_min(pos, rk) < 3 THEN 0.1::DOUBLE ELSE 0.05::DOUBLE END)), 4) AS strength FROM rc GROUP BY claim_id, page_id)"""
+  round(greatest(0.45::DOUBLE, least(0.95::DOUBLE, 0.45::DOUBLE * arg_min(sim, rk) + 0.3::DOUBLE * arg_min(ent, rk) + 0.15::DOUBLE * arg_min(score, rk) + CASE WHEN arg_min(pos, rk) < 3 THEN 0.1::DOUBLE ELSE 0.05::DOUBLE END)) + 1e-12, 4) AS strength FROM rc GROUP BY claim_id, page_id)"""
 
 
 @query("W07_select_sentences", f"WITH {PAIRS}, {SCORED}, {_SELECTED} SELECT * FROM sel")

@@ -132,10 +132,10 @@ def s14(spark, d):
     return back.crossJoin(F.broadcast(jobs))  # one row
 
 
-@query("S16_append_experiment_log", "SELECT event_type AS dataset, ts::DATE AS day, count(*) AS n FROM events GROUP BY ALL")
+@query("S16_append_experiment_log", "SELECT event_type AS dataset, ts::DATE::VARCHAR AS day, count(*) AS n FROM events GROUP BY ALL")
 def s16(spark, d):
     path = scratch(spark, "log")
     e = table(spark, d, "events").select(F.col("event_type").alias("dataset"), "ts", F.lit(42).alias("seed"), "value")
     W.append_log(e.where("seed = 42 AND value >= 0"), path)
     W.append_log(e.where("NOT (seed = 42 AND value >= 0) OR value IS NULL"), path)
-    return spark.read.parquet(path).groupBy("dataset", "day").agg(F.count("*").alias("n"))
+    return spark.read.parquet(path).groupBy("dataset", F.col("day").cast("string").alias("day")).agg(F.count("*").alias("n"))
