@@ -2,8 +2,8 @@
 
 Test windows and corpus windows get the same 64-bit hashes, built by doubling (pairs from words, fours
 from pairs, ...), so a window costs a few array passes whatever its length. Corpus windows are looked
-up in the set of test hashes, which is broadcast if it has at most ``BROADCAST_WINDOWS`` rows and
-joined by shuffle beyond. Hits are verified on the words themselves. DataFrame functions only.
+up in the set of test hashes, which is broadcast if it has at most ``BROADCAST_WINDOWS`` windows and
+item names, and joined by shuffle beyond. Hits are verified on the words themselves. DataFrame functions only.
 
 Defined results: null and empty texts have no words; items without words have no windows; an item of
 fewer than ten words is one window; a null item_id has no name, but its windows hit; equal windows of
@@ -20,6 +20,8 @@ from .shared import row_key, stored
 
 WINDOW = 10
 BROADCAST_WINDOWS = 2_000_000
+#: Keys of contaminated documents are broadcast up to so many.
+BROADCAST_KEYS = 1_000_000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -46,25 +48,36 @@ def _joined(a: Column, b: Column) -> Column:
     return F.zip_with(a, b, lambda x, y: F.xxhash64(x, y))
 
 
-def window_hashes(words_col: Column, m: int) -> Column:
-    """Hash of each window of ``m`` words (16 at most), built by doubling."""
-    powers = [p for p in (8, 4, 2, 1) if m & p]
+def _windows_of(words_col: Column, most: int, use) -> Column:
+    """use(combine), where combine(m) has the hash of each window of ``m`` words (``most`` at most, 16 at most); built by doubling."""
 
-    def combine(by_power: dict[int, Column]) -> Column:
+    def combine(by_power: dict[int, Column], m: int) -> Column:
+        powers = [p for p in (16, 8, 4, 2, 1) if m & p]
         out, at = by_power[powers[0]], powers[0]
         for p in powers[1:]:
             out, at = _joined(_tail(out, 0, p), _tail(by_power[p], at, at)), at + p
         return out
 
     def double(by_power: dict[int, Column], p: int) -> Column:
-        if p == powers[0]:
-            return combine(by_power)
+        if 2 * p > most:
+            return use(lambda m: combine(by_power, m))
         h = by_power[p]
         return _let(_joined(_tail(h, 0, p), _tail(h, p, p)), lambda x: double(by_power | {2 * p: x}, 2 * p))
 
     return _let(F.transform(words_col, lambda w: F.xxhash64(w)), lambda h: double({1: h}, 1))
 
 
+def window_hashes(words_col: Column, m: int) -> Column:
+    """Hash of each window of ``m`` words (16 at most)."""
+    return _windows_of(words_col, m, lambda combine: combine(m))
+
+
+def windows_by_length(words_col: Column, lengths: list[int]) -> Column:
+    """array<struct<length, at, hash>>: the windows of all ``lengths``, hashed in one go."""
+    each = lambda combine, m: F.transform(combine(m), lambda h, i: F.struct(F.lit(m).alias("length"), i.alias("at"), h.alias("hash")))
+    return _windows_of(words_col, max(lengths), lambda combine: F.concat(*[each(combine, m) for m in lengths]))
+
+
 def windows(items: DataFrame, width: int = WINDOW) -> DataFrame:
     """length, hash, gram, items: the distinct windows of ``items`` (item_id, text)."""
     rows = items.select(F.col("item_id").cast("string").alias("item"), words(F.col("text")).alias("__words"))
@@ -77,27 +90,27 @@ def windows(items: DataFrame, width: int = WINDOW) -> DataFrame:
     return each.groupBy("length", "hash", gram.alias("gram")).agg(F.collect_set("item").alias("items"))
 
 
-def _gram(m: int) -> Column:
-    return F.concat_ws(" ", F.expr(f"slice(__words, at + 1, {m})"))
+def _gram() -> Column:
+    return F.concat_ws(" ", F.expr("slice(__words, at + 1, length)"))
 
 
-def _in_one_pass(text: DataFrame, table: DataFrame, m: int) -> DataFrame:
-    """__key, at, items of the occurrences of a broadcast table's windows.
+def _in_one_pass(text: DataFrame, table: DataFrame, lengths: list[int]) -> DataFrame:
+    """__key, length, at, items of the occurrences of a broadcast table's windows.
 
     The lookup and the comparison of words follow the explode in one stage, so a document's words are
     only looked at again where a hash hits, and nothing is shuffled.
     """
-    each = text.select("__key", words(F.col("text")).alias("__words")).select("__key", "__words", F.posexplode(window_hashes(F.col("__words"), m)).alias("at", "hash"))
-    same = F.coalesce(_gram(m) == F.col("gram"), F.lit(False))  # not a join key, which would be built for every window
-    return each.join(F.broadcast(table.select("hash", "gram", "items")), "hash").where(same).select("__key", "at", "items")
+    each = text.select("__key", words(F.col("text")).alias("__words")).select("__key", "__words", F.inline(windows_by_length(F.col("__words"), lengths)))
+    same = F.coalesce(_gram() == F.col("gram"), F.lit(False))  # not a join key, which would be built for every window
+    return each.join(F.broadcast(table.select("length", "hash", "gram", "items")), ["length", "hash"]).where(same).select("__key", "length", "at", "items")
 
 
-def _in_two_passes(text: DataFrame, table: DataFrame, m: int) -> DataFrame:
+def _in_two_passes(text: DataFrame, table: DataFrame, lengths: list[int]) -> DataFrame:
     """The same for a table too large to broadcast: hashes are joined by shuffle, then the words of the hits compared."""
-    each = text.select("__key", F.posexplode(window_hashes(words(F.col("text")), m)).alias("at", "hash"))
-    places = each.join(table.select("hash").distinct(), "hash").groupBy("__key").agg(F.collect_set("at").alias("places"))
-    found = text.join(places, "__key").select("__key", "places", words(F.col("text")).alias("__words")).select("__key", "__words", F.explode("places").alias("at"))
-    return found.select("__key", "at", _gram(m).alias("gram")).join(table.select("gram", "items"), "gram").select("__key", "at", "items")
+    each = text.select("__key", F.inline(windows_by_length(words(F.col("text")), lengths)))
+    places = each.join(table.select("length", "hash").distinct(), ["length", "hash"]).groupBy("__key").agg(F.collect_set(F.struct("length", "at")).alias("places"))
+    found = text.join(places, "__key").select("__key", "places", words(F.col("text")).alias("__words")).select("__key", "__words", F.inline("places"))
+    return found.select("__key", "length", "at", _gram().alias("gram")).join(table.select("length", "gram", "items"), ["length", "gram"]).select("__key", "length", "at", "items")
 
 
 def hits(docs: DataFrame, items: DataFrame, width: int = WINDOW) -> DataFrame:
@@ -106,21 +119,22 @@ def hits(docs: DataFrame, items: DataFrame, width: int = WINDOW) -> DataFrame:
     __key is ``row_key`` of the document. n_hit counts words inside any occurrence.
     """
     table = stored(windows(items, width), "test-windows")
-    stats = table.agg(F.count("*").alias("n"), F.collect_set("length").alias("lengths")).first()
-    lengths = sorted(stats["lengths"])
+    stats = table.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size("items")), F.lit(0)).alias("names"), F.collect_set("length").alias("lengths")).first()
     text = docs.select(row_key("doc_id", "text").alias("__key"), "text")
-    exact = text.select("__key", F.lit(0).alias("length"), F.lit(0).alias("at"), F.array().cast("array<string>").alias("items")).where(F.lit(False))
-    for m in lengths:
-        part = (_in_one_pass if stats["n"] <= BROADCAST_WINDOWS else _in_two_passes)(text, table.where(F.col("length") == m), m)
-        exact = exact.unionByName(part.select("__key", F.lit(m).alias("length"), "at", "items"))
+    if stats["n"]:
+        find = _in_one_pass if stats["n"] + stats["names"] <= BROADCAST_WINDOWS else _in_two_passes
+        exact = find(text, table, sorted(stats["lengths"]))
+    else:
+        exact = text.select("__key", F.lit(0).alias("length"), F.lit(0).alias("at"), F.array().cast("array<string>").alias("items")).where(F.lit(False))
     covered = F.array_distinct(F.flatten(F.collect_list(F.expr("sequence(at, at + length - 1)"))))
     return exact.groupBy("__key").agg(F.size(covered).cast("long").alias("n_hit"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
 
 
 def clean(docs: DataFrame, items: DataFrame, width: int = WINDOW) -> DataFrame:
     """``docs`` without the documents that hold a window of ``items``."""
-    key = row_key("doc_id", "text")
-    return docs.withColumn("__key", key).join(hits(docs, items, width).select("__key"), "__key", "left_anti").select(docs.columns)
+    found = stored(hits(docs, items, width).select("__key"), "contaminated-keys")
+    found = F.broadcast(found) if found.count() <= BROADCAST_KEYS else found
+    return docs.withColumn("__key", row_key("doc_id", "text")).join(found, "__key", "left_anti").select(docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
