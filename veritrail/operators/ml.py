@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import StandardScaler, VectorAssembler
+from pyspark.ml.feature import StandardScaler, VectorAssembler, VectorSlicer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -79,3 +79,40 @@ def baselines(text: Column, query: Column, key: Column, share: float) -> dict[st
     uniform = F.conv(F.substring(F.md5(F.concat(key.cast("string"), F.lit(":baseline"))), 1, 8), 16, 10).cast("double") / 4294967296.0
     length = F.pmod(F.length(text), F.lit(100)) / 100.0
     return {"majority": F.lit(1.0 if share >= 0.5 else 0.0), "uniform": uniform, "unique_words": unique, "query_overlap": overlap, "length": length, "blend": 0.4 * unique + 0.6 * length}
+
+
+def out_of_fold(df: DataFrame, key: str, label: str, features: str, estimator=None, k: int = 5, seed: int = 42) -> DataFrame:
+    """key, label, fold, score: probabilities of a model (logistic regression by default) fitted on the other folds."""
+    base = df.select(key, F.col(label).cast("double").alias("label"), F.col(features).alias("features"))
+    folds = stratified_kfold(base, key, "label", k, seed).persist()
+    out = None
+    for f in range(k):
+        model = (estimator or LogisticRegression(maxIter=50, regParam=0.01)).fit(folds.where(F.col("fold") != f))
+        part = _score(model, folds.where(F.col("fold") == f), "score").select(key, "label", "fold", "score")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def compare_systems(df: DataFrame, key: str, label: str, features: str, slices: dict[str, list[int]], k: int = 5, seed: int = 42) -> DataFrame:
+    """system, key, label, fold, score: the same folds and model over slices of the feature vector."""
+    out = None
+    for name, dims in slices.items():
+        cut = VectorSlicer(inputCol=features, outputCol="__cut", indices=dims).transform(df)
+        part = out_of_fold(cut, key, label, "__cut", k=k, seed=seed).withColumn("system", F.lit(name))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def probes(df: DataFrame, key: str, label: str, features: str, first: int = 64, k: int = 5, seed: int = 42) -> DataFrame:
+    """key, label, majority, lr_probe, boosted_probe, first_dims_probe, spread: fitted baselines out of fold, the share of
+    label 1 rounded, and how much a row's features spread (their standard deviation, squashed to 0..1)."""
+    share = df.agg(F.avg(F.col(label).cast("double"))).first()[0] or 0.0
+    cut = VectorSlicer(inputCol=features, outputCol="__cut", indices=list(range(first))).transform(df)
+    lr = out_of_fold(df, key, label, features, k=k, seed=seed).select(key, "label", F.col("score").alias("lr_probe"))
+    gbt = out_of_fold(df, key, label, features, GBTClassifier(maxIter=10, maxDepth=3, seed=seed), k, seed).select(key, F.col("score").alias("boosted_probe"))
+    few = out_of_fold(cut, key, label, "__cut", k=k, seed=seed).select(key, F.col("score").alias("first_dims_probe"))
+    v = vector_to_array(features)
+    mean = F.aggregate(v, F.lit(0.0), lambda a, x: a + x) / F.size(v)
+    spread = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x) / F.size(v) - mean * mean)
+    own = df.select(key, (spread / (1 + spread)).alias("spread"), F.lit(1.0 if share >= 0.5 else 0.0).alias("majority"))
+    return lr.join(gbt, key).join(few, key).join(own, key)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicons as L
 from ..functions import rules as R
+from ..functions import synthesis as Y
 from ..functions.text import jaccard, words
 from ..operators import answers as A
 from .profiles import PROFILES, answers, claims, pages, people
@@ -211,3 +212,12 @@ def v18(spark, d):
     at = lambda i: F.array(F.get("c", F.lit(i))["text"])
     rows = answers(ppl).join(by, "k").join(pages(ppl).where("n = 1").select("k", F.col("text").alias("page")), "k", "left")
     return A.corrected_responses(rows.select("response_id", "query", "response", "page", F.when(k % 3 == 0, F.lit(1)).otherwise(2).alias("n_claims"), at(0).alias("supported"), F.when(k % 3 == 0, none).otherwise(at(1)).alias("contradicted")))
+
+
+_FULL = lambda c: f"CASE WHEN {c} = 'Barcelona' THEN 'FC Barcelona' ELSE {c} END"
+
+
+@query("V17_merge_supported_claims", f"""WITH {PROFILES} SELECT response_id, person || CASE WHEN k % 4 = 0 THEN ' who plays for ' || {_FULL('former')} || ' and The CEO of ' || company || ' is ' || person WHEN k % 5 = 0 THEN ' is the CEO of ' || company || ' and is not a singer' ELSE ' is the CEO of ' || company || ' who plays for ' || {_FULL('team')} END || '.' AS merged FROM pan JOIN (SELECT k, company, team, former FROM ppl) USING (k)""")
+def v17(spark, d):
+    c = claims(people(spark, d)).where("pos IN (0, 2)").groupBy("response_id").agg(F.array_sort(F.collect_list(F.struct("pos", "text"))).alias("c"))
+    return c.select("response_id", Y.merged_claims(F.transform("c", lambda x: x["text"])).alias("merged"))

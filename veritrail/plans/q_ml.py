@@ -34,6 +34,18 @@ def m09(spark, d):
     return ml.predict_ensemble(v, "v", meta, final).select("vec_id", "y", "stacked")
 
 
+@query("M13_compare_systems")
+def m13(spark, d):
+    """AUROC of the same model and folds over slices of the vectors."""
+    slices = {"A": list(range(32)), "B": [32, 33, 34], "C": list(range(35, 50)), "D": list(range(64))}
+    return M.roc_auc(ml.compare_systems(_vectors(spark, d), "vec_id", "y", "v", slices), "label", "score", ["system"])
+
+
+@query("M14_fitted_probes")
+def m14_fitted(spark, d):
+    return ml.probes(_vectors(spark, d), "vec_id", "y", "v", 32, 3).drop("label")
+
+
 _TEMPS = ", ".join(map(repr, ml.TEMPERATURES))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import reports as P
-from .q_text import _ENT, _EV, _VER, sql_normalized, verified
+from .q_text import _ENT, _EV, _VER, sql_normalized, sql_words, verified
 from .registry import query, table
 from .views import PRED, TEMPLATED, predictions, templated
 
@@ -54,11 +54,11 @@ def t13(spark, d):
     return templated(spark, d)[0].select("claim_id", T.strip_discourse(F.concat(lead, "text")).alias("claim"))
 
 
-@query("M17_hash_embedding")
+@query("M17_hash_embedding", f"WITH w AS (SELECT doc_id, unnest({sql_words('text')}) AS w FROM documents), c AS (SELECT doc_id, (('0x' || md5(w)[1:8])::BIGINT % 32)::INT AS bucket, count(*)::DOUBLE AS n FROM w GROUP BY ALL) SELECT doc_id, bucket, n / sqrt(sum(n * n) OVER (PARTITION BY doc_id)) AS value FROM c")
 def m17(spark, d):
     """32 buckets of distinct words, of unit length."""
     w = table(spark, d, "documents").select("doc_id", F.explode(T.words(F.col("text"))).alias("w"))
-    counted = w.groupBy("doc_id", F.pmod(F.xxhash64("w"), F.lit(32)).cast("int").alias("bucket")).agg(F.count("*").cast("double").alias("n"))
+    counted = w.groupBy("doc_id", (F.conv(F.substring(F.md5("w"), 1, 8), 16, 10).cast("long") % 32).cast("int").alias("bucket")).agg(F.count("*").cast("double").alias("n"))
     norm = counted.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("norm"))
     return counted.join(norm, "doc_id").select("doc_id", "bucket", (F.col("n") / F.col("norm")).alias("value"))
 
