@@ -5,6 +5,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
+from veritrail.catalog import QUERIES
 from veritrail.functions import entities as N
 from veritrail.functions import rules as R
 from veritrail.functions import selection as E
@@ -12,7 +13,6 @@ from veritrail.operators import answers as A
 from veritrail.operators import evidence as V
 from veritrail.operators import features as X
 from veritrail.operators import plugins as P
-from veritrail.plans.registry import QUERIES
 from veritrail.plans.views import predictions
 
 
