@@ -45,6 +45,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -239,7 +240,7 @@ def _per_chunk(names: list[str], kinds: list[pa.DataType], rows):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = column_bytes(batch.column("text"))
-            for a, b in chunks(np.diff(offsets), 1 << 20):
+            for a, b in chunks(np.diff(offsets)):
                 part = batch.slice(a, b - a)
                 lines = Lines(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 got = rows(part, lines)
@@ -327,9 +328,9 @@ def _texts(places: DataFrame, docs: DataFrame, name: str) -> DataFrame:
     @F.arrow_udf("array<string>")
     def pick(text: pa.Array, line: pa.Array) -> pa.Array:
         out = []
-        for t, numbers in zip(text.to_pylist(), line.to_pylist()):
-            parts = (t or "").split("\n")
-            out.append([parts[i] for i in numbers])
+        for t, numbers in zip(text, line):  # one text at a time, as a batch's texts may be many
+            parts = (t.as_py() or "").split("\n")
+            out.append([parts[i] for i in numbers.as_py()])
         return pa.array(out, pa.list_(pa.string()))
 
     got = texts.select("did", "wanted", pick("text", F.col("wanted.line")).alias("picked"))
@@ -522,12 +523,10 @@ def dedup(docs: DataFrame) -> DataFrame:
     @F.arrow_udf("string")
     def cut(text: pa.Array, gone: pa.Array) -> pa.Array:
         out = []
-        for t, numbers in zip(text.to_pylist(), gone.to_pylist()):
-            if numbers:
-                drop = set(numbers)
-                t = "\n".join(x for i, x in enumerate(t.split("\n")) if i not in drop)
-            out.append(t)
-        return pa.array(out, pa.string())
+        for i in np.flatnonzero(gone.is_valid().to_numpy(zero_copy_only=False)).tolist():
+            drop = set(gone[i].as_py())
+            out.append("\n".join(x for n, x in enumerate(text[i].as_py().split("\n")) if n not in drop))
+        return pc.replace_with_mask(text, gone.is_valid(), pa.array(out, text.type)).cast(pa.string())
 
     gone = _by_size(removals(docs).withColumnRenamed("gone", "__gone"), "__gone")
     out = docs.drop("n_lines", "n_removed").withColumn("__key", row_key("doc_id", "text")).join(gone, "__key", "left")
