@@ -18,7 +18,9 @@ from __future__ import annotations
 
 import heapq
 import json
+import re
 from collections.abc import Iterator
+from itertools import islice, repeat
 
 import ahocorasick
 import numpy as np
@@ -33,6 +35,12 @@ from .shared import chunks
 
 #: The split pattern of byte-level BPE, with white space as Unicode defines it.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
+#: A run of white space (as Unicode defines it) and what follows up to the next; pre-tokens never cross from the latter to the former.
+_SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+SPACES = frozenset(chr(c) for c in range(0x3001) if re.match(f"[{_SPACE}]", chr(c)))
+RUNS = re.compile(f"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+")
+#: Runs whose tokens a worker remembers, ids of them, runs of a long text worked on at once, and bytes of a word merged in columns.
+RUNS_REMEMBERED, RUN_IDS, RUNS_AT_ONCE, COLUMNS = 1_000_000, 8_000_000, 500_000, 48
 #: Words whose tokens a worker remembers, after which it starts anew.
 REMEMBERED = 150_000
 #: Bytes of texts or ids worked on at once.
@@ -100,11 +108,16 @@ class Vocabulary:
         self.bytes_len = np.array([len(t) for t in self.token], np.int64)
         self.bytes_at = np.cumsum(self.bytes_len) - self.bytes_len
         self.forget()
+        self.forget_runs()
 
     def forget(self) -> None:
         self.index: dict[str, int] = {}
         self.all_ids, self.all_len, self.all_at = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
+    def forget_runs(self) -> None:
+        self.run_index: dict[str, int] = {}
+        self.run_ids, self.run_len, self.run_at = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
     def _rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         key = a * self.size + b
         at = np.minimum(np.searchsorted(self.pair, key), len(self.pair) - 1) if len(self.pair) else np.zeros(len(key), int)
@@ -175,6 +188,126 @@ class Vocabulary:
                     heapq.heappush(heap, (ranks[q], k, q))
         return [x for x in ids if x >= 0]
 
+    def merged(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Exact tokens of all words in a row, and their number for each.
+
+        Words of equal length are the rows of a matrix. Each round merges, in every row, the pair of lowest
+        rank, the leftmost first, so all rows lose one column; rows with nothing to merge are done.
+        """
+        raw = [w.encode() for w in words]
+        size = np.array([len(w) for w in raw], np.int64)
+        count = np.zeros(len(raw), np.int64)
+        done: list[tuple[np.ndarray, np.ndarray]] = []
+        by_size = np.argsort(size, kind="stable")
+        for at in np.split(by_size, np.flatnonzero(np.diff(size[by_size])) + 1) if len(raw) else ():
+            m = int(size[at[0]])
+            if m > COLUMNS:
+                done += [(at[k : k + 1], np.array([self.exact(raw[i])], np.int64)) for k, i in enumerate(at.tolist())]
+                continue
+            ids = self.id_of_byte[np.frombuffer(b"".join([raw[i] for i in at.tolist()]), np.uint8).reshape(-1, m)]
+            rank = self._rank(ids[:, :-1].ravel(), ids[:, 1:].ravel()).reshape(len(at), m - 1)
+            while len(at):
+                width = ids.shape[1]
+                best = rank.argmin(1) if width > 1 else np.zeros(len(at), np.int64)
+                row = np.arange(len(at))
+                least = rank[row, best] if width > 1 else np.full(len(at), _NEVER)
+                if (ended := least == _NEVER).any():
+                    done.append((at[ended], ids[ended]))
+                    going = ~ended
+                    at, ids, rank, best, least, row = at[going], ids[going], rank[going], best[going], least[going], row[: int(going.sum())]
+                if not len(at):
+                    break
+                ids[row, best] = self.made[least]
+                keep = np.ones(ids.shape, bool)
+                keep[row, best + 1] = False
+                ids = ids[keep].reshape(len(at), -1)
+                rank = rank[keep[:, 1:]].reshape(len(at), -1)
+                left, right = np.flatnonzero(best > 0), np.flatnonzero(best < ids.shape[1] - 1)
+                rank[left, best[left] - 1] = self._rank(ids[left, best[left] - 1], ids[left, best[left]])
+                rank[right, best[right]] = self._rank(ids[right, best[right]], ids[right, best[right] + 1])
+        for at, ids in done:
+            count[at] = ids.shape[1]
+        begin = np.cumsum(count) - count
+        out = np.empty(int(count.sum()), np.uint32)
+        for at, ids in done:
+            out[begin[at][:, None] + np.arange(ids.shape[1])] = ids
+        return out, count
+
+    def _learn_runs(self, new: list[str]) -> None:
+        """Tokens of runs not met before; a special token's string is a word of its own."""
+        # runs from white space to a letter or mark can stand in a row: the pre-tokens of each are what they are alone
+        alone = [run for run in new if run[0] not in SPACES or run[-1] in SPACES]
+        if self.splitter and self.splitter.search("\0".join(new)):
+            alone += [run for run in new if run[0] in SPACES and run[-1] not in SPACES and self.splitter.search(run)]
+        if alone:
+            apart = set(alone)
+            new = [run for run in new if run not in apart]
+        words = self.words.findall("".join(new))
+        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))
+        last = np.searchsorted(ends, np.cumsum(np.fromiter(map(len, new), np.int64, len(new)))) + 1
+        counts = np.concatenate((np.diff(last, prepend=0), np.zeros(len(alone), np.int64)))
+        special: list[int] = []
+        for k, run in enumerate(alone, len(new)):
+            before = len(words)
+            for j, piece in enumerate(self.splitter.split(run) if self.splitter else (run,)):
+                if j % 2:
+                    special.append(len(words))
+                    words.append(piece)
+                else:
+                    words += self.words.findall(piece)
+            counts[k] = len(words) - before
+        new = new + alone
+        different = list(dict.fromkeys(words))
+        place = dict(zip(different, range(len(different))))
+        ids, size = self.merged(different)
+        begin = np.cumsum(size) - size
+        for text in {words[k] for k in special}:
+            at = place[text]
+            ids, size[at], begin[at] = np.append(ids, np.uint32(self.special[text])), 1, len(ids)
+        at = np.fromiter(map(place.__getitem__, words), np.int64, len(words))
+        length = size[at]
+        ends = np.cumsum(length)
+        where = np.repeat(begin[at] - (ends - length), length) + np.arange(int(ends[-1]) if len(ends) else 0)
+        self.run_index.update(zip(new, range(len(self.run_index), len(self.run_index) + len(new))))
+        run_end = np.concatenate(([0], ends))[np.cumsum(counts)]
+        self.run_ids = np.concatenate((self.run_ids, ids[where]))
+        self.run_len = np.concatenate((self.run_len, np.diff(run_end, prepend=0)))
+        self.run_at = np.cumsum(self.run_len) - self.run_len
+
+    def _of_runs(self, found: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of runs in a row, and their number for each."""
+        if len(self.run_index) > RUNS_REMEMBERED or len(self.run_ids) > RUN_IDS:
+            self.forget_runs()
+        at = np.fromiter(map(self.run_index.get, found, repeat(-1)), np.int64, len(found))
+        if len(missing := np.flatnonzero(at < 0)):
+            lacking = [found[i] for i in missing.tolist()]
+            self._learn_runs(list(dict.fromkeys(lacking)))
+            at[missing] = np.fromiter(map(self.run_index.__getitem__, lacking), np.int64, len(lacking))
+        size = self.run_len[at]
+        ends = np.cumsum(size)
+        where = np.repeat(self.run_at[at] - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)
+        return self.run_ids[where].astype("<u4"), size
+
+    def encode_runs(self, texts: list[str | None]) -> list[bytes]:
+        """The same ids as ``encode``, by runs that are remembered; words met anew are merged together, in columns."""
+        if sum(len(t or "") for t in texts) > 4 * PIECE_BYTES:
+            out = []
+            for text in texts:
+                runs = RUNS.finditer(text or "")
+                parts = iter(lambda: [m.group() for m in islice(runs, RUNS_AT_ONCE)], [])
+                out.append(b"".join(self._of_runs(part)[0].tobytes() for part in parts))
+            return out
+        found: list[str] = []
+        counts = []
+        for text in texts:
+            runs = RUNS.findall(text) if text else []
+            found += runs
+            counts.append(len(runs))
+        ids, size = self._of_runs(found)
+        last = np.concatenate(([0], np.cumsum(size)))[np.concatenate(([0], np.cumsum(counts, dtype=np.int64)))]
+        raw = ids.tobytes()
+        return [raw[4 * a : 4 * b] for a, b in zip(last[:-1].tolist(), last[1:].tolist())]
+
     def learn(self, new: list[str]) -> None:
         """Tokens of words not met before: propose, test all adjacent pairs, merge what fails."""
         raw = [w.encode() for w in new]

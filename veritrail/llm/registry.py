@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann_aq, bpe, decontaminate, jaccard_join, line_dedup, quality_crf, sharding, suffix_dedup, toxicity_fm, warc
+from . import ann_aq, bpe, conversation_repair, decontaminate, hard_negatives, jaccard_join, line_dedup, packing, quality_crf, sharding, suffix_dedup, toxicity_fm, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,8 +21,19 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_toxicity_fm": toxicity_fm.query,
         "op9_ngram_jaccard": jaccard_join.query,
         "op10_ann_aq": ann_aq.query,
+        "op11_hard_negatives": hard_negatives.query,
+        "op12_packing": packing.query,
+        "op13_conversation_repair": conversation_repair.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_extendible_sharding": sharding.ORACLE, "op5_line_dedup": line_dedup.ORACLE, "op7_decontaminate": decontaminate.ORACLE, "op3_warc_archive": warc.ORACLE, "op10_ann_aq": ann_aq.ORACLE}
+    return {
+        "op2_extendible_sharding": sharding.ORACLE,
+        "op3_warc_archive": warc.ORACLE,
+        "op5_line_dedup": line_dedup.ORACLE,
+        "op7_decontaminate": decontaminate.ORACLE,
+        "op10_ann_aq": ann_aq.ORACLE,
+        "op11_hard_negatives": hard_negatives.ORACLE,
+        "op13_conversation_repair": conversation_repair.ORACLE,
+    }
