@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import entities as N
 from ..functions import lexicons as L
 from ..functions.text import matches, normalized, sentences, strip
+from .retrieval import shared_words
 
 TRUSTED = ["wikipedia", "fever", "local kb", "knowledge base", "halueval"]
 
@@ -41,7 +42,7 @@ def tiered_lookup(queries: DataFrame, pages: DataFrame, top_k: int = 3) -> DataF
     ``queries``: id, query, term; ``pages``: title, text. First the page of that title; for a company also
     "X Inc." and "X (company)"; then pages that share a word of their titles. A page is taken if it is
     similar enough (0.50); a query without any gets one placeholder. Titles are joined by key, and words
-    only for queries that titles do not answer.
+    only for queries that titles do not answer (by ``shared_words``, so frequent words of titles don't pair everything).
     """
     p = pages.select("title", "text", F.lower("title").alias("key"))
     ask = queries.select("id", "query", "term", N.expected_type(F.col("query")).alias("wants"))
@@ -56,9 +57,8 @@ def tiered_lookup(queries: DataFrame, pages: DataFrame, top_k: int = 3) -> DataF
     exact = accepted(ask.select("*", F.inline(keys)).join(p, "key"))
     exact = exact.withColumn("first", F.min("tier").over(Window.partitionBy("id"))).where("tier = first").drop("first")
     left = ask.join(exact.select("id").distinct(), "id", "left_anti")
-    word = lambda c: F.explode(F.array_distinct(F.filter(F.split(F.lower(c), r"\s+"), lambda w: F.length(w) > 2)))
-    shared = left.select("id", word(F.col("term")).alias("w")).join(p.select("title", word(F.col("title")).alias("w")), "w").groupBy("id", "title").agg(F.count("*").alias("n"))
-    ranked = shared.withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("n"), "title"))).where(F.col("r") <= top_k)
+    words = lambda c: F.filter(F.split(F.lower(c), r"\s+"), lambda w: F.length(w) > 2).alias("words")
+    ranked = shared_words(left.select("id", words(F.col("term"))), p.select(F.col("title").alias("fact"), words(F.col("title"))), top_k).select("id", F.col("fact").alias("title"))
     found = exact.unionByName(accepted(ranked.join(ask, "id").join(p, "title").withColumn("tier", F.lit(3))))
     j = ask.join(found, "id", "left")
     none = F.concat(F.lit("No direct extract found for query '"), "query", F.lit("'."))

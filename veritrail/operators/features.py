@@ -91,17 +91,13 @@ def schema_row(df: DataFrame, names: list[str] = NAMES) -> DataFrame:
     return df.sparkSession.range(1).select(F.lit(len(names)).alias("n_features"), F.sha2(F.lit(",".join(f"{n}:double" for n in names)), 256).alias("digest"))
 
 
-def platt(df: DataFrame, y: str, p: str, name: str = "platt") -> DataFrame:
-    """``df`` with the probability of a logistic regression on ``p``, with unit regularisation over all rows."""
-    n = df.count()
-    m = Pipeline(stages=[VectorAssembler(inputCols=[p], outputCol="__f"), LogisticRegression(featuresCol="__f", labelCol=y, regParam=1.0 / max(n, 1), standardization=False, probabilityCol="__p", predictionCol="__h", rawPredictionCol="__r")]).fit(df)
-    return m.transform(df).withColumn(name, vector_to_array("__p")[1]).drop("__f", "__p", "__h", "__r")
-
+def calibrated(df: DataFrame, y: str, inputs: list[str], name: str) -> DataFrame:
+    """``df`` with the probability of a logistic regression on ``inputs``, with unit regularisation over all rows.
 
-def gated(df: DataFrame, y: str, internal: str, external: str, name: str = "gated") -> DataFrame:
-    """The same on two probabilities: a learned weighting of internal and external signals."""
+    On one probability that is Platt scaling; on an internal and an external one, a learned weighting of both.
+    """
     n = df.count()
-    m = Pipeline(stages=[VectorAssembler(inputCols=[internal, external], outputCol="__f"), LogisticRegression(featuresCol="__f", labelCol=y, regParam=1.0 / max(n, 1), standardization=False, probabilityCol="__p", predictionCol="__h", rawPredictionCol="__r")]).fit(df)
+    m = Pipeline(stages=[VectorAssembler(inputCols=inputs, outputCol="__f"), LogisticRegression(featuresCol="__f", labelCol=y, regParam=1.0 / max(n, 1), standardization=False, probabilityCol="__p", predictionCol="__h", rawPredictionCol="__r")]).fit(df)
     return m.transform(df).withColumn(name, vector_to_array("__p")[1]).drop("__f", "__p", "__h", "__r")
 
 
@@ -111,6 +107,34 @@ def isotonic(df: DataFrame, y: str, p: str, name: str = "isotonic") -> DataFrame
     return m.transform(df.withColumn(p, F.col(p).cast("double")))
 
 
+def ungrounded(words: Column, known: Column) -> Column:
+    """For each word its parts of the score: struct(num, den), its length if ``known`` lacks it (else 0), and its length."""
+    return F.transform(words, lambda w: F.struct(F.when(F.array_contains(known, w), 0).otherwise(F.length(w)).cast("double").alias("num"), F.length(w).cast("double").alias("den")))
+
+
+def part_score(parts: Column) -> Column:
+    """Score of a text from its words' parts: the share of its letters that are in ungrounded words; 0 without words."""
+    total = lambda name: F.aggregate(parts, F.lit(0.0), lambda a, p: a + p[name])
+    return F.when(F.size(parts) > 0, total("num") / total("den")).otherwise(0.0)
+
+
+def deletion_scores(rows: DataFrame, ks: list[int], seed: int = 42) -> DataFrame:
+    """id, k, original, top_deleted, random_deleted: the score of each text (id, parts) as it is, and with ``k`` words deleted.
+
+    A word's attribution is what the score loses without it. Top words have the largest attribution, the
+    earliest of equals first; random ones the smallest md5 of id, place and seed. The words that are left are scored
+    anew. Scores are ratios of sums over words, so a text takes time in proportion to its words.
+    """
+    whole = lambda name: F.aggregate("parts", F.lit(0.0), lambda a, p: a + p[name])
+    r = rows.select("id", "parts", whole("num").alias("n"), whole("den").alias("d"), part_score(F.col("parts")).alias("original"))
+    without = lambda p: F.when(F.col("d") - p["den"] > 0, (F.col("n") - p["num"]) / (F.col("d") - p["den"])).otherwise(0.0)
+    best = F.array_sort(F.transform("parts", lambda p, i: F.struct((without(p) - F.col("original")).alias("o"), i.alias("i"), p.alias("p"))))
+    drawn = F.array_sort(F.transform("parts", lambda p, i: F.struct(F.md5(F.concat_ws(":", F.col("id").cast("string"), (i + 1).cast("string"), F.lit(str(seed)))).alias("o"), i.alias("i"), p.alias("p"))))
+    r = r.select("id", "original", best.alias("best"), drawn.alias("drawn")).withColumn("k", F.explode(F.array(*map(F.lit, ks))))
+    left = lambda c: F.transform(F.slice(c, F.col("k") + 1, F.size(c)), lambda x: x["p"])
+    return r.select("id", "k", "original", part_score(left(F.col("best"))).alias("top_deleted"), part_score(left(F.col("drawn"))).alias("random_deleted"))
+
+
 def faithfulness_by_k(scores: DataFrame) -> DataFrame:
     """k, drops of the score when the top k, and k random, words go, their ratio and difference.
 

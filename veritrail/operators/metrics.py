@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranks import with_percentiles
+
 #: Score ranges in which running sums are made apart, so that no task holds all distinct scores.
 RANGES = 1024
 
@@ -115,6 +117,19 @@ def ece(bins: DataFrame) -> DataFrame:
     return bins.agg(F.when(total > 0, F.sum(F.col("n") * F.col("gap")) / total).otherwise(F.lit(0.0)).alias("ece"))
 
 
+def grouped_ece(df: DataFrame, y: str, p: str, by: list[str], bins: int = 10) -> DataFrame:
+    """ece of each group, over bins that hold their upper edge (a score of 0 is in none, but counts in the total)."""
+    at = F.when(F.col(p) > 0, F.ceil(F.col(p) * bins))
+    binned = df.groupBy(*by, at.alias("bin")).agg(F.count("*").alias("n"), F.avg(y).alias("accuracy"), F.avg(p).alias("confidence"))
+    off = F.when(F.col("bin").isNotNull(), F.col("n") * F.abs(F.col("accuracy") - F.col("confidence"))).otherwise(0.0)
+    return binned.groupBy(*by).agg((F.sum(off) / F.sum("n")).alias("ece"))
+
+
+def best_weight(areas: DataFrame, weight: str, value: str) -> DataFrame:
+    """The weight of the largest ``value``; of equal ones the smallest."""
+    return areas.agg(F.max_by(weight, F.struct(value, -F.col(weight))).alias(f"best_{weight}"), F.max(value).alias(f"best_{value}"))
+
+
 def at_thresholds(df: DataFrame, y: str, p: str, thresholds: list[float], by: list[str] = (), digits: int | None = None) -> DataFrame:
     """Classification metrics at every threshold (p >= t is 1): each row is compared with a short literal list."""
     t = F.explode(F.array(*[F.lit(x) for x in thresholds])).alias("threshold")
@@ -138,9 +153,28 @@ def retrieval_metrics(ranked: DataFrame, gold: DataFrame, k: int) -> DataFrame:
     ``ranked``: query_id, doc_id, rank from 1.
     """
     hits = gold_join(ranked, gold, k)
-    per = hits.groupBy("query_id").agg(
-        F.count("*").alias("n_gold"), F.count("rank").alias("n_hit"), F.min("rank").alias("first"), F.coalesce(F.sum(1 / F.log2(F.col("rank") + 1)), F.lit(0.0)).alias("dcg")
-    )
+    return _retrieval(hits.groupBy("query_id").agg(F.count("*").alias("n_gold"), *_hits()), k)
+
+
+def class_retrieval_metrics(ranked: DataFrame, queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
+    """The same where a query's gold is every other row of its class, which is counted and not listed.
+
+    ``queries``: query_id, label; ``corpus``: doc_id, label.
+    """
+    sizes = corpus.groupBy("label").agg(F.count("*").alias("size"))
+    own = corpus.join(queries.select(F.col("query_id").alias("doc_id"), F.col("label").alias("asked")), "doc_id").where("label = asked").groupBy(F.col("doc_id").alias("query_id")).agg(F.count("*").alias("own"))
+    gold = queries.join(sizes, "label").join(own, "query_id", "left").select("query_id", "label", (F.col("size") - F.coalesce("own", F.lit(0))).alias("n_gold")).where("n_gold > 0")
+    found = ranked.where(F.col("rank") <= k).select("query_id", "doc_id", "rank").join(corpus.select("doc_id", F.col("label").alias("of")), "doc_id")
+    hits = gold.join(found, "query_id").where("label = of").groupBy("query_id").agg(*_hits())
+    per = gold.select("query_id", "n_gold").join(hits, "query_id", "left").withColumns({"n_hit": F.coalesce("n_hit", F.lit(0)), "dcg": F.coalesce("dcg", F.lit(0.0))})
+    return _retrieval(per, k)
+
+
+def _hits() -> list[Column]:
+    return [F.count("rank").alias("n_hit"), F.min("rank").alias("first"), F.coalesce(F.sum(1 / F.log2(F.col("rank") + 1)), F.lit(0.0)).alias("dcg")]
+
+
+def _retrieval(per: DataFrame, k: int) -> DataFrame:
     ideal = F.aggregate(F.sequence(F.lit(1), F.least(F.col("n_gold"), F.lit(k)).cast("int")), F.lit(0.0), lambda a, i: a + 1 / F.log2(i + 1))
     return per.agg(
         F.count("*").alias("n_queries"), F.avg(F.col("n_hit") / F.col("n_gold")).alias("recall"), F.avg(F.coalesce(1 / F.col("first"), F.lit(0.0))).alias("mrr"), F.avg(F.col("dcg") / ideal).alias("ndcg")
@@ -180,39 +214,10 @@ def cohens_kappa(df: DataFrame, a: str, b: str) -> DataFrame:
     return one.select("n", po.alias("agreement"), F.when(pe < 1, (po - pe) / (1 - pe)).otherwise(F.lit(1.0)).alias("kappa"))
 
 
-def bootstrap_weights(df: DataFrame, key: str, replicates: int, seed: int = 42) -> DataFrame:
-    """``df`` once for each replicate it is drawn in, with its Poisson(1) count as ``weight``.
-
-    The draw is a function of (key, replicate, seed): two models' rows of one key share it.
-    """
-    rep = df.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-    u = F.pmod(F.xxhash64(F.col(key), F.col("replicate"), F.lit(seed)), F.lit(2**40)) / float(2**40)
-    cut, total, term = F.lit(0), 0.0, 0.36787944117144233
-    for k in range(1, 12):
-        total += term
-        cut = cut + (u >= total).cast("int")
-        term /= k
-    return rep.withColumn("weight", cut).where("weight > 0")
-
-
-def bootstrap_ci(df: DataFrame, key: str, y: str, p: str, threshold: float = 0.5, replicates: int = 200, seed: int = 42) -> DataFrame:
-    """metric, mean, low (2.5 %), high (97.5 %) over Poisson bootstrap replicates; those of one class are skipped."""
-    w = bootstrap_weights(df.withColumn("__hat", (F.col(p) >= threshold).cast("int")), key, replicates, seed)
-    m = classification_metrics(w, y, "__hat", ["replicate"], "weight", digits=None).where("tp + fn > 0 AND tn + fp > 0").select("replicate", "accuracy", "precision", "recall", "f1")
-    m = m.join(roc_auc(w, y, p, ["replicate"], "weight"), "replicate").join(pr_auc(w, y, p, ["replicate"], "weight").select("replicate", "average_precision"), "replicate")
-    long = m.unpivot("replicate", ["accuracy", "precision", "recall", "f1", "auroc", "average_precision"], "metric", "value")
-    return long.groupBy("metric").agg(F.avg("value").alias("mean"), F.percentile("value", 0.025).alias("low"), F.percentile("value", 0.975).alias("high"))
-
-
-def paired_bootstrap(df: DataFrame, key: str, y: str, p_a: str, p_b: str, replicates: int = 200, seed: int = 42) -> DataFrame:
-    """Difference of AUROC (a less b): mean, interval, and the share of replicates at or below 0 (0.001 at least)."""
-    w = bootstrap_weights(df, key, replicates, seed)
-    a = roc_auc(w, y, p_a, ["replicate"], "weight").withColumnRenamed("auroc", "a")
-    d = a.join(roc_auc(w, y, p_b, ["replicate"], "weight"), "replicate").select((F.col("a") - F.col("auroc")).alias("d"))
-    return d.agg(F.avg("d").alias("delta"), F.percentile("d", 0.025).alias("low"), F.percentile("d", 0.975).alias("high"), F.greatest(F.lit(0.001), F.avg((F.col("d") <= 0).cast("double"))).alias("p_value"))
-
-
 def latency_profile(df: DataFrame, value: str, by: list[str] = (), exact: bool = True) -> DataFrame:
     """n, mean, median, p90, p95, p99, max; percentiles interpolate (exact) or are sketched."""
-    q = (lambda x: F.percentile(value, x)) if exact else (lambda x: F.percentile_approx(value, x, 10000).cast("double"))
-    return df.groupBy(*by).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), q(0.5).alias("median"), q(0.9).alias("p90"), q(0.95).alias("p95"), q(0.99).alias("p99"), F.max(value).alias("max"))
+    shares = {"median": 0.5, "p90": 0.9, "p95": 0.95, "p99": 0.99}
+    simple = [F.count(value).alias("n"), F.avg(value).alias("mean"), F.max(value).alias("max")]
+    if not exact:
+        return df.groupBy(*by).agg(*simple, *(F.percentile_approx(value, x, 10000).cast("double").alias(n) for n, x in shares.items()))
+    return with_percentiles(df.groupBy(*by).agg(*simple), df, value, shares, by)

@@ -2,83 +2,185 @@
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+from dataclasses import dataclass, field
+
+from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler, VectorSlicer
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import stored
+from . import metrics as M
 from .sampling import stratified_kfold
 
+FOLDS, INNER_FOLDS, TREES, ROUNDS = 5, 3, 100, 100
+#: Thresholds among which Youden's is chosen.
+THRESHOLDS = [round(0.1 + i / 100, 2) for i in range(81)]
+MEMBERS = ("lr", "svm", "rf", "gbt")
+
+
+def sigmoid(c: Column) -> Column:
+    return 1 / (1 + F.exp(-c))
+
+
+class MarginClassifier:
+    """A linear support vector machine whose margins are turned into probabilities.
+
+    The two numbers of the sigmoid come from margins of rows that the machine has not seen: ``inner`` folds of
+    the training rows, each scored by a machine fitted on the others. The machine itself is fitted on all of them.
+    """
+
+    def __init__(self, key: str, inner: int = INNER_FOLDS, seed: int = 42, reg: float = 0.01):
+        self.key, self.inner, self.seed, self.svm = key, inner, seed, LinearSVC(maxIter=100, regParam=reg)
+
+    @staticmethod
+    def margins(model, df: DataFrame) -> DataFrame:
+        return model.transform(df).withColumn("__margin", vector_to_array("rawPrediction")[1]).drop("rawPrediction", "prediction")
 
-def members(seed: int = 42) -> dict:
-    return {
-        "lr": LogisticRegression(maxIter=20, regParam=0.01),
-        "rf": RandomForestClassifier(numTrees=20, maxDepth=5, seed=seed),
-        "gbt": GBTClassifier(maxIter=10, maxDepth=3, seed=seed),
-    }
+    def fit(self, train: DataFrame) -> MarginClassifier:
+        parts = train.select(self.key, "label", "features").transform(lambda t: stratified_kfold(t, self.key, "label", self.inner, self.seed + 1)).persist()
+        held = None
+        for f in range(self.inner):
+            part = self.margins(self.svm.fit(parts.where(F.col("fold") != f)), parts.where(F.col("fold") == f)).select("label", "__margin")
+            held = part if held is None else held.unionByName(part)
+        held = VectorAssembler(inputCols=["__margin"], outputCol="__m").transform(held)
+        sigma = LogisticRegression(featuresCol="__m", maxIter=100).fit(held)
+        self.slope, self.offset = float(sigma.coefficients[0]), float(sigma.intercept)
+        self.model = self.svm.fit(parts)
+        parts.unpersist()
+        return self
+
+    def score(self, df: DataFrame, name: str) -> DataFrame:
+        return self.margins(self.model, df).withColumn(name, sigmoid(F.col("__margin") * self.slope + self.offset)).drop("__margin")
 
 
 def _score(model, df: DataFrame, name: str) -> DataFrame:
+    """``df`` with the probability of label 1."""
+    if isinstance(model, MarginClassifier):
+        return model.score(df, name)
     return model.transform(df).withColumn(name, vector_to_array("probability")[1]).drop("rawPrediction", "probability", "prediction")
 
 
-def oof_stacking(df: DataFrame, key: str, label: str, features: str, k: int = 3, seed: int = 42) -> tuple[DataFrame, object, dict]:
-    """Out-of-fold member probabilities and the stacked one, the meta model, and the members refitted on all rows.
-
-    Scaling is fitted on the training folds only. ``df``: key, label (0 or 1), features (vector).
-    """
-    base = df.select(key, F.col(label).cast("double").alias("label"), F.col(features).alias("raw"))
-    folds = stratified_kfold(base, key, "label", k, seed).persist()
-    parts = []
-    for f in range(k):
-        train, test = folds.where(F.col("fold") != f), folds.where(F.col("fold") == f)
-        scaler = StandardScaler(inputCol="raw", outputCol="features", withMean=True).fit(train)
-        train, test = scaler.transform(train).persist(), scaler.transform(test)
-        for name, m in members(seed).items():
-            test = _score(m.fit(train), test, name)
-        parts.append(test.select(key, "label", "fold", *members(seed)))
-        train.unpersist()
-    oof = parts[0]
-    for p in parts[1:]:
-        oof = oof.unionByName(p)
-    meta = Pipeline(stages=[VectorAssembler(inputCols=list(members(seed)), outputCol="features"), LogisticRegression(maxIter=20)]).fit(oof)
-    scaler = StandardScaler(inputCol="raw", outputCol="features", withMean=True).fit(folds)
-    final = {"scaler": scaler} | {n: m.fit(scaler.transform(folds)) for n, m in members(seed).items()}
-    return _score(meta, oof, "stacked").drop("features"), meta, final
-
-
-def predict_ensemble(df: DataFrame, features: str, meta, final: dict) -> DataFrame:
-    out = final["scaler"].transform(df.withColumn("raw", F.col(features)))
-    for name, m in final.items():
-        if name != "scaler":
+@dataclass
+class Stack:
+    """Members over scaled features, a logistic regression on their out-of-fold probabilities, an isotonic step, a threshold."""
+
+    key: str
+    only: tuple[str, ...] = MEMBERS
+    trees: int = TREES
+    rounds: int = ROUNDS
+    seed: int = 42
+    members: dict = field(default_factory=dict)
+
+    def _fresh(self, name: str):
+        return {
+            "lr": lambda: LogisticRegression(maxIter=1000, regParam=0.01), "svm": lambda: MarginClassifier(self.key, seed=self.seed),
+            "rf": lambda: RandomForestClassifier(numTrees=self.trees, maxDepth=5, seed=self.seed), "gbt": lambda: GBTClassifier(maxIter=self.rounds, maxDepth=3, seed=self.seed),
+        }[name]()
+
+    def _scaler(self, rows: DataFrame):
+        return StandardScaler(inputCol="raw", outputCol="features", withMean=True).fit(rows)
+
+    def fit(self, df: DataFrame, label: str, features: str, k: int = FOLDS) -> Stack:
+        """``df``: key, label (0 or 1), features (vector). Scaling is fitted on the training folds only.
+
+        ``oof`` then holds key, label, fold, each member's out-of-fold probability, stacked, calibrated and
+        predicted; the members and the scaler are fitted again on all rows.
+        """
+        base = df.select(self.key, F.col(label).cast("double").alias("label"), F.col(features).alias("raw"))
+        folds = stratified_kfold(base, self.key, "label", k, self.seed).persist()
+        oof = None
+        for f in range(k):
+            scaler = self._scaler(folds.where(F.col("fold") != f))
+            train, test = scaler.transform(folds.where(F.col("fold") != f)).persist(), scaler.transform(folds.where(F.col("fold") == f))
+            for name in self.only:
+                test = _score(self._fresh(name).fit(train), test, name)
+            part = stored(test.select(self.key, "label", "fold", *self.only), f"fold-{f}")
+            oof = part if oof is None else oof.unionByName(part)
+            train.unpersist()
+        self.meta = LogisticRegression(featuresCol="__in", maxIter=1000).fit(self._inputs(oof))
+        stacked = self._stacked(oof).select(self.key, "label", "fold", *self.only, "stacked")
+        self.isotonic = IsotonicRegression(featuresCol="stacked", labelCol="label", predictionCol="calibrated").fit(stacked)
+        calibrated = self.isotonic.transform(stacked)
+        value = F.col("recall") + F.col("specificity") - 1
+        self.threshold = M.best_threshold(M.at_thresholds(calibrated, "label", "calibrated", THRESHOLDS), value).first()["best_threshold"]
+        self.oof = self._predicted(calibrated)
+        self.scaler = self._scaler(folds)
+        whole = self.scaler.transform(folds).persist()
+        self.members = {name: self._fresh(name).fit(whole) for name in self.only}
+        whole.unpersist()
+        folds.unpersist()
+        return self
+
+    def _inputs(self, df: DataFrame) -> DataFrame:
+        return VectorAssembler(inputCols=list(self.only), outputCol="__in").transform(df)
+
+    def _stacked(self, df: DataFrame) -> DataFrame:
+        return _score(self.meta, self._inputs(df), "stacked").drop("__in")
+
+    def _predicted(self, df: DataFrame) -> DataFrame:
+        return df.withColumn("predicted", (F.col("calibrated") >= self.threshold).cast("int"))
+
+    def predict(self, df: DataFrame, features: str) -> DataFrame:
+        """``df`` with the members' probabilities, stacked, calibrated and predicted."""
+        out = self.scaler.transform(df.withColumn("raw", F.col(features)))
+        for name, m in self.members.items():
             out = _score(m, out, name)
-    return _score(meta, out.drop("features"), "stacked").drop("features", "raw")
+        return self._predicted(self.isotonic.transform(self._stacked(out.drop("features", "raw"))))
 
 
-#: Temperatures that are tried.
-TEMPERATURES = [round(0.1 * i, 1) for i in range(1, 101)]
+#: Bounds of a temperature, points tried in each round (evenly in the logarithm), and rounds.
+TEMPERATURES, POINTS, REFINED = (0.01, 10.0), 41, 6
 
 
-def temperature_scaling(df: DataFrame, y: str, p: str) -> DataFrame:
-    """temperature, nll: of the grid the temperature of least negative log-likelihood, the smaller on ties."""
+def logit_counts(df: DataFrame, y: str, p: str) -> DataFrame:
+    """z, pos, neg: log-odds of the probabilities, and how many rows of each label have them.
+
+    Rows meet by the probability itself, so the loss of any temperature is a sum over these rows and exact.
+    """
     q = F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), F.col(p)))
-    rows = df.select(F.col(y).alias("y"), F.ln(q / (1 - q)).alias("z"), F.explode(F.array(*map(F.lit, TEMPERATURES))).alias("temperature"))
-    s = 1 / (1 + F.exp(-F.col("z") / F.col("temperature")))
-    s = F.greatest(F.lit(1e-12), F.least(F.lit(1 - 1e-12), s))
-    nll = rows.groupBy("temperature").agg(F.avg(-(F.col("y") * F.ln(s) + (1 - F.col("y")) * F.ln(1 - s))).alias("nll"))
-    return nll.agg(F.min_by("temperature", F.struct(F.round("nll", 12), "temperature")).alias("temperature"), F.min("nll").alias("nll"))
+    return df.groupBy(F.ln(q / (1 - q)).alias("z")).agg(F.count_if(F.col(y) == 1).alias("pos"), F.count_if(F.col(y) == 0).alias("neg"))
+
 
+def losses(counts: DataFrame, temperatures: list[float]) -> DataFrame:
+    """temperature, nll: mean negative log-likelihood at each temperature."""
+    s = F.greatest(F.lit(1e-7), F.least(F.lit(1 - 1e-7), sigmoid(F.col("z") / F.col("temperature"))))
+    rows = counts.withColumn("temperature", F.explode(F.array(*map(F.lit, temperatures))))
+    total = F.sum(-(F.col("pos") * F.ln(s) + F.col("neg") * F.ln(1 - s)))
+    return rows.groupBy("temperature").agg((total / F.sum(F.col("pos") + F.col("neg"))).alias("nll"))
 
-def baselines(text: Column, query: Column, key: Column, share: float) -> dict[str, Column]:
-    """Model-free scores: majority, uniform, unique-word ratio, query overlap, length, and a blend."""
+
+def temperature_scaling(df: DataFrame, y: str, p: str) -> DataFrame:
+    """temperature, nll: the temperature of least negative log-likelihood between ``TEMPERATURES``.
+
+    The loss is convex in 1 / temperature, so its minimum lies between the neighbours of the best of some points:
+    each round tries points between those, on the counts. One row; none for an empty table.
+    """
+    counts = stored(logit_counts(df, y, p), "logit-counts")
+    low, high = TEMPERATURES
+    best = None
+    for _ in range(REFINED):
+        ratio = (high / low) ** (1 / (POINTS - 1))
+        points = [low * ratio**i for i in range(POINTS)]
+        tried = sorted(((r.nll, r.temperature) for r in losses(counts, points).collect() if r.nll is not None))
+        if not tried:
+            break
+        best = tried[0] if best is None else min(best, tried[0])
+        at = min(range(POINTS), key=lambda i: abs(points[i] - tried[0][1]))
+        low, high = points[max(at - 1, 0)], points[min(at + 1, POINTS - 1)]
+    return df.sparkSession.createDataFrame([(best[1], best[0])] if best else [], "temperature double, nll double")
+
+
+def baselines(text: Column, query: Column, key: Column, share: Column) -> dict[str, Column]:
+    """Model-free scores: majority (of the counted ``share`` of label 1), uniform, unique-word ratio, query overlap, length, and a blend."""
     w, q = F.split(F.lower(text), r"\s+"), F.split(F.lower(query), r"\s+")
     unique = F.size(F.array_distinct(w)) / F.size(w)
     overlap = F.size(F.array_intersect(w, q)) / F.size(F.array_distinct(q))
     uniform = F.conv(F.substring(F.md5(F.concat(key.cast("string"), F.lit(":baseline"))), 1, 8), 16, 10).cast("double") / 4294967296.0
     length = F.pmod(F.length(text), F.lit(100)) / 100.0
-    return {"majority": F.lit(1.0 if share >= 0.5 else 0.0), "uniform": uniform, "unique_words": unique, "query_overlap": overlap, "length": length, "blend": 0.4 * unique + 0.6 * length}
+    return {"majority": (share >= 0.5).cast("double"), "uniform": uniform, "unique_words": unique, "query_overlap": overlap, "length": length, "blend": 0.4 * unique + 0.6 * length}
 
 
 def out_of_fold(df: DataFrame, key: str, label: str, features: str, estimator=None, k: int = 5, seed: int = 42) -> DataFrame:
@@ -93,12 +195,12 @@ def out_of_fold(df: DataFrame, key: str, label: str, features: str, estimator=No
     return out
 
 
-def compare_systems(df: DataFrame, key: str, label: str, features: str, slices: dict[str, list[int]], k: int = 5, seed: int = 42) -> DataFrame:
-    """system, key, label, fold, score: the same folds and model over slices of the feature vector."""
+def compare_systems(df: DataFrame, key: str, label: str, features: str, slices: dict[str, list[int]], k: int = FOLDS, seed: int = 42, only: tuple[str, ...] = ("lr", "svm")) -> DataFrame:
+    """system, key, label, fold, stacked, calibrated, predicted: the same folds and stack over slices of the feature vector."""
     out = None
     for name, dims in slices.items():
         cut = VectorSlicer(inputCol=features, outputCol="__cut", indices=dims).transform(df)
-        part = out_of_fold(cut, key, label, "__cut", k=k, seed=seed).withColumn("system", F.lit(name))
+        part = Stack(key, only, seed=seed).fit(cut, label, "__cut", k).oof.select(key, "label", "fold", "stacked", "calibrated", "predicted").withColumn("system", F.lit(name))
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -116,3 +218,15 @@ def probes(df: DataFrame, key: str, label: str, features: str, first: int = 64,
     spread = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x) / F.size(v) - mean * mean)
     own = df.select(key, (spread / (1 + spread)).alias("spread"), F.lit(1.0 if share >= 0.5 else 0.0).alias("majority"))
     return lr.join(gbt, key).join(few, key).join(own, key)
+
+
+def importance_shares(spark, importances, groups: dict[str, range], top: int = 10) -> DataFrame:
+    """group, share of all importance, and its features among the ``top`` most important, in that order (comma-joined)."""
+    named = [(name, i, float(importances[i])) for name, dims in groups.items() for i in dims if i < len(importances)]  # one for each dimension
+    rows = spark.createDataFrame(named, "group string, feature int, importance double")
+    total = sum(x for *_, x in named) or 1.0
+    best = {i: place for place, (_, i, _) in enumerate(sorted(named, key=lambda x: (-x[2], x[1]))[:top])}
+    listed = spark.createDataFrame(list(best.items()), "feature int, place int")
+    g = rows.join(listed, "feature", "left").groupBy("group")
+    names = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("place").isNotNull(), F.struct("place", "feature")))), lambda x: x["feature"].cast("string")), ",")
+    return g.agg((F.sum("importance") / total).alias("share"), names.alias("top"))

@@ -49,3 +49,45 @@ def feature_diagnostics(vectors: DataFrame) -> DataFrame:
     dims = vectors.select("label", F.posexplode("v").alias("dim", "x"))
     per = dims.groupBy("label", "dim").agg(F.avg("x").alias("m"), F.stddev_pop("x").alias("s"), F.count("*").alias("n"))
     return per.groupBy("label").agg(F.max("n").alias("n"), F.sqrt(F.sum(F.col("m") * F.col("m"))).alias("mean_length"), F.avg("s").alias("mean_spread"), F.sum(F.col("m") * F.col("m")).alias("within_cosine"))
+
+
+def class_summaries(vectors: DataFrame) -> DataFrame:
+    """label, dim, n, m, var, u: of each class and dimension the mean, variance, and mean of the rows' unit vectors (label, v).
+
+    Counts, sums and sums of squares add up, so tasks pass on one row a class and dimension.
+    """
+    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)) + 1e-8
+    dims = vectors.select("label", norm.alias("norm"), F.posexplode("v").alias("dim", "x"))
+    return dims.groupBy("label", "dim").agg(F.count("*").alias("n"), F.avg("x").alias("m"), F.var_pop("x").alias("var"), F.avg(F.col("x") / F.col("norm")).alias("u"))
+
+
+def class_distances(vectors: DataFrame) -> DataFrame:
+    """label_a, label_b (a before b): distance of the classes' means, and the mean cosine over pairs of their rows.
+
+    The mean of the cosines of all pairs is the product of the classes' mean unit vectors, so no pairs of rows are made.
+    """
+    s = class_summaries(vectors)
+    a = s.select("dim", F.col("label").alias("label_a"), F.col("m").alias("ma"), F.col("u").alias("ua"))
+    b = s.select("dim", F.col("label").alias("label_b"), F.col("m").alias("mb"), F.col("u").alias("ub"))
+    j = a.join(b, "dim").where("label_a < label_b")
+    return j.groupBy("label_a", "label_b").agg(F.sqrt(F.sum(F.pow(F.col("ma") - F.col("mb"), F.lit(2)))).alias("centroid_distance"), F.sum(F.col("ua") * F.col("ub")).alias("cosine"))
+
+
+def feature_totals(vectors: DataFrame, near_zero: float = 1e-6) -> DataFrame:
+    """Mean variance of the dimensions over all classes, the number of those without any, and the mean length of a row."""
+    length = vectors.agg(F.avg(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))).alias("mean_l2"))
+    dims = vectors.select(F.posexplode("v").alias("dim", "x")).groupBy("dim").agg(F.var_pop("x").alias("var"))
+    return dims.agg(F.avg("var").alias("variance"), F.count_if(F.col("var") < near_zero).alias("near_zero_dims")).crossJoin(length)  # one row each
+
+
+def level(confidence: Column) -> Column:
+    """How large the uncertainty 1 - confidence is, in words."""
+    u = 1.0 - confidence
+    return F.when(u <= 0.10, "Very Low").when(u <= 0.25, "Low").when(u <= 0.50, "Moderate").when(u <= 0.75, "High").otherwise("Very High")
+
+
+def propagated(stages: dict[str, Column]) -> dict[str, Column]:
+    """overall (geometric mean of the stages' confidences, cut to 0.0001..1), its level, and each stage's level."""
+    logs = [F.ln(F.greatest(F.lit(1e-4), F.least(F.lit(1.0), c))) for c in stages.values()]
+    overall = F.round(F.exp(sum(logs[1:], logs[0]) / len(logs)), 4)
+    return {"overall": overall, "level": level(overall)} | {f"{name}_level": level(c) for name, c in stages.items()}

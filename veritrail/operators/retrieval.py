@@ -9,41 +9,76 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicons as L
 from ..functions import text as T
+from ..session import stored
+from .vectors import nearest
 
-BROADCAST_QUERIES = 100_000
+#: Facts that a rare word is in, at most: only these words' postings are joined without a bound on the score.
+RARE = 500
+#: Aliases that are broadcast, at most.
+BROADCAST_ALIASES = 100_000
 
 
-def lexical_retrieve(claims: DataFrame, facts: DataFrame, k: int = 3) -> DataFrame:
-    """claim_id, fact_id, score (shared distinct words), rank: an inverted-index join on words, never all pairs.
+def shared_words(asked: DataFrame, facts: DataFrame, k: int, rare: int = RARE) -> DataFrame:
+    """id, fact, score (shared distinct words), rank: the ``k`` best facts of each id; ties to the smaller fact.
 
-    ``claims``: claim_id, text; ``facts``: fact_id, text. Ties go to the smaller fact_id.
+    ``asked``: id, words (array); ``facts``: fact, words. Words that are in more than ``rare`` facts are frequent.
+
+    1. Rare words are joined with their postings, and each frequent word with its ``k`` smallest facts. These pairs are
+       scored exactly (frequent words by intersecting arrays), so a k-th best score is known: the bar.
+    2. Any other fact shares frequent words alone, so it is found once for each distinct set of frequent words and
+       not for each id: a fact under the bar cannot count, and one that reaches it has one of the set's rarest
+       |set| - bar + 1 words. The ``k`` best facts of a set are enough, since they outrank all others for each id.
+
+    So frequent words meet sets of words, never every id that has them.
     """
-    tokens = lambda df, i: df.select(i, F.explode(F.array_distinct(F.filter(F.split(F.lower("text"), r"\s+"), lambda w: w != ""))).alias("w"))
-    pairs = tokens(claims, "claim_id").join(tokens(facts, "fact_id"), "w").groupBy("claim_id", "fact_id").agg(F.count("*").alias("score"))
-    w = Window.partitionBy("claim_id").orderBy(F.desc("score"), "fact_id")
-    return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    words = lambda df, key: df.select(key, F.explode(F.array_distinct("words")).alias("w"))
+    best = lambda *key: Window.partitionBy(*key).orderBy(F.desc("score"), "fact")
+    a, f = words(asked, "id"), words(facts, "fact")
+    f = stored(f.join(a.select("w").distinct(), "w", "left_semi"), "postings")
+    counts = f.groupBy("w").agg(F.count("*").alias("n"))
+    a = stored(a.join(counts, "w"), "asked-words")
+    few, many = a.where(F.col("n") <= rare), a.where(F.col("n") > rare)
+    hot = f.join(counts.where(F.col("n") > rare).select("w"), "w")
+    sets = many.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "w"))), lambda x: x["w"]).alias("set"))
+    of_fact = hot.groupBy("fact").agg(F.collect_list("w").alias("hot"))
+    pairs = few.join(f, "w").groupBy("id", "fact").agg(F.count("*").alias("r"))
+    if many.isEmpty():
+        return pairs.withColumnRenamed("r", "score").withColumn("rank", F.row_number().over(best("id"))).where(F.col("rank") <= k)
+    pairs, sets, of_fact = stored(pairs, "rare-pairs"), stored(sets, "word-sets"), stored(of_fact, "frequent-words")
+    heads = hot.withColumn("at", F.row_number().over(Window.partitionBy("w").orderBy("fact"))).where(F.col("at") <= k).select("w", "fact")
+    first = pairs.unionByName(many.join(heads, "w").select("id", "fact", F.lit(0).cast("long").alias("r"))).groupBy("id", "fact").agg(F.max("r").alias("r"))
+    both = F.coalesce(F.size(F.array_intersect("set", "hot")), F.lit(0))
+    scored = stored(first.join(sets, "id", "left").join(of_fact, "fact", "left").select("id", "fact", (F.col("r") + F.when(F.col("set").isNull() | F.col("hot").isNull(), 0).otherwise(both)).alias("score")), "scored-pairs")
+    bar = scored.withColumn("rank", F.row_number().over(best("id"))).where(F.col("rank") == k).select("id", F.col("score").alias("bar"))
+    open_sets = sets.join(bar, "id", "left").groupBy("set").agg(F.greatest(F.lit(1), F.min(F.coalesce("bar", F.lit(0)))).cast("int").alias("bar")).where(F.size("set") >= F.col("bar"))
+    needed = F.slice("set", F.lit(1), F.size("set") - F.col("bar") + 1)
+    near = open_sets.select("set", "bar", F.explode(needed).alias("w")).join(hot, "w").select("set", "bar", "fact").distinct()
+    near = near.join(of_fact, "fact").select("set", "bar", "fact", both.cast("long").alias("score")).where(F.col("score") >= F.col("bar"))
+    near = near.withColumn("rank", F.row_number().over(best("set"))).where(F.col("rank") <= k).select("set", "fact", F.col("score").alias("o"))
+    more = sets.join(near, "set").select("id", "fact", "o").join(pairs, ["id", "fact"], "left").select("id", "fact", (F.col("o") + F.coalesce("r", F.lit(0))).alias("score"))
+    return scored.unionByName(more).distinct().withColumn("rank", F.row_number().over(best("id"))).where(F.col("rank") <= k)
+
+
+def lexical_retrieve(claims: DataFrame, facts: DataFrame, k: int = 3, rare: int = RARE) -> DataFrame:
+    """claim_id, fact_id, score (shared distinct words), rank; ``claims``: claim_id, text; ``facts``: fact_id, text."""
+    split = F.filter(F.split(F.lower("text"), r"\s+"), lambda w: w != "").alias("words")
+    found = shared_words(claims.select(F.col("claim_id").alias("id"), split), facts.select(F.col("fact_id").alias("fact"), split), k, rare)
+    return found.select(F.col("id").alias("claim_id"), F.col("fact").alias("fact_id"), "score", "rank")
 
 
 def dense_retrieve(queries: DataFrame, corpus: DataFrame, k: int = 5) -> DataFrame:
     """query_id, vec_id, score, rank: exact inner products of a stated query set against all rows.
 
-    ``queries``: query_id, q; ``corpus``: vec_id, v. Few queries are broadcast; more meet the corpus in
-    blocks of a shuffle. A query does not find itself.
+    ``queries``: query_id, q; ``corpus``: vec_id, v. A query does not find itself.
     """
-    score = F.aggregate(F.zip_with("q", "v", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda a, x: a + x)
-    if queries.count() <= BROADCAST_QUERIES:
-        pairs = corpus.join(F.broadcast(queries), F.col("query_id") != F.col("vec_id"))
-    else:
-        blocks = 64
-        asked = queries.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-        pairs = corpus.withColumn("b", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")).join(asked, "b").where("query_id <> vec_id")
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return pairs.select("query_id", "vec_id", score.alias("score")).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    of = lambda df, key, v: df.where(F.col(v).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(v).cast("array<double>").alias("vector"))
+    return nearest(of(queries, "query_id", "q"), of(corpus, "vec_id", "v"), k)
 
 
 def alias_join(names: DataFrame, aliases: DataFrame) -> DataFrame:
     """``names`` (id, name) with title: the canonical title of the normalised name, else the name."""
-    a = F.broadcast(aliases.select(T.normalized(F.col("alias")).alias("key"), "title").dropDuplicates(["key"]))  # a fixed list of names
+    a = aliases.select(T.normalized(F.col("alias")).alias("key"), "title").groupBy("key").agg(F.min("title").alias("title"))
+    a = F.broadcast(a) if aliases.limit(BROADCAST_ALIASES + 1).count() <= BROADCAST_ALIASES else a
     return names.withColumn("key", T.normalized(F.col("name"))).join(a, "key", "left").withColumn("title", F.coalesce("title", "name")).drop("key")
 
 

@@ -9,7 +9,7 @@ from ..operators import metrics as M
 from .profiles import PROFILES, claims, pages, people
 from .q_text import strip
 from .registry import query, table
-from .views import PRED, predictions
+from .views import PRED, QA, predictions, qa_pairs
 
 _NUM = lambda x: rf"list_filter(list_transform(regexp_extract_all({x}, '\b\d+(?:\.\d+)?\b'), lambda n: n::DOUBLE), lambda v: v NOT IN (1900, 2000))"
 _SENT = lambda x: rf"list_filter(list_transform(string_split(regexp_replace({x}, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda s: {strip('s')}), lambda s: s <> '')"
@@ -49,18 +49,28 @@ def m02(spark, d):
 
 @query("M11_calibrators")
 def m11(spark, d):
-    p = X.isotonic(X.gated(X.platt(predictions(spark, d), "y", "p"), "y", "p", "p2"), "y", "p")
+    p = X.isotonic(X.calibrated(X.calibrated(predictions(spark, d), "y", ["p"], "platt"), "y", ["p", "p2"], "gated"), "y", "p")
     return p.select("id", "platt", "gated", "isotonic")
 
 
-_DELETED = "greatest(0.0::DOUBLE, p - k * 0.05::DOUBLE)"
+KS = [1, 3, 5]
+_SPLITW = lambda c: rf"list_filter(string_split_regex(lower({c}), '\s+'), lambda x: x <> '')"
 
 
-@query("A33_attribution_faithfulness", f"WITH {PRED}, x AS (SELECT k, p, {_DELETED} AS t, p - k * 0.01::DOUBLE * p2 AS r FROM pred, unnest([1, 3, 5]) AS u(k)), g AS (SELECT k, avg(p - t) AS top_drop, avg(p - r) AS random_drop FROM x GROUP BY k) SELECT k, top_drop, random_drop, CASE WHEN random_drop >= 0 THEN top_drop / (random_drop + 1e-6) ELSE top_drop / 1e-6 END AS ratio, top_drop - random_drop AS gain FROM g")
+def qa_parts(spark, d):
+    """id, parts: words of an answer, scored by whether its question has them."""
+    words = lambda c: F.filter(F.split(F.lower(c), r"\s+"), lambda w: w != "")
+    qa = qa_pairs(spark, d)
+    return qa.select(F.col("response_id").alias("id"), X.ungrounded(words(F.col("response")), words(F.col("query"))).alias("parts"))
+
+
+@query("A33_attribution_faithfulness", f"""WITH {QA}, t AS (SELECT response_id AS id, {_SPLITW('response')} AS ws, {_SPLITW('query')} AS q FROM qa), w AS (SELECT id, i, length(ws[i])::DOUBLE AS den, CASE WHEN list_contains(q, ws[i]) THEN 0 ELSE length(ws[i]) END::DOUBLE AS num FROM t, unnest(range(1, len(ws) + 1)) AS r(i)),
+  s AS (SELECT *, sum(num) OVER (PARTITION BY id) AS n, sum(den) OVER (PARTITION BY id) AS d FROM w), o AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY CASE WHEN d - den > 0 THEN (n - num) / (d - den) ELSE 0 END - n / d, i) AS rt, row_number() OVER (PARTITION BY id ORDER BY md5(id || ':' || i || ':42'), i) AS rr FROM s),
+  x AS (SELECT id, k, any_value(n / d) AS original, coalesce(sum(num) FILTER (rt > k) / sum(den) FILTER (rt > k), 0) AS t, coalesce(sum(num) FILTER (rr > k) / sum(den) FILTER (rr > k), 0) AS r FROM o, unnest({KS}) AS u(k) GROUP BY ALL),
+  e AS (SELECT * FROM x UNION ALL SELECT id, k, 0, 0, 0 FROM t, unnest({KS}) AS u(k) WHERE len(ws) = 0), g AS (SELECT k, avg(original - t) AS top_drop, avg(original - r) AS random_drop FROM e GROUP BY k)
+  SELECT k, top_drop, random_drop, CASE WHEN random_drop >= 0 THEN top_drop / (random_drop + 1e-6) ELSE top_drop / 1e-6 END AS ratio, top_drop - random_drop AS gain FROM g""")
 def a33(spark, d):
-    k = F.explode(F.array(*map(F.lit, [1, 3, 5]))).alias("k")
-    x = predictions(spark, d).select("p", "p2", k)
-    return X.faithfulness_by_k(x.select("k", F.col("p").alias("original"), F.greatest(F.lit(0.0), F.col("p") - F.col("k") * 0.05).alias("top_deleted"), (F.col("p") - F.col("k") * 0.01 * F.col("p2")).alias("random_deleted")))
+    return X.faithfulness_by_k(X.deletion_scores(qa_parts(spark, d), KS))
 
 
 _MAPS = "m AS (SELECT id AS position, 1 AS seed, p AS v FROM pred UNION ALL SELECT id, 2, p2 FROM pred UNION ALL SELECT id, 3, (id % 7) / 7.0::DOUBLE FROM pred)"

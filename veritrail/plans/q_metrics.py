@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import metrics as M
+from ..operators import resampling as B
 from .registry import query
 from .views import PRED, STAGES, predictions, stage_events
 
@@ -100,6 +101,18 @@ def a20b(spark, d):
     return M.best_threshold(M.at_thresholds(predictions(spark, d), "y", "p", SWEEP), F.col("f1"))
 
 
+#: The thresholds that a data set's evaluation tries.
+FEW = [0.2, 0.25, 0.3, 0.35, 0.4, 0.5]
+
+
+@query("A20_threshold_sweep_dataset", f"WITH {PRED}, {_SWEPT(FEW)}, m AS (SELECT {_closed(None, 'threshold, ')} FROM c) SELECT threshold, round(accuracy, 4) AS accuracy, round(precision, 4) AS precision, round(recall, 4) AS recall, round(f1, 4) AS f1, threshold = (SELECT threshold FROM m ORDER BY f1 DESC, threshold LIMIT 1) AS best FROM m")
+def a20d(spark, d):
+    m = M.at_thresholds(predictions(spark, d), "y", "p", FEW)
+    best = F.broadcast(M.best_threshold(m, F.col("f1")).select("best_threshold"))
+    four = [F.round(c, 4).alias(c) for c in ("accuracy", "precision", "recall", "f1")]
+    return m.crossJoin(best).select("threshold", *four, (F.col("threshold") == F.col("best_threshold")).alias("best"))  # best: one row
+
+
 YOUDEN = [round(0.1 + i / 100, 2) for i in range(81)]
 
 
@@ -110,12 +123,17 @@ def a21(spark, d):
 
 @query("A22_bootstrap_ci")
 def a22(spark, d):
-    return M.bootstrap_ci(predictions(spark, d), "id", "y", "p", 0.6)
+    return B.bootstrap_ci(predictions(spark, d), "y", "p", 0.6)
 
 
 @query("A23_paired_bootstrap")
 def a23(spark, d):
-    return M.paired_bootstrap(predictions(spark, d), "id", "y", "p", "p2")
+    return B.paired_bootstrap(predictions(spark, d), "y", "p", "p2")
+
+
+@query("A24_mcnemar_counts", f"WITH {PRED}, r AS (SELECT count(*) FILTER (y = (p >= 0.6)::INT AND y <> (p2 >= 0.4)::INT) AS b, count(*) FILTER (y <> (p >= 0.6)::INT AND y = (p2 >= 0.4)::INT) AS c FROM pred) SELECT b, c, CASE WHEN b + c > 0 THEN pow(abs(b - c) - 1, 2) / (b + c) ELSE 0 END::DOUBLE AS statistic FROM r")
+def a24c(spark, d):
+    return a24(spark, d).drop("p_value")
 
 
 @query("A24_mcnemar")
@@ -160,12 +178,22 @@ def a28(spark, d):
     return M.classification_metrics(p.select(F.lit("claim").alias("grain"), "y", "h").unionByName(response.select(F.lit("response").alias("grain"), "y", "h")), "y", "h", ["grain"])
 
 
-@query("A42_split_evaluation", f"""WITH {PRED}, q AS (SELECT *, {_SPLIT} AS split FROM pred), au AS ({_AUC.format(by="split,", part="split", p="p", rel="q", group="GROUP BY split")}),
-  c AS (SELECT split, {_CM}, avg((p - y) * (p - y)) AS brier FROM (SELECT split, y, p, (p >= 0.6)::INT AS h FROM q) GROUP BY split) SELECT {_closed(4, 'split, brier, auroc, ')} FROM c JOIN au USING (split)""")
+_LEFT_OPEN = "SELECT split, sum(CASE WHEN bin IS NULL THEN 0 ELSE n * abs(accuracy - confidence) END) / sum(n) AS ece FROM (SELECT split, CASE WHEN p > 0 THEN ceil(p * 10) END AS bin, count(*) AS n, avg(y) AS accuracy, avg(p) AS confidence FROM q GROUP BY ALL) GROUP BY split"
+
+
+@query("A42_split_evaluation", f"""WITH {PRED}, q AS (SELECT *, {_SPLIT} AS split FROM pred), au AS ({_AUC.format(by="split,", part="split", p="p", rel="q", group="GROUP BY split")}), au2 AS ({_AUC.format(by="split,", part="split", p="p2", rel="q", group="GROUP BY split")}), ec AS ({_LEFT_OPEN}),
+  c AS (SELECT split, {_CM}, avg((p - y) * (p - y)) AS brier FROM (SELECT split, y, p, (p >= 0.6)::INT AS h FROM q) GROUP BY split) SELECT {_closed(4, 'split, brier, au.auroc, au2.auroc AS auroc_p2, ece, ')} FROM c JOIN au USING (split) JOIN au2 USING (split) JOIN ec USING (split)""")
 def a42(spark, d):
     p = predictions(spark, d).withColumns({"split": F.expr(_SPLIT), "h": (F.col("p") >= 0.6).cast("int")})
     b = p.groupBy("split").agg(M.brier("y", "p").alias("brier"))
-    return M.classification_metrics(p, "y", "h", ["split"]).join(b, "split").join(M.roc_auc(p, "y", "p", ["split"]), "split")
+    member = M.roc_auc(p, "y", "p2", ["split"]).withColumnRenamed("auroc", "auroc_p2")
+    return M.classification_metrics(p, "y", "h", ["split"]).join(b, "split").join(M.roc_auc(p, "y", "p", ["split"]), "split").join(member, "split").join(M.grouped_ece(p, "y", "p", ["split"]), "split")
+
+
+@query("A42_split_intervals")
+def a42i(spark, d):
+    """Bootstrap intervals of every split's metrics."""
+    return B.bootstrap_ci(predictions(spark, d).withColumn("split", F.expr(_SPLIT)), "y", "p", 0.6, by="split")
 
 
 #: Eight configurations of an ablation: weight of the first model's probability.
@@ -194,6 +222,27 @@ def a32(spark, d):
     return M.roc_auc(x, "y", "q", ["alpha"])
 
 
+_FUSED = f"""x AS (SELECT a AS alpha, y, round(a * p + (1 - a) * p2, 9) AS q FROM pred, unnest([{', '.join(map(repr, ALPHAS))}]::DOUBLE[]) AS r(a)), au AS ({_AUC.format(by="alpha,", part="alpha", p="q", rel="x", group="GROUP BY alpha")})"""
+
+
+@query("A32_best_fusion_weight", f"WITH {PRED}, {_FUSED} SELECT alpha AS best_alpha, round(auroc, 9) AS best_auroc FROM au ORDER BY round(auroc, 9) DESC, alpha LIMIT 1")
+def a32b(spark, d):
+    return M.best_weight(a32(spark, d).withColumn("auroc", F.round("auroc", 9)), "alpha", "auroc")
+
+
+#: Weights of the internal score in the table of fusions.
+WEIGHTS = [0.5, 0.6, 0.7, 0.8, 0.9]
+
+
+@query("A32_fusion_weight_table", f"""WITH {PRED}, x AS (SELECT w AS weight, y, round(w * p + round(1 - w, 2) * p2, 9) AS q FROM pred, unnest([{', '.join(map(repr, WEIGHTS))}]::DOUBLE[]) AS r(w)), au AS ({_AUC.format(by="weight,", part="weight", p="q", rel="x", group="GROUP BY weight")}),
+  c AS (SELECT weight, {_CM} FROM (SELECT weight, y, (q >= 0.5)::INT AS h FROM x) GROUP BY weight), m AS (SELECT {_closed(4, 'weight, ')} FROM c) SELECT weight, accuracy, f1, auroc FROM m JOIN au USING (weight)""")
+def a32t(spark, d):
+    w = F.explode(F.array(*[F.lit(x) for x in WEIGHTS])).alias("weight")
+    x = predictions(spark, d).select("y", "p", "p2", w).withColumn("q", F.round(F.col("weight") * F.col("p") + F.round(1 - F.col("weight"), 2) * F.col("p2"), 9))
+    m = M.classification_metrics(x.withColumn("h", (F.col("q") >= 0.5).cast("int")), "y", "h", ["weight"]).select("weight", "accuracy", "f1")
+    return m.join(M.roc_auc(x, "y", "q", ["weight"]), "weight")
+
+
 @query("A30_seed_summary", f"""WITH {PRED}, s AS (SELECT id % 5 AS seed, avg((y = (p >= 0.6)::INT)::INT) AS accuracy FROM pred GROUP BY 1)
   SELECT count(*) AS n_seeds, avg(accuracy) AS mean, stddev_samp(accuracy) AS std, stddev_pop(accuracy) AS std_pop FROM s""")
 def a30(spark, d):
@@ -227,12 +276,3 @@ def a27(spark, d):
 def j13(spark, d):
     p = predictions(spark, d)
     return p.where("id % 2 = 0 OR id % 3 = 0").select("id", "y", "p").join(p.where("id % 3 <> 1").select("id", "p2"), "id")
-
-
-@query("A41_benchmark_report", f"""WITH {PRED}, c AS (SELECT {_CM} FROM (SELECT y, (p >= 0.2)::INT AS h FROM pred)), m AS (SELECT {_closed()} FROM c), {_BINS}
-  SELECT * FROM (SELECT 'full' AS config, 'accuracy' AS metric, accuracy AS value FROM m UNION ALL SELECT 'full', 'f1', f1 FROM m UNION ALL SELECT 'full', 'mcc', mcc FROM m UNION ALL SELECT 'full', 'ece', (SELECT sum(n * gap) / sum(n) FROM bi) UNION ALL SELECT 'full', 'brier', avg((p - y) * (p - y)) FROM pred)""")
-def a41(spark, d):
-    p = predictions(spark, d)
-    m = M.classification_metrics(p.withColumn("h", (F.col("p") >= 0.2).cast("int")), "y", "h").select("accuracy", "f1", "mcc")
-    one = m.crossJoin(M.ece(M.calibration_bins(p, "y", "p"))).crossJoin(p.agg(M.brier("y", "p").alias("brier")))  # one row each
-    return one.withColumn("config", F.lit("full")).unpivot("config", ["accuracy", "f1", "mcc", "ece", "brier"], "metric", "value")

@@ -13,6 +13,7 @@ from ..operators import metrics as M
 from ..operators import ml
 from ..operators import retrieval
 from ..operators import scoring as S
+from ..session import stored
 from .q_text import _EV, SPLIT, claims_of, sql_jaccard, sql_overlap_words, strings, strip, with_evidence
 from .registry import query, table
 from .views import PRED, TEMPLATED, predictions
@@ -22,23 +23,33 @@ def _vectors(spark, d):
     return table(spark, d, "embeddings").select("vec_id", (F.col("label") < 5).cast("int").alias("y"), array_to_vector("embedding").alias("v"))
 
 
+_STACKS: dict[tuple[str, str], ml.Stack] = {}
+
+
+def _stack(spark, d) -> ml.Stack:
+    """The stack over the vectors, fitted once for a session and folder."""
+    at = (spark.sparkContext.applicationId, d)
+    if at not in _STACKS:
+        _STACKS[at] = ml.Stack("vec_id", trees=50, rounds=20).fit(_vectors(spark, d), "y", "v")
+    return _STACKS[at]
+
+
 @query("M08_oof_stacking")
 def m08(spark, d):
-    return ml.oof_stacking(_vectors(spark, d), "vec_id", "y", "v")[0]
+    return _stack(spark, d).oof
 
 
 @query("M09_predict_ensemble")
 def m09(spark, d):
-    v = _vectors(spark, d)
-    _, meta, final = ml.oof_stacking(v, "vec_id", "y", "v", 2)
-    return ml.predict_ensemble(v, "v", meta, final).select("vec_id", "y", "stacked")
+    return _stack(spark, d).predict(_vectors(spark, d), "v").select("vec_id", "y", *ml.MEMBERS, "stacked", "calibrated", "predicted")
 
 
 @query("M13_compare_systems")
 def m13(spark, d):
-    """AUROC of the same model and folds over slices of the vectors."""
+    """AUROC and F1 of the same folds and members over slices of the vectors."""
     slices = {"A": list(range(32)), "B": [32, 33, 34], "C": list(range(35, 50)), "D": list(range(64))}
-    return M.roc_auc(ml.compare_systems(_vectors(spark, d), "vec_id", "y", "v", slices), "label", "score", ["system"])
+    c = stored(ml.compare_systems(_vectors(spark, d), "vec_id", "y", "v", slices), "systems")
+    return M.roc_auc(c, "label", "calibrated", ["system"]).join(M.classification_metrics(c, "label", "predicted", ["system"]).select("system", "f1", "accuracy"), "system")
 
 
 @query("M14_fitted_probes")
@@ -46,13 +57,24 @@ def m14_fitted(spark, d):
     return ml.probes(_vectors(spark, d), "vec_id", "y", "v", 32, 3).drop("label")
 
 
-_TEMPS = ", ".join(map(repr, ml.TEMPERATURES))
+def _grid(low: str, high: str) -> str:
+    return f"list_transform(range({ml.POINTS}), lambda i: ({low}) * pow(({high}) / ({low}), i / {ml.POINTS - 1}.0::DOUBLE))"
+
 
+def _rounds() -> str:
+    """Each round's points, losses and bounds, as the operator narrows them."""
+    out = [f"g0 AS (SELECT {_grid(*(f'{x}::DOUBLE' for x in ml.TEMPERATURES))} AS ts)"]
+    for r in range(ml.REFINED):
+        out.append(f"l{r} AS (SELECT i, t, (SELECT sum(-(pos * ln(s) + neg * ln(1 - s))) / sum(pos + neg) FROM (SELECT pos, neg, greatest(1e-7, least(1 - 1e-7, 1 / (1 + exp(-z / t)))) AS s FROM zc)) AS nll FROM (SELECT unnest(ts) AS t, unnest(range(1, {ml.POINTS + 1})) AS i FROM g{r}))")
+        out.append(f"b{r} AS (SELECT t, nll, i FROM l{r} ORDER BY nll, t LIMIT 1)")
+        out.append(f"g{r + 1} AS (SELECT {_grid('lo', 'hi')} AS ts FROM (SELECT ts[greatest(i - 1, 1)] AS lo, ts[least(i + 1, {ml.POINTS})] AS hi FROM g{r}, b{r}))")
+    return ", ".join(out)
 
-@query("M12_temperature_scaling", f"""WITH {PRED}, z AS (SELECT y, ln(q / (1 - q)) AS z FROM (SELECT y, greatest(1e-6, least(1 - 1e-6, p)) AS q FROM pred)), s AS (SELECT t, y, greatest(1e-12, least(1 - 1e-12, 1 / (1 + exp(-z / t)))) AS s FROM z, unnest([{_TEMPS}]::DOUBLE[]) AS r(t)),
-  n AS (SELECT t, avg(-(y * ln(s) + (1 - y) * ln(1 - s))) AS nll FROM s GROUP BY t) SELECT t AS temperature, nll FROM n ORDER BY round(nll, 12), t LIMIT 1""")
+
+@query("M12_temperature_scaling", f"""WITH {PRED}, zc AS (SELECT ln(q / (1 - q)) AS z, count(*) FILTER (y = 1) AS pos, count(*) FILTER (y = 0) AS neg FROM (SELECT y, greatest(1e-6, least(1 - 1e-6, p)) AS q FROM pred) GROUP BY 1), {_rounds()}
+  SELECT round(temperature, 5) AS temperature, round(nll, 9) AS nll FROM (SELECT t AS temperature, nll FROM (""" + " UNION ALL ".join(f"SELECT * FROM b{r}" for r in range(ml.REFINED)) + """) ORDER BY nll, t LIMIT 1)""")
 def m12(spark, d):
-    return ml.temperature_scaling(predictions(spark, d), "y", "p")
+    return ml.temperature_scaling(predictions(spark, d), "y", "p").select(F.round("temperature", 5).alias("temperature"), F.round("nll", 9).alias("nll"))
 
 
 _BASE = r"""b AS (SELECT doc_id, y, w, q, ('0x' || substr(md5(doc_id || ':baseline'), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS uniform, len(list_distinct(w))::DOUBLE / len(w) AS unique_words,
@@ -60,31 +82,42 @@ _BASE = r"""b AS (SELECT doc_id, y, w, q, ('0x' || substr(md5(doc_id || ':baseli
 
 
 def _baselines(spark, d):
-    j = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id")
-    cols = ml.baselines(F.col("text"), F.concat("source", F.lit(" the and")), F.col("doc_id"), 1.0)
+    labels = table(spark, d, "labels")
+    share = F.broadcast(labels.join(table(spark, d, "documents").select("doc_id"), "doc_id").agg(F.avg("quality").alias("share")))
+    j = table(spark, d, "documents").join(labels, "doc_id").crossJoin(share)  # one row
+    cols = ml.baselines(F.col("text"), F.concat("source", F.lit(" the and")), F.col("doc_id"), F.col("share"))
     return j.select("doc_id", F.col("quality").alias("y"), *[c.alias(n) for n, c in cols.items()])
 
 
-@query("M14_baselines", f"WITH {_BASE} SELECT doc_id, y, 1.0::DOUBLE AS majority, uniform, unique_words, query_overlap, length, 0.4 * unique_words + 0.6 * length AS blend FROM b")
+@query("M14_baselines", f"WITH {_BASE} SELECT doc_id, y, (avg(y) OVER () >= 0.5)::INT::DOUBLE AS majority, uniform, unique_words, query_overlap, length, 0.4 * unique_words + 0.6 * length AS blend FROM b")
 def m14(spark, d):
     return _baselines(spark, d)
 
 
-@query("M15_baseline_table")
+_NAMES = ["majority", "uniform", "unique_words", "query_overlap", "length", "blend"]
+_RATE = lambda a, b: f"CASE WHEN ({b}) <> 0 THEN ({a})::DOUBLE / ({b}) ELSE 0 END"
+
+
+@query("M15_baseline_table", f"""WITH {_BASE}, w AS (SELECT doc_id, y, (avg(y) OVER () >= 0.5)::INT::DOUBLE AS majority, uniform, unique_words, query_overlap, length, 0.4 * unique_words + 0.6 * length AS blend FROM b),
+  l AS (UNPIVOT w ON {', '.join(_NAMES)} INTO NAME baseline VALUE p), c AS (SELECT baseline, count(*) FILTER (y = 1 AND p >= 0.5) AS tp, count(*) FILTER (y = 0 AND p >= 0.5) AS fp, count(*) FILTER (y = 1 AND p < 0.5) AS fn, count(*) FILTER (y = 1) AS pa FROM l GROUP BY baseline),
+  r AS (SELECT *, rank() OVER (PARTITION BY baseline ORDER BY p) + (count(*) OVER (PARTITION BY baseline, p) - 1) / 2.0 AS rk FROM l), au AS (SELECT baseline, CASE WHEN sum(y) = 0 OR sum(y) = count(*) THEN 0.5 ELSE (sum(CASE WHEN y = 1 THEN rk ELSE 0 END) - sum(y)::DOUBLE * (sum(y) + 1) / 2) / (sum(y)::DOUBLE * (count(*) - sum(y))) END AS auroc FROM r GROUP BY baseline),
+  s AS (SELECT baseline, p, sum(y) AS pos, count(*) AS n FROM l GROUP BY ALL), t AS (SELECT baseline, pos, sum(pos) OVER w AS tp, sum(n) OVER w AS n FROM s WINDOW w AS (PARTITION BY baseline ORDER BY p DESC)), ap AS (SELECT baseline, sum(pos * (tp::DOUBLE / n)) / sum(pos) AS average_precision FROM t GROUP BY baseline)
+  SELECT baseline, round({_RATE('2 * tp', '2 * tp + fp + fn')}, 4) AS f1, round({_RATE('tp', 'tp + fp')}, 4) AS precision, round({_RATE('tp', 'pa')}, 4) AS recall, auroc, average_precision FROM c JOIN au USING (baseline) JOIN ap USING (baseline)""")
 def m15(spark, d):
     b = _baselines(spark, d)
-    names = [c for c in b.columns if c not in ("doc_id", "y")]
-    long = b.unpivot(["doc_id", "y"], names, "baseline", "p").withColumn("h", (F.col("p") >= 0.5).cast("int"))
+    long = b.unpivot(["doc_id", "y"], _NAMES, "baseline", "p").withColumn("h", (F.col("p") >= 0.5).cast("int"))
     m = M.classification_metrics(long, "y", "h", ["baseline"]).select("baseline", "f1", "precision", "recall")
     return m.join(M.roc_auc(long, "y", "p", ["baseline"]), "baseline").join(M.pr_auc(long, "y", "p", ["baseline"]).select("baseline", "average_precision"), "baseline")
 
 
+#: Named groups of the vectors' dimensions.
+GROUPS = {"internal": range(0, 32), "scores": range(32, 48), "evidence": range(48, 64)}
+
+
 @query("M16_feature_importance_share")
 def m16(spark, d):
-    _, _, final = ml.oof_stacking(_vectors(spark, d), "vec_id", "y", "v", 2)
-    importance = [(i, float(x)) for i, x in enumerate(final["rf"].featureImportances.toArray())]  # one value for each of 64 dimensions
-    rows = spark.createDataFrame(importance, "feature int, importance double").withColumn("group", F.when(F.col("feature") < 32, "first").otherwise("second"))
-    return rows.groupBy("group").agg(F.sum("importance").alias("share"), F.max_by("feature", "importance").alias("top"))
+    """Share of the forest's importance by group, and each group's features among the ten most important."""
+    return ml.importance_shares(spark, _stack(spark, d).members["rf"].featureImportances.toArray(), GROUPS)
 
 
 _LONG = rf"list_transform(list_filter(string_split_regex(text, '\s+'), lambda w: length(w) > 3), lambda w: lower(regexp_replace(w, '^[.,!?\"'']+|[.,!?\"'']+$', '', 'g')))"

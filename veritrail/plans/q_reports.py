@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import metrics as M
 from ..operators import reports as P
+from .q_metrics import _BINS, _CM, _closed, a31
+from .q_retrieval import a19
 from .q_text import _ENT, _EV, _VER, sql_normalized, sql_words, verified
-from .registry import query, table
+from .registry import SQL, query, table
 from .views import PRED, TEMPLATED, predictions, templated
 
 
@@ -44,6 +47,55 @@ def a36(spark, d):
     return P.feature_diagnostics(table(spark, d, "embeddings").select("label", F.col("embedding").cast("array<double>").alias("v")))
 
 
+_UNIT = "SELECT label, i, v[i] AS x, v[i] / (sqrt(list_sum(list_transform(v, lambda x: x * x))) + 1e-8) AS u FROM (SELECT label, embedding::DOUBLE[] AS v FROM embeddings), unnest(range(1, 65)) AS r(i)"
+
+
+@query("A36_class_distances", f"WITH x AS ({_UNIT}), p AS (SELECT label, i, avg(x) AS m, avg(u) AS u FROM x GROUP BY ALL) SELECT a.label AS label_a, b.label AS label_b, sqrt(sum(pow(a.m - b.m, 2))) AS centroid_distance, sum(a.u * b.u) AS cosine FROM p a JOIN p b ON a.i = b.i AND a.label < b.label GROUP BY ALL")
+def a36d(spark, d):
+    return P.class_distances(table(spark, d, "embeddings").select("label", F.col("embedding").cast("array<double>").alias("v")))
+
+
+@query("A36_feature_totals", f"WITH x AS ({_UNIT}), p AS (SELECT i, var_pop(x) AS var FROM x GROUP BY i), n AS (SELECT avg(sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x)))) AS mean_l2 FROM embeddings) SELECT avg(var) AS variance, count(*) FILTER (var < 1e-6) AS near_zero_dims, any_value(mean_l2) AS mean_l2 FROM p, n")
+def a36t(spark, d):
+    return P.feature_totals(table(spark, d, "embeddings").select("label", F.col("embedding").cast("array<double>").alias("v")))
+
+
+_LEVEL = lambda c: f"CASE WHEN 1.0 - {c} <= 0.10 THEN 'Very Low' WHEN 1.0 - {c} <= 0.25 THEN 'Low' WHEN 1.0 - {c} <= 0.50 THEN 'Moderate' WHEN 1.0 - {c} <= 0.75 THEN 'High' ELSE 'Very High' END"
+_STAGES4 = ["extraction", "retrieval", "quality", "verification"]
+_LN = lambda c: f"ln(greatest(1e-4, least(1.0, {c})))"
+
+
+@query("A10_uncertainty_propagation", f"""WITH {TEMPLATED}, {_EV}, {_ENT}, {_VER}, e AS (SELECT claim_id, max(score) AS top, avg(score) AS mean FROM evidence GROUP BY claim_id),
+  g AS (SELECT response_id, avg(least(1.0, 6.0::DOUBLE / len(string_split(text, ' ')))) AS extraction, avg(coalesce(top, 0)) AS retrieval, avg(coalesce(mean, 0)) AS quality, avg(confidence) AS verification FROM ver v LEFT JOIN e USING (claim_id) GROUP BY response_id),
+  o AS (SELECT *, round(exp(({' + '.join(map(_LN, _STAGES4))}) / 4), 4) AS overall FROM g) SELECT response_id, overall, {_LEVEL('overall')} AS level, {', '.join(f'{_LEVEL(s)} AS {s}_level' for s in _STAGES4)} FROM o""")
+def a10(spark, d):
+    """Stages: claims short enough to be atomic, best evidence, mean evidence, and the verdicts' confidence."""
+    e = templated(spark, d)[1].groupBy("claim_id").agg(F.max("score").alias("top"), F.avg("score").alias("mean"))
+    j = verified(spark, d).select("response_id", "claim_id", "text", "confidence").join(e, "claim_id", "left")
+    g = j.groupBy("response_id").agg(
+        F.avg(F.least(F.lit(1.0), 6.0 / F.size(F.split("text", " ")))).alias("extraction"), F.avg(F.coalesce("top", F.lit(0.0))).alias("retrieval"), F.avg(F.coalesce("mean", F.lit(0.0))).alias("quality"), F.avg("confidence").alias("verification")
+    )
+    out = P.propagated({s: F.col(s) for s in _STAGES4})
+    return g.select("response_id", *(c.alias(n) for n, c in out.items()))
+
+
+_FULL = ["accuracy", "f1", "mcc", "ece", "brier"]
+
+
+@query("A41_benchmark_report", f"""WITH {PRED}, c AS (SELECT {_CM} FROM (SELECT y, (p >= 0.2)::INT AS h FROM pred)), m AS (SELECT {_closed()} FROM c), {_BINS}, a19 AS ({SQL['A19_retrieval_metrics']}), a31 AS ({SQL['A31_ablation_matrix']})
+  SELECT * FROM (SELECT 'full' AS config, 'accuracy' AS metric, accuracy AS value FROM m UNION ALL SELECT 'full', 'f1', f1 FROM m UNION ALL SELECT 'full', 'mcc', mcc FROM m UNION ALL SELECT 'full', 'ece', (SELECT sum(n * gap) / sum(n) FROM bi) UNION ALL SELECT 'full', 'brier', avg((p - y) * (p - y)) FROM pred
+    UNION ALL SELECT 'retrieval', 'recall', recall FROM a19 UNION ALL SELECT 'retrieval', 'mrr', mrr FROM a19 UNION ALL SELECT 'retrieval', 'ndcg', ndcg FROM a19
+    UNION ALL SELECT 'ablation ' || config, 'accuracy', accuracy FROM a31 UNION ALL SELECT 'ablation ' || config, 'f1', f1 FROM a31 UNION ALL SELECT 'ablation ' || config, 'f1_change', f1_change FROM a31)""")
+def a41(spark, d):
+    p = predictions(spark, d)
+    m = M.classification_metrics(p.withColumn("h", (F.col("p") >= 0.2).cast("int")), "y", "h").select("accuracy", "f1", "mcc")
+    one = m.crossJoin(M.ece(M.calibration_bins(p, "y", "p"))).crossJoin(p.agg(M.brier("y", "p").alias("brier")))  # one row each
+    full = one.withColumn("config", F.lit("full")).unpivot("config", _FULL, "metric", "value")
+    found = a19(spark, d).withColumn("config", F.lit("retrieval")).unpivot("config", ["recall", "mrr", "ndcg"], "metric", "value")
+    ablated = a31(spark, d).withColumn("config", F.concat(F.lit("ablation "), "config")).unpivot("config", ["accuracy", "f1", "f1_change"], "metric", "value")
+    return full.unionByName(found).unionByName(ablated)
+
+
 _OPEN = r"regexp_replace(regexp_replace(s, '^\s+|\s+$', '', 'g'), '(?i)^(well|so|actually|in fact|yes|no|sure|of course|certainly),?\s+', '')"
 
 

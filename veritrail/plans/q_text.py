@@ -319,11 +319,6 @@ def a06(spark, d):
     return s.select("response_id", S.fused(F.col("internal"), F.col("p_evidence"), F.col("n_contradicted") > 0, F.col("n_supported") == F.col("n"), 0.5).alias("probability"))
 
 
-@query("A10_uncertainty_propagation", f"""WITH {TEMPLATED}, {_EV}, {_ENT}, {_VER} SELECT response_id, exp(avg(ln(greatest(1e-4, confidence)))) AS combined FROM ver GROUP BY response_id""")
-def a10(spark, d):
-    return verified(spark, d).groupBy("response_id").agg(F.exp(F.avg(F.ln(F.greatest(F.lit(1e-4), F.col("confidence"))))).alias("combined"))
-
-
 @query("V16_explain_response", f"""WITH {TEMPLATED}, {_EV}, {_ENT}, {_VER} SELECT response_id, count(*) FILTER (verdict = 'supported') || ' supported, ' || count(*) FILTER (verdict = 'contradicted') || ' contradicted, ' || count(*) FILTER (verdict = 'insufficient') || ' insufficient' AS counts,
   coalesce(string_agg(text, ' ' ORDER BY lower(text), verdict) FILTER (verdict = 'supported'), '') AS supported, coalesce(string_agg(text, ' ' ORDER BY lower(text), verdict) FILTER (verdict = 'insufficient'), '') AS insufficient FROM ver GROUP BY response_id""")
 def v16(spark, d):

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..operators.ranks import with_percentiles
 
 
 def latest_progress(events: DataFrame) -> DataFrame:
@@ -25,8 +26,12 @@ def stage_duration(events: DataFrame) -> DataFrame:
 
 
 def latency_rollup(events: DataFrame, exact: bool = True) -> DataFrame:
-    q = (lambda x: F.percentile("latency_ms", x)) if exact else (lambda x: F.percentile_approx("latency_ms", x))
-    return events.groupBy(F.date_trunc("hour", "ts").alias("hour"), "stage").agg(F.count("*").alias("n"), F.avg("latency_ms").alias("mean"), q(0.5).alias("p50"), q(0.95).alias("p95"))
+    hourly = events.withColumn("hour", F.date_trunc("hour", "ts"))
+    simple = [F.count("*").alias("n"), F.avg("latency_ms").alias("mean")]
+    shares = {"p50": 0.5, "p95": 0.95}
+    if not exact:
+        return hourly.groupBy("hour", "stage").agg(*simple, *(F.percentile_approx("latency_ms", x).alias(n) for n, x in shares.items()))
+    return with_percentiles(hourly.groupBy("hour", "stage").agg(*simple), hourly, "latency_ms", shares, ["hour", "stage"])
 
 
 def failed_jobs(events: DataFrame, critical: list[str]) -> DataFrame:
