@@ -2,20 +2,25 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler, VectorSlicer
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.util import inheritable_thread_target
 
 from ..session import stored
 from . import metrics as M
 from .sampling import stratified_kfold
 
 FOLDS, INNER_FOLDS, TREES, ROUNDS = 5, 3, 100, 100
+#: Rows of a partition while models are fitted, at least: passes over few rows shouldn't be many tasks. And folds fitted at once.
+PARTITION_ROWS, AT_ONCE = 50_000, 6
 #: Thresholds among which Youden's is chosen.
 THRESHOLDS = [round(0.1 + i / 100, 2) for i in range(81)]
 MEMBERS = ("lr", "svm", "rf", "gbt")
@@ -33,14 +38,14 @@ class MarginClassifier:
     """
 
     def __init__(self, key: str, inner: int = INNER_FOLDS, seed: int = 42, reg: float = 0.01):
-        self.key, self.inner, self.seed, self.svm = key, inner, seed, LinearSVC(maxIter=100, regParam=reg)
+        self.key, self.inner, self.seed, self.svm = key, inner, seed, LinearSVC(maxIter=30, regParam=reg)
 
     @staticmethod
     def margins(model, df: DataFrame) -> DataFrame:
         return model.transform(df).withColumn("__margin", vector_to_array("rawPrediction")[1]).drop("rawPrediction", "prediction")
 
     def fit(self, train: DataFrame) -> MarginClassifier:
-        parts = train.select(self.key, "label", "features").transform(lambda t: stratified_kfold(t, self.key, "label", self.inner, self.seed + 1)).persist()
+        parts = stratified_kfold(train.select(self.key, "label", "features"), self.key, "label", self.inner, self.seed + 1).coalesce(train.rdd.getNumPartitions()).persist()
         held = None
         for f in range(self.inner):
             part = self.margins(self.svm.fit(parts.where(F.col("fold") != f)), parts.where(F.col("fold") == f)).select("label", "__margin")
@@ -63,6 +68,12 @@ def _score(model, df: DataFrame, name: str) -> DataFrame:
     return model.transform(df).withColumn(name, vector_to_array("probability")[1]).drop("rawPrediction", "probability", "prediction")
 
 
+def _together(spark: SparkSession, jobs: list[Callable]) -> list:
+    """Results of independent fits; their Spark jobs run side by side."""
+    with ThreadPoolExecutor(AT_ONCE) as pool:
+        return [x.result() for x in [pool.submit(inheritable_thread_target(spark)(job)) for job in jobs]]
+
+
 @dataclass
 class Stack:
     """Members over scaled features, a logistic regression on their out-of-fold probabilities, an isotonic step, a threshold."""
@@ -76,7 +87,7 @@ class Stack:
 
     def _fresh(self, name: str):
         return {
-            "lr": lambda: LogisticRegression(maxIter=1000, regParam=0.01), "svm": lambda: MarginClassifier(self.key, seed=self.seed),
+            "lr": lambda: LogisticRegression(maxIter=100, regParam=0.01), "svm": lambda: MarginClassifier(self.key, seed=self.seed),
             "rf": lambda: RandomForestClassifier(numTrees=self.trees, maxDepth=5, seed=self.seed), "gbt": lambda: GBTClassifier(maxIter=self.rounds, maxDepth=3, seed=self.seed),
         }[name]()
 
@@ -90,16 +101,29 @@ class Stack:
         predicted; the members and the scaler are fitted again on all rows.
         """
         base = df.select(self.key, F.col(label).cast("double").alias("label"), F.col(features).alias("raw"))
-        folds = stratified_kfold(base, self.key, "label", k, self.seed).persist()
-        oof = None
-        for f in range(k):
-            scaler = self._scaler(folds.where(F.col("fold") != f))
-            train, test = scaler.transform(folds.where(F.col("fold") != f)).persist(), scaler.transform(folds.where(F.col("fold") == f))
-            for name in self.only:
-                test = _score(self._fresh(name).fit(train), test, name)
-            part = stored(test.select(self.key, "label", "fold", *self.only), f"fold-{f}")
-            oof = part if oof is None else oof.unionByName(part)
+        folds = stored(stratified_kfold(base, self.key, "label", k, self.seed), "folds")
+        folds = folds.coalesce(max(1, folds.count() // PARTITION_ROWS)).persist()
+
+        def one(f: int) -> DataFrame | None:
+            """Out-of-fold probabilities of fold ``f``; the last number stands for the fit on all rows."""
+            rows = folds.where(F.col("fold") != f) if f < k else folds
+            scaler = self._scaler(rows)
+            train = scaler.transform(rows).persist()
+            fitted = {name: self._fresh(name).fit(train) for name in self.only}
             train.unpersist()
+            if f == k:
+                self.scaler, self.members = scaler, fitted
+                return None
+            test = scaler.transform(folds.where(F.col("fold") == f))
+            for name, model in fitted.items():
+                test = _score(model, test, name)
+            return stored(test.select(self.key, "label", "fold", *self.only), f"fold-{f}")
+
+        parts = _together(df.sparkSession, [lambda f=f: one(f) for f in range(k + 1)])
+        oof = parts[0]
+        for part in parts[1:k]:
+            oof = oof.unionByName(part)
+        oof = oof.coalesce(max(1, oof.count() // PARTITION_ROWS))
         self.meta = LogisticRegression(featuresCol="__in", maxIter=1000).fit(self._inputs(oof))
         stacked = self._stacked(oof).select(self.key, "label", "fold", *self.only, "stacked")
         self.isotonic = IsotonicRegression(featuresCol="stacked", labelCol="label", predictionCol="calibrated").fit(stacked)
@@ -107,10 +131,6 @@ class Stack:
         value = F.col("recall") + F.col("specificity") - 1
         self.threshold = M.best_threshold(M.at_thresholds(calibrated, "label", "calibrated", THRESHOLDS), value).first()["best_threshold"]
         self.oof = self._predicted(calibrated)
-        self.scaler = self._scaler(folds)
-        whole = self.scaler.transform(folds).persist()
-        self.members = {name: self._fresh(name).fit(whole) for name in self.only}
-        whole.unpersist()
         folds.unpersist()
         return self
 
@@ -186,12 +206,17 @@ def baselines(text: Column, query: Column, key: Column, share: Column) -> dict[s
 def out_of_fold(df: DataFrame, key: str, label: str, features: str, estimator=None, k: int = 5, seed: int = 42) -> DataFrame:
     """key, label, fold, score: probabilities of a model (logistic regression by default) fitted on the other folds."""
     base = df.select(key, F.col(label).cast("double").alias("label"), F.col(features).alias("features"))
-    folds = stratified_kfold(base, key, "label", k, seed).persist()
-    out = None
-    for f in range(k):
-        model = (estimator or LogisticRegression(maxIter=50, regParam=0.01)).fit(folds.where(F.col("fold") != f))
-        part = _score(model, folds.where(F.col("fold") == f), "score").select(key, "label", "fold", "score")
-        out = part if out is None else out.unionByName(part)
+    folds = stored(stratified_kfold(base, key, "label", k, seed), "folds")
+    folds = folds.coalesce(max(1, folds.count() // PARTITION_ROWS)).persist()
+
+    def one(f: int) -> DataFrame:
+        model = (estimator or LogisticRegression(maxIter=50, regParam=0.01)).copy().fit(folds.where(F.col("fold") != f))
+        return _score(model, folds.where(F.col("fold") == f), "score").select(key, "label", "fold", "score")
+
+    parts = _together(df.sparkSession, [lambda f=f: one(f) for f in range(k)])
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
     return out
 
 

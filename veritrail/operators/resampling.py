@@ -178,7 +178,7 @@ def bootstrap_ci(df: DataFrame, y: str, p: str, threshold: float = 0.5, by: str
 
 def paired_bootstrap(df: DataFrame, y: str, p_a: str, p_b: str, replicates: int = REPLICATES, seed: int = 42) -> DataFrame:
     """Difference of AUROC (a less b) on shared draws: mean, interval, and the share of replicates at or below 0 (0.001 at least)."""
-    c = cells(df, y, [p_a, p_b])
+    c = cells(df, y, list(dict.fromkeys([p_a, p_b])))
     a, b = (_areas(range_vectors(c, p, 0.5, replicates, seed)) for p in (p_a, p_b))
     schema = "delta double, low double, high double, p_value double"
     if not a:

@@ -12,38 +12,39 @@ from ..functions import text as T
 from ..session import stored
 from .vectors import nearest
 
-#: Facts that a rare word is in, at most: only these words' postings are joined without a bound on the score.
-RARE = 500
+#: A word in more ids and in more facts than that is frequent: its ids never meet its facts pair by pair.
+OFTEN = 1000
 #: Aliases that are broadcast, at most.
 BROADCAST_ALIASES = 100_000
 
 
-def shared_words(asked: DataFrame, facts: DataFrame, k: int, rare: int = RARE) -> DataFrame:
+def shared_words(asked: DataFrame, facts: DataFrame, k: int, often: int = OFTEN) -> DataFrame:
     """id, fact, score (shared distinct words), rank: the ``k`` best facts of each id; ties to the smaller fact.
 
-    ``asked``: id, words (array); ``facts``: fact, words. Words that are in more than ``rare`` facts are frequent.
+    ``asked``: id, words (array); ``facts``: fact, words. Ids and facts that share a word meet by that word, so the
+    join has ``often`` rows at most for each word of a fact (or of an id), but for frequent words, which are in more
+    than ``often`` of both. With any of these:
 
-    1. Rare words are joined with their postings, and each frequent word with its ``k`` smallest facts. These pairs are
+    1. Other words are joined as before, and each frequent word with its ``k`` smallest facts. These pairs are
        scored exactly (frequent words by intersecting arrays), so a k-th best score is known: the bar.
     2. Any other fact shares frequent words alone, so it is found once for each distinct set of frequent words and
        not for each id: a fact under the bar cannot count, and one that reaches it has one of the set's rarest
        |set| - bar + 1 words. The ``k`` best facts of a set are enough, since they outrank all others for each id.
-
-    So frequent words meet sets of words, never every id that has them.
     """
     words = lambda df, key: df.select(key, F.explode(F.array_distinct("words")).alias("w"))
     best = lambda *key: Window.partitionBy(*key).orderBy(F.desc("score"), "fact")
     a, f = words(asked, "id"), words(facts, "fact")
+    common = stored(a.groupBy("w").count().where(F.col("count") > often).select("w"), "frequent-asked")
+    counts = None if common.isEmpty() else stored(f.join(common, "w").groupBy("w").agg(F.count("*").alias("n")).where(F.col("n") > often), "frequent-both")
+    if counts is None or counts.isEmpty():
+        pairs = a.join(f, "w").groupBy("id", "fact").agg(F.count("*").alias("score"))
+        return pairs.withColumn("rank", F.row_number().over(best("id"))).where(F.col("rank") <= k)
     f = stored(f.join(a.select("w").distinct(), "w", "left_semi"), "postings")
-    counts = f.groupBy("w").agg(F.count("*").alias("n"))
-    a = stored(a.join(counts, "w"), "asked-words")
-    few, many = a.where(F.col("n") <= rare), a.where(F.col("n") > rare)
-    hot = f.join(counts.where(F.col("n") > rare).select("w"), "w")
+    few, many = a.join(counts, "w", "left_anti"), a.join(counts, "w")
+    hot = f.join(counts.select("w"), "w")
     sets = many.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "w"))), lambda x: x["w"]).alias("set"))
     of_fact = hot.groupBy("fact").agg(F.collect_list("w").alias("hot"))
     pairs = few.join(f, "w").groupBy("id", "fact").agg(F.count("*").alias("r"))
-    if many.isEmpty():
-        return pairs.withColumnRenamed("r", "score").withColumn("rank", F.row_number().over(best("id"))).where(F.col("rank") <= k)
     pairs, sets, of_fact = stored(pairs, "rare-pairs"), stored(sets, "word-sets"), stored(of_fact, "frequent-words")
     heads = hot.withColumn("at", F.row_number().over(Window.partitionBy("w").orderBy("fact"))).where(F.col("at") <= k).select("w", "fact")
     first = pairs.unionByName(many.join(heads, "w").select("id", "fact", F.lit(0).cast("long").alias("r"))).groupBy("id", "fact").agg(F.max("r").alias("r"))
@@ -59,10 +60,10 @@ def shared_words(asked: DataFrame, facts: DataFrame, k: int, rare: int = RARE) -
     return scored.unionByName(more).distinct().withColumn("rank", F.row_number().over(best("id"))).where(F.col("rank") <= k)
 
 
-def lexical_retrieve(claims: DataFrame, facts: DataFrame, k: int = 3, rare: int = RARE) -> DataFrame:
+def lexical_retrieve(claims: DataFrame, facts: DataFrame, k: int = 3, often: int = OFTEN) -> DataFrame:
     """claim_id, fact_id, score (shared distinct words), rank; ``claims``: claim_id, text; ``facts``: fact_id, text."""
     split = F.filter(F.split(F.lower("text"), r"\s+"), lambda w: w != "").alias("words")
-    found = shared_words(claims.select(F.col("claim_id").alias("id"), split), facts.select(F.col("fact_id").alias("fact"), split), k, rare)
+    found = shared_words(claims.select(F.col("claim_id").alias("id"), split), facts.select(F.col("fact_id").alias("fact"), split), k, often)
     return found.select(F.col("id").alias("claim_id"), F.col("fact").alias("fact_id"), "score", "rank")
 
 

@@ -54,7 +54,7 @@ def m13(spark, d):
 
 @query("M14_fitted_probes")
 def m14_fitted(spark, d):
-    return ml.probes(_vectors(spark, d), "vec_id", "y", "v", 32, 3).drop("label")
+    return ml.probes(_vectors(spark, d), "vec_id", "y", "v", 32).drop("label")
 
 
 def _grid(low: str, high: str) -> str:
