@@ -143,15 +143,22 @@ def rank_sentences(pairs: DataFrame, top_n: int = 2) -> DataFrame:
 
 
 def dedup_near(evidence: DataFrame, limit: float = 0.85, keep: int = 3) -> DataFrame:
-    """Per claim, by falling score: an item goes if it is too like one that stays; the first ``keep`` stay.
+    """claim_id, n, pos: per claim, by falling score: an item goes if it is too like one that stays; the first ``keep`` stay.
 
-    The fold depends on order, so a claim's items (few, from top-k retrieval) are folded in one array.
+    One round an item that stays: the best of what is left of each claim is taken (a minimum, made in part
+    before the shuffle), and the claim's items that are too like it go. So a claim may have any number of items.
     """
-    row = F.struct((-F.col("score")).alias("o"), "pos", F.array_distinct(F.split(F.lower("text"), r"\s+")).alias("w"))
-    empty = F.array().cast("array<struct<o:double,pos:int,w:array<string>>>")
-    like = lambda a, b: F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b)) >= limit
-    fold = F.aggregate(F.array_sort(F.collect_list(row)), empty, lambda acc, x: F.when((F.size(acc) >= keep) | F.exists(acc, lambda y: like(x["w"], y["w"])), acc).otherwise(F.concat(acc, F.array(x))))
-    return evidence.withColumn("pos", F.col("pos").cast("int")).groupBy("claim_id").agg(fold.alias("kept")).select("claim_id", F.posexplode("kept").alias("n", "x")).select("claim_id", (F.col("n") + 1).alias("n"), "x.pos")
+    words = F.array_distinct(F.split(F.lower("text"), r"\s+"))
+    left = evidence.select("claim_id", F.struct((-F.col("score")).alias("o"), F.col("pos").cast("int").alias("pos"), words.alias("w")).alias("x"))
+    like = F.size(F.array_intersect("x.w", "best.w")) / F.size(F.array_union("x.w", "best.w")) >= limit
+    out = None
+    for n in range(1, keep + 1):
+        left = stored(left, f"near-round-{n}")
+        best = left.groupBy("claim_id").agg(F.min("x").alias("best"))
+        part = best.select("claim_id", F.lit(n).alias("n"), "best.pos")
+        out = part if out is None else out.unionByName(part)
+        left = left.join(best, "claim_id").where(~like).select("claim_id", "x")
+    return out
 
 
 def filter_quality(evidence: DataFrame, least: float = 0.15, min_length: int = 20) -> DataFrame:

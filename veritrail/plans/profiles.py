@@ -107,3 +107,47 @@ P_CLAIMS = "pcl AS (" + " UNION ALL ".join(f"SELECT k || '-{i}' AS claim_id, 'P'
 P_PAGES = "ppg AS (" + " UNION ALL ".join(f"SELECT k || '-{i}' AS page_id, k, {i} AS n, {_sql(*t)} AS title, {_sql(*x)} AS text, '{s}' AS source, {r}::DOUBLE AS score FROM ppl WHERE k % 7 <> 0" for i, (t, x, s, r) in enumerate(PAGES)) + ")"
 P_ANSWERS = f"pan AS (SELECT 'P' || k AS response_id, k, person, {_sql('Who is ', 'person', '?')} AS query, {_sql_either(ANSWERS)} AS response FROM ppl)"
 PROFILES = f"{PEOPLE}, {P_CLAIMS}, {P_PAGES}, {P_ANSWERS}"
+
+
+# --- claims whose words and whose evidence's words are drawn apart, so that rules hit some of each kind and miss others ---
+_WHO, _FIRMS, _FROM = ["Bill Gates", "Nikola Tesla", "Neil Armstrong", "Virat Kohli", "Albert Einstein"], ["Microsoft", "Google", "Apple", "Amazon"], ["Indian", "Spanish", "German", "French"]
+_FIELD = ["cricketer", "footballer", "tennis player", "singer"]
+_ODD = [
+    ("Photosynthesis absorbs oxygen.", "Photosynthesis absorbs carbon dioxide."), ("The currency of the United Kingdom is the euro.", "The pound sterling is its currency."), ("The heart is the largest organ.", "The skin is the largest organ."),
+    ("The number 1 is the smallest prime number.", "The smallest prime number is 2."), ("The wall is visible from the moon with the naked eye.", "It is not visible from there."), ("The wall is visible from space.", "That is a myth."),
+]
+#: Of each kind of case: parts of the claim and of the evidence; (list, n) picks by k // n.
+_CASES = [
+    (((_FIRMS, 7), " was founded by ", (_WHO, 14), "."), ((_FIRMS, 21), " is a company. It was created by ", (_WHO, 35), ".")),
+    (((_WHO, 7), " invented the engine."), ("In 1900 ", (_WHO, 14), " discovered a law.")),
+    ((([c for c, _ in _ODD], 7),), (([e for _, e in _ODD], 28),)),
+    (((_WHO, 7), " was not born in Paris."), ((_WHO, 7), (["was born in Paris in 1901.", "has never been to Paris.", "lives in Rome."], 14))),
+    (((_WHO, 7), (["was never a ", "is a ", "is not a "], 21), (_FIELD, 14), "."), ((_WHO, 35), " is a ", (_FIELD, 42), " and a player.")),
+    (((_WHO, 7), " is an ", (_FROM, 14), " singer."), ((_WHO, 28), " is a ", (_FROM, 21), " singer. This is ", (["not a painter.", "a painter."], 7))),
+    (((_WHO, 7), (["never played ", "plays "], 14), (["cricket", "football", "tennis"], 21), "."), ("It is false that ", (_WHO, 14), " sings. ", (_WHO, 7), " plays ", (["cricket", "football", "tennis"], 28), ".")),
+]
+
+
+def _drawn(parts) -> Column:
+    out = [F.lit(p) if isinstance(p, str) else F.concat(F.lit(" "), pick(p[0], F.floor(F.col("k") / p[1]))) if p[0][0][0].islower() else pick(p[0], F.floor(F.col("k") / p[1])) for p in parts]
+    return F.concat(*out)
+
+
+def _sql_drawn(parts) -> str:
+    one = lambda p: "'" + p.replace("'", "''") + "'" if isinstance(p, str) else ("' ' || " if p[0][0][0].islower() else "") + _of(p[0], f"k // {p[1]}")
+    return " || ".join(map(one, parts))
+
+
+def cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """claim_id, text, texts: a claim a customer and the texts of its evidence; every ninth has a second text, every eleventh none."""
+    k = F.col("k")
+    kind = (k % len(_CASES)).cast("int")
+    said = F.element_at(F.array(*[_drawn(c) for c, _ in _CASES]), kind + 1)
+    found = F.element_at(F.array(*[_drawn(e) for _, e in _CASES]), kind + 1)
+    both = F.when(k % 9 == 0, F.array(F.lit("Harbor news lists a warehouse."), found)).otherwise(F.array(found))
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"))
+    return c.select(F.concat(F.lit("K"), "k").alias("claim_id"), said.alias("text"), F.when(k % 11 == 0, F.array().cast("array<string>")).otherwise(both).alias("texts"))
+
+
+CASES = f"""kc AS (SELECT c_custkey AS k FROM customer), kd AS (SELECT k, [{', '.join(_sql_drawn(c) for c, _ in _CASES)}][(k % {len(_CASES)} + 1)::INT] AS text, [{', '.join(_sql_drawn(e) for _, e in _CASES)}][(k % {len(_CASES)} + 1)::INT] AS found FROM kc),
+cases AS (SELECT 'K' || k AS claim_id, text, CASE WHEN k % 11 = 0 THEN []::VARCHAR[] WHEN k % 9 = 0 THEN ['Harbor news lists a warehouse.', found] ELSE [found] END AS texts FROM kd)"""

@@ -12,7 +12,7 @@ from ..operators import sampling as S
 from ..streaming import telemetry as E
 from .q_text import SPLIT, sql_jaccard, sql_overlap_words, strip, strings
 from .registry import query, table
-from .views import PRED, QA, STAGES, TEMPLATED, predictions, qa_pairs, stage_events, templated
+from .views import PRED, QA, STAGES, TEMPLATED, predictions, qa_pairs, stage_events, templated, templated_rows
 
 _TOK = r"list_distinct(list_filter(string_split_regex(lower(text), '\s+'), lambda w: w <> ''))"
 _J01 = f"a AS (SELECT item_id AS claim_id, unnest({_TOK}) AS w FROM benchmark), b AS (SELECT doc_id AS fact_id, unnest({_TOK}) AS w FROM documents), j01 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY claim_id ORDER BY score DESC, fact_id) AS rank FROM (SELECT claim_id, fact_id, count(*) AS score FROM a JOIN b USING (w) GROUP BY ALL)) WHERE rank <= 3)"
@@ -102,14 +102,39 @@ def w05(spark, d):
     return R.rank_sentences(p).select("id", "rank", F.md5("sentence").alias("digest"), "score")
 
 
-@query("W09_dedup_near_duplicates", f"WITH {_PAIRS} SELECT claim_id, 1 AS n, CASE WHEN max(score) FILTER (pos = 1) > 0.9 THEN 1 ELSE 0 END AS pos FROM evidence GROUP BY claim_id")
+#: Five items a claim: two that nearly agree on fact and record, two that nearly agree on the record alone, and the fact; one is short.
+_VARIED = TEMPLATED.split("claims AS (")[0].rstrip().rstrip(",") + """,
+vr AS (SELECT claim_id, k, fact, 'Record ' || k || ' lists a warehouse and a carrier' AS rec FROM trows WHERE k % 7 <> 0),
+vi AS (SELECT claim_id, unnest([{'pos': 0, 'text': fact || ' ' || rec || '.', 'score': (k % 11) / 11.0::DOUBLE}, {'pos': 1, 'text': fact || ' ' || rec || '. Again.', 'score': (k % 10) / 10.0::DOUBLE}, {'pos': 2, 'text': rec || ' now.', 'score': (k % 9) / 9.0::DOUBLE},
+  {'pos': 3, 'text': rec || ' now. Again.', 'score': CASE WHEN k % 4 > 0 THEN (k % 8) / 8.0::DOUBLE END}, {'pos': 4, 'text': CASE WHEN k % 3 = 0 THEN 'Too short.' ELSE fact END, 'score': 0.5::DOUBLE}]) AS i FROM vr), evidence AS (SELECT claim_id, i.pos AS pos, i.text AS text, i.score AS score FROM vi)"""
+
+
+def _varied(spark, d):
+    k, fact = F.col("k"), F.col("fact")
+    rec = F.concat(F.lit("Record "), "k", F.lit(" lists a warehouse and a carrier"))
+    score = lambda n: ((k % n) / float(n)).cast("double")
+    item = lambda pos, text, s: F.struct(F.lit(pos).alias("pos"), text.alias("text"), s.alias("score"))
+    items = F.array(
+        item(0, F.concat(fact, F.lit(" "), rec, F.lit(".")), score(11)), item(1, F.concat(fact, F.lit(" "), rec, F.lit(". Again.")), score(10)), item(2, F.concat(rec, F.lit(" now.")), score(9)),
+        item(3, F.concat(rec, F.lit(" now. Again.")), F.when(k % 4 > 0, score(8))), item(4, F.when(k % 3 == 0, F.lit("Too short.")).otherwise(fact), F.lit(0.5)),
+    )
+    rows = templated_rows(spark, d).where("k % 7 <> 0")
+    return rows.select("claim_id", F.explode(items).alias("e")).select("claim_id", "e.*")
+
+
+_LIKE = lambda a, b: f"len(list_intersect({a}, {b}))::DOUBLE / len(list_distinct(list_concat({a}, {b}))) >= 0.85"
+_ROUND = lambda n: f"b{n} AS (SELECT claim_id, pos, w FROM l{n} QUALIFY row_number() OVER (PARTITION BY claim_id ORDER BY score DESC, pos) = 1), l{n + 1} AS (SELECT l.* FROM l{n} l JOIN b{n} b USING (claim_id) WHERE NOT ({_LIKE('l.w', 'b.w')}))"
+
+
+@query("W09_dedup_near_duplicates", rf"WITH {_VARIED}, l1 AS (SELECT claim_id, pos, coalesce(score, 0) AS score, list_distinct(string_split_regex(lower(text), '\s+')) AS w FROM evidence), {', '.join(map(_ROUND, (1, 2, 3)))} SELECT claim_id, 1 AS n, pos FROM b1 UNION ALL SELECT claim_id, 2, pos FROM b2 UNION ALL SELECT claim_id, 3, pos FROM b3")
 def w09(spark, d):
-    return R.dedup_near(_paired(spark, d)[1])
+    return R.dedup_near(_varied(spark, d).withColumn("score", F.coalesce("score", F.lit(0.0))))
 
 
-@query("F01_filter_evidence_quality", f"WITH {_PAIRS} SELECT claim_id, 0 AS pos FROM evidence GROUP BY claim_id")
+@query("F01_filter_evidence_quality", f"""WITH {_VARIED}, g AS (SELECT claim_id, pos, length(text) >= 20 AND coalesce(score, 0.5) >= 0.15 AS good, lower(text[1:100]) AS key FROM evidence), s AS (SELECT *, good AND row_number() OVER (PARTITION BY claim_id, good, key ORDER BY pos) = 1 AS stays FROM g)
+  SELECT claim_id, pos FROM s QUALIFY stays OR (NOT bool_or(stays) OVER (PARTITION BY claim_id) AND row_number() OVER (PARTITION BY claim_id ORDER BY pos) = 1)""")
 def f01(spark, d):
-    return R.filter_quality(_paired(spark, d)[1]).select("claim_id", "pos")
+    return R.filter_quality(_varied(spark, d)).select("claim_id", "pos")
 
 
 @query("F02_drop_disambiguation", "WITH p AS (SELECT page_id // 5 AS claim_id, page_id AS pos, CASE WHEN page_id % 3 = 0 THEN 'X may refer to several things' ELSE url END AS text FROM pages), f AS (SELECT *, regexp_matches(lower(text), 'disambiguation|may refer to') AS f FROM p) SELECT claim_id, pos FROM (SELECT *, bool_or(NOT f) OVER (PARTITION BY claim_id) AS o FROM f) WHERE NOT f OR NOT o")

@@ -36,12 +36,8 @@ QA = """qa AS (SELECT conv_id || '-' || turn AS response_id, text AS query, resp
   WHERE role = 'user' AND next_role = 'assistant')"""
 
 
-def templated(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Claims (claim_id, response_id, pos, text, kind, truth) and evidence (claim_id, pos, text, source, score).
-
-    Sentences about suppliers and orders; every third claim is changed so that the evidence of its key
-    contradicts it. Evidence has the unchanged sentence and, for every other key, that of another key.
-    """
+def templated_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """claim_id, k, kind, truth, text, fact: sentences about suppliers and orders; every third differs from its fact."""
     nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
     s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"), "s_name", "s_nationkey").join(F.broadcast(nation), F.col("s_nationkey") == F.col("n_nationkey"))
     other = F.broadcast(nation.select(F.col("n_nationkey").alias("o"), F.col("n_name").alias("o_name")))
@@ -57,7 +53,16 @@ def templated(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
         F.concat(F.lit("O"), "k").alias("claim_id"), F.col("k"), F.lit("temporal").alias("kind"), (F.col("k") % 3 != 0).alias("truth"),
         made(F.when(F.col("k") % 3 == 0, F.col("yr") + 1).otherwise(F.col("yr"))).alias("text"), made(F.col("yr")).alias("fact"),
     )
-    rows = sup.unionByName(orders)
+    return sup.unionByName(orders)
+
+
+def templated(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Claims (claim_id, response_id, pos, text, kind, truth) and evidence (claim_id, pos, text, source, score).
+
+    Every third claim is changed so that the evidence of its key contradicts it. Evidence has the unchanged
+    sentence and a record.
+    """
+    rows = templated_rows(spark, sf_dir)
     claims = rows.select("claim_id", F.concat(F.col("kind"), F.lit("-"), F.floor(F.col("k") / 4)).alias("response_id"), (F.col("k") % 4).cast("int").alias("pos"), "text", "kind", "truth")
     item = lambda pos, text, source, score: F.struct(F.lit(pos).alias("pos"), text.alias("text"), F.lit(source).alias("source"), score.alias("score"))
     noise = F.concat(F.lit("Record "), "k", F.lit(" lists a warehouse and a carrier."))
