@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import stored
+
 REPLICATES, RANGES = 1000, 64
 #: Cells whose draws are held at once.
 CELLS_AT_ONCE = 512
@@ -146,7 +148,7 @@ def _shares(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def bootstrap_metrics(df: DataFrame, y: str, p: str, threshold: float = 0.5, by: str | None = None, replicates: int = REPLICATES, seed: int = 42) -> dict[str, dict[str, np.ndarray]]:
     """For each group the ``METRICS`` of the replicates that hold both classes."""
-    c = cells(df, y, [p], by)
+    c = stored(cells(df, y, [p], by), "cells")
     vectors = range_vectors(c, p, threshold, replicates, seed)
     areas = _areas(vectors)
     above: dict[tuple[str, int], tuple[np.ndarray, np.ndarray]] = {}
@@ -178,7 +180,7 @@ def bootstrap_ci(df: DataFrame, y: str, p: str, threshold: float = 0.5, by: str
 
 def paired_bootstrap(df: DataFrame, y: str, p_a: str, p_b: str, replicates: int = REPLICATES, seed: int = 42) -> DataFrame:
     """Difference of AUROC (a less b) on shared draws: mean, interval, and the share of replicates at or below 0 (0.001 at least)."""
-    c = cells(df, y, list(dict.fromkeys([p_a, p_b])))
+    c = stored(cells(df, y, list(dict.fromkeys([p_a, p_b]))), "cells")
     a, b = (_areas(range_vectors(c, p, 0.5, replicates, seed)) for p in (p_a, p_b))
     schema = "delta double, low double, high double, p_value double"
     if not a:

@@ -11,8 +11,9 @@ from ..operators import retrieval as R
 from ..operators import sampling as S
 from ..streaming import telemetry as E
 from .q_text import SPLIT, sql_jaccard, sql_overlap_words, strip, strings
-from .registry import query, table
-from .views import PRED, QA, STAGES, TEMPLATED, predictions, qa_pairs, stage_events, templated, templated_rows
+from ..session import scratch
+from .registry import SQL, query, table
+from .views import PRED, QA, STAGES, TEMPLATED, as_stages, predictions, qa_pairs, stage_events, templated, templated_rows
 
 _TOK = r"list_distinct(list_filter(string_split_regex(lower(text), '\s+'), lambda w: w <> ''))"
 _J01 = f"a AS (SELECT item_id AS claim_id, unnest({_TOK}) AS w FROM benchmark), b AS (SELECT doc_id AS fact_id, unnest({_TOK}) AS w FROM documents), j01 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY claim_id ORDER BY score DESC, fact_id) AS rank FROM (SELECT claim_id, fact_id, count(*) AS score FROM a JOIN b USING (w) GROUP BY ALL)) WHERE rank <= 3)"
@@ -288,6 +289,44 @@ def e01(spark, d):
     return E.latest_progress(stage_events(spark, d))
 
 
+def _streamed(spark, d, name):
+    """A table as a stream: what its files hold when the query starts."""
+    return spark.readStream.schema(table(spark, d, name).schema).parquet(f"{d}/{name}.parque[t]")  # a pattern, as the table may be one file
+
+
+def _finished(spark, q, out):
+    q.awaitTermination()
+    if q.exception():
+        raise q.exception()
+    return spark.read.option("recursiveFileLookup", True).parquet(out)
+
+
+@query("E01_latest_progress_stream", SQL["E01_latest_progress"])
+def e01_stream(spark, d):
+    """The same from a stream with keyed state: what it has told of each job last."""
+    key, out = "spark.sql.streaming.stateStore.providerClass", scratch(spark, "told")
+    before = spark.conf.get(key)
+    spark.conf.set(key, E.ROCKS)
+    try:
+        stages = as_stages(_streamed(spark, d, "events"))
+        told = _finished(spark, E.stream_scoring(E.track_jobs(stages, idle="4000 days"), lambda df: df, out, scratch(spark, "told-state")), out)
+    finally:
+        spark.conf.set(key, before)
+    return E.latest_told(told).withColumn("ts", F.col("ts").cast(table(spark, d, "events").schema["ts"].dataType))
+
+
+@query("E07_stream_scoring", r"WITH w AS (SELECT conv_id, turn, list_filter(string_split_regex(lower(text), '\s+'), lambda x: x <> '') AS ws FROM conversations) SELECT conv_id, turn, CASE WHEN len(ws) > 0 THEN 1 - len(list_distinct(ws))::DOUBLE / len(ws) ELSE 0 END::DOUBLE AS score FROM w")
+def e07(spark, d):
+    """Each arriving turn's share of repeated words, written batch by batch."""
+    out = scratch(spark, "scored")
+
+    def score(df):
+        w = F.filter(F.split(F.lower("text"), r"\s+"), lambda x: x != "")
+        return df.select("conv_id", "turn", F.when(F.size(w) > 0, 1 - F.size(F.array_distinct(w)) / F.size(w)).otherwise(0.0).alias("score"))
+
+    return _finished(spark, E.stream_scoring(_streamed(spark, d, "conversations"), score, out, scratch(spark, "scored-state")), out)
+
+
 @query("E02_stage_duration", f"WITH {STAGES} SELECT job_id, stage, min(ts) AS started_at, max(ts) AS finished_at, epoch_us(max(ts)) // 1000 - epoch_us(min(ts)) // 1000 AS duration_ms FROM stage_events GROUP BY ALL")
 def e02(spark, d):
     return E.stage_duration(stage_events(spark, d))

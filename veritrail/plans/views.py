@@ -87,7 +87,10 @@ evidence AS (
 
 def stage_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """job_id, stage, ts, status, latency_ms, event_id."""
-    e = table(spark, sf_dir, "events")
+    return as_stages(table(spark, sf_dir, "events"))
+
+
+def as_stages(e: DataFrame) -> DataFrame:
     return e.select(F.col("user_id").alias("job_id"), F.col("event_type").alias("stage"), "ts", F.when(F.col("event_type") == "error", "failed").otherwise("done").alias("status"), F.col("value").alias("latency_ms"), "event_id")
 
 

@@ -5,6 +5,12 @@ Of several keys the first that is neither null nor empty counts. Lines that are
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+from urllib.parse import unquote
+
+import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -133,6 +139,27 @@ def cached_evidence(queries: DataFrame, cache: DataFrame, now: Column, ttl_hours
     return queries.withColumn("key", F.lower(F.trim("query"))).join(newest, "key", "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
 
 
+#: Bytes of a file that Spark reads as one value, at most; longer ones are read in pieces of ``PIECE``.
+WHOLE, PIECE = 64 << 20, 8 << 20
+
+
 def file_digests(spark: SparkSession, path: str) -> DataFrame:
-    """File, sha256."""
-    return spark.read.format("binaryFile").load(path).select(F.regexp_extract("path", "([^/]+)$", 1).alias("file"), F.sha2("content", 256).alias("sha256"))
+    """File, size, sha256. Long files are streamed through their tasks, so neither memory nor 2 GiB a value bounds them."""
+    listed = spark.read.format("binaryFile").load(path)
+    name = F.regexp_extract("path", "([^/]+)$", 1).alias("file")
+    small = listed.where(F.col("length") <= WHOLE).select(name, F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
+    long = listed.where(F.col("length") > WHOLE).select(name, F.col("length").alias("size"), "path")  # the content is not read here
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for at in batch.column("path").to_pylist():
+                files, inside = pa.fs.FileSystem.from_uri(at if "://" in at else "file://" + unquote(at.removeprefix("file:")))
+                sha = hashlib.sha256()
+                with files.open_input_stream(inside) as stream:
+                    while piece := stream.read(PIECE):
+                        sha.update(piece)
+                found.append(sha.hexdigest())
+            yield pa.RecordBatch.from_arrays([batch.column("file"), batch.column("size"), pa.array(found, pa.string())], names=["file", "size", "sha256"])
+
+    return small.unionByName(long.mapInArrow(digest, "file string, size long, sha256 string"))

@@ -5,11 +5,13 @@ The aggregations work on tables and on streams alike; ``stream_*`` set watermark
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from ..operators.ranks import with_percentiles
 
@@ -56,9 +58,66 @@ def job_state(events: DataFrame, running: Column, terminal: Column) -> DataFrame
     return events.groupBy("job_id").agg(F.min(F.when(running, F.col("ts"))).alias("started_at"), F.max(F.when(terminal, F.col("ts"))).alias("completed_at"), F.max_by("status", F.struct("ts", "event_id")).alias("state"))
 
 
-def stream_latest(events: DataFrame, name: str) -> StreamingQuery:
-    """latest_progress of a stream into a memory table, rewritten with each batch: one row a job, so for few jobs."""
-    return latest_progress(events).writeStream.outputMode("complete").format("memory").queryName(name).start()
+#: What a job's state keeps, and what a stream of jobs tells.
+_LATEST = T.StructType([T.StructField("ts", T.TimestampType()), T.StructField("event_id", T.LongType()), T.StructField("stage", T.StringType()), T.StructField("status", T.StringType()), T.StructField("n_events", T.LongType())])
+_TOLD = T.StructType([T.StructField("job_id", T.LongType()), *_LATEST.fields, T.StructField("ended", T.BooleanType())])
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+class JobTracker(StatefulProcessor):
+    """Latest event of each job, kept until the job has been idle for ``idle_ms`` of event time.
+
+    Each batch tells the latest event of the jobs it touches. A timer at the last event's time plus ``idle_ms`` ends
+    the job: it is told once more, as ended, and its state goes, so state is bounded by the jobs of that time. A job
+    that comes back later begins anew.
+    """
+
+    def __init__(self, idle_ms: int):
+        self.idle_ms = idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.latest = handle, handle.getValueState("latest", _LATEST)
+
+    def _row(self, key, state, ended: bool) -> pd.DataFrame:
+        return pd.DataFrame([(key[0], *state, ended)], columns=_TOLD.names)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        old = self.latest.get() if self.latest.exists() else None
+        best, n = ((old[0], old[1], old[2], old[3]), old[4]) if old else (None, 0)
+        for part in rows:
+            n += len(part)
+            at = part.sort_values(["ts", "event_id"]).iloc[-1]
+            new = (at.ts.to_pydatetime(), int(at.event_id), at.stage, at.status)
+            best = new if best is None or (pd.Timestamp(new[0]), new[1]) > (pd.Timestamp(best[0]), best[1]) else best
+        self.latest.update((*best, n))
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer(int(pd.Timestamp(best[0]).timestamp() * 1000) + self.idle_ms)
+        yield self._row(key, (*best, n), False)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        state = self.latest.get()
+        self.latest.clear()
+        yield self._row(key, tuple(state), True)
+
+    def close(self) -> None:
+        pass
+
+
+def track_jobs(events: DataFrame, late: str = "10 minutes", idle: str = "7 days") -> DataFrame:
+    """job_id, ts, event_id, stage, status, n_events, ended of a stream: its jobs' latest events, and their ends after ``idle``.
+
+    The state store has to be ``ROCKS`` (spark.sql.streaming.stateStore.providerClass).
+    """
+    idle_ms = int(pd.Timedelta(idle).total_seconds() * 1000)
+    rows = events.select("job_id", F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").cast("long").alias("event_id"), "stage", "status").withWatermark("ts", late)
+    return rows.groupBy("job_id").transformWithStateInPandas(statefulProcessor=JobTracker(idle_ms), outputStructType=_TOLD, outputMode="Update", timeMode="EventTime")
+
+
+def latest_told(told: DataFrame) -> DataFrame:
+    """Of what ``track_jobs`` has told so far: the newest event of each job, as ``latest_progress`` gives it."""
+    at = F.struct("ts", "event_id")
+    return told.where("NOT ended").groupBy("job_id").agg(F.max("ts").alias("ts"), F.max_by("stage", at).alias("stage"), F.max_by("status", at).alias("status"))
 
 
 def stream_rollup(events: DataFrame, late: str = "10 minutes", width: str = "1 hour") -> DataFrame:
