@@ -20,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import SPACES, Words, chunks, column_bytes
@@ -168,17 +168,22 @@ def train(x: np.ndarray, per_text: np.ndarray, label: np.ndarray, steps: int = 1
 
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", sample_docs: int = SAMPLE_DOCS) -> Model:
     """Fit on at most ``sample_docs`` labelled ids of ``labels`` (doc_id, ``label_col``), those with the smallest
-    md5, and of their texts on at most ``SAMPLE_LINES`` lines; of rows with one id on the least text."""
+    md5, and of their texts on at most ``SAMPLE_LINES`` lines (a text that does not fit is passed over); of rows with
+    one id on the least text."""
     chosen = (
         labels.where(F.col("doc_id").isNotNull() & F.col(label_col).isNotNull())
         .groupBy("doc_id").agg(F.round(F.avg(label_col)).cast("int").alias("y"))
         .orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(sample_docs)
     )
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
-    order = Window.orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").rowsBetween(Window.unboundedPreceding, 0)  # sample_docs rows at most
+    order = (F.md5(F.col("doc_id").cast("string")), "doc_id")
     sizes = texts.select("doc_id", (F.length(F.coalesce("text", F.lit(""))) - F.length(F.replace(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit(""))) + 1).alias("lines"))
-    few = sizes.withColumn("upto", F.sum("lines").over(order)).where(F.col("upto") <= SAMPLE_LINES).select("doc_id")
-    texts = texts.join(F.broadcast(few), "doc_id", "left_semi")
+    few, total = [], 0
+    for r in sizes.orderBy(*order).collect():  # sample_docs rows at most
+        if total + r.lines <= SAMPLE_LINES:  # a text that does not fit is left out, the next ones may
+            few.append((r.doc_id,))
+            total += r.lines
+    texts = texts.join(F.broadcast(docs.sparkSession.createDataFrame(few, sizes.select("doc_id").schema)), "doc_id", "left_semi")
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
