@@ -277,7 +277,8 @@ def line_table(docs: DataFrame) -> DataFrame:
         order = np.argsort(of, kind="stable")
         h, text, n = lines.whole(), lines.text, len(lines.n)
         did = part.column("did").to_numpy()
-        by = np.lexsort((lines.number, did[text], h))
+        own = part.column("__key").to_numpy()
+        by = np.lexsort((own[text], lines.number, did[text], h))  # the order in which ``wide_lines`` takes the earliest
         first = np.zeros(n, bool)
         first[by] = np.concatenate(([True], h[by][1:] != h[by][:-1])) if n else []
         line, pair = lines.rare_pairs(known.value)
@@ -286,7 +287,7 @@ def line_table(docs: DataFrame) -> DataFrame:
         raw = lines.data.tobytes()
         said = [raw[x:y].decode() if c < MIN_WORDS else None for x, y, c in zip(lines.begin[kept].tolist(), lines.end[kept].tolist(), lines.n[kept].tolist())]
         return (
-            part.column("__key").to_numpy()[text[kept]], did[text[kept]], lines.number[kept], _signed(h[kept]), lines.n[kept], _lists(of, key[order], kept, n), said,
+            own[text[kept]], did[text[kept]], lines.number[kept], _signed(h[kept]), lines.n[kept], _lists(of, key[order], kept, n), said,
             _lists(line[mine], pair[mine], kept, n), *[_signed(c[kept]) for c in parity],
         )
 
