@@ -135,9 +135,9 @@ def v14(spark, d):
 @query("flagship_answer_scores")
 def flagship(spark, d):
     """Answers to claims, evidence from the documents, the best sentence of each, verdicts, and a score for each answer."""
-    claims = claims_of(spark, d).withColumn("claim_id", F.concat_ws("#", "response_id", "pos"))
+    claims = stored(claims_of(spark, d).withColumn("claim_id", F.concat_ws("#", "response_id", "pos")), "claims")  # read five times below
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("fact_id"), "text")
-    found = retrieval.lexical_retrieve(claims.select("claim_id", F.col("claim").alias("text")), docs).select("claim_id", "fact_id")
+    found = stored(retrieval.lexical_retrieve(claims.select("claim_id", F.col("claim").alias("text")), docs).select("claim_id", "fact_id"), "found")
     said = claims.select("claim_id", T.overlap_words(F.col("claim")).alias("cw"))
     # words of a document's sentences once, not once for each claim
     used = docs.join(found.select("fact_id").distinct(), "fact_id").select("fact_id", F.explode(T.sentences(F.col("text"), "mark", 15)).alias("s")).select("fact_id", T.overlap_words(F.col("s")).alias("sw"))
