@@ -6,8 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import lexicons as L
-from .selection import let
-from .text import folded, relation, strip
+from .text import folded, let, relation, strip
 
 ENTITY = "struct<text:string,label:string>"
 

@@ -13,7 +13,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import lexicons as L
-from .text import matches, normalized, sentences, words
+from .text import let, matches, normalized, sentences, words
 
 VERDICT = "struct<verdict:string,confidence:double>"
 YEAR = r"\b(?:19|20)\d\d\b"
@@ -156,36 +156,38 @@ def _evidence_sentences(evidence: Column) -> Column:
 
 
 def explicit_contradiction(claim: Column, evidence: Column) -> Column:
-    own = F.array_distinct(F.split(normalized(claim), " "))
     lists = lambda xs: F.array(*map(F.lit, xs))
 
-    def conflict(s: Column) -> Column:
-        sw = F.split(s, " ")
+    def conflict(own: Column, s: Column, sw: Column) -> Column:
         denied = s.rlike(r"\b(is not a|was not a|never played|did not play|false that)\b") & F.arrays_overlap(own, F.filter(sw, lambda w: F.length(w) > 4))
-        out = denied
+        clash = F.lit(False)
         for group in (L.DOMAINS, L.NATIONALITIES):
             for k, g in enumerate(group):
                 others = [x for j, o in enumerate(group) if j != k for x in o]
-                out = out | (F.arrays_overlap(own, lists(g)) & F.arrays_overlap(sw, lists(others)) & F.arrays_overlap(own, sw))
-        return out
+                clash = clash | (F.arrays_overlap(own, lists(g)) & F.arrays_overlap(sw, lists(others)))
+        return denied | (F.arrays_overlap(own, sw) & clash)
 
-    return F.exists(_evidence_sentences(evidence), conflict)
+    own = F.array_distinct(F.split(normalized(claim), " "))
+    return let(own, lambda o: F.exists(_evidence_sentences(evidence), lambda s: let(F.split(s, " "), lambda sw: conflict(o, s, sw))))
 
 
 def direct_entailment(claim: Column, evidence: Column) -> Column:
-    n = normalized(claim)
-    own = F.array_distinct(F.split(n, " "))
-    share = lambda s: F.size(F.array_intersect(own, F.split(s, " "))) / F.size(own)
-    return (F.length(n) >= 8) & F.exists(_evidence_sentences(evidence), lambda s: s.contains(n) | ((F.size(own) >= 3) & (share(s) >= 0.75)))
+    def entails(n: Column, own: Column) -> Column:
+        share = lambda s: F.size(F.array_intersect(own, F.split(s, " "))) / F.size(own)
+        return (F.length(n) >= 8) & F.exists(_evidence_sentences(evidence), lambda s: s.contains(n) | ((F.size(own) >= 3) & (share(s) >= 0.75)))
+
+    return let(normalized(claim), lambda n: let(F.array_distinct(F.split(n, " ")), lambda own: entails(n, own)))
 
 
 def synonym_equivalence(claim: Column, evidence: Column, similarity: Column | None = None) -> Column:
     """Share of the claim's words, widened by synonyms, in one evidence text; or a given similarity of 0.75."""
-    own = words(claim)
-    wide = own
-    for w, more in L.SYNONYMS.items():
-        wide = F.array_union(wide, F.when(F.array_contains(own, w), F.array(*map(F.lit, more))).otherwise(F.array().cast("array<string>")))
-    hit = F.exists(evidence, lambda e: F.size(F.array_intersect(wide, words(e))) / F.greatest(F.size(own), F.lit(1)) >= 0.65)
+
+    def widened(own: Column) -> Column:
+        more = [F.when(F.array_contains(own, w), F.array(*map(F.lit, xs))).otherwise(F.array().cast("array<string>")) for w, xs in L.SYNONYMS.items()]
+        return F.array_distinct(F.flatten(F.array(own, *more)))
+
+    near = lambda own, wide: F.exists(evidence, lambda e: F.size(F.array_intersect(wide, words(e))) / F.greatest(F.size(own), F.lit(1)) >= 0.65)
+    hit = let(words(claim), lambda own: let(widened(own), lambda wide: near(own, wide)))
     return hit | F.coalesce(similarity >= 0.75, F.lit(False)) if similarity is not None else hit
 
 

@@ -6,16 +6,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import lexicons as L
-from .text import clean_evidence_sentences, matches, score_tokens, sentences, strip, word_overlap
+from .text import clean_evidence_sentences, let, matches, score_tokens, sentences, strip, word_overlap
 
 SCORE = "struct<pos:int,sentence:string,score:double,support:double,contradiction:double,neutral:double,sim:double,ent:double,cov:double>"
 
 
-def let(value: Column, f) -> Column:
-    """f(value) with ``value`` computed once: Catalyst would else repeat it wherever f uses it."""
-    return F.element_at(F.transform(F.array(value), f), 1)
-
-
 def _contained(words: Column, low: Column) -> Column:
     """How many of ``words`` are in the lower-cased text, anywhere."""
     return F.size(F.filter(words, lambda w: F.contains(low, F.lower(w))))

@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .selection import let
-from .text import strip
+from .text import let, strip
 
 #: Sentences about the source are left out; first words that begin no subject; small words within names; verbs that end a subject.
 ABOUT_SOURCE = ["reference information", "provided information", "according to", "there is no mention", "that is not accurate", "the reference"]

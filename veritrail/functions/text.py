@@ -97,62 +97,79 @@ def _first_upper(c: Column) -> Column:
     return F.concat(F.upper(F.substring(c, 1, 1)), F.substr(c, F.lit(2)))
 
 
+def let(value: Column, f) -> Column:
+    """f(value) with ``value`` computed once: Catalyst would else repeat it wherever f uses it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def normalize_claim(c: Column) -> Column:
     """Without a conversational lead-in; a denying lead-in turns the rest into a denial."""
-    s = strip(c)
-    prefix = F.regexp_extract(s, "(?i)" + L.LEAD_IN, 0)
-    rest = strip(F.substr(s, F.length(prefix) + 1))
-    denial = F.lower(prefix).rlike("not|no|couldn't|cannot")
-    denied = (
-        F.when(~denial, rest)
-        .when(F.lower(rest).contains("has ever "), F.regexp_replace(rest, r"(?i)\bhas\s+ever\b", "has never"))
-        .when(~matches(rest, r"\b(not|never|no)\b"), F.concat(F.lit("No evidence indicates that "), F.lower(F.substring(rest, 1, 1)), F.substr(rest, F.lit(2))))
-        .otherwise(rest)
-    )
-    return F.when((prefix == "") | (rest == ""), s).otherwise(_first_upper(denied))
+
+    def without(s: Column, prefix: Column, rest: Column) -> Column:
+        denial = F.lower(prefix).rlike("not|no|couldn't|cannot")
+        denied = (
+            F.when(~denial, rest)
+            .when(F.lower(rest).contains("has ever "), F.regexp_replace(rest, r"(?i)\bhas\s+ever\b", "has never"))
+            .when(~matches(rest, r"\b(not|never|no)\b"), F.concat(F.lit("No evidence indicates that "), F.lower(F.substring(rest, 1, 1)), F.substr(rest, F.lit(2))))
+            .otherwise(rest)
+        )
+        return F.when((prefix == "") | (rest == ""), s).otherwise(let(denied, _first_upper))
+
+    lead = lambda s: F.regexp_extract(s, "(?i)" + L.LEAD_IN, 0)
+    return let(strip(c), lambda s: let(lead(s), lambda prefix: let(strip(F.substr(s, F.length(prefix) + 1)), lambda rest: without(s, prefix, rest))))
 
 
 def decompose_claims(c: Column) -> Column:
     """One sentence as one to three claims, at " formed by ", " born in " or " who "."""
-    sentence = strip(c)
-    bare = strip(F.regexp_replace(sentence, r"(?i)^(no|yes),?\s*", ""))
-    clean = F.when(bare == "", bare).otherwise(_first_upper(bare))
-    w = F.split(clean, r"\s+")
-    first, second = F.get(w, F.lit(0)), F.get(w, F.lit(1))
-    two = (F.size(w) >= 2) & ~F.lower(first).isin("they", "he", "she", "it", "this", "that") & second.rlike(r"^\p{Lu}")
-    subject = F.when(clean == "", "It").when(two, F.concat_ws(" ", first, second)).otherwise(first)
-    verb = F.when(F.lower(subject).isin("they", "we", "you"), "were").otherwise("was")
     ended = lambda x: F.when(x.endswith("."), x).otherwise(F.concat(x, F.lit(".")))
     undotted = lambda x: F.regexp_replace(x, r"\.+$", "")
-    part = lambda sep, i: strip(F.get(F.split(clean, sep), F.lit(i)))
-    main, by = part(" formed by ", 0), part(" formed by ", 1)
-    who_made, when_made = strip(F.get(F.split(by, " in "), F.lit(0))), undotted(strip(F.get(F.split(by, " in "), F.lit(1))))
-    formed = F.when(
-        by.contains(" in "),
-        F.array(ended(main), F.concat(subject, F.lit(" "), verb, F.lit(" formed by "), who_made, F.lit(".")), F.concat(subject, F.lit(" "), verb, F.lit(" formed in "), when_made, F.lit("."))),
-    ).otherwise(F.array(ended(main), F.concat(subject, F.lit(" "), verb, F.lit(" formed by "), undotted(by), F.lit(" ."))))
-    born = F.array(ended(part(" born in ", 0)), F.concat(subject, F.lit(" "), verb, F.lit(" born in "), undotted(part(" born in ", 1)), F.lit(".")))
-    who = F.array(ended(part(" who ", 0)), F.concat(subject, F.lit(" "), undotted(part(" who ", 1)), F.lit(" .")))
-    out = (
-        F.when(clean.contains(" formed by "), formed)
-        .when(clean.contains(" born in ") & ~clean.startswith("Born in"), born)
-        .when(clean.contains(" who "), who)
-        .otherwise(F.array(sentence))
-    )
-    return F.filter(out, lambda x: ~x.rlike(r"^\s*\.?\s*$"))
+
+    def subject_of(clean: Column, w: Column) -> Column:
+        first, second = F.get(w, F.lit(0)), F.get(w, F.lit(1))
+        two = (F.size(w) >= 2) & ~F.lower(first).isin("they", "he", "she", "it", "this", "that") & second.rlike(r"^\p{Lu}")
+        return F.when(clean == "", "It").when(two, F.concat_ws(" ", first, second)).otherwise(first)
+
+    def parts(sentence: Column, clean: Column, subject: Column) -> Column:
+        verb = F.when(F.lower(subject).isin("they", "we", "you"), "were").otherwise("was")
+        part = lambda sep, i: strip(F.get(F.split(clean, sep), F.lit(i)))
+        main, by = part(" formed by ", 0), part(" formed by ", 1)
+        who_made, when_made = strip(F.get(F.split(by, " in "), F.lit(0))), undotted(strip(F.get(F.split(by, " in "), F.lit(1))))
+        formed = F.when(
+            by.contains(" in "),
+            F.array(ended(main), F.concat(subject, F.lit(" "), verb, F.lit(" formed by "), who_made, F.lit(".")), F.concat(subject, F.lit(" "), verb, F.lit(" formed in "), when_made, F.lit("."))),
+        ).otherwise(F.array(ended(main), F.concat(subject, F.lit(" "), verb, F.lit(" formed by "), undotted(by), F.lit(" ."))))
+        born = F.array(ended(part(" born in ", 0)), F.concat(subject, F.lit(" "), verb, F.lit(" born in "), undotted(part(" born in ", 1)), F.lit(".")))
+        who = F.array(ended(part(" who ", 0)), F.concat(subject, F.lit(" "), undotted(part(" who ", 1)), F.lit(" .")))
+        return (
+            F.when(clean.contains(" formed by "), formed)
+            .when(clean.contains(" born in ") & ~clean.startswith("Born in"), born)
+            .when(clean.contains(" who "), who)
+            .otherwise(F.array(sentence))
+        )
+
+    def of(sentence: Column) -> Column:
+        bare = strip(F.regexp_replace(sentence, r"(?i)^(no|yes),?\s*", ""))
+        clean = let(bare, lambda b: F.when(b == "", b).otherwise(_first_upper(b)))
+        return let(clean, lambda cl: let(let(F.split(cl, r"\s+"), lambda w: subject_of(cl, w)), lambda subject: parts(sentence, cl, subject)))
+
+    return F.filter(let(strip(c), of), lambda x: ~x.rlike(r"^\s*\.?\s*$"))
 
 
 def is_factual(c: Column) -> Column:
     """Whether a sentence states something: long enough, with a verb, not greeting, question, advice, closing, talk about itself or fragment."""
-    s = strip(c)
-    n_words = F.size(F.split(s, r"\s+"))
-    return (F.length(s) >= 8) & ~matches(s, L.REDUNDANT) & ((n_words >= 3) | matches(s, L.COMMON_VERB)) & ~any_of(s, L.NON_FACTUAL)
+
+
+    def states(s: Column) -> Column:
+        n_words = F.size(F.split(s, r"\s+"))
+        return (F.length(s) >= 8) & ~matches(s, L.REDUNDANT) & ((n_words >= 3) | matches(s, L.COMMON_VERB)) & ~any_of(s, L.NON_FACTUAL)
+
+    return let(strip(c), states)
 
 
 def extract_claims(c: Column) -> Column:
     """Claims of a text, in order."""
     parts = F.split(strip(F.coalesce(c, F.lit(""))), _SPLITS["capital"])
-    return F.filter(F.flatten(F.transform(parts, lambda s: decompose_claims(normalize_claim(s)))), is_factual)
+    return F.filter(F.flatten(F.transform(parts, lambda s: let(normalize_claim(s), decompose_claims))), is_factual)
 
 
 def claim_type(c: Column) -> Column:

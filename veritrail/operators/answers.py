@@ -221,12 +221,17 @@ def fabricated_alternatives(answers: DataFrame, claims: DataFrame) -> DataFrame:
 
 
 def primary_person(entities: DataFrame) -> DataFrame:
-    """``entities`` (response_id, claim_id, pos, text, label): persons that share a word with the response's longest person take its name."""
+    """``entities`` (response_id, claim_id, pos, text, label): persons that share a word with the response's longest person take its name.
+
+    Of a claim's entities that then have the same text and label, the first stays; those without text go.
+    """
     person = F.when(F.col("label") == "PERSON", F.struct(F.length("text").alias("n"), F.negate("pos").alias("p"), F.col("text").alias("t")))
     longest = F.max(person).over(Window.partitionBy("response_id"))["t"]
     e = entities.withColumn("longest", longest)
     part = F.exists(F.split("text", r"\s+"), lambda w: F.contains(F.col("longest"), w))
-    return e.withColumn("text", F.when((F.col("label") == "PERSON") & F.col("longest").isNotNull() & part, F.col("longest")).otherwise(F.col("text"))).drop("longest")
+    e = e.withColumn("text", F.when((F.col("label") == "PERSON") & F.col("longest").isNotNull() & part, F.col("longest")).otherwise(F.col("text"))).drop("longest")
+    again = F.row_number().over(Window.partitionBy("claim_id", F.trim("text"), "label").orderBy("pos"))
+    return e.where(F.trim("text") != "").withColumn("__again", again).where("__again = 1").drop("__again")
 
 
 def reference_queries(texts: DataFrame, most: int = 3) -> DataFrame:

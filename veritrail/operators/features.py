@@ -10,8 +10,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.selection import let
-from ..functions.text import strip
+from ..functions.text import let, strip
 
 #: Names and order of the features.
 NAMES = [

@@ -220,12 +220,12 @@ def out_of_fold(df: DataFrame, key: str, label: str, features: str, estimator=No
     return out
 
 
-def compare_systems(df: DataFrame, key: str, label: str, features: str, slices: dict[str, list[int]], k: int = FOLDS, seed: int = 42, only: tuple[str, ...] = ("lr", "svm")) -> DataFrame:
+def compare_systems(df: DataFrame, key: str, label: str, features: str, slices: dict[str, list[int]], k: int = FOLDS, seed: int = 42, only: tuple[str, ...] = ("lr", "rf"), trees: int = TREES) -> DataFrame:
     """system, key, label, fold, stacked, calibrated, predicted: the same folds and stack over slices of the feature vector."""
 
     def one(name: str, dims: list[int]) -> DataFrame:
         cut = VectorSlicer(inputCol=features, outputCol="__cut", indices=dims).transform(df)
-        return Stack(key, only, seed=seed).fit(cut, label, "__cut", k).oof.select(key, "label", "fold", "stacked", "calibrated", "predicted").withColumn("system", F.lit(name))
+        return Stack(key, only, trees, seed=seed).fit(cut, label, "__cut", k).oof.select(key, "label", "fold", "stacked", "calibrated", "predicted").withColumn("system", F.lit(name))
 
     parts = _together(df.sparkSession, [lambda n=n, d=d: one(n, d) for n, d in slices.items()])
     out = parts[0]

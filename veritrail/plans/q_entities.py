@@ -68,7 +68,10 @@ def _sql_triples() -> str:
     return " UNION ALL ".join(rows)
 
 
-@query("T19_extract_triple", f"WITH {PROFILES}, t AS ({_sql_triples()}), b AS (SELECT * FROM t QUALIFY row_number() OVER (PARTITION BY claim_id ORDER BY n) = 1) SELECT claim_id, subject, relation, object, {_SIDE('subject')} AS subject_type, {_SIDE('object')} AS object_type, confidence FROM pcl LEFT JOIN b USING (claim_id)".replace("claim_id, subject, relation, object, CASE", "claim_id, subject, relation, object, CASE WHEN subject IS NULL THEN NULL ELSE CASE", 1).replace("AS subject_type, CASE", "END AS subject_type, CASE WHEN subject IS NULL THEN NULL ELSE CASE", 1).replace("AS object_type, confidence", "END AS object_type, confidence", 1))
+_KIND_OF = lambda side: f"CASE WHEN subject IS NOT NULL THEN {_SIDE(side)} END AS {side}_type"
+
+
+@query("T19_extract_triple", f"WITH {PROFILES}, t AS ({_sql_triples()}), b AS (SELECT * FROM t QUALIFY row_number() OVER (PARTITION BY claim_id ORDER BY n) = 1) SELECT claim_id, subject, relation, object, {_KIND_OF('subject')}, {_KIND_OF('object')}, confidence FROM pcl LEFT JOIN b USING (claim_id)")
 def t19(spark, d):
     return claims(people(spark, d)).select("claim_id", N.triple(F.col("text")).alias("t")).select("claim_id", "t.*")
 
@@ -123,8 +126,9 @@ def t25(spark, d):
     return recognized(spark, d).select("claim_id", F.array_join(F.transform(N.by_priority(F.col("es")), lambda e: e["text"]), ";").alias("names"))
 
 
-@query("W11_propagate_primary_person", f"""WITH {PROFILES}, {ENTITIES}, l AS (SELECT response_id, arg_max(text, (length(text), -(pos * 100 + ord))) AS longest FROM er WHERE label = 'PERSON' GROUP BY response_id)
-  SELECT claim_id, ord, CASE WHEN label = 'PERSON' AND len(list_filter(string_split(text, ' '), lambda w: contains(longest, w))) > 0 THEN longest ELSE text END AS text FROM er JOIN l USING (response_id)""")
+@query("W11_propagate_primary_person", f"""WITH {PROFILES}, {ENTITIES}, l AS (SELECT response_id, arg_max(text, (length(text), -(pos * 100 + ord))) AS longest FROM er WHERE label = 'PERSON' GROUP BY response_id),
+  n AS (SELECT claim_id, ord, label, CASE WHEN label = 'PERSON' AND len(list_filter(string_split(text, ' '), lambda w: contains(longest, w))) > 0 THEN longest ELSE text END AS text FROM er LEFT JOIN l USING (response_id))
+  SELECT claim_id, ord, text FROM n WHERE trim(text) <> '' QUALIFY row_number() OVER (PARTITION BY claim_id, trim(text), label ORDER BY ord) = 1""")
 def w11(spark, d):
     e = recognized(spark, d).select("claim_id", "response_id", F.col("pos").alias("at"), F.posexplode("es").alias("i", "e"))
     e = e.select("claim_id", "response_id", (F.col("i") + 1).alias("ord"), (F.col("at") * 100 + F.col("i") + 1).alias("pos"), "e.*")

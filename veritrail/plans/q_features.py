@@ -88,10 +88,14 @@ def a35(spark, d):
     return X.evidence_sufficiency(p, "s", "h")
 
 
-@query("M18_leakage_guards", f"WITH {PRED} SELECT count(*) FILTER (id % 11 = 0) AS missing, 0 AS repeated, 0 AS not_finite, count(DISTINCT p) FILTER (id % 11 <> 0) AS distinct_scores FROM pred")
+@query("M18_leakage_guards", f"""WITH {PRED}, oof AS (SELECT id, CASE WHEN id % 17 = 0 THEN 'NaN'::DOUBLE ELSE p END AS p FROM pred WHERE id % 11 <> 0 UNION ALL SELECT id, p FROM pred WHERE id % 13 = 0 AND id % 11 <> 0),
+  k AS (SELECT i.id, c FROM (SELECT DISTINCT id FROM pred) i LEFT JOIN (SELECT id, count(*) AS c FROM oof GROUP BY id) h ON h.id = i.id), s AS (SELECT count(*) FILTER (p IS NULL OR isnan(p) OR isinf(p)) AS not_finite, count(DISTINCT p) AS distinct_scores FROM oof)
+  SELECT count(*) FILTER (c IS NULL) AS missing, count(*) FILTER (c > 1) AS repeated, any_value(not_finite) AS not_finite, any_value(distinct_scores) AS distinct_scores FROM k, s""")
 def m18(spark, d):
-    p = predictions(spark, d)
-    return X.oof_faults(p.where("id % 11 <> 0"), p, "id", "p")
+    """Scores that lack some keys, have some twice, and are not numbers for some."""
+    p = predictions(spark, d).select("id", "p")
+    oof = p.where("id % 11 <> 0").withColumn("p", F.when(F.col("id") % 17 == 0, float("nan")).otherwise(F.col("p")))
+    return X.oof_faults(oof.unionByName(p.where("id % 13 = 0 AND id % 11 <> 0")), p, "id", "p")
 
 
 @query("J14_gold_join", "WITH q AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rank FROM documents), g AS (SELECT source, doc_id FROM documents JOIN labels USING (doc_id) WHERE quality = 1) SELECT g.source AS query_id, g.doc_id, rank FROM g LEFT JOIN (SELECT * FROM q WHERE rank <= 20) q ON q.source = g.source AND q.doc_id = g.doc_id")

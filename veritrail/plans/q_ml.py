@@ -48,7 +48,7 @@ def m09(spark, d):
 def m13(spark, d):
     """AUROC and F1 of the same folds and members over slices of the vectors."""
     slices = {"A": list(range(32)), "B": [32, 33, 34], "C": list(range(35, 50)), "D": list(range(64))}
-    c = stored(ml.compare_systems(_vectors(spark, d), "vec_id", "y", "v", slices), "systems")
+    c = stored(ml.compare_systems(_vectors(spark, d), "vec_id", "y", "v", slices, trees=20), "systems")
     return M.roc_auc(c, "label", "calibrated", ["system"]).join(M.classification_metrics(c, "label", "predicted", ["system"]).select("system", "f1", "accuracy"), "system")
 
 
