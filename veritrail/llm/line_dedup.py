@@ -245,10 +245,16 @@ def _per_chunk(names: list[str], kinds: list[pa.DataType], rows):
                 lines = Lines(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 got = rows(part, lines)
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(got, kinds)], names=names)
+        released()
 
     return task
 
 
+def released() -> None:
+    """Give what a Python worker has freed back to the system: workers live on from task to task."""
+    pa.default_memory_pool().release_unused()
+
+
 def _signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
@@ -332,6 +338,7 @@ def _texts(places: DataFrame, docs: DataFrame, name: str) -> DataFrame:
         for t, numbers in zip(text, line):  # one text at a time, as a batch's texts may be many
             parts = (t.as_py() or "").split("\n")
             out.append([parts[i] for i in numbers.as_py()])
+        released()
         return pa.array(out, pa.list_(pa.string()))
 
     got = texts.select("did", "wanted", pick("text", F.col("wanted.line")).alias("picked"))
@@ -527,7 +534,9 @@ def dedup(docs: DataFrame) -> DataFrame:
         for i in np.flatnonzero(gone.is_valid().to_numpy(zero_copy_only=False)).tolist():
             drop = set(gone[i].as_py())
             out.append("\n".join(x for n, x in enumerate(text[i].as_py().split("\n")) if n not in drop))
-        return pc.replace_with_mask(text, gone.is_valid(), pa.array(out, text.type)).cast(pa.string())
+        kept = pc.replace_with_mask(text, gone.is_valid(), pa.array(out, text.type)).cast(pa.string())
+        released()
+        return kept
 
     gone = _by_size(removals(docs).withColumnRenamed("gone", "__gone"), "__gone")
     out = docs.drop("n_lines", "n_removed").withColumn("__key", row_key("doc_id", "text")).join(gone, "__key", "left")
