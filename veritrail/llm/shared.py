@@ -21,9 +21,12 @@ CHUNK_BYTES = 1 << 19
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path under ``spark.checkpoint.dir``, which all executors and the driver share.
 
-    Only where that setting is unset (local tests) is a temporary folder made.
+    Only where that setting is unset in a local session (tests) is a temporary folder made.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or _OWN.setdefault("dir", "") or _own_dir()
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
+    base = base or _OWN.setdefault("dir", "") or _own_dir()
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{base.rstrip('/')}/veritrail/{name}-{uuid.uuid4().hex}")
     return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
 
