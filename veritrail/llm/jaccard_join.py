@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import SPACES, Words, chunks, column_bytes, only_held, frequent, mix, row_key, stored, values_of_many
+from .shared import SPACES, Words, chunks, column_bytes, discard, frequent, mix, only_held, row_key, stored, values_of_many
 
 SHINGLE = 5
 THRESHOLD = 80
@@ -222,10 +222,12 @@ def links(candidates: DataFrame, groups: DataFrame, sets: DataFrame, docs: DataF
 def linked_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The members; node (signature), label of its group for sets that link with a pivot; and node (such a
     label, or a signature without one), label for those that link with others across groups."""
-    every = members(docs)
+    full = members(docs)
+    every = stored(full.select("__key", "doc_id", "n", "sig"), "set-of-document")
     once = every.groupBy("__key").count().where("count > 1").isEmpty()
     of_set = [F.min("__key").alias("__key"), *[F.first(c).alias(c) for c in ("n", "mins", "prefix", "bits")]]
-    sets = stored(every.where("n > 0").groupBy("sig").agg(*of_set), "distinct-sets")
+    sets = stored(full.where("n > 0").groupBy("sig").agg(*of_set), "distinct-sets")
+    discard(full)
     # groups: compare with a few of those that share a min-hash, the same few for all of them
     by_min = sets.select("sig", "n", F.explode("mins").alias("m"))
     few_of = F.array_distinct(F.array(*[F.min_by(F.struct(F.col("sig").alias("g"), F.col("n").alias("g_n")), F.xxhash64("sig", F.lit(k))) for k in range(PIVOTS)]))
@@ -253,12 +255,13 @@ def linked_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     bits = values_of_many(rows.select("prefix", "cluster"), "prefix", "cluster", "shared-shingles")
     held = only_held(rows.select("sig", "n", "home", "loose", "size", "g", "prefix"), "prefix", bits)
     held = stored(held.select("sig", "n", "home", "loose", "size", "g", F.explode("prefix").alias("t")), "matrix-rows")
+    discard(rows)
     matrix = held.groupBy("t", *[F.col(c).alias(f"g_{c}") for c in ("home", "loose", "size", "g")]).agg(F.min("n").alias("least"), F.max("n").alias("most"))
     matrix = stored(matrix, "token-groups")
     fits = (100 * F.col("most") >= THRESHOLD * F.col("n")) & (THRESHOLD * F.col("least") <= 100 * F.col("n"))
-    # each pair of groups once, the smaller one asking; a loose home asks itself too
+    # each pair of groups once, the smaller one asking; a loose home of several sets asks itself too
     order = F.struct("size", "home", "loose") < F.struct("g_size", "g_home", "g_loose")
-    own = F.col("loose") & F.col("g_loose") & (F.col("home") == F.col("g_home"))
+    own = F.col("loose") & F.col("g_loose") & (F.col("home") == F.col("g_home")) & (F.col("size") > 1)
     asked = stored(held.join(matrix, "t").where((order | own) & fits).select("sig", F.col("g_g").alias("g")).distinct(), "matrix-candidates")
     across = links(asked, homes.select("g", "sig"), sets, docs, once)
     # links between what hangs together already

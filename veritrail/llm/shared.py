@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -49,10 +50,22 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = scratch(spark, name)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
+    _PATHS[out] = path
     spark._jvm.System.gc()
     return out
 
 
+_PATHS: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
+
+def discard(table: DataFrame) -> None:
+    """Delete what ``stored`` wrote for ``table``. Only when all that was made from it is stored in turn:
+    nothing may read it again, nor a lost executor make another task do so."""
+    spark, path = table.sparkSession, _PATHS.pop(table)
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def row_key(id_col: str, text_col: str) -> Column:
     """64-bit key of a row by its id and text; rows equal in both share it."""
     return F.xxhash64(F.col(id_col), F.col(text_col))
