@@ -99,3 +99,40 @@ def test_alias_join_by_shuffle(spark, monkeypatch):
     before = rows()
     monkeypatch.setattr(retrieval, "BROADCAST_ALIASES", 0)
     assert rows() == before == [(1, "Acme Corp."), (2, "Acme Corp."), (3, "Other")]
+
+
+def _prose(seed):
+    rng = random.Random(seed)
+    words = lambda: [f"w{int(rng.paretovariate(0.7)) % 40}" for _ in range(rng.randrange(12))]
+    return [(f"c{i}", words()) for i in range(70)] + [("none", []), ("null", None)], [(i, words()) for i in range(50)] + [(900, []), (901, None)]
+
+
+@pytest.mark.parametrize("sizes", [(10**6, 10**6), (60, 40), (1, 1)])
+def test_blocked_shared_words_match_all_pairs(spark, sizes):
+    asked, facts = _prose(3)
+    found = retrieval.shared_words_blocked(spark.createDataFrame(asked, "id string, words array<string>"), spark.createDataFrame(facts, "fact long, words array<string>"), 3, *sizes)
+    assert sorted(map(tuple, found.select("id", "fact", "score", "rank").collect())) == _top([(i, w or []) for i, w in asked], [(f, w or []) for f, w in facts], 3)
+
+
+def test_prose_makes_no_rows_for_shared_words(spark):
+    """The flagship's retrieval: rows of its plan stay near ids x cells, though all ids share words with all facts."""
+    asked, facts = [(f"c{i}", [f"w{j}" for j in range(20)]) for i in range(300)], [(i, [f"w{j}" for j in range(20)]) for i in range(300)]
+    found = retrieval.shared_words_blocked(spark.createDataFrame(asked, "id string, words array<string>"), spark.createDataFrame(facts, "fact long, words array<string>"), 3)
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert {tuple(r) for r in found.select("fact", "score", "rank").collect()} == {(0, 20, 1), (1, 20, 2), (2, 20, 3)}
+
+
+def test_document_support_matches_rules(spark):
+    from veritrail.functions import rules as R
+    from veritrail.functions import text as T
+
+    texts = [(1, "The harbor of Nordwind was built in 1950. It lies in France near the river.  Short. Many ships visit the harbor of Nordwind."), (2, None), (3, "Short.")]
+    claims = [("a", "Nordwind harbor was built in France."), ("b", "No such thing \"....\" here."), ("c", "It is."), ("d", "")]
+    c, d = spark.createDataFrame(claims, "claim_id string, text string"), spark.createDataFrame(texts, "fact_id long, text string")
+    found = c.select("claim_id").crossJoin(d.select("fact_id")).where("claim_id <> 'd' OR fact_id = 1")
+    got = {r.claim_id: (r.best, r.match) for r in retrieval.document_support(found, c, d).collect()}
+    j = found.join(c, "claim_id").join(d.select("fact_id", F.col("text").alias("doc")), "fact_id")
+    match = {r.claim_id: r.m for r in j.groupBy("claim_id").agg(F.max(R.word_match(F.col("text"), F.col("doc"))).alias("m")).collect()}
+    s = j.select("claim_id", "text", F.explode_outer(T.sentences(F.col("doc"), "mark", 15)).alias("s"))
+    best = {r.claim_id: r.b for r in s.groupBy("claim_id").agg(F.max(F.coalesce(T.word_overlap(F.col("text"), F.col("s")), F.lit(0.0))).alias("b")).collect()}
+    assert got == {k: (best[k], match[k]) for k in got} and set(got) == set("abcd")

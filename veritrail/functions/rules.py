@@ -219,8 +219,8 @@ def long_words(claim: Column) -> Column:
 
 def word_match(claim: Column, evidence: Column) -> Column:
     """Share of the claim's long words that are in the evidence, anywhere; 0 without such words."""
-    own = long_words(claim)
-    return F.when(F.size(own) > 0, F.size(F.filter(own, lambda w: F.contains(F.lower(F.coalesce(evidence, F.lit(""))), w))) / F.size(own)).otherwise(0.0)
+    share = lambda own, low: F.when(F.size(own) > 0, F.size(F.filter(own, lambda w: F.contains(low, w))) / F.size(own)).otherwise(0.0)
+    return let(F.lower(F.coalesce(evidence, F.lit(""))), lambda low: let(long_words(claim), lambda own: share(own, low)))
 
 
 def lexical_verdict(best: Column, match: Column) -> Column:

@@ -2,18 +2,26 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections import defaultdict
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import lexicons as L
+from ..functions import rules as R
 from ..functions import text as T
 from ..session import stored
 from .vectors import nearest
 
 #: A word in more ids and in more facts than that is frequent: its ids never meet its facts pair by pair.
 OFTEN = 1000
+#: Distinct words of ids and of facts in a cell of the grid, about.
+ASKED_WORDS, FACT_WORDS = 200_000, 500_000
+#: Claims that meet one copy of a document, about, and such rows in a task.
+CLAIMS_AT_ONCE, DOCUMENTS_AT_ONCE = 100, 100
 #: Aliases that are broadcast, at most.
 BROADCAST_ALIASES = 100_000
 
@@ -60,13 +68,109 @@ def shared_words(asked: DataFrame, facts: DataFrame, k: int, often: int = OFTEN)
     return scored.unionByName(more).distinct().withColumn("rank", F.row_number().over(best("id"))).where(F.col("rank") <= k)
 
 
-def lexical_retrieve(claims: DataFrame, facts: DataFrame, k: int = 3, often: int = OFTEN) -> DataFrame:
-    """claim_id, fact_id, score (shared distinct words), rank; ``claims``: claim_id, text; ``facts``: fact_id, text."""
+def _rows_of_words(words: pa.Array, n_before: int, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row and code of each word of a list column whose words' codes begin at ``n_before``."""
+    n = np.diff(words.offsets.to_numpy())
+    return np.repeat(np.arange(len(words)), n), codes[n_before : n_before + int(n.sum())]
+
+
+def _best_of_cell(k: int):
+    """The ``k`` best facts of each id of a cell: a fact's score is how often it is among the rows of the id's words."""
+
+    def best(asked: pa.Table, facts: pa.Table) -> pa.Table:
+        none = pa.table({"id": asked["id"][:0], "fact": facts["fact"][:0], "score": pa.array([], pa.int64())})
+        if not len(asked) or not len(facts):
+            return none
+        facts = facts.sort_by("fact")
+        a, f = asked["words"].combine_chunks(), facts["words"].combine_chunks()
+        codes = pa.concat_arrays([a.flatten(), f.flatten()]).dictionary_encode().indices.to_numpy(zero_copy_only=False)
+        a_row, a_code = _rows_of_words(a, 0, codes)
+        f_row, f_code = _rows_of_words(f, len(a_row), codes)
+        order = np.argsort(f_code, kind="stable")
+        at = np.zeros(int(codes.max(initial=0)) + 2, dtype=np.int64)
+        np.cumsum(np.bincount(f_code, minlength=len(at) - 1), out=at[1:])
+        rows, ends = f_row[order], np.searchsorted(a_row, np.arange(len(asked) + 1))
+        ids, found, scores = [], [], []
+        for i in range(len(asked)):
+            met = [rows[at[c] : at[c + 1]] for c in a_code[ends[i] : ends[i + 1]]]
+            score = np.bincount(np.concatenate(met), minlength=len(facts)) if met else np.zeros(len(facts), dtype=np.int64)
+            value = score * len(facts) + np.arange(len(facts) - 1, -1, -1)  # ties to the smaller fact
+            top = np.argpartition(-value, k - 1)[:k] if len(facts) > k else np.arange(len(facts))
+            top = top[score[top] > 0]
+            ids.append(np.full(len(top), i)), found.append(top), scores.append(score[top])
+        return pa.table({"id": asked["id"].take(pa.array(np.concatenate(ids))), "fact": facts["fact"].take(pa.array(np.concatenate(found))), "score": pa.array(np.concatenate(scores).astype(np.int64))})
+
+    return best
+
+
+def shared_words_blocked(asked: DataFrame, facts: DataFrame, k: int, asked_words: int = ASKED_WORDS, fact_words: int = FACT_WORDS) -> DataFrame:
+    """Like ``shared_words``, for prose, where an id shares words with a large part of all facts.
+
+    There, rows for each shared word are far more than ids and facts. Here blocks of ids meet blocks of facts over a grid;
+    a cell counts in arrays and keeps its ``k`` best of each id, and the best of all cells are taken. ``id`` and ``fact`` are keys.
+    """
+    blocks = lambda df, most: max(1, -(-(df.agg(F.sum(F.size("words")).alias("n")).first().n or 0) // most))
+    set_of = lambda df, key: df.where("words IS NOT NULL").select(key, F.array_distinct("words").alias("words"))
+    a, f = set_of(asked, "id"), set_of(facts, "fact")
+    n_a, n_f = blocks(a, asked_words), blocks(f, fact_words)
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    a = a.select("id", "words", F.pmod(F.xxhash64("id"), F.lit(n_a)).cast("int").alias("a"), every(n_f).alias("f"))
+    f = f.select("fact", "words", F.pmod(F.xxhash64("fact"), F.lit(n_f)).cast("int").alias("f"), every(n_a).alias("a"))
+    schema = f"id {a.schema['id'].dataType.simpleString()}, fact {f.schema['fact'].dataType.simpleString()}, score long"
+    pairs = a.groupBy("a", "f").cogroup(f.groupBy("a", "f")).applyInArrow(_best_of_cell(k), schema)
+    w = Window.partitionBy("id").orderBy(F.desc("score"), "fact")
+    return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def lexical_retrieve(claims: DataFrame, facts: DataFrame, k: int = 3, often: int = OFTEN, prose: bool = False) -> DataFrame:
+    """claim_id, fact_id, score (shared distinct words), rank; ``claims``: claim_id, text; ``facts``: fact_id, text.
+
+    ``prose``: by ``shared_words_blocked``, with the same result.
+    """
     split = F.filter(F.split(F.lower("text"), r"\s+"), lambda w: w != "").alias("words")
-    found = shared_words(claims.select(F.col("claim_id").alias("id"), split), facts.select(F.col("fact_id").alias("fact"), split), k, often)
+    a, f = claims.select(F.col("claim_id").alias("id"), split), facts.select(F.col("fact_id").alias("fact"), split)
+    found = shared_words_blocked(a, f, k) if prose else shared_words(a, f, k, often)
     return found.select(F.col("id").alias("claim_id"), F.col("fact").alias("fact_id"), "score", "rank")
 
 
+def _supported(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for i in range(batch.num_rows):
+            low, sentences, claims = (batch.column(name)[i].as_py() for name in ("low", "sentences", "claims"))
+            postings, sizes = defaultdict(list), np.array([len(s) for s in sentences], dtype=np.int64)
+            for n, s in enumerate(sentences):
+                for w in s:
+                    postings[w].append(n)
+            inside, best, match = {}, [], []
+            for c in claims:
+                met = [n for w in c["cw"] for n in postings.get(w, ())]
+                shared = np.bincount(np.array(met, dtype=np.int64), minlength=len(sizes))
+                best.append(float((shared / np.maximum(sizes + len(c["cw"]) - shared, 1)).max(initial=0.0)))
+                for w in c["lw"]:
+                    if w not in inside:
+                        inside[w] = w in low
+                match.append(sum(inside[w] for w in c["lw"]) / len(c["lw"]) if c["lw"] else 0.0)
+            yield pa.RecordBatch.from_pydict({"claim_id": pa.array([c["claim_id"] for c in claims], pa.string()), "best": pa.array(best, pa.float64()), "match": pa.array(match, pa.float64())})
+
+
+def document_support(found: DataFrame, claims: DataFrame, docs: DataFrame) -> DataFrame:
+    """claim_id, best, match: over a claim's documents, the most that its words overlap with a sentence's, and ``rules.word_match``.
+
+    ``found``: claim_id, fact_id; ``claims``: claim_id, text; ``docs``: fact_id, text. A document meets its claims in
+    groups of ``CLAIMS_AT_ONCE``, so its words are looked up and its sentences cut once a group, and one that many claims found is
+    dealt to many tasks.
+    """
+    many = found.groupBy("fact_id").agg(F.ceil(F.count("*") / CLAIMS_AT_ONCE).alias("n"))
+    said = claims.select("claim_id", T.overlap_words(F.col("text")).alias("cw"), R.long_words(F.col("text")).alias("lw"))
+    part = F.pmod(F.xxhash64("claim_id"), F.col("n")).alias("part")
+    groups = found.join(many, "fact_id").select("fact_id", "claim_id", part).join(said, "claim_id").groupBy("fact_id", "part").agg(F.collect_list(F.struct("claim_id", "cw", "lw")).alias("claims"))
+    groups = stored(groups, "claims-of-documents")
+    n = max(docs.sparkSession.sparkContext.defaultParallelism * 2, groups.count() // DOCUMENTS_AT_ONCE)
+    words = F.transform(T.sentences(F.col("text"), "mark", 15), T.overlap_words).alias("sentences")
+    rows = groups.join(docs, "fact_id").repartition(n, "fact_id", "part").select(F.lower(F.coalesce("text", F.lit(""))).alias("low"), words, "claims")
+    return rows.mapInArrow(_supported, "claim_id string, best double, match double").groupBy("claim_id").agg(F.max("best").alias("best"), F.max("match").alias("match"))
+
+
 def dense_retrieve(queries: DataFrame, corpus: DataFrame, k: int = 5) -> DataFrame:
     """query_id, vec_id, score, rank: exact inner products of a stated query set against all rows.
 
