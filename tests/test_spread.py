@@ -26,3 +26,11 @@ def test_names_are_recognized_once(spark, customers):
     once = plan(q_entities.recognized(spark, customers).select("claim_id", "es")).count("regexp_extract_all")
     assert once > 0
     assert plan(q_entities.w11(spark, customers)).count("regexp_extract_all") == once
+
+
+def test_rules_are_asked_once(spark, customers):
+    from veritrail.functions import rules as R
+
+    df = profiles.cases(spark, customers).limit(3000).select("text", "texts", R.run_checkers(F.col("text"), F.col("texts")).alias("v"))
+    assert df._jdf.queryExecution().analyzed().toString().count("prime number|visible") == 1
+    assert {r.checker for r in df.select("v.checker").distinct().collect()} == {None, "entity", "negation", "location", "fact_attribute", "numeric"}
