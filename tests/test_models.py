@@ -180,3 +180,12 @@ def test_levels_and_propagation(spark):
     assert (one.a_level, one.b_level, one.c_level, one.d_level) == ("Very Low", "Low", "Moderate", "Very High")
     assert one.overall == round((0.95 * 0.8 * 0.6 * 0.1) ** 0.25, 4) and one.level == "High"
     assert zero.overall == 0.1
+
+
+def test_few_tasks_of_inner_folds_hold_no_sorts(spark, rows):
+    y, x = rows
+    df = spark.createDataFrame([(i, float(a), v.tolist()) for i, (a, v) in enumerate(zip(y, x))], "id long, label double, v array<double>").select("id", "label", array_to_vector("v").alias("features")).coalesce(1)
+    parts = ml.MarginClassifier("id").inner_folds(df)
+    plan = parts._jdf.queryExecution().executedPlan().toString()
+    assert "Coalesce" in plan and not any(x in plan for x in ("Sort", "Window", "Exchange"))
+    assert parts.count() == N and {r.fold for r in parts.select("fold").distinct().collect()} == {0, 1, 2}

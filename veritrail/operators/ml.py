@@ -44,8 +44,16 @@ class MarginClassifier:
     def margins(model, df: DataFrame) -> DataFrame:
         return model.transform(df).withColumn("__margin", vector_to_array("rawPrediction")[1]).drop("rawPrediction", "prediction")
 
+    def inner_folds(self, train: DataFrame) -> DataFrame:
+        """key, label, features, fold in as many partitions as ``train``.
+
+        The folds are stored first: a task of the few would else hold the sorts of all shuffle partitions that it reads until its end.
+        """
+        folds = stratified_kfold(train.select(self.key, "label", "features"), self.key, "label", self.inner, self.seed + 1)
+        return stored(folds, "inner-folds").coalesce(train.rdd.getNumPartitions())
+
     def fit(self, train: DataFrame) -> MarginClassifier:
-        parts = stratified_kfold(train.select(self.key, "label", "features"), self.key, "label", self.inner, self.seed + 1).coalesce(train.rdd.getNumPartitions()).persist()
+        parts = self.inner_folds(train).persist()
         held = None
         for f in range(self.inner):
             part = self.margins(self.svm.fit(parts.where(F.col("fold") != f)), parts.where(F.col("fold") == f)).select("label", "__margin")
