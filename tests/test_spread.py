@@ -34,3 +34,21 @@ def test_rules_are_asked_once(spark, customers):
     df = profiles.cases(spark, customers).limit(3000).select("text", "texts", R.run_checkers(F.col("text"), F.col("texts")).alias("v"))
     assert df._jdf.queryExecution().analyzed().toString().count("prime number|visible") == 1
     assert {r.checker for r in df.select("v.checker").distinct().collect()} == {None, "entity", "negation", "location", "fact_attribute", "numeric"}
+
+
+def test_pages_are_cut_before_they_meet_claims(spark, customers):
+    from veritrail.plans import q_selection
+
+    plan = q_selection.w06(spark, customers)._jdf.queryExecution().optimizedPlan().toString()
+    above, below = plan.split("Join", 1)
+    assert "citation needed" in below and "regexp" not in above and "split" not in above
+
+
+def test_scores_in_rows_are_those_in_arrays(spark, customers):
+    from veritrail.functions import selection as E
+
+    df = profiles.pages(profiles.people(spark, customers)).limit(60).select("page_id", F.col("text").alias("doc"), F.lit("Anna Abbott is not the CEO of Acme Inc.").alias("claim"))
+    df = df.unionByName(spark.createDataFrame([("x", "Of the and it is not. Paris became a city of France.", "of the")], "page_id string, doc string, claim string"))
+    arrays = df.select("page_id", F.inline(E.score_sentences(F.col("doc"), F.col("claim"), F.array(F.lit("Anna Abbott")))))
+    rows = E.score_rows(df.select("page_id", E.sentence_parts(F.col("doc")).alias("parts"), E.claim_parts(F.col("claim"), F.array(F.lit("Anna Abbott"))).alias("about")), "page_id")
+    assert sorted(arrays.collect()) == sorted(rows.collect()) and rows.count() > 60

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import lexicons as L
@@ -28,39 +28,90 @@ def denies(c: Column, legacy: bool = False) -> Column:
     return F.lower(c).rlike("no|never|didn't") if legacy else matches(c, r"\b(not?|never|didn't)\b")
 
 
-def score_sentence(sentence: Column, claim: Column, targets: Column, pos: Column, legacy: bool = False) -> Column:
-    """Scores of one sentence (``SCORE``): names, relation, density and lead; support, contradiction, the rest."""
-    pack = F.struct(score_tokens(sentence).alias("s"), score_tokens(claim).alias("c"), proper_nouns(claim, targets).alias("p"), F.lower(sentence).alias("low"))
-
-    def scored(x: Column) -> Column:
-        s, c, p = x["s"], x["c"], x["p"]
-        both = F.size(F.array_intersect(s, c))
-        sim = 0.5 * both / F.size(F.array_union(s, c)) + 0.5 * both / F.least(F.size(s), F.size(c))
-        heads = F.array_distinct(F.transform(F.filter(p, lambda w: F.length(w) > 2), F.lower))
-        ent = F.when(F.size(p) > 0, _contained(p, x["low"]) / F.size(p)).otherwise(sim)
-        rel = F.when(F.size(heads) > 0, _contained(heads, x["low"]) / F.size(heads)).otherwise(sim)
-        facts = F.filter(F.regexp_extract_all(sentence, F.lit("[a-zA-Z0-9]+"), F.lit(0)), lambda w: ~F.lower(w).isin(*L.STOP_SCORE))
-        density = F.least(F.lit(1.0), F.size(facts) / F.greatest(F.lit(1), F.size(F.split(strip(sentence), r"\s+"))))
-        return F.struct(sim.alias("sim"), ent.alias("ent"), rel.alias("rel"), density.alias("density"))
-
-    def final(y: Column) -> Column:
-        sim, ent, rel = y["sim"], y["ent"], y["rel"]
-        lead = F.when(pos < 3, 1.0).when(pos < 5, 0.5).otherwise(0.1)
-        flip = (denies(claim, legacy) != denies(sentence, legacy)) & (ent >= 0.5)
-        contra = F.when(flip, F.least(F.lit(1.0), 0.70 + 0.30 * ent)).otherwise(F.greatest(F.lit(0.0), 0.10 * (1.0 - sim)))
-        support = F.when(flip, 0.30 * sim).otherwise(F.least(F.lit(1.0), 0.5 * sim + 0.5 * rel))
-        rank = F.greatest(F.lit(0.0), F.least(F.lit(1.0), 0.40 * ent + 0.30 * rel + 0.20 * y["density"] + 0.10 * lead))
-        values = [rank, F.round(support, 4), F.round(contra, 4), F.round(F.greatest(F.lit(0.0), 1.0 - (support + contra)), 4), F.round(sim, 4), F.round(ent, 4), F.round(y["density"], 4)]
-        return F.struct(pos.cast("int"), sentence, *values).cast(SCORE)
-
-    bare = F.struct(pos.cast("int"), sentence, *map(F.lit, [0.10, 0.10, 0.0, 0.90, 0.10, 0.0, 0.0])).cast(SCORE)
-    empty = (F.size(score_tokens(sentence)) == 0) | (F.size(score_tokens(claim)) == 0)
-    return F.when(empty, bare).otherwise(let(let(pack, scored), final))
+#: What scores need of a sentence and of a claim: made once for each, however many of the others they meet.
+PARTS = "struct<pos:int,sentence:string,tokens:array<string>,low:string,density:double,denies:boolean>"
+
+
+def sentence_parts(document: Column, legacy: bool = False) -> Column:
+    """Array of ``PARTS``: every sentence of a document that can state something, in order."""
+
+    def one(s: Column, i: Column) -> Column:
+        facts = F.filter(F.regexp_extract_all(s, F.lit("[a-zA-Z0-9]+"), F.lit(0)), lambda w: ~F.lower(w).isin(*L.STOP_SCORE))
+        density = F.least(F.lit(1.0), F.size(facts) / F.greatest(F.lit(1), F.size(F.split(strip(s), r"\s+"))))
+        return F.struct(i.cast("int"), s, score_tokens(s), F.lower(s), density, denies(s, legacy)).cast(PARTS)
+
+    return F.transform(clean_evidence_sentences(document), one)
+
+
+def claim_parts(claim: Column, targets: Column, legacy: bool = False) -> Column:
+    """struct(tokens, names, heads, denies) of a claim about the target names."""
+    heads = lambda p: F.array_distinct(F.transform(F.filter(p, lambda w: F.length(w) > 2), F.lower))
+    return let(proper_nouns(claim, targets), lambda p: F.struct(score_tokens(claim).alias("tokens"), F.transform(p, F.lower).alias("names"), heads(p).alias("heads"), denies(claim, legacy).alias("denies")))
+
+
+# Scores are made in steps from x (of ``PARTS``), about (of ``claim_parts``) and v, the values of the steps before.
+def _sizes(x, about, v):
+    return {"n_s": F.size(x["tokens"]), "n_c": F.size(about["tokens"]), "both": F.size(F.array_intersect(x["tokens"], about["tokens"]))}
+
+
+def _similar(x, about, v):
+    sim = 0.5 * v["both"] / (v["n_s"] + v["n_c"] - v["both"]) + 0.5 * v["both"] / F.least(v["n_s"], v["n_c"])
+    return {"empty": (v["n_s"] == 0) | (v["n_c"] == 0), "sim": F.when((v["n_s"] > 0) & (v["n_c"] > 0), sim)}
+
+
+def _named(x, about, v):
+    share = lambda words: F.when(F.size(words) > 0, F.size(F.filter(words, lambda w: F.contains(x["low"], w))) / F.size(words)).otherwise(v["sim"])
+    return {"ent": share(about["names"]), "rel": share(about["heads"])}
+
+
+def _judged(x, about, v):
+    sim, ent, rel = v["sim"], v["ent"], v["rel"]
+    flip = (about["denies"] != x["denies"]) & (ent >= 0.5)
+    contra = F.when(flip, F.least(F.lit(1.0), 0.70 + 0.30 * ent)).otherwise(F.greatest(F.lit(0.0), 0.10 * (1.0 - sim)))
+    return {"support": F.when(flip, 0.30 * sim).otherwise(F.least(F.lit(1.0), 0.5 * sim + 0.5 * rel)), "contra": contra}
+
+
+def _scores(x, v) -> list[Column]:
+    """Values of ``SCORE`` after pos and sentence: names, relation, density and lead; support, contradiction, the rest."""
+    lead = F.when(x["pos"] < 3, 1.0).when(x["pos"] < 5, 0.5).otherwise(0.1)
+    rank = F.greatest(F.lit(0.0), F.least(F.lit(1.0), 0.40 * v["ent"] + 0.30 * v["rel"] + 0.20 * x["density"] + 0.10 * lead))
+    values = [rank, F.round(v["support"], 4), F.round(v["contra"], 4), F.round(F.greatest(F.lit(0.0), 1.0 - (v["support"] + v["contra"])), 4), F.round(v["sim"], 4), F.round(v["ent"], 4), F.round(x["density"], 4)]
+    return [F.when(v["empty"], e).otherwise(value) for e, value in zip([0.10, 0.10, 0.0, 0.90, 0.10, 0.0, 0.0], values)]
+
+
+_STEPS = [_sizes, _similar, _named, _judged]
+
+
+def _score(x: Column, about: Column) -> Column:
+    def after(i: int, v: dict) -> Column:
+        if i == len(_STEPS):
+            return F.struct(x["pos"], x["sentence"], *_scores(x, v)).cast(SCORE)
+        new = _STEPS[i](x, about, v)
+        return let(F.struct(*[c.alias(n) for n, c in new.items()]), lambda s: after(i + 1, {**v, **{n: s[n] for n in new}}))
+
+    return after(0, {})
+
+
+def score_rows(df: DataFrame, *kept: str) -> DataFrame:
+    """``kept`` columns with ``SCORE``, a row a sentence, of ``df`` with parts (of ``sentence_parts``) and about (of ``claim_parts``)."""
+    rows = df.select(*kept, F.col("about").alias("__about"), F.explode("parts").alias("__x"))
+    x, about, v = F.col("__x"), F.col("__about"), {}
+    for step in _STEPS:
+        new = step(x, about, v)
+        rows = rows.withColumns({f"__{n}": c for n, c in new.items()})
+        v.update({n: F.col(f"__{n}") for n in new})
+    names = ["score", "support", "contradiction", "neutral", "sim", "ent", "cov"]
+    return rows.select(*kept, F.col("__x.pos").alias("pos"), F.col("__x.sentence").alias("sentence"), *[c.alias(n) for n, c in zip(names, _scores(x, v))])
+
+
+def score_parts(parts: Column, about: Column) -> Column:
+    """Array of ``SCORE`` of ``sentence_parts`` against ``claim_parts``."""
+    return F.transform(parts, lambda x: _score(x, about))
 
 
 def score_sentences(document: Column, claim: Column, targets: Column, legacy: bool = False) -> Column:
     """Array of ``SCORE``: every sentence of a document that can state something, in order."""
-    return F.transform(clean_evidence_sentences(document), lambda s, i: score_sentence(s, claim, targets, i, legacy))
+    return let(claim_parts(claim, targets, legacy), lambda about: score_parts(sentence_parts(document, legacy), about))
 
 
 def select_sentences(scores: Column, document: Column, top_k: int = 3, ratio: float = 0.80) -> Column:

@@ -23,8 +23,12 @@ def pairs(spark, d):
     return claims(ppl).join(p, "k").select("claim_id", "page_id", F.col("text").alias("claim"), "doc", F.array("person").alias("targets"))
 
 
-def scored(spark, d):
-    return pairs(spark, d).withColumn("scores", E.score_sentences(F.col("doc"), F.col("claim"), F.col("targets")))
+def met(spark, d):
+    """Pairs with parts of the page and of the claim: pages are cut, and words of claims taken, before they meet."""
+    ppl = people(spark, d)
+    p = pages(ppl).select("k", "page_id", F.col("text").alias("doc"), E.sentence_parts(F.col("text")).alias("parts"))
+    c = claims(ppl).select("k", "claim_id", E.claim_parts(F.col("text"), F.array("person")).alias("about"))
+    return c.join(p, "k")
 
 
 _tokens = lambda x: sql_except(rf"list_filter(list_distinct(regexp_extract_all(lower({x}), '[a-z0-9]+(?:\.[a-z0-9]+)*')), lambda w: length(w) > 1)", L.STOP_SCORE)
@@ -48,7 +52,7 @@ scores AS (SELECT claim_id, page_id, pos, s AS sentence, greatest(0.0::DOUBLE, l
 
 @query("W06_score_sentences", f"WITH {PAIRS}, {SCORED} SELECT * FROM scores")
 def w06(spark, d):
-    return scored(spark, d).select("claim_id", "page_id", F.inline("scores"))
+    return E.score_rows(met(spark, d), "claim_id", "page_id")
 
 
 _SELECTED = """ra AS (SELECT *, row_number() OVER w AS rk, max(score) OVER (PARTITION BY claim_id, page_id) AS top FROM scores WINDOW w AS (PARTITION BY claim_id, page_id ORDER BY score DESC, pos)),
@@ -60,7 +64,8 @@ sel AS (SELECT claim_id, page_id, string_agg(sentence, ' | ' ORDER BY rk) AS sen
 
 @query("W07_select_sentences", f"WITH {PAIRS}, {SCORED}, {_SELECTED} SELECT * FROM sel")
 def w07(spark, d):
-    chosen = scored(spark, d).select("claim_id", "page_id", E.select_sentences(F.col("scores"), F.col("doc")).alias("x"))
+    scored = met(spark, d).withColumn("scores", E.score_parts(F.col("parts"), F.col("about")))
+    chosen = scored.select("claim_id", "page_id", E.select_sentences(F.col("scores"), F.col("doc")).alias("x"))
     return chosen.select("claim_id", "page_id", F.array_join("x.sentences", " | ").alias("sentences"), "x.excerpt", "x.strength")
 
 
