@@ -52,3 +52,11 @@ def test_scores_in_rows_are_those_in_arrays(spark, customers):
     arrays = df.select("page_id", F.inline(E.score_sentences(F.col("doc"), F.col("claim"), F.array(F.lit("Anna Abbott")))))
     rows = E.score_rows(df.select("page_id", E.sentence_parts(F.col("doc")).alias("parts"), E.claim_parts(F.col("claim"), F.array(F.lit("Anna Abbott"))).alias("about")), "page_id")
     assert sorted(arrays.collect()) == sorted(rows.collect()) and rows.count() > 60
+
+
+def test_words_of_pages_are_taken_before_they_meet_claims(spark, customers):
+    from veritrail.plans import q_selection
+
+    plan = q_selection.w08(spark, customers)._jdf.queryExecution().optimizedPlan().toString()
+    above = plan.split("Join", 1)[0]
+    assert "array_distinct" not in above and "array_distinct" in plan

@@ -30,7 +30,7 @@ def evidence_text(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(t), r"\s+", " "))
 
 
-def _words(c: Column) -> Column:
+def distinct_words(c: Column) -> Column:
     return F.array_distinct(F.filter(F.split(F.lower(c), r"\s+"), lambda w: w != ""))
 
 
@@ -46,11 +46,11 @@ def rank_evidence(rows: DataFrame, top_k: int, min_score: float = 0.10, raw: Col
     title, claim = F.lower(strip(F.coalesce("title", F.lit("")))), F.lower("claim")
     subjects = F.transform(F.regexp_extract_all("claim", F.lit(r"\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+)+\b"), F.lit(0)), F.lower)
     lists = F.lower(F.concat_ws(" ", "title", "text")).rlike("disambiguation|may refer to")
-    r = rows.withColumns({"__t": title, "__s": subjects, "__d": lists}).withColumn("__all", F.bool_and("__d").over(by)).where(~F.col("__d") | F.col("__all"))
+    similar = raw if raw is not None else jaccard(distinct_words(F.col("claim")), distinct_words(F.coalesce("text", F.lit(""))))
+    r = rows.withColumns({"__t": title, "__s": subjects, "__d": lists, "__raw": similar}).withColumn("__all", F.bool_and("__d").over(by)).where(~F.col("__d") | F.col("__all"))
     t = F.col("__t")
     subject = F.array_contains("__s", t)
-    value = raw if raw is not None else jaccard(_words(F.col("claim")), _words(F.coalesce("text", F.lit(""))))
-    value = value + F.when((t != "") & (subject | ((F.size(F.split(t, r"\s+")) > 1) & F.contains(claim, t))), 0.25).otherwise(0.0)
+    value = F.col("__raw") + F.when((t != "") & (subject | ((F.size(F.split(t, r"\s+")) > 1) & F.contains(claim, t))), 0.25).otherwise(0.0)
     for term in L.DERIVATIVE:
         value = value - F.when(t.contains(term) & ~claim.contains(term), 0.20).otherwise(0.0)
     r = r.withColumn("score", F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), value)), 4)).where(F.col("score") >= min_score)
@@ -66,5 +66,5 @@ def rank_evidence(rows: DataFrame, top_k: int, min_score: float = 0.10, raw: Col
     near = (F.col("score") >= 0.50) | F.exists("__s", lambda s: F.contains(t, s))
     r = r.where((F.col("rank") == 1) | ~about | (~fragment & ~aside & near))
     r = r.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_k)
-    return r.drop("__t", "__s", "__d", "__all", "__key", "__n", "__c", "__top", "__first")
+    return r.drop("__t", "__s", "__d", "__raw", "__all", "__key", "__n", "__c", "__top", "__first")
 

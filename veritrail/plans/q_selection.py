@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicons as L
 from ..functions import selection as E
+from ..functions.text import jaccard
 from ..operators import evidence as V
 from ..operators import retrieval as R
 from .profiles import PROFILES, claims, pages, people
@@ -109,5 +110,7 @@ _DERIVED = " ".join(f"- CASE WHEN contains(lower(title), '{t}') AND NOT contains
   SELECT claim_id, page_id, rk AS rank, score FROM j WHERE top < 0.8 AND rk <= 3""")
 def w08(spark, d):
     ppl = people(spark, d)
-    rows = claims(ppl).select("claim_id", F.col("text").alias("claim"), "k").join(pages(ppl).select("k", "page_id", "title", "text"), "k")
-    return V.rank_evidence(rows.withColumn("url", F.lit(None).cast("string")), 3).select("claim_id", "page_id", "rank", "score")
+    c = claims(ppl).select("claim_id", F.col("text").alias("claim"), "k", V.distinct_words(F.col("text")).alias("cw"))
+    p = pages(ppl).select("k", "page_id", "title", "text", V.distinct_words(F.col("text")).alias("tw"))  # words before they meet
+    rows = c.join(p, "k").select("claim_id", "page_id", "claim", "title", "text", F.lit(None).cast("string").alias("url"), jaccard(F.col("cw"), F.col("tw")).alias("raw"))
+    return V.rank_evidence(rows, 3, raw=F.col("raw")).select("claim_id", "page_id", "rank", "score")
