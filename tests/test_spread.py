@@ -60,3 +60,15 @@ def test_words_of_pages_are_taken_before_they_meet_claims(spark, customers):
     plan = q_selection.w08(spark, customers)._jdf.queryExecution().optimizedPlan().toString()
     above = plan.split("Join", 1)[0]
     assert "array_distinct" not in above and "array_distinct" in plan
+
+
+def test_claims_of_templates_are_dealt_by_claim(spark, sf_dir, monkeypatch):
+    from veritrail.plans import q_reports, q_text, views
+
+    monkeypatch.setattr(views, "TEMPLATED_ROWS", 300)
+    assert views.templated_rows(spark, sf_dir).rdd.getNumPartitions() > 4
+    plan = q_text.with_evidence(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == plan.count("REPARTITION_BY_NUM") > 0
+    monkeypatch.setattr(q_reports, "TEMPLATED_ROWS", 300)
+    plan = q_reports.a09(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == plan.count("REPARTITION_BY_NUM") > 1

@@ -26,10 +26,11 @@ def error_counts(rows: DataFrame, flags: dict[str, Column]) -> DataFrame:
     return every.join(rows.groupBy(cat.alias("category")).agg(F.count("*").alias("n")), "category", "left").select("category", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-def faithfulness(words: DataFrame, supported: DataFrame) -> DataFrame:
-    """Share of each response's words (response_id, w; with repeats) that its supported claims hold."""
-    s = supported.select("response_id", "w").distinct().withColumn("hit", F.lit(1))
-    return words.join(s, ["response_id", "w"], "left").groupBy("response_id").agg(F.avg(F.coalesce("hit", F.lit(0))).alias("faithfulness"))
+def faithfulness(words: DataFrame, supported: Column) -> DataFrame:
+    """Share of each response's words (response_id, w; with repeats) that its supported claims hold; ``supported``: whether a row is of one."""
+    held = F.coalesce(F.max(supported) & F.col("w").isNotNull() & F.col("response_id").isNotNull(), F.lit(False))
+    each = words.groupBy("response_id", "w").agg(F.count("*").alias("n"), held.alias("held"))
+    return each.groupBy("response_id").agg((F.sum(F.when(F.col("held"), F.col("n")).otherwise(0)) / F.sum("n")).alias("faithfulness"))
 
 
 def evidence_report(claims: DataFrame, evidence: DataFrame) -> DataFrame:

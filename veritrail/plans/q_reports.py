@@ -11,7 +11,7 @@ from .q_metrics import _BINS, _CM, _closed, a31
 from .q_retrieval import a19
 from .q_text import _ENT, _EV, _VER, sql_normalized, sql_words, verified
 from .registry import SQL, query, table
-from .views import PRED, TEMPLATED, predictions, templated
+from .views import PRED, TEMPLATED, TEMPLATED_ROWS, predictions, templated
 
 
 @query("A07_fuse_scores_disagreement", f"WITH {PRED}, x AS (SELECT id, p, p2, 0.5 * p + 0.5 * p2 AS q FROM pred) SELECT id, q AS probability, CASE WHEN q >= 0.66 THEN 'yes' WHEN q <= 0.33 THEN 'no' ELSE 'uncertain' END AS decision, 0.9 * (1 - abs(p - p2)) AS confidence FROM x")
@@ -34,7 +34,8 @@ _LONG = lambda x: f"list_filter(string_split({sql_normalized(x)}, ' '), lambda w
 def a09(spark, d):
     long = F.filter(F.split(T.normalized(F.col("text")), " "), lambda w: F.length(w) > 2)
     w = verified(spark, d).select("response_id", "verdict", F.explode(long).alias("w"))
-    return P.faithfulness(w, w.where("verdict = 'supported'"))
+    n = (table(spark, d, "orders").count() + table(spark, d, "supplier").count()) // TEMPLATED_ROWS + 1
+    return P.faithfulness(w.repartition(n, "response_id"), F.col("verdict") == "supported")
 
 
 @query("A40_evidence_report", f"WITH {TEMPLATED}, {_EV}, {_ENT}, {_VER}, j AS (SELECT v.response_id, v.claim_id, verdict, source FROM ver v LEFT JOIN evidence e USING (claim_id)) SELECT response_id, coalesce(array_to_string(list_sort(list(DISTINCT source) FILTER (source IS NOT NULL)), ','), '') AS sources, count(*) FILTER (verdict = 'supported' AND source IS NOT NULL) AS n_supporting, count(DISTINCT claim_id) FILTER (verdict = 'contradicted') AS n_contradictions FROM j GROUP BY response_id")

@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import spread
 from .registry import table
 
+#: Claims of a task.
+TEMPLATED_ROWS = 20_000
+
 
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """id, y, p and p2 (two models' probabilities from text statistics), source, lang, error_type."""
@@ -53,7 +57,8 @@ def templated_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("O"), "k").alias("claim_id"), F.col("k"), F.lit("temporal").alias("kind"), (F.col("k") % 3 != 0).alias("truth"),
         made(F.when(F.col("k") % 3 == 0, F.col("yr") + 1).otherwise(F.col("yr"))).alias("text"), made(F.col("yr")).alias("fact"),
     )
-    return sup.unionByName(orders)
+    # dealt by claim: what is grouped or joined by it is not shuffled again, and tasks don't grow with the tables
+    return spread(sup.unionByName(orders), "claim_id", TEMPLATED_ROWS)
 
 
 def templated(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
