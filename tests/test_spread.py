@@ -62,6 +62,25 @@ def test_words_of_pages_are_taken_before_they_meet_claims(spark, customers):
     assert "array_distinct" not in above and "array_distinct" in plan
 
 
+@pytest.mark.parametrize("together", [64, 5, 0])
+def test_near_duplicates_of_small_and_large_claims(spark, together):
+    """Arrays of small claims and rounds of large ones stay with the same items, which plain Python tells."""
+    from veritrail.operators import retrieval
+
+    words = ["alpha beta gamma delta epsilon zeta eta", "Alpha beta gamma delta epsilon zeta eta", "alpha beta gamma delta epsilon zeta eta theta", "one two", "three", "two one", "four five", None]
+    rows = [(c, p, words[(c * 3 + p * 5) % 8], round(((p * 7 + c) % 5) / 5, 1)) for c in range(12) for p in range(c)] + [(None, p, words[p], 0.5) for p in range(6)]
+    df = spark.createDataFrame(rows, "claim_id int, pos int, text string, score double")
+    want = set()
+    for c in [None, *range(12)]:
+        kept = []
+        for _, p, t in sorted(((-s, p, t) for k, p, t, s in rows if k == c), key=lambda x: x[:2]):
+            w = None if t is None else set(t.lower().split())
+            if not kept or (c is not None and len(kept) < 3 and w is not None and all(k is not None and len(w & k) / len(w | k) < 0.85 for _, k in kept)):
+                kept.append((p, w))
+        want |= {(c, i + 1, p) for i, (p, _) in enumerate(kept)}
+    assert {tuple(r) for r in retrieval.dedup_near(df, together=together).collect()} == want
+
+
 def test_claims_of_templates_are_dealt_by_claim(spark, sf_dir, monkeypatch):
     from veritrail.plans import q_reports, q_text, views
 

@@ -22,6 +22,8 @@ OFTEN = 1000
 ASKED_WORDS, FACT_WORDS = 200_000, 500_000
 #: Claims that meet one copy of a document, about, and such rows in a task.
 CLAIMS_AT_ONCE, DOCUMENTS_AT_ONCE = 100, 100
+#: Items of a claim that are compared in one array, at most.
+TOGETHER = 64
 #: Aliases that are broadcast, at most.
 BROADCAST_ALIASES = 100_000
 
@@ -246,25 +248,47 @@ def rank_sentences(pairs: DataFrame, top_n: int = 2) -> DataFrame:
     return e.withColumn("score", score).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top_n).select("id", "rank", "sentence", "score")
 
 
-def dedup_near(evidence: DataFrame, limit: float = 0.85, keep: int = 3) -> DataFrame:
-    """claim_id, n, pos: per claim, by falling score: an item goes if it is too like one that stays; the first ``keep`` stay.
+def _near_rounds(left: DataFrame, limit: float, keep: int) -> DataFrame:
+    """``dedup_near`` of items (claim_id, x) for claims of any number of them.
 
     One round an item that stays: the best of what is left of each claim is taken (a minimum, made in part
-    before the shuffle), and the claim's items that are too like it go. So a claim may have any number of items.
+    before the shuffle), and the claim's items that are too like it go.
     """
-    words = F.array_distinct(F.split(F.lower("text"), r"\s+"))
-    left = evidence.select("claim_id", F.struct((-F.col("score")).alias("o"), F.col("pos").cast("int").alias("pos"), words.alias("w")).alias("x"))
-    like = F.size(F.array_intersect("x.w", "best.w")) / F.size(F.array_union("x.w", "best.w")) >= limit
     out = None
     for n in range(1, keep + 1):
         left = stored(left, f"near-round-{n}")
         best = left.groupBy("claim_id").agg(F.min("x").alias("best"))
         part = best.select("claim_id", F.lit(n).alias("n"), "best.pos")
         out = part if out is None else out.unionByName(part)
-        left = left.join(best, "claim_id").where(~like).select("claim_id", "x")
+        left = left.join(best, "claim_id").where(~_like(F.col("x"), F.col("best"), limit)).select("claim_id", "x")
     return out
 
 
+def _like(a: Column, b: Column, limit: float) -> Column:
+    return F.size(F.array_intersect(a["w"], b["w"])) / F.size(F.array_union(a["w"], b["w"])) >= limit
+
+
+def dedup_near(evidence: DataFrame, limit: float = 0.85, keep: int = 3, together: int = TOGETHER) -> DataFrame:
+    """claim_id, n, pos: per claim, by falling score: an item goes if it is too like one that stays; the first ``keep`` stay.
+
+    A claim of ``together`` items at most is one array, folded in one pass; larger ones, if there are any, go by rounds.
+    """
+    words = F.array_distinct(F.split(F.lower("text"), r"\s+"))
+    item = F.struct((-F.col("score")).alias("o"), F.col("pos").cast("int").alias("pos"), words.alias("w"))
+    large = stored(evidence.groupBy("claim_id").count().where(F.col("count") > together).select(F.col("claim_id").alias("__large")), "claims-of-many-items")
+    some = not large.isEmpty()
+    is_large = F.col("claim_id").eqNullSafe(F.col("__large"))
+    few = evidence.join(large, is_large, "left_anti") if some else evidence
+    sorted_items = few.groupBy("claim_id").agg(F.array_sort(F.collect_list(item)).alias("xs"))
+    none = F.array().cast(sorted_items.schema["xs"].dataType)
+    stays = F.aggregate("xs", none, lambda kept, x: F.when((F.size(kept) < keep) & F.forall(kept, lambda b: ~_like(x, b, limit)), F.concat(kept, F.array(x))).otherwise(kept))
+    out = sorted_items.select("claim_id", F.posexplode(F.transform(stays, lambda x: x["pos"])).alias("n", "pos")).select("claim_id", (F.col("n") + 1).alias("n"), "pos")
+    out = out.where("n = 1 OR claim_id IS NOT NULL")  # without a claim no item is compared
+    if not some:
+        return out
+    return out.unionByName(_near_rounds(evidence.join(large, is_large, "left_semi").select("claim_id", item.alias("x")), limit, keep))
+
+
 def filter_quality(evidence: DataFrame, least: float = 0.15, min_length: int = 20) -> DataFrame:
     """Evidence long and relevant enough, the first of each beginning; a claim that would lose all keeps its first."""
     rel = F.coalesce(F.col("score"), F.lit(0.5))
