@@ -91,3 +91,13 @@ def test_claims_of_templates_are_dealt_by_claim(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(q_reports, "TEMPLATED_ROWS", 300)
     plan = q_reports.a09(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == plan.count("REPARTITION_BY_NUM") > 1
+
+
+def test_facts_are_dealt_to_tasks(spark):
+    from veritrail.operators import retrieval
+
+    facts = spark.range(0, 12_000, 1, 1).select(F.col("id").alias("fact_id"), F.concat(F.lit("common word "), F.col("id") % 7).alias("text"))
+    claims = spark.createDataFrame([("a", "common 3"), ("b", "word 5")], "claim_id string, text string")
+    found = retrieval.lexical_retrieve(claims, facts)
+    assert "fact" in found._jdf.queryExecution().executedPlan().toString().split("REPARTITION_BY_NUM")[0].rsplit("hashpartitioning", 1)[1]
+    assert [(r.claim_id, r.fact_id, r.score) for r in found.orderBy("claim_id", "rank").collect()] == [("a", 3, 2), ("a", 10, 2), ("a", 17, 2), ("b", 5, 2), ("b", 12, 2), ("b", 19, 2)]

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import lexicons as L
 from ..functions import rules as R
 from ..functions import text as T
-from ..session import stored
+from ..session import spread, stored
 from .vectors import nearest
 
 #: A word in more ids and in more facts than that is frequent: its ids never meet its facts pair by pair.
@@ -43,7 +43,8 @@ def shared_words(asked: DataFrame, facts: DataFrame, k: int, often: int = OFTEN)
     """
     words = lambda df, key: df.select(key, F.explode(F.array_distinct("words")).alias("w"))
     best = lambda *key: Window.partitionBy(*key).orderBy(F.desc("score"), "fact")
-    a, f = words(asked, "id"), words(facts, "fact")
+    # facts are dealt by key: a task counts the pairs of its own facts alone, and of few
+    a, f = words(asked, "id"), words(spread(facts, "fact"), "fact")
     common = stored(a.groupBy("w").count().where(F.col("count") > often).select("w"), "frequent-asked")
     counts = None if common.isEmpty() else stored(f.join(common, "w").groupBy("w").agg(F.count("*").alias("n")).where(F.col("n") > often), "frequent-both")
     if counts is None or counts.isEmpty():
