@@ -62,6 +62,14 @@ def test_words_of_pages_are_taken_before_they_meet_claims(spark, customers):
     assert "array_distinct" not in above and "array_distinct" in plan
 
 
+def test_claims_are_ranked_in_tasks_of_a_fixed_size(spark, customers):
+    from veritrail.plans import q_selection
+
+    plan = q_selection.w08(spark, customers)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(claim_id" in plan and ", 5), REPARTITION_BY_NUM" in plan
+    assert plan.count("Exchange hashpartitioning") == plan.count("REPARTITION_BY_NUM")
+
+
 @pytest.mark.parametrize("together", [64, 5, 0])
 def test_near_duplicates_of_small_and_large_claims(spark, together):
     """Arrays of small claims and rounds of large ones stay with the same items, which plain Python tells."""

@@ -11,7 +11,8 @@ from ..operators import evidence as V
 from ..operators import retrieval as R
 from .profiles import PROFILES, claims, pages, people
 from .q_text import _LETTERS, SPLIT, sql_except, sql_jaccard, sql_overlap_words, strings, strip
-from .registry import query
+from ..session import ROWS_OF_TASK
+from .registry import query, table
 
 # --- sentences of pages against claims ------------------------------------------------------------------------
 PAIRS = f"{PROFILES}, pairs AS (SELECT c.claim_id, p.page_id, c.text AS claim, p.text AS doc, [c.person] AS targets FROM pcl c JOIN ppg p USING (k))"
@@ -113,4 +114,5 @@ def w08(spark, d):
     c = claims(ppl).select("claim_id", F.col("text").alias("claim"), "k", V.distinct_words(F.col("text")).alias("cw"))
     p = pages(ppl).select("k", "page_id", "title", "text", V.distinct_words(F.col("text")).alias("tw"))  # words before they meet
     rows = c.join(p, "k").select("claim_id", "page_id", "claim", "title", "text", F.lit(None).cast("string").alias("url"), jaccard(F.col("cw"), F.col("tw")).alias("raw"))
+    rows = rows.repartition(table(spark, d, "customer").count() // ROWS_OF_TASK + 1, "claim_id")  # tasks don't grow with the tables
     return V.rank_evidence(rows, 3, raw=F.col("raw")).select("claim_id", "page_id", "rank", "score")
