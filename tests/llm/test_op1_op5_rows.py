@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
-from veritrail.llm import line_dedup, quality_crf
+from veritrail.llm import line_dedup, quality_crf, shared
 from veritrail.session import ship
 
 GOOD, BAD = "The river runs past the old mill and the bridge.\nIt was built long ago by the town.", "$$ 99 ## !!\n<<< click 0x9f >>>\n@@ ;; 77"
@@ -35,3 +37,41 @@ def test_near_copies_of_a_repeated_id(spark, turned):
     docs = spark.createDataFrame(rows[::-1] if turned else rows, "doc_id long, text string").coalesce(1)
     got = {(r.doc_id, r.n_removed): r.text for r in line_dedup.dedup(docs).collect()}
     assert got[5, 1] == "own words of the fifth document"
+
+
+def test_texts_reach_workers_in_small_batches(spark):
+    """A batch of Arrow ends at some MiB, however many texts are in a task."""
+    docs = spark.range(3000).coalesce(1).selectExpr("id AS doc_id", "repeat('some words of a text. ', 300) AS text")
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int")
+    quality_crf.score(docs, quality_crf.fit(docs, labels))
+    sizes = docs.select("text").mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.nbytes])], names=["n"]) for b in batches), "n long")
+    assert max(r.n for r in sizes.collect()) < 2 * shared.BATCH_BYTES
+
+
+def test_a_passage_that_repeats_gives_one_key():
+    """Two lines in which one pair of words occurs many times meet once at that pair, and a line with one word changed still meets them."""
+    def keys(words):
+        data = np.frombuffer(" ".join(words).encode(), np.uint8)
+        return line_dedup.Lines(data, np.array([0, len(data)])).rare_pairs(np.zeros(1 << line_dedup.LEVEL_BITS, np.uint8))[1].tolist()
+
+    one = ["same", "passage"] * 60
+    found = keys(one)
+    assert 1 <= len(found) == len(set(found)) <= 2
+    assert set(found) & set(keys(one[:50] + ["other"] + one[51:]))
+
+
+def test_pairs_of_lines_meet_once(spark):
+    """Near-threshold copies share many pairs of words; the exhaustive join makes a row a pair of lines about, and loses none."""
+    ship(spark)
+    base = [f"word{i}" for i in range(60)]
+    lines = [" ".join(w if i not in range(7 * d, 7 * d + 7) else f"own{d}x{i}" for i, w in enumerate(base)) for d in range(8)]
+    docs = spark.createDataFrame([(d, t) for d, t in enumerate(lines)] + [(99, lines[3].replace("word59", "last"))], "doc_id long, text string")
+    got = {r.doc_id: r.n_removed for r in line_dedup.dedup(docs).collect()}
+    assert got == {**{d: 0 for d in range(8)}, 99: 1}
+
+
+def test_near_lines_share_a_step_of_length():
+    for n in range(line_dedup.WIDE, 3000):
+        batch = pa.RecordBatch.from_arrays([pa.array([n, n + n // line_dedup.SHARE], pa.int32()), pa.array([[7], [7]], pa.list_(pa.int64()))], names=["n", "pairs"])
+        own, following = line_dedup._steps(batch)
+        assert {own[0], following[0]} & {own[1], following[1]}

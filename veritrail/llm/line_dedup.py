@@ -22,7 +22,8 @@ another line emit any.
 More edits (lines of ``WIDE`` words and more; all variants within the bound would be too many, two
 million for 50 words): of each line only the variants are kept that leave one pair of consecutive words,
 and of those only the rarest. k edits touch 2 k pairs at most, so of the pairs in a common order two near
-lines share one of their first 2 k + 1 (a pair that occurs again counts as another). The order is by how
+lines share one of their first 2 k + 1 (a pair that occurs again counts as another, but has no key: who shares
+it shares the first, which comes before it), and only pairs that two lines of like length have are met at. The order is by how
 often the words occur, as far as the workers know it, and only decides speed. Lines that share a pair must
 also agree in length and in a 128-bit parity of their words' hashes (an edit turns two bits at most); the
 edit distance is then verified on the words. Short lines share a variant at the same place and single
@@ -50,7 +51,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import SPACES, Words, chunks, column_bytes, frequent, inverse_powers, mix, only_held, powers, row_key, stored, values_of_many
+from .shared import SPACES, Words, chunks, column_bytes, discard, frequent, inverse_powers, kept_of, let_through, mix, only_held, powers, released, row_key, small_batches, stored, values_of_many
 
 MIN_WORDS = 8
 #: Lines of so many words and more may have two edits; a tenth of the words (of a short line's characters).
@@ -63,6 +64,8 @@ LONG = 100
 LEAST = 3
 #: Tables of at most so many rows (of 8 bytes), or so many line numbers, are broadcast; larger ones are shuffled.
 BROADCAST_HALVES, BROADCAST_LINES = 1_000_000, 3_000_000
+#: Ratio of the lengths in one step; near lines are in one step or in two that follow each other.
+STEP = 1.11
 PARITY = [f"p{i}" for i in range(8)]
 _LAST = 2**63 - 1
 
@@ -170,13 +173,11 @@ class Lines:
         if len(line) and (number[-1] >> np.uint64(20) or ((np.diff(packed[order]) == 0) & (np.diff(key[order]) != 0)).any()):
             order = np.lexsort((key, rank, line))
         line, key = line[order], key[order]
-        same = np.zeros(len(key), bool)
-        same[1:] = (key[1:] == key[:-1]) & (line[1:] == line[:-1])
-        at = np.arange(len(key))
-        again = at - np.maximum.accumulate(np.where(same, 0, at))
-        place = at - np.searchsorted(line, line)
-        kept = place <= 2 * (self.n[line] // SHARE)
-        return line[kept], mix(key[kept] + again[kept].astype(np.uint64))
+        first = np.ones(len(key), bool)
+        first[1:] = (key[1:] != key[:-1]) | (line[1:] != line[:-1])
+        place = np.arange(len(key)) - np.searchsorted(line, line)
+        kept = first & (place <= 2 * (self.n[line] // SHARE))
+        return line[kept], mix(key[kept])
 
     def short(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(line, key, word, characters) of lines of 1 to ``MIN_WORDS`` - 1 words and ten characters or more.
@@ -250,11 +251,6 @@ def _per_chunk(names: list[str], kinds: list[pa.DataType], rows):
     return task
 
 
-def released() -> None:
-    """Give what a Python worker has freed back to the system: workers live on from task to task."""
-    pa.default_memory_pool().release_unused()
-
-
 def _signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
@@ -434,36 +430,56 @@ def _later(lines: DataFrame, fits, verified, name: str) -> DataFrame:
 
     Lines meet the earliest line of each of their ``least`` keys first, as near lines have most keys in
     common; those not found near then meet all earlier ones of all their ``keys``. So most lines of a
-    large group do a few comparisons each.
+    large group do a few comparisons each. Two lines that have a ``least`` key in common, which is one of the
+    ``keys``, then meet at the first such key only.
     """
-    rest = [c for c in lines.columns if c not in ("keys", "least", "at", "h")]
+    rest = [c for c in lines.columns if c not in ("keys", "least", "at", "h", "src")]
     other = F.struct("at", "h", *rest).alias("o")
     earlier = (F.col("o.at") < F.col("at")) & (F.col("o.h") != F.col("h")) & fits
-    by = lambda df, keys: df.select(F.explode(keys).alias("key"), "at", "h", *rest)
+    by = lambda df, keys, *more: df.select(F.explode(keys).alias("key"), "at", "h", *rest, *more)
 
-    def met(left: DataFrame, others: DataFrame) -> DataFrame:
-        return verified(left.join(others, "key").where(earlier).select("h", F.col("o.h").alias("other")).distinct()).select("h").distinct()
+    def met(left: DataFrame, others: DataFrame, once: Column | None = None) -> DataFrame:
+        pairs = left.join(others, "key").where(earlier if once is None else earlier & once)
+        return verified(pairs.select("h", F.col("o.h").alias("other")).distinct()).select("h").distinct()
 
     least = by(lines, "least")
     first = least.groupBy("key").agg(F.min(other).alias("o"), F.count("*").alias("c")).where("c > 1").select("key", "o")
     found = stored(met(least, stored(first, f"{name}-first")), f"{name}-found")
     left = lines.join(F.broadcast(found) if found.count() <= BROADCAST_HALVES else found, "h", "left_anti")
-    return stored(found.unionByName(met(by(left, "keys"), by(lines, "keys").select("key", other))), name)
+    once = F.coalesce(F.get(F.array_intersect("least", "o.least"), F.lit(0)) == F.col("key"), F.lit(True))
+    others = by(lines, "keys", "least").select("key", F.struct("at", "h", *rest, "least").alias("o"))
+    return stored(found.unionByName(met(by(left, "keys", "least"), others, once)), name)
+
 
+def _steps(batch: pa.RecordBatch) -> list[np.ndarray]:
+    """Each of ``pairs`` with the line's step of length, and with the next: near lines with a pair in common have one of these in common."""
+    step = np.floor(np.log(batch.column("n").to_numpy()) / np.log(STEP)).astype(np.uint64)
+    of = np.repeat(step, batch.column("pairs").value_lengths().to_numpy())
+    value = batch.column("pairs").flatten().to_numpy().view(np.uint64)
+    return [mix(value ^ mix(of + np.uint64(next_))) for next_ in (0, 1)]
 
-def _with_least(lines: DataFrame) -> DataFrame:
-    """``lines`` with ``least``: of each line's keys the least by each of ``LEAST`` orders."""
+
+def _of_like_length(rows: DataFrame) -> DataFrame:
+    """``rows``, which are stored, with ``keys``: those of ``pairs`` that a line of another ``h`` and a like length ``n``
+    has too, one at least; and ``least``: the least of the keys by each of ``LEAST`` orders."""
+    bits = values_of_many(rows.select("h", "n", "pairs"), "pairs", "h", "pairs-of-like-length", _steps)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = batch.column("keys")
+            keys = kept_of(batch.column("pairs"), let_through(bits.value, _steps(batch)))
+            some = pc.greater(keys.value_lengths(), 0)
+            batch, keys = batch.filter(some), keys.filter(some)
             value, size = keys.flatten().to_numpy().view(np.uint64), keys.value_lengths().to_numpy()
-            begin = np.cumsum(size) - size
-            least = [np.minimum.reduceat(mix(value ^ np.uint64(i)), begin) + np.uint64(i) for i in range(LEAST)] if len(value) else [np.zeros(0, np.uint64)] * LEAST
+            least = [np.zeros(0, np.uint64)] * LEAST
+            if len(value):
+                begin = np.cumsum(size) - size
+                orders = [mix(value ^ np.uint64(i)) for i in range(LEAST)]
+                least = [value[order == np.repeat(np.minimum.reduceat(order, begin), size)] for order in orders]
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(size) + 1) * LEAST, pa.int32()), pa.array(_signed(np.stack(least, 1).ravel())))
-            yield pa.RecordBatch.from_arrays([*batch.columns, lists], names=[*batch.schema.names, "least"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, keys, lists], names=[*batch.schema.names, "keys", "least"])
+        released()
 
-    return lines.mapInArrow(task, T.StructType([*lines.schema.fields, T.StructField("least", T.ArrayType(T.LongType()))]))
+    return rows.mapInArrow(task, T.StructType([*rows.schema.fields, *[T.StructField(c, T.ArrayType(T.LongType())) for c in ("keys", "least")]]))
 
 
 def wide_lines(lines: DataFrame, repeated: DataFrame, docs: DataFrame) -> DataFrame:
@@ -474,8 +490,10 @@ def wide_lines(lines: DataFrame, repeated: DataFrame, docs: DataFrame) -> DataFr
     first = repeated.select("h", F.struct("did", "line", "__key").alias("f"))
     some = some.join(F.broadcast(first) if first.count() <= BROADCAST_HALVES else first, "h", "left")
     some = some.where(F.col("f").isNull() | (F.col("f") == F.struct("did", "line", "__key")))  # of equal lines the earliest
+    some = stored(some.drop("f"), "lines-of-shared-pairs")
     at = F.struct("did", "line").alias("at")
-    rows = stored(_with_least(some.select(F.col("pairs").alias("keys"), "h", at, "n", *PARITY, F.col("__key").alias("src"))), "lines-of-shared-pairs")
+    rows = stored(_of_like_length(some).select("keys", "least", "h", at, "n", *PARITY, F.col("__key").alias("src")), "lines-of-like-length")
+    discard(some)
     k = F.floor(F.least("n", "o.n") / SHARE)
     differ = lambda cs: functools.reduce(Column.__add__, [F.bit_count(functools.reduce(lambda x, y: x.bitwiseXOR(y), [F.col(f"{o}{c}") for c in part for o in ("", "o.")])) for part in cs])
     short, long = [["p0"], ["p1"]], [*[[c] for c in PARITY[2:]], ["p0", "p2", "p4", "p6"], ["p1", "p3", "p5", "p7"]]
@@ -527,6 +545,7 @@ def removals(docs: DataFrame) -> DataFrame:
 
 def dedup(docs: DataFrame) -> DataFrame:
     """``docs`` with later copies of lines left out of ``text``, and the columns n_lines and n_removed."""
+    small_batches(docs.sparkSession)
 
     @F.arrow_udf("string")
     def cut(text: pa.Array, gone: pa.Array) -> pa.Array:

@@ -3,6 +3,8 @@ row keys, and numpy views of text columns."""
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 import weakref
@@ -17,6 +19,14 @@ from pyspark.sql import functions as F
 
 #: Text bytes that one numpy pass works on, which bounds a Python worker's memory.
 CHUNK_BYTES = 1 << 19
+#: Bytes of one Arrow batch between Spark and a Python worker.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Let Arrow batches end at ``BATCH_BYTES``. Else they have 10,000 texts, tens of MiB each, which an executor
+    holds several times at once: as vectors, in the buffer that is sent, and in the Python worker."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -66,6 +76,17 @@ def discard(table: DataFrame) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def released() -> None:
+    """Give what a Python worker has freed back to the system: workers live on from task to task and from stage to stage."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if _TRIM:  # glibc keeps freed pages below the first one in use
+        _TRIM(0)
+
+
 def row_key(id_col: str, text_col: str) -> Column:
     """64-bit key of a row by its id and text; rows equal in both share it."""
     return F.xxhash64(F.col(id_col), F.col(text_col))
@@ -124,6 +145,7 @@ def frequent(texts: DataFrame, hashes: Callable[[np.ndarray, np.ndarray], np.nda
                     yield flush()
         if held:
             yield flush()
+        released()
 
     counted = stored(texts.select("text").mapInArrow(count, "t long, c long").groupBy("t").agg(F.sum("c").alias("c")), name)
     level = F.floor(F.log2("c") * 8).cast("int").alias("level")
@@ -247,13 +269,14 @@ def _positions(key: np.ndarray, n_bits: int) -> list[np.ndarray]:
     return [mix(key + np.uint64(i)) & np.uint64(n_bits - 1) for i in (1, 2)]
 
 
-def values_of_many(rows: DataFrame, lists: str, tag: str, name: str) -> Broadcast:
+def values_of_many(rows: DataFrame, lists: str, tag: str, name: str, forms: Callable[[pa.RecordBatch], list[np.ndarray]] | None = None) -> Broadcast:
     """Bloom filter of the values in ``lists`` (array<long>) that rows of more than one ``tag`` (long) hold.
 
     Value and tag are packed in one number, 36 bits and ``TAG_BITS``, of which a task passes on the least
     and the greatest for each value of some rows, so a value that very many rows hold is no hot spot. The
     filter has 16 bits a value with two set, ``BLOOM_BITS`` (64 MiB) at most: it may let other values
-    through, and loses none but those whose tags agree in all ``TAG_BITS``.
+    through, and loses none but those whose tags agree in all ``TAG_BITS``. ``forms`` gives what stands in
+    the filter for a batch's values, once or several times each.
     """
     low = np.uint64(TAG_BITS)
 
@@ -261,12 +284,14 @@ def values_of_many(rows: DataFrame, lists: str, tag: str, name: str) -> Broadcas
         for batch in batches:
             values = batch.column(lists)
             own = np.repeat(batch.column(tag).to_numpy().view(np.uint64) >> np.uint64(64 - TAG_BITS), values.value_lengths().to_numpy())
-            packed = np.unique(values.flatten().to_numpy().view(np.uint64) >> low << low | own)
+            of_batch = forms(batch) if forms else [values.flatten().to_numpy().view(np.uint64)]
+            packed = np.unique(np.concatenate([form >> low << low | own for form in of_batch]))
             edge = np.ones(len(packed), bool)
             if len(packed) > 2:
                 key = packed >> low
                 edge[1:-1] = (key[1:-1] != key[:-2]) | (key[1:-1] != key[2:])
             yield pa.RecordBatch.from_arrays([pa.array(packed[edge].view(np.int64))], names=["pack"])
+        released()
 
     def many(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Of sorted packs the keys of several tags."""
@@ -281,7 +306,7 @@ def values_of_many(rows: DataFrame, lists: str, tag: str, name: str) -> Broadcas
             yield pa.RecordBatch.from_arrays([pa.array(np.unique(found).view(np.int64))], names=["key"])
 
     key = F.shiftrightunsigned("pack", TAG_BITS)
-    packed = rows.select(lists, tag).mapInArrow(pack, "pack long").repartition(key).sortWithinPartitions("pack")
+    packed = (rows if forms else rows.select(lists, tag)).mapInArrow(pack, "pack long").repartition(key).sortWithinPartitions("pack")
     keys = stored(packed.mapInArrow(many, "key long"), name)  # a key may be there twice
     n_bits = min(BLOOM_BITS, 1 << max(10, (16 * keys.count()).bit_length()))
 
@@ -297,6 +322,17 @@ def values_of_many(rows: DataFrame, lists: str, tag: str, name: str) -> Broadcas
     return rows.sparkSession.sparkContext.broadcast(out.view(np.uint64))
 
 
+def let_through(bits: np.ndarray, forms: list[np.ndarray]) -> np.ndarray:
+    """Of some values, each given in one form or several, those of which the filter lets a form through."""
+    kept = np.zeros(len(forms[0]), bool)
+    for form in forms:
+        through = np.ones(len(form), bool)
+        for place in _positions(form >> np.uint64(TAG_BITS), len(bits) << 6):
+            through &= (bits[place >> np.uint64(6)] >> (place & np.uint64(63))) & np.uint64(1) == 1
+        kept |= through
+    return kept
+
+
 def only_held(rows: DataFrame, lists: str, bits: Broadcast) -> DataFrame:
     """``rows`` with the values of ``lists`` (array<long>) that the filter lets through."""
 
@@ -304,13 +340,14 @@ def only_held(rows: DataFrame, lists: str, bits: Broadcast) -> DataFrame:
         for batch in batches:
             values, at = batch.column(lists), batch.schema.get_field_index(lists)
             value = values.flatten().to_numpy()
-            key = value.view(np.uint64) >> np.uint64(TAG_BITS)
-            kept = np.ones(len(key), bool)
-            for place in _positions(key, len(bits.value) << 6):
-                kept &= (bits.value[place >> np.uint64(6)] >> (place & np.uint64(63))) & np.uint64(1) == 1
-            ends = np.concatenate(([0], np.cumsum(values.value_lengths().fill_null(0).to_numpy())))
-            few = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(kept)))[ends].astype(np.int32)), pa.array(value[kept]))
-            columns = [few if i == at else c for i, c in enumerate(batch.columns)]
-            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
+            few = kept_of(values, let_through(bits.value, [value.view(np.uint64)]))
+            yield pa.RecordBatch.from_arrays([few if i == at else c for i, c in enumerate(batch.columns)], names=batch.schema.names)
+        released()
 
     return rows.mapInArrow(held, rows.schema)
+
+
+def kept_of(values: pa.ListArray, kept: np.ndarray) -> pa.ListArray:
+    """The lists with those of their values that are marked."""
+    ends = np.concatenate(([0], np.cumsum(values.value_lengths().fill_null(0).to_numpy())))
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(kept)))[ends].astype(np.int32)), pa.array(values.flatten().to_numpy()[kept]))
