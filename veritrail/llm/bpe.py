@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import chunks
+from .shared import chunks, released, small_batches
 
 #: The split pattern of byte-level BPE, with white space as Unicode defines it.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
@@ -425,8 +425,11 @@ def decode(df: DataFrame, path: str, ids_col: str = "ids", out: str = "decoded")
     return _mapped(df, out, T.StringType(), ids_col, of_batch)
 
 
-def round_trip(df: DataFrame, path: str, text_col: str = "text") -> DataFrame:
-    """``df`` with ``ids`` and with ``decoded``, the text decoded from them, in one pass: one worker for each task."""
+def round_trip(df: DataFrame, path: str, text_col: str = "text", forget: bool = False) -> DataFrame:
+    """``df`` with ``ids`` and with ``decoded``, the text decoded from them, in one pass: one worker for each task.
+
+    ``forget``: a worker drops its vocabulary (about 70 MB) after the task, as other stages run in it too.
+    """
     schema = T.StructType([f for f in df.schema.fields if f.name not in ("ids", "decoded")] + [T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -438,6 +441,10 @@ def round_trip(df: DataFrame, path: str, text_col: str = "text") -> DataFrame:
                 ids = v.encode(part.column(text_col).to_pylist())
                 part = _with(part, "ids", pa.array(ids, pa.binary()), [n for n in schema.names if n != "decoded"])
                 yield _with(part, "decoded", pa.array([v.decode(x).decode("utf-8", "replace") for x in ids], pa.string()), schema.names)
+        if forget:
+            del v
+            _LOADED.clear()
+            released()
 
     return df.mapInArrow(run, schema)
 
@@ -459,6 +466,7 @@ def query(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFram
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str, path: str | None = None) -> DataFrame:
     """Last stage: every document's ids in place of its text, with their number, digest and the decoded text's digest."""
+    small_batches(spark)
     path = path or default_path()
-    out = round_trip(docs, path).drop("text")
+    out = round_trip(docs, path, forget=True).drop("text")
     return out.withColumns({"n_tokens": (F.octet_length("ids") / 4).cast("long"), "ids_sha256": F.sha2("ids", 256), "decoded_sha256": F.sha2("decoded", 256)}).drop("decoded")

@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import SPACES, Words, chunks, column_bytes, discard, frequent, mix, only_held, row_key, stored, values_of_many
+from .shared import SPACES, Words, chunks, column_bytes, discard, frequent, mix, only_held, row_key, small_batches, stored, values_of_many
 
 SHINGLE = 5
 THRESHOLD = 80
@@ -311,4 +311,5 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component."""
+    small_batches(spark)
     return dedup(docs)

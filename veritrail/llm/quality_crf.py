@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import SPACES, Words, chunks, column_bytes
+from .shared import SPACES, Words, chunks, column_bytes, released, small_batches
 
 SAMPLE_DOCS = 4000
 #: Lines of them at most (312 bytes each on the driver).
@@ -170,6 +170,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", sample_d
     """Fit on at most ``sample_docs`` labelled ids of ``labels`` (doc_id, ``label_col``), those with the smallest
     md5, and of their texts on at most ``SAMPLE_LINES`` lines (a text that does not fit is passed over); of rows with
     one id on the least text."""
+    small_batches(docs.sparkSession)
     chosen = (
         labels.where(F.col("doc_id").isNotNull() & F.col(label_col).isNotNull())
         .groupBy("doc_id").agg(F.round(F.avg(label_col)).cast("int").alias("y"))
@@ -204,11 +205,13 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", sample_d
 
 def score(docs: DataFrame, model: Model, out: str = "score") -> DataFrame:
     """``docs`` with a column ``out``: the quality of its whole ``text``."""
+    small_batches(docs.sparkSession)
 
     @F.arrow_udf("double")
     def of_text(texts: pa.Array) -> pa.Array:
         data, offsets = column_bytes(texts)
         found = [model.scores(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]) for a, b in chunks(np.diff(offsets))]
+        released()
         return pa.array(np.concatenate(found) if found else np.zeros(0), pa.float64())
 
     return docs.withColumn(out, of_text(F.col("text")))
