@@ -75,3 +75,31 @@ def test_near_lines_share_a_step_of_length():
         batch = pa.RecordBatch.from_arrays([pa.array([n, n + n // line_dedup.SHARE], pa.int32()), pa.array([[7], [7]], pa.list_(pa.int64()))], names=["n", "pairs"])
         own, following = line_dedup._steps(batch)
         assert {own[0], following[0]} & {own[1], following[1]}
+
+
+def test_lines_just_beyond_the_bound_are_told_apart_before_they_are_read():
+    """Of lines of 80 words with one replaced word more than is allowed, the parity lets few through."""
+    rng = np.random.default_rng(3)
+    through = 0
+    for t in range(200):
+        one = [f"word{t}x{i}" for i in range(80)]
+        other = list(one)
+        for i in rng.choice(80, 9, replace=False):
+            other[i] = f"own{t}x{i}"
+        text = "\n".join(" ".join(w) for w in (one, other)).encode()
+        p = np.array(line_dedup.Lines(np.frombuffer(text, np.uint8), np.array([0, len(text)])).parity())
+        x = p[:, 0] ^ p[:, 1]
+        long = [*x[2:], np.bitwise_xor.reduce(x[::2]), np.bitwise_xor.reduce(x[1::2])]
+        through += np.bitwise_count(x[:2]).sum() <= 16 and sum(int(w).bit_count() for w in long) <= 16
+    assert through < 90
+
+
+def test_values_of_many_takes_binary_lists(spark):
+    """Lists of longs as binary values give what arrays give, and a value of one row alone goes."""
+    rows = [(1 << 60, [5, 7 << 40, -9]), (2 << 60, [7 << 40, 11]), (3 << 60, [-9, 13]), (3 << 60, [13]), (-1, [])]
+    arrays = shared.stored(spark.createDataFrame(rows, "tag long, v array<long>"), "arrays")
+    blobs = shared.stored(spark.createDataFrame([(t, np.array(v, np.int64).tobytes()) for t, v in rows], "tag long, v binary"), "blobs")
+    plain = [(r.tag, r.v) for r in shared.only_held(arrays, "v", shared.values_of_many(arrays, "v", "tag", "of-arrays")).collect()]
+    packed = [(r.tag, np.frombuffer(r.v, np.int64).tolist()) for r in shared.only_held(blobs, "v", shared.values_of_many(blobs, "v", "tag", "of-blobs")).collect()]
+    assert sorted(plain) == sorted(packed)
+    assert {x for _, v in plain for x in v} == {7 << 40, -9}

@@ -41,6 +41,7 @@ other; columns other than text and n_chars pass through.
 from __future__ import annotations
 
 import functools
+import operator
 from collections import Counter
 from collections.abc import Iterator
 
@@ -51,15 +52,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import SPACES, Words, chunks, column_bytes, discard, frequent, inverse_powers, kept_of, let_through, mix, only_held, powers, released, row_key, small_batches, stored, values_of_many
+from .shared import SPACES, Words, binary, chunks, column_bytes, discard, inverse_powers, kept_of, let_through, longs, mix, only_held, powers, released, row_key, small_batches, stored, values_of_many
 
 MIN_WORDS = 8
 #: Lines of so many words and more may have two edits; a tenth of the words (of a short line's characters).
 WIDE, SHARE = 20, 10
 #: Bytes of a key of single words; bits of the table of frequencies (4 MiB).
 RUN_BYTES, LEVEL_BITS = 4, 22
+#: Bits of a pair of words, which sort in one number with a chunk's line and a frequency.
+PAIR_BITS = 41
 #: Lines of so many words and more have a parity of 512 bits, others of 128.
-LONG = 100
+LONG = 40
 #: Orders by which a line's least keys are taken.
 LEAST = 3
 #: Tables of at most so many rows (of 8 bytes), or so many line numbers, are broadcast; larger ones are shuffled.
@@ -165,17 +168,19 @@ class Lines:
         of = self.words.text
         begin = np.flatnonzero((of[1:] == of[:-1]) & (self.n[of[1:]] >= WIDE))
         line, h = of[begin], self.words.hash
-        key = mix(h[begin] * self.pow[1] + h[begin + 1] * self.pow[2] + np.uint64(1))
+        key = mix(h[begin] * self.pow[1] + h[begin + 1] * self.pow[2] + np.uint64(1)) >> np.uint64(64 - PAIR_BITS)
         rank = level[begin].astype(np.uint64) + level[begin + 1]  # 9 bits
-        number = np.cumsum(np.concatenate(([0], line[1:] != line[:-1]))).astype(np.uint64) if len(line) else rank
-        packed = number << np.uint64(44) | rank << np.uint64(35) | key >> np.uint64(29)
-        order = np.argsort(packed)
-        if len(line) and (number[-1] >> np.uint64(20) or ((np.diff(packed[order]) == 0) & (np.diff(key[order]) != 0)).any()):
+        begins = np.concatenate(([True], line[1:] != line[:-1])) if len(line) else np.zeros(0, bool)
+        number, known_lines = np.cumsum(begins) - 1, line[begins]
+        if len(known_lines) >> (64 - 9 - PAIR_BITS):  # of a text longer than a chunk
             order = np.lexsort((key, rank, line))
-        line, key = line[order], key[order]
+            line, key = line[order], key[order]
+        else:
+            packed = np.sort(number.astype(np.uint64) << np.uint64(9 + PAIR_BITS) | rank << np.uint64(PAIR_BITS) | key)
+            key = packed & np.uint64((1 << PAIR_BITS) - 1)
         first = np.ones(len(key), bool)
         first[1:] = (key[1:] != key[:-1]) | (line[1:] != line[:-1])
-        place = np.arange(len(key)) - np.searchsorted(line, line)
+        place = np.arange(len(key)) - np.flatnonzero(begins)[number]
         kept = first & (place <= 2 * (self.n[line] // SHARE))
         return line[kept], mix(key[kept])
 
@@ -227,12 +232,56 @@ class Lines:
         return np.concatenate((which, np.arange(len(line)))), np.concatenate((part, self.whole()[line])), np.concatenate((place, np.full(len(line), -1)))
 
 
-def levels(known: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """Table of frequency by a word hash's first ``LEVEL_BITS``: of the most frequent word there, a fourth of an octave each; 0 if none is known."""
-    words, counts = known
-    out = np.zeros(1 << LEVEL_BITS, np.uint8)
-    np.maximum.at(out, (words >> np.uint64(64 - LEVEL_BITS)).astype(np.int64), np.minimum(1 + 4 * np.log2(np.maximum(counts, 1)), 255).astype(np.uint8))
-    return out
+#: Parts of the table of frequencies that are summed apart; and the least count that a task passes on.
+LEVEL_PARTS, LEAST_COUNT = 64, 3
+
+
+def word_levels(source: DataFrame) -> np.ndarray:
+    """Table of frequency by a word hash's first ``LEVEL_BITS``: of the words there, a fourth of an octave each; 0 if few or none.
+
+    Each task counts in a table of that size and passes on its parts, of which Spark's tasks make the sums.
+    """
+    size = (1 << LEVEL_BITS) // LEVEL_PARTS
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.zeros(1 << LEVEL_BITS, np.int64)
+        for batch in batches:
+            data, offsets = column_bytes(batch.column("text"))
+            for a, b in chunks(np.diff(offsets)):
+                words = Words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], SPACES, lower=False)
+                np.add.at(table, (words.hash >> np.uint64(64 - LEVEL_BITS)).astype(np.int64), 1)
+        for part in range(LEVEL_PARTS):
+            own = table[part * size : (part + 1) * size]
+            at = np.flatnonzero(own >= LEAST_COUNT)
+            if len(at):
+                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([np.stack((at, own[at])).tobytes()], pa.binary())], names=["part", "counts"])
+        released()
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of the tables of one part after another, the levels of the part."""
+        last, total = None, np.zeros(size, np.int64)
+
+        def of_part() -> pa.RecordBatch:
+            level = np.where(total > 0, np.minimum(1 + 4 * np.log2(np.maximum(total, 1)), 255), 0).astype(np.uint8)
+            return pa.RecordBatch.from_arrays([pa.array([last], pa.int32()), pa.array([level.tobytes()], pa.binary())], names=["part", "levels"])
+
+        for batch in batches:
+            for part, counts in zip(batch.column("part").to_pylist(), batch.column("counts")):
+                if last is not None and part != last:
+                    yield of_part()
+                    total[:] = 0
+                last = part
+                at, own = np.frombuffer(counts.as_py(), np.int64).reshape(2, -1)
+                total[at] += own
+        if last is not None:
+            yield of_part()
+        released()
+
+    counted = source.select("text").mapInArrow(count, "part int, counts binary").repartition("part").sortWithinPartitions("part")
+    out = np.zeros((LEVEL_PARTS, size), np.uint8)
+    for r in counted.mapInArrow(sums, "part int, levels binary").collect():
+        out[r.part] = np.frombuffer(r.levels, np.uint8)
+    return out.ravel()
 
 
 def _per_chunk(names: list[str], kinds: list[pa.DataType], rows):
@@ -265,13 +314,19 @@ def _lists(of: np.ndarray, values: np.ndarray, wanted: np.ndarray, n: int) -> pa
     return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(count))), pa.int32()), pa.array(_signed(values)))
 
 
+def _rows_of(values: np.ndarray, some: np.ndarray) -> pa.Array:
+    """Of a matrix of longs the marked rows as binary values, null for the others."""
+    out = binary(pa.ListArray.from_arrays(pa.array(np.arange(some.sum() + 1) * values.shape[1], pa.int32()), pa.array(_signed(values[some].ravel()))))
+    return out.take(pa.array(np.cumsum(some) - 1, mask=~some))
+
+
 def line_table(docs: DataFrame) -> DataFrame:
-    """Every line that is not blank, stored: __key, did, line, h, n, halves, said (a short line's text), pairs, parity.
+    """Every line that is not blank, stored: __key, did, line, h, n, halves, said (a short line's text), pairs, parity (where there are pairs).
 
     Of equal lines that are read together only the earliest has pairs, so a very frequent line has few rows of them.
     """
     source = _source(docs)
-    known = docs.sparkSession.sparkContext.broadcast(levels(frequent(source, lambda data, offsets: Words(data, offsets, SPACES, lower=False).hash, "frequent-words")))
+    known = docs.sparkSession.sparkContext.broadcast(word_levels(source))
 
     def rows(part, lines):
         kept = np.flatnonzero(lines.n > 0)
@@ -285,18 +340,19 @@ def line_table(docs: DataFrame) -> DataFrame:
         first[by] = np.concatenate(([True], h[by][1:] != h[by][:-1])) if n else []
         line, pair = lines.rare_pairs(known.value)
         mine = first[line]
-        parity = lines.parity()
+        some = (first & (lines.n >= WIDE))[kept]
+        parity = _rows_of(np.stack([c[kept] for c in lines.parity()], 1), some)
         raw = lines.data.tobytes()
         said = [raw[x:y].decode() if c < MIN_WORDS else None for x, y, c in zip(lines.begin[kept].tolist(), lines.end[kept].tolist(), lines.n[kept].tolist())]
         return (
             own[text[kept]], did[text[kept]], lines.number[kept], _signed(h[kept]), lines.n[kept], _lists(of, key[order], kept, n), said,
-            _lists(line[mine], pair[mine], kept, n), *[_signed(c[kept]) for c in parity],
+            binary(_lists(line[mine], pair[mine], kept, n)), parity,
         )
 
     long, int_ = pa.int64(), pa.int32()
-    names = ["__key", "did", "line", "h", "n", "halves", "said", "pairs", *PARITY]
-    kinds = [long, long, int_, long, int_, pa.list_(long), pa.string(), pa.list_(long), *[long] * 8]
-    ddl = "__key long, did long, line int, h long, n int, halves array<long>, said string, pairs array<long>, " + ", ".join(f"{c} long" for c in PARITY)
+    names = ["__key", "did", "line", "h", "n", "halves", "said", "pairs", "parity"]
+    kinds = [long, long, int_, long, int_, pa.list_(long), pa.string(), pa.binary(), pa.binary()]
+    ddl = "__key long, did long, line int, h long, n int, halves array<long>, said string, pairs binary, parity binary"
     return stored(source.mapInArrow(_per_chunk(names, kinds, rows), ddl), "lines")
 
 
@@ -395,21 +451,19 @@ PAIRS = 4000
 
 
 def _near():
-    """Whether two lines are near: first by the words they have in common in any order, then by edit distance."""
-
-    def read(texts: list[str]) -> dict[str, tuple[list[str], Counter]]:
-        split = ((t, [w for w in t.translate(_TO_SPACE).split(" ") if w]) for t in set(texts))
-        return {t: (w, Counter(w)) for t, w in split}
+    """Whether two lines are near: first word by word, then by the words they have in common in any order, then by edit distance."""
 
     @F.arrow_udf("boolean")
     def near(a: pa.Array, b: pa.Array) -> pa.Array:
         x, y = a.to_pylist(), b.to_pylist()
-        words = read(x + y)
+        words = {t: [w for w in t.translate(_TO_SPACE).split(" ") if w] for t in {*x, *y}}
+        count = functools.cache(lambda t: Counter(words[t]))
         out = []
         for t, u in zip(x, y):
-            (v, of_v), (w, of_w) = words[t], words[u]
+            v, w = words[t], words[u]
             k = max(1, min(len(v), len(w)) // SHARE)
-            out.append((of_v & of_w).total() >= max(len(v), len(w)) - k and _within(v, w, k))
+            replaced = len(v) == len(w) and sum(map(operator.ne, v, w)) <= k
+            out.append(replaced or (count(t) & count(u)).total() >= max(len(v), len(w)) - k and _within(v, w, k))
         return pa.array(out, pa.bool_())
 
     return near.asNondeterministic()  # else the filter moves below the repartition, into a few tasks
@@ -434,39 +488,42 @@ def _later(lines: DataFrame, fits, verified, name: str) -> DataFrame:
     ``keys``, then meet at the first such key only.
     """
     rest = [c for c in lines.columns if c not in ("keys", "least", "at", "h", "src")]
-    other = F.struct("at", "h", *rest).alias("o")
-    earlier = (F.col("o.at") < F.col("at")) & (F.col("o.h") != F.col("h")) & fits
+    earlier = (F.col("o.at") < F.col("l.at")) & (F.col("o.h") != F.col("l.h")) & fits
     by = lambda df, keys, *more: df.select(F.explode(keys).alias("key"), "at", "h", *rest, *more)
 
-    def met(left: DataFrame, others: DataFrame, once: Column | None = None) -> DataFrame:
-        pairs = left.join(others, "key").where(earlier if once is None else earlier & once)
-        return verified(pairs.select("h", F.col("o.h").alias("other")).distinct()).select("h").distinct()
+    def met(left: DataFrame, others: DataFrame, which: Column):
+        pairs = left.alias("l").join(others.alias("o"), (F.col("l.key") == F.col("o.key")) & which)
+        return verified(pairs.select(F.col("l.h").alias("h"), F.col("o.h").alias("other")).distinct()).select("h").distinct()
 
     least = by(lines, "least")
-    first = least.groupBy("key").agg(F.min(other).alias("o"), F.count("*").alias("c")).where("c > 1").select("key", "o")
-    found = stored(met(least, stored(first, f"{name}-first")), f"{name}-found")
-    left = lines.join(F.broadcast(found) if found.count() <= BROADCAST_HALVES else found, "h", "left_anti")
-    once = F.coalesce(F.get(F.array_intersect("least", "o.least"), F.lit(0)) == F.col("key"), F.lit(True))
-    others = by(lines, "keys", "least").select("key", F.struct("at", "h", *rest, "least").alias("o"))
-    return stored(found.unionByName(met(by(left, "keys", "least"), others, once)), name)
+    first = least.groupBy("key").agg(F.min(F.struct("at", "h", *rest)).alias("f"), F.count("*").alias("c")).where("c > 1").select("key", "f.*")
+    found = stored(met(least, stored(first, f"{name}-first"), earlier), f"{name}-found")
+    known = found.withColumn("found", F.lit(True))
+    every = by(lines.join(F.broadcast(known) if known.count() <= BROADCAST_HALVES else known, "h", "left"), "keys", "least", "found")
+    once = F.coalesce(F.get(F.array_intersect("l.least", "o.least"), F.lit(0)) == F.col("l.key"), F.lit(True))
+    # both sides have the same columns and rows, so that they are shuffled once; which of them meet is asked in the join
+    which = F.when(F.col("l.found").isNull() & F.coalesce("o.found", F.lit(True)), earlier & once)
+    return stored(found.unionByName(met(every, every, which)), name)
 
 
 def _steps(batch: pa.RecordBatch) -> list[np.ndarray]:
     """Each of ``pairs`` with the line's step of length, and with the next: near lines with a pair in common have one of these in common."""
     step = np.floor(np.log(batch.column("n").to_numpy()) / np.log(STEP)).astype(np.uint64)
-    of = np.repeat(step, batch.column("pairs").value_lengths().to_numpy())
-    value = batch.column("pairs").flatten().to_numpy().view(np.uint64)
+    pairs = longs(batch.column("pairs"))
+    of = np.repeat(step, pairs.value_lengths().to_numpy())
+    value = pairs.flatten().to_numpy().view(np.uint64)
     return [mix(value ^ mix(of + np.uint64(next_))) for next_ in (0, 1)]
 
 
 def _of_like_length(rows: DataFrame) -> DataFrame:
-    """``rows``, which are stored, with ``keys``: those of ``pairs`` that a line of another ``h`` and a like length ``n``
+    """``rows``, which are stored, with ``parity`` as columns, and ``keys``: those of ``pairs`` that a line of another ``h`` and a like length ``n``
     has too, one at least; and ``least``: the least of the keys by each of ``LEAST`` orders."""
     bits = values_of_many(rows.select("h", "n", "pairs"), "pairs", "h", "pairs-of-like-length", _steps)
+    kept = [c for c in rows.columns if c not in ("pairs", "parity")]
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = kept_of(batch.column("pairs"), let_through(bits.value, _steps(batch)))
+            keys = kept_of(longs(batch.column("pairs")), let_through(bits.value, _steps(batch)))
             some = pc.greater(keys.value_lengths(), 0)
             batch, keys = batch.filter(some), keys.filter(some)
             value, size = keys.flatten().to_numpy().view(np.uint64), keys.value_lengths().to_numpy()
@@ -476,17 +533,19 @@ def _of_like_length(rows: DataFrame) -> DataFrame:
                 orders = [mix(value ^ np.uint64(i)) for i in range(LEAST)]
                 least = [value[order == np.repeat(np.minimum.reduceat(order, begin), size)] for order in orders]
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(size) + 1) * LEAST, pa.int32()), pa.array(_signed(np.stack(least, 1).ravel())))
-            yield pa.RecordBatch.from_arrays([*batch.columns, keys, lists], names=[*batch.schema.names, "keys", "least"])
+            parity = longs(batch.column("parity")).flatten().to_numpy().reshape(-1, len(PARITY))
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], *map(pa.array, parity.T), keys, lists], names=[*kept, *PARITY, "keys", "least"])
         released()
 
-    return rows.mapInArrow(task, T.StructType([*rows.schema.fields, *[T.StructField(c, T.ArrayType(T.LongType())) for c in ("keys", "least")]]))
+    more = {**dict.fromkeys(PARITY, T.LongType()), **dict.fromkeys(("keys", "least"), T.ArrayType(T.LongType()))}
+    return rows.mapInArrow(task, T.StructType([*[rows.schema[c] for c in kept], *[T.StructField(c, kind) for c, kind in more.items()]]))
 
 
 def wide_lines(lines: DataFrame, repeated: DataFrame, docs: DataFrame) -> DataFrame:
     """h of the lines of ``WIDE`` words and more that are near an earlier one of ``WIDE`` words and more."""
-    wide = lines.where(F.size("pairs") > 0)
+    wide = lines.where(F.length("pairs") > 0)
     bits = values_of_many(wide.select("h", "pairs"), "pairs", "h", "shared-pairs")
-    some = only_held(wide.select("__key", "did", "line", "h", "n", *PARITY, "pairs"), "pairs", bits).where(F.size("pairs") > 0)
+    some = only_held(wide.select("__key", "did", "line", "h", "n", "parity", "pairs"), "pairs", bits).where(F.length("pairs") > 0)
     first = repeated.select("h", F.struct("did", "line", "__key").alias("f"))
     some = some.join(F.broadcast(first) if first.count() <= BROADCAST_HALVES else first, "h", "left")
     some = some.where(F.col("f").isNull() | (F.col("f") == F.struct("did", "line", "__key")))  # of equal lines the earliest
@@ -494,10 +553,10 @@ def wide_lines(lines: DataFrame, repeated: DataFrame, docs: DataFrame) -> DataFr
     at = F.struct("did", "line").alias("at")
     rows = stored(_of_like_length(some).select("keys", "least", "h", at, "n", *PARITY, F.col("__key").alias("src")), "lines-of-like-length")
     discard(some)
-    k = F.floor(F.least("n", "o.n") / SHARE)
-    differ = lambda cs: functools.reduce(Column.__add__, [F.bit_count(functools.reduce(lambda x, y: x.bitwiseXOR(y), [F.col(f"{o}{c}") for c in part for o in ("", "o.")])) for part in cs])
+    k = F.floor(F.least("l.n", "o.n") / SHARE)
+    differ = lambda cs: functools.reduce(Column.__add__, [F.bit_count(functools.reduce(lambda x, y: x.bitwiseXOR(y), [F.col(f"{o}{c}") for c in part for o in ("l.", "o.")])) for part in cs])
     short, long = [["p0"], ["p1"]], [*[[c] for c in PARITY[2:]], ["p0", "p2", "p4", "p6"], ["p1", "p3", "p5", "p7"]]
-    fits = (F.abs(F.col("n") - F.col("o.n")) <= k) & (differ(short) <= 2 * k) & ((F.least("n", "o.n") < LONG) | (differ(long) <= 2 * k))
+    fits = (F.abs(F.col("l.n") - F.col("o.n")) <= k) & (differ(short) <= 2 * k) & ((F.least("l.n", "o.n") < LONG) | (differ(long) <= 2 * k))
 
     def verified(pairs):
         pairs = stored(pairs, "line-pairs")
@@ -526,8 +585,8 @@ def short_lines(lines: DataFrame) -> DataFrame:
     rows = said.mapInArrow(_per_chunk(names, kinds, full), "key long, h long, did long, line int, n int, chars int, word string")
     rows = stored(rows.distinct().select("key", "h", F.struct("did", "line").alias("at"), "n", "chars", "word"), "short-rows")
     rows = _semi(rows, _shared(rows.select("key", "h"), "shared-words"), "key").withColumns({"keys": F.array("key"), "least": F.array("key")}).drop("key")
-    k = F.floor(F.least("chars", "o.chars") / SHARE)
-    fits = (F.col("n") == F.col("o.n")) & (F.abs(F.col("chars") - F.col("o.chars")) <= k) & (F.levenshtein("word", "o.word") <= k)
+    k = F.floor(F.least("l.chars", "o.chars") / SHARE)
+    fits = (F.col("l.n") == F.col("o.n")) & (F.abs(F.col("l.chars") - F.col("o.chars")) <= k) & (F.levenshtein("l.word", "o.word") <= k)
     return _later(rows, fits, lambda pairs: pairs, "short-lines")
 
 
@@ -559,9 +618,10 @@ def dedup(docs: DataFrame) -> DataFrame:
 
     gone = _by_size(removals(docs).withColumnRenamed("gone", "__gone"), "__gone")
     out = docs.drop("n_lines", "n_removed").withColumn("__key", row_key("doc_id", "text")).join(gone, "__key", "left")
-    lines = F.size(F.split(F.coalesce("text", F.lit("")), "\n"))
-    out = out.withColumns({"n_lines": lines.cast("long"), "n_removed": F.coalesce(F.size("__gone"), F.lit(0)).cast("long")})
-    return out.withColumn("text", cut("text", "__gone")).drop("__key", "__gone")
+    lines = F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"))) + 1
+    out = out.withColumns({"n_lines": F.coalesce(lines, F.lit(1)).cast("long"), "n_removed": F.coalesce(F.size("__gone"), F.lit(0)).cast("long")})
+    kept = cut(F.when(F.col("__gone").isNotNull(), F.col("text")), "__gone")  # only texts with lines that go are sent to a worker
+    return out.withColumn("text", F.when(F.col("__gone").isNotNull(), kept).otherwise(F.col("text"))).drop("__key", "__gone")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -269,45 +269,96 @@ def _positions(key: np.ndarray, n_bits: int) -> list[np.ndarray]:
     return [mix(key + np.uint64(i)) & np.uint64(n_bits - 1) for i in (1, 2)]
 
 
+def longs(lists: pa.Array) -> pa.ListArray:
+    """Lists of longs, which may be given as binary values: those pass through Spark in one piece, not number by number."""
+    if pa.types.is_list(lists.type):
+        return lists
+    offsets = np.frombuffer(lists.buffers()[1], np.int32, len(lists) + 1, lists.offset * 4)
+    raw = np.frombuffer(lists.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+    return pa.ListArray.from_arrays(pa.array((offsets - offsets[0]) // 8, pa.int32()), pa.array(raw.view(np.int64)))
+
+
+def binary(lists: pa.ListArray) -> pa.Array:
+    """Lists of longs (none null) as binary values."""
+    ends = np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy()))).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(lists), [None, pa.py_buffer(ends * np.int32(8)), pa.py_buffer(np.ascontiguousarray(lists.flatten().to_numpy()))])
+
+
+#: Values that a task of ``values_of_many`` sorts at once; ranges of values for a shuffle partition.
+SORTED_AT_ONCE, RANGES = 1_000_000, 4
+
+
+def _spread(form: np.ndarray) -> np.ndarray:
+    """Another number for each, whose first bits are dealt evenly: values may be the least of many."""
+    return form * np.uint64(_BASE)
+
+
 def values_of_many(rows: DataFrame, lists: str, tag: str, name: str, forms: Callable[[pa.RecordBatch], list[np.ndarray]] | None = None) -> Broadcast:
-    """Bloom filter of the values in ``lists`` (array<long>) that rows of more than one ``tag`` (long) hold.
+    """Bloom filter of the values in ``lists`` (array<long>, or binary) that rows of more than one ``tag`` (long) hold.
 
     Value and tag are packed in one number, 36 bits and ``TAG_BITS``, of which a task passes on the least
-    and the greatest for each value of some rows, so a value that very many rows hold is no hot spot. The
+    and the greatest for each value of some rows, so a value that very many rows hold is no hot spot. They are
+    shuffled by range of values, those of a range in one row for each million or so, and met range by range. The
     filter has 16 bits a value with two set, ``BLOOM_BITS`` (64 MiB) at most: it may let other values
     through, and loses none but those whose tags agree in all ``TAG_BITS``. ``forms`` gives what stands in
     the filter for a batch's values, once or several times each.
     """
     low = np.uint64(TAG_BITS)
+    range_bits = (RANGES * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length()
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            values = batch.column(lists)
-            own = np.repeat(batch.column(tag).to_numpy().view(np.uint64) >> np.uint64(64 - TAG_BITS), values.value_lengths().to_numpy())
-            of_batch = forms(batch) if forms else [values.flatten().to_numpy().view(np.uint64)]
-            packed = np.unique(np.concatenate([form >> low << low | own for form in of_batch]))
+        held: list[np.ndarray] = []
+
+        def flush() -> pa.RecordBatch:
+            packed = np.sort(np.concatenate(held))
+            held.clear()
             edge = np.ones(len(packed), bool)
             if len(packed) > 2:
                 key = packed >> low
                 edge[1:-1] = (key[1:-1] != key[:-2]) | (key[1:-1] != key[2:])
-            yield pa.RecordBatch.from_arrays([pa.array(packed[edge].view(np.int64))], names=["pack"])
+            packed = packed[edge]
+            of = (packed >> np.uint64(64 - range_bits)).astype(np.int32)
+            begin = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1]))) if len(of) else np.zeros(0, np.int64)
+            ends = np.concatenate((begin, [len(of)])).astype(np.int32)
+            values = pa.Array.from_buffers(pa.binary(), len(begin), [None, pa.py_buffer(ends * np.int32(8)), pa.py_buffer(packed)])
+            return pa.RecordBatch.from_arrays([pa.array(of[begin]), values], names=["part", "packs"])
+
+        for batch in batches:
+            values = longs(batch.column(lists))
+            own = np.repeat(batch.column(tag).to_numpy().view(np.uint64) >> np.uint64(64 - TAG_BITS), values.value_lengths().to_numpy())
+            of_batch = forms(batch) if forms else [values.flatten().to_numpy().view(np.uint64)]
+            held += [_spread(form) >> low << low | own for form in of_batch]
+            if sum(map(len, held)) > SORTED_AT_ONCE:
+                yield flush()
+        if held:
+            yield flush()
         released()
 
     def many(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Of sorted packs the keys of several tags."""
-        last = np.zeros(0, np.uint64)
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            packed = np.concatenate((last, batch.column("pack").to_numpy().view(np.uint64)))
+        """Of packs, range by range, the keys of several tags."""
+
+        def met() -> pa.RecordBatch:
+            packed = np.sort(np.concatenate(held))
+            held.clear()
             key = packed >> low
             found = key[1:][(key[1:] == key[:-1]) & (packed[1:] != packed[:-1])]
-            last = packed[-1:]
-            yield pa.RecordBatch.from_arrays([pa.array(np.unique(found).view(np.int64))], names=["key"])
+            found = found[np.concatenate(([True], found[1:] != found[:-1]))] if len(found) else found
+            return pa.RecordBatch.from_arrays([pa.array(found.view(np.int64))], names=["key"])
+
+        held: list[np.ndarray] = []
+        last = None
+        for batch in batches:
+            for part, packs in zip(batch.column("part").to_pylist(), batch.column("packs")):
+                if held and part != last:
+                    yield met()
+                held.append(np.frombuffer(packs.as_py(), np.uint64))
+                last = part
+        if held:
+            yield met()
+        released()
 
-    key = F.shiftrightunsigned("pack", TAG_BITS)
-    packed = (rows if forms else rows.select(lists, tag)).mapInArrow(pack, "pack long").repartition(key).sortWithinPartitions("pack")
-    keys = stored(packed.mapInArrow(many, "key long"), name)  # a key may be there twice
+    packed = (rows if forms else rows.select(lists, tag)).mapInArrow(pack, "part int, packs binary").repartition("part").sortWithinPartitions("part")
+    keys = stored(packed.mapInArrow(many, "key long"), name)
     n_bits = min(BLOOM_BITS, 1 << max(10, (16 * keys.count()).bit_length()))
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -327,20 +378,21 @@ def let_through(bits: np.ndarray, forms: list[np.ndarray]) -> np.ndarray:
     kept = np.zeros(len(forms[0]), bool)
     for form in forms:
         through = np.ones(len(form), bool)
-        for place in _positions(form >> np.uint64(TAG_BITS), len(bits) << 6):
+        for place in _positions(_spread(form) >> np.uint64(TAG_BITS), len(bits) << 6):
             through &= (bits[place >> np.uint64(6)] >> (place & np.uint64(63))) & np.uint64(1) == 1
         kept |= through
     return kept
 
 
 def only_held(rows: DataFrame, lists: str, bits: Broadcast) -> DataFrame:
-    """``rows`` with the values of ``lists`` (array<long>) that the filter lets through."""
+    """``rows`` with the values of ``lists`` (array<long>, or binary) that the filter lets through."""
 
     def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values, at = batch.column(lists), batch.schema.get_field_index(lists)
-            value = values.flatten().to_numpy()
-            few = kept_of(values, let_through(bits.value, [value.view(np.uint64)]))
+            given, at = batch.column(lists), batch.schema.get_field_index(lists)
+            values = longs(given)
+            few = kept_of(values, let_through(bits.value, [values.flatten().to_numpy().view(np.uint64)]))
+            few = few if values is given else binary(few)
             yield pa.RecordBatch.from_arrays([few if i == at else c for i, c in enumerate(batch.columns)], names=batch.schema.names)
         released()
 
