@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -103,3 +105,9 @@ def test_values_of_many_takes_binary_lists(spark):
     packed = [(r.tag, np.frombuffer(r.v, np.int64).tolist()) for r in shared.only_held(blobs, "v", shared.values_of_many(blobs, "v", "tag", "of-blobs")).collect()]
     assert sorted(plain) == sorted(packed)
     assert {x for _, v in plain for x in v} == {7 << 40, -9}
+
+
+def test_workers_look_through_modules_once():
+    """After a worker's first call, what lives then is not looked through again."""
+    shared.released()
+    assert gc.get_freeze_count() > 10_000

@@ -52,7 +52,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import SPACES, Words, binary, chunks, column_bytes, discard, inverse_powers, kept_of, let_through, longs, mix, only_held, powers, released, row_key, small_batches, stored, values_of_many
+from .shared import CHUNK_BYTES, SPACES, Words, binary, chunks, column_bytes, discard, inverse_powers, kept_of, let_through, longs, mix, only_held, powers, released, row_key, small_batches, stored, values_of_many
 
 MIN_WORDS = 8
 #: Lines of so many words and more may have two edits; a tenth of the words (of a short line's characters).
@@ -247,7 +247,7 @@ def word_levels(source: DataFrame) -> np.ndarray:
         table = np.zeros(1 << LEVEL_BITS, np.int64)
         for batch in batches:
             data, offsets = column_bytes(batch.column("text"))
-            for a, b in chunks(np.diff(offsets)):
+            for a, b in chunks(np.diff(offsets), CHUNK_BYTES // 2):
                 words = Words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], SPACES, lower=False)
                 np.add.at(table, (words.hash >> np.uint64(64 - LEVEL_BITS)).astype(np.int64), 1)
         for part in range(LEVEL_PARTS):

@@ -79,9 +79,17 @@ def discard(table: DataFrame) -> None:
 _TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
 
 
+_SETTLED: list[bool] = []
+
+
 def released() -> None:
-    """Give what a Python worker has freed back to the system: workers live on from task to task and from stage to stage."""
+    """Give what a Python worker has freed back to the system: workers live on from task to task and from stage to stage.
+
+    What lives at a worker's first call, mostly modules, is not looked through again by later ones."""
     gc.collect()
+    if not _SETTLED:
+        gc.freeze()
+        _SETTLED.append(True)
     pa.default_memory_pool().release_unused()
     if _TRIM:  # glibc keeps freed pages below the first one in use
         _TRIM(0)
