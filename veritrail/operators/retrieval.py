@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections import defaultdict
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,18 +15,25 @@ from ..functions import lexicons as L
 from ..functions import rules as R
 from ..functions import text as T
 from ..session import spread, stored
+from .prose import ENTRIES, distinct, ranges, runs, shared_words_blocked
 from .vectors import nearest
 
 #: A word in more ids and in more facts than that is frequent: its ids never meet its facts pair by pair.
 OFTEN = 1000
-#: Distinct words of ids and of facts in a cell of the grid, about.
-ASKED_WORDS, FACT_WORDS = 200_000, 500_000
 #: Claims that meet one copy of a document, about, and such rows in a task.
-CLAIMS_AT_ONCE, DOCUMENTS_AT_ONCE = 100, 100
+CLAIMS_AT_ONCE, DOCUMENTS_AT_ONCE = 1000, 100
+#: Words that are looked for in a text one by one, at most.
+FEW_WORDS = 16
 #: Items of a claim that are compared in one array, at most.
 TOGETHER = 64
-#: Aliases that are broadcast, at most.
-BROADCAST_ALIASES = 100_000
+#: Java's ASCII white space, and the ends of lines that are none.
+_SPACE, _LINE_ENDS = " \t\n\x0b\f\r", "\u0085\u2028\u2029"
+_AFTER_MARK = re.compile(rf"(?<=[.!?])[{_SPACE}]+")
+#: Bytes of words, and zero, stay; with ``marked`` all bytes beyond ASCII are letters' or digits'.
+_WORD_BYTES = bytes(c if c in b"\0_" or c > 127 or chr(c).isalnum() else 32 for c in range(256))
+_STOP = pa.array(L.STOP_OVERLAP)
+#: Aliases, and keys of facts with a number each, that are broadcast, at most.
+BROADCAST_ALIASES, BROADCAST_FACTS = 100_000, 1_000_000
 
 
 def shared_words(asked: DataFrame, facts: DataFrame, k: int, often: int = OFTEN) -> DataFrame:
@@ -71,89 +79,105 @@ def shared_words(asked: DataFrame, facts: DataFrame, k: int, often: int = OFTEN)
     return scored.unionByName(more).distinct().withColumn("rank", F.row_number().over(best("id"))).where(F.col("rank") <= k)
 
 
-def _rows_of_words(words: pa.Array, n_before: int, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Row and code of each word of a list column whose words' codes begin at ``n_before``."""
-    n = np.diff(words.offsets.to_numpy())
-    return np.repeat(np.arange(len(words)), n), codes[n_before : n_before + int(n.sum())]
-
-
-def _best_of_cell(k: int):
-    """The ``k`` best facts of each id of a cell: a fact's score is how often it is among the rows of the id's words."""
-
-    def best(asked: pa.Table, facts: pa.Table) -> pa.Table:
-        none = pa.table({"id": asked["id"][:0], "fact": facts["fact"][:0], "score": pa.array([], pa.int64())})
-        if not len(asked) or not len(facts):
-            return none
-        facts = facts.sort_by("fact")
-        a, f = asked["words"].combine_chunks(), facts["words"].combine_chunks()
-        codes = pa.concat_arrays([a.flatten(), f.flatten()]).dictionary_encode().indices.to_numpy(zero_copy_only=False)
-        a_row, a_code = _rows_of_words(a, 0, codes)
-        f_row, f_code = _rows_of_words(f, len(a_row), codes)
-        order = np.argsort(f_code, kind="stable")
-        at = np.zeros(int(codes.max(initial=0)) + 2, dtype=np.int64)
-        np.cumsum(np.bincount(f_code, minlength=len(at) - 1), out=at[1:])
-        rows, ends = f_row[order], np.searchsorted(a_row, np.arange(len(asked) + 1))
-        ids, found, scores = [], [], []
-        for i in range(len(asked)):
-            met = [rows[at[c] : at[c + 1]] for c in a_code[ends[i] : ends[i + 1]]]
-            score = np.bincount(np.concatenate(met), minlength=len(facts)) if met else np.zeros(len(facts), dtype=np.int64)
-            value = score * len(facts) + np.arange(len(facts) - 1, -1, -1)  # ties to the smaller fact
-            top = np.argpartition(-value, k - 1)[:k] if len(facts) > k else np.arange(len(facts))
-            top = top[score[top] > 0]
-            ids.append(np.full(len(top), i)), found.append(top), scores.append(score[top])
-        return pa.table({"id": asked["id"].take(pa.array(np.concatenate(ids))), "fact": facts["fact"].take(pa.array(np.concatenate(found))), "score": pa.array(np.concatenate(scores).astype(np.int64))})
-
-    return best
-
-
-def shared_words_blocked(asked: DataFrame, facts: DataFrame, k: int, asked_words: int = ASKED_WORDS, fact_words: int = FACT_WORDS) -> DataFrame:
-    """Like ``shared_words``, for prose, where an id shares words with a large part of all facts.
-
-    There, rows for each shared word are far more than ids and facts. Here blocks of ids meet blocks of facts over a grid;
-    a cell counts in arrays and keeps its ``k`` best of each id, and the best of all cells are taken. ``id`` and ``fact`` are keys.
-    """
-    blocks = lambda df, most: max(1, -(-(df.agg(F.sum(F.size("words")).alias("n")).first().n or 0) // most))
-    set_of = lambda df, key: df.where("words IS NOT NULL").select(key, F.array_distinct("words").alias("words"))
-    a, f = set_of(asked, "id"), set_of(facts, "fact")
-    n_a, n_f = blocks(a, asked_words), blocks(f, fact_words)
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    a = a.select("id", "words", F.pmod(F.xxhash64("id"), F.lit(n_a)).cast("int").alias("a"), every(n_f).alias("f"))
-    f = f.select("fact", "words", F.pmod(F.xxhash64("fact"), F.lit(n_f)).cast("int").alias("f"), every(n_a).alias("a"))
-    schema = f"id {a.schema['id'].dataType.simpleString()}, fact {f.schema['fact'].dataType.simpleString()}, score long"
-    pairs = a.groupBy("a", "f").cogroup(f.groupBy("a", "f")).applyInArrow(_best_of_cell(k), schema)
-    w = Window.partitionBy("id").orderBy(F.desc("score"), "fact")
-    return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-
-
 def lexical_retrieve(claims: DataFrame, facts: DataFrame, k: int = 3, often: int = OFTEN, prose: bool = False) -> DataFrame:
     """claim_id, fact_id, score (shared distinct words), rank; ``claims``: claim_id, text; ``facts``: fact_id, text.
 
     ``prose``: by ``shared_words_blocked``, with the same result.
     """
-    split = F.filter(F.split(F.lower("text"), r"\s+"), lambda w: w != "").alias("words")
+    split = (F.lower("text") if prose else F.filter(F.split(F.lower("text"), r"\s+"), lambda w: w != "")).alias("words")
     a, f = claims.select(F.col("claim_id").alias("id"), split), facts.select(F.col("fact_id").alias("fact"), split)
     found = shared_words_blocked(a, f, k) if prose else shared_words(a, f, k, often)
     return found.select(F.col("id").alias("claim_id"), F.col("fact").alias("fact_id"), "score", "rank")
 
 
+def _inside(words: list[bytes], low: bytes) -> np.ndarray:
+    """Which of the words, which have no ASCII white space, are in the text anywhere."""
+    tokens = set(low.split())
+    inside = np.array([w in tokens for w in words], dtype=bool)
+    rest, text = np.flatnonzero(~inside), b" ".join(tokens) + b" " * 8
+    if len(rest) > FEW_WORDS:
+        # runs of 8 bytes as numbers, sorted: shorter words are compared by them, longer ones only sought if their ends are there
+        run = np.zeros(len(text) - 7, dtype=np.uint64)
+        for i in range(8):
+            run |= np.frombuffer(text, np.uint8)[i : i + len(run)].astype(np.uint64) << np.uint64(56 - 8 * i)
+        run.sort()
+        size = np.array([min(len(words[j]), 8) for j in rest])
+        inside[rest[size == 0]] = True
+        for n in np.unique(size[size > 0]):
+            own, there = rest[size == n], run >> np.uint64(64 - 8 * int(n))
+            has = lambda values, there=there: there[np.minimum(np.searchsorted(there, values), len(there) - 1)] == values
+            of = lambda part, own=own: np.array([int.from_bytes(part(words[j]), "big") for j in own], dtype=np.uint64)
+            inside[own] = has(of(lambda w: w[:8])) if n < 8 else has(of(lambda w: w[:8])) & has(of(lambda w: w[-8:]))
+        rest = rest[inside[rest] & np.array([len(words[j]) > 8 for j in rest], dtype=bool)]
+    for j in rest:
+        inside[j] = words[j] in text
+    return inside
+
+
+def _flat(lists: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """How many words each list has, and the words."""
+    return np.diff(lists.offsets.to_numpy()), lists.flatten()
+
+
+def _sentence_words(low: str, marked: str | None, text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+    """The words that ``T.overlap_words(T.sentences(text, "mark", 15))`` has: how many each sentence, of each its sentence and number, and all of them.
+
+    ``low``: the text in lower case; ``marked``: this with a comma for all but letters and digits, white space and the ends of lines and
+    sentences, if it is not plain ASCII; ``text``: the text, if it has another length.
+    """
+    parts = _AFTER_MARK.split((low if marked is None else marked).replace("\0", ","))
+    written = parts if text is None else _AFTER_MARK.split(text)
+    kept = "\0".join([s for s, w in zip(parts, written, strict=True) if _stripped_size(w) > 15])
+    for c in _LINE_ENDS if marked is not None else "":
+        kept = kept.replace(c, ",")
+    n, words = _flat(pc.ascii_split_whitespace(pa.array(kept.encode().translate(_WORD_BYTES).split(b"\0"), pa.binary()).cast(pa.string())))
+    some = pc.and_(pc.greater(pc.utf8_length(words), 2), pc.invert(pc.is_in(words, value_set=_STOP)))
+    words, of = words.filter(some).dictionary_encode(), np.repeat(np.arange(len(n)), n)[some.to_numpy(zero_copy_only=False)]
+    pairs = distinct(of << 32 | words.indices.to_numpy())
+    return np.bincount(pairs >> 32, minlength=len(n)), pairs >> 32, pairs & 0xFFFFFFFF, words.dictionary
+
+
+def _stripped_size(s: str) -> int:
+    """Characters without white space at both ends, as Java's ``$`` has it: also before a last line end that is no white space there."""
+    s = s.strip(_SPACE)
+    return len(s) if s[-1:] not in _LINE_ENDS else len(s[:-1].rstrip(_SPACE)) + len(s[-1:])
+
+
+def _best_overlap(cw: pa.Array, low: str, marked: str | None, text: str | None) -> np.ndarray:
+    """The largest share of words that each claim (its distinct words as a text) has in common with a sentence of the text."""
+    n_c, words = _flat(pc.ascii_split_whitespace(cw))
+    some = pc.not_equal(words, "").to_numpy(zero_copy_only=False)
+    own = np.repeat(np.arange(len(n_c)), n_c)[some]
+    coded, n_c = words.filter(pa.array(some)).dictionary_encode(), np.bincount(own, minlength=len(n_c))
+    n_s, of, code, there = _sentence_words(low, marked, text)
+    code = pc.fill_null(pc.index_in(there, value_set=coded.dictionary), -1).to_numpy().astype(np.int64)[code]
+    code, of = code[code >= 0], of[code >= 0]
+    of = of[np.argsort(code, kind="stable")]
+    n_met = np.bincount(code, minlength=len(coded.dictionary))
+    word = coded.indices.to_numpy().astype(np.int64)
+    size, start = n_met[word], (np.cumsum(n_met) - n_met)[word]
+    best = np.zeros(len(n_c))
+    for at, to in runs(np.bincount(own, weights=size, minlength=len(n_c)).astype(np.int64), ENTRIES):
+        a, b = np.searchsorted(own, (at, to))
+        key = np.sort(np.repeat(own[a:b] << 32, size[a:b]) | of[ranges(start[a:b], size[a:b])])
+        if len(key):
+            first = np.flatnonzero(np.diff(key, prepend=-1))
+            shared, c, s = np.diff(first, append=len(key)), key[first] >> 32, key[first] & 0xFFFFFFFF
+            of_claim = np.flatnonzero(np.diff(c, prepend=-1))
+            best[c[of_claim]] = np.maximum.reduceat(shared / (n_s[s] + n_c[c] - shared), of_claim)
+    return best
+
+
 def _supported(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i in range(batch.num_rows):
-            low, sentences, claims = (batch.column(name)[i].as_py() for name in ("low", "sentences", "claims"))
-            postings, sizes = defaultdict(list), np.array([len(s) for s in sentences], dtype=np.int64)
-            for n, s in enumerate(sentences):
-                for w in s:
-                    postings[w].append(n)
-            inside, best, match = {}, [], []
-            for c in claims:
-                met = [n for w in c["cw"] for n in postings.get(w, ())]
-                shared = np.bincount(np.array(met, dtype=np.int64), minlength=len(sizes))
-                best.append(float((shared / np.maximum(sizes + len(c["cw"]) - shared, 1)).max(initial=0.0)))
-                for w in c["lw"]:
-                    if w not in inside:
-                        inside[w] = w in low
-                match.append(sum(inside[w] for w in c["lw"]) / len(c["lw"]) if c["lw"] else 0.0)
-            yield pa.RecordBatch.from_pydict({"claim_id": pa.array([c["claim_id"] for c in claims], pa.string()), "best": pa.array(best, pa.float64()), "match": pa.array(match, pa.float64())})
+            ids, cw, lw = batch.column("claims")[i].values.flatten()
+            n, words = _flat(pc.list_slice(pc.split_pattern(lw, " "), 1))
+            coded = words.dictionary_encode()
+            low, marked, text = (batch.column(name)[i].as_py() for name in ("low", "marked", "text"))
+            inside = _inside(coded.dictionary.cast(pa.binary()).to_pylist(), low.encode())
+            hits = np.bincount(np.repeat(np.arange(len(n)), n), weights=inside[coded.indices.to_numpy()], minlength=len(n))
+            yield pa.RecordBatch.from_pydict({"claim_id": ids, "best": pa.array(_best_overlap(cw, low, marked, text)), "match": pa.array(hits / np.maximum(n, 1))})
 
 
 def document_support(found: DataFrame, claims: DataFrame, docs: DataFrame) -> DataFrame:
@@ -163,14 +187,19 @@ def document_support(found: DataFrame, claims: DataFrame, docs: DataFrame) -> Da
     groups of ``CLAIMS_AT_ONCE``, so its words are looked up and its sentences cut once a group, and one that many claims found is
     dealt to many tasks.
     """
-    many = found.groupBy("fact_id").agg(F.ceil(F.count("*") / CLAIMS_AT_ONCE).alias("n"))
-    said = claims.select("claim_id", T.overlap_words(F.col("text")).alias("cw"), R.long_words(F.col("text")).alias("lw"))
+    many = stored(found.groupBy("fact_id").agg(F.ceil(F.count("*") / CLAIMS_AT_ONCE).alias("n")), "found-facts")
+    total = many.agg(F.count("*").alias("facts"), F.sum("n").alias("groups")).first()
+    n = max(docs.sparkSession.sparkContext.defaultParallelism * 2, (total.groups or 0) // DOCUMENTS_AT_ONCE)
+    # words as one text each, which has far less bytes than an array; the first of the long ones stands for none
+    said = claims.select("claim_id", F.concat_ws(" ", T.overlap_words(F.col("text"))).alias("cw"), F.concat_ws(" ", F.lit("-"), R.long_words(F.col("text"))).alias("lw"))
     part = F.pmod(F.xxhash64("claim_id"), F.col("n")).alias("part")
-    groups = found.join(many, "fact_id").select("fact_id", "claim_id", part).join(said, "claim_id").groupBy("fact_id", "part").agg(F.collect_list(F.struct("claim_id", "cw", "lw")).alias("claims"))
-    groups = stored(groups, "claims-of-documents")
-    n = max(docs.sparkSession.sparkContext.defaultParallelism * 2, groups.count() // DOCUMENTS_AT_ONCE)
-    words = F.transform(T.sentences(F.col("text"), "mark", 15), T.overlap_words).alias("sentences")
-    rows = groups.join(docs, "fact_id").repartition(n, "fact_id", "part").select(F.lower(F.coalesce("text", F.lit(""))).alias("low"), words, "claims")
+    groups = found.join(many, "fact_id").select("fact_id", "claim_id", part).join(said, "claim_id").repartition(n, "fact_id", "part").groupBy("fact_id", "part").agg(F.collect_list(F.struct("claim_id", "cw", "lw")).alias("claims"))
+    # a text goes once to each of its groups, and one that no claim found goes nowhere
+    texts = docs.join(F.broadcast(many) if total.facts <= BROADCAST_FACTS else many, "fact_id")
+    texts = texts.select("fact_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("part"), F.coalesce("text", F.lit("")).alias("text")).repartition(n, "fact_id", "part")
+    low = F.lower("text")
+    marked = F.when(F.octet_length(low) > F.length(low), F.regexp_replace(low, rf"[^\p{{L}}\p{{N}}_.!?\s{_LINE_ENDS}]", ",")).alias("marked")
+    rows = groups.join(texts, ["fact_id", "part"]).select(low.alias("low"), marked, F.when(F.length(low) != F.length("text"), F.col("text")).alias("text"), "claims")
     return rows.mapInArrow(_supported, "claim_id string, best double, match double").groupBy("claim_id").agg(F.max("best").alias("best"), F.max("match").alias("match"))
 
 
